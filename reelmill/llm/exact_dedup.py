@@ -21,6 +21,7 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,7 +172,7 @@ def _change_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = CuckooIndex()
     for batch in batches:
         for run in (0, 1, 2):
-            part = batch.filter(pa.compute.equal(batch.column("op"), run))
+            part = batch.filter(pc.equal(batch.column("op"), run))
             if part.num_rows:
                 _fold(index, part, -1 if run == 1 else 1)
     yield from _rows(index)
