@@ -26,3 +26,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
