@@ -9,8 +9,8 @@ WAND runs on a block of passages at a time, with arrays: terms whose upper bound
 open no candidates (the pivot rule); the rest are summed over blocks of postings by the blocks' maxima, and blocks below
 the threshold are skipped; items of the blocks left are scored in part, dropped if the closed terms cannot lift them,
 and then scored in full. All items at or over the threshold are retrieved, no top k. A retrieved pair counts when the
-passage holds at least 0.8 of the item's five-word shingles, and half of those of its question and of its answer. An
-item's answer is its last sentence, if another stands before it, else its last quarter of words; an item under five
+passage holds at least 0.8 of the item's five-word shingles, and those that it holds cover half of the words of its
+question and of its answer. An item's answer is its last sentence, if another stands before it, else its last quarter of words; an item under five
 words is one shingle.
 
 The index goes to every worker, so its size is bounded: items are cut into indexes of at most ``SHARD_CHARS`` characters,
@@ -55,9 +55,9 @@ class Index(NamedTuple):
     block: np.ndarray  #: number of each block
     block_top: np.ndarray
     block_at: np.ndarray  #: where each block's postings begin
-    shingles: np.ndarray  #: sorted hashes of all items' shingles, item by item
-    shingle_item: np.ndarray
-    shingle_answer: np.ndarray
+    shingles: list  #: of each item, in order
+    shingle_words: list  #: words in each item's shingles
+    answer_at: list  #: the word at which each item's answer begins
     window: int
 
 
@@ -92,27 +92,21 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     # blocks: runs of one term's postings with one number
     number = items_of // BLOCK_ITEMS
     starts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (number[1:] != number[:-1])]))
-    shingles, owner, answer = [], [], []
-    for k, (_, text, h) in enumerate(kept):
-        own = np.unique(shingle_hashes(h, min(SHINGLE, len(h))))
-        shingles.append(own)
-        owner.append(np.full(len(own), k))
-        answer.append(np.isin(own, shingle_hashes(h[_answer_at(text, len(h)) :], min(SHINGLE, len(h)))))
+    size = [min(SHINGLE, len(h)) for _, _, h in kept]
     return Index(
         [i for i, _, _ in kept], terms, np.maximum.reduceat(impact, first[:-1]), df > n / 8, first, items_of, impact,
         np.searchsorted(starts, first), number[starts], np.maximum.reduceat(impact, starts), np.append(starts, len(impact)),
-        np.concatenate(shingles), np.concatenate(owner), np.concatenate(answer), 2 * int(length.max()),
+        [shingle_hashes(h, k) for (_, _, h), k in zip(kept, size)], size, [_answer_at(t, len(h)) for _, t, h in kept], 2 * int(length.max()),
     )
 
 
 def _answer_at(text: str, n: int) -> int:
-    """The word at which an item's answer begins: the last sentence, or the last quarter; five words at least, if there are."""
+    """The word at which an item's answer begins: the last sentence, or the last quarter."""
     at, last = 0, 0
     for k, w in enumerate(text.split()[:-1], 1):
         if w[-1] in ".?!:":
             last = k
-    at = last or math.ceil(0.75 * n)
-    return max(0, min(at, n - min(SHINGLE, n)))
+    return min(last or math.ceil(0.75 * n), n - 1)
 
 
 def spread(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,14 +196,10 @@ def _match_block(index: Index, block: words.Block, threshold: float) -> tuple[np
     for r, j, i, s in zip(row.tolist(), (p - base[row]).tolist(), item.tolist(), score.tolist()):
         lo = first[r] + j * step
         got = h[lo : min(lo + index.window, first[r + 1])]
-        a, b = np.searchsorted(index.shingle_item, [i, i + 1])
-        own, answer = index.shingles[a:b], index.shingle_answer[a:b]
-        k = SHINGLE if b - a > 1 or len(own) == 0 else min(SHINGLE, index.window // 2)
-        held = np.isin(own, shingle_hashes(got, k))
-        if b - a == 1 and not held.any():  # an item under five words is one shingle of its own length
-            held = np.array([any(own[0] in shingle_hashes(got, n) for n in range(1, SHINGLE))])
-        q = ~answer
-        out.append((r, i, s, held.mean(), held[q].mean() if q.any() else 1.0, held[answer].mean() if answer.any() else 1.0))
+        k, answer = index.shingle_words[i], index.answer_at[i]
+        held = np.isin(index.shingles[i], shingle_hashes(got, k))
+        covered = np.convolve(held, np.ones(k, int)) > 0
+        out.append((r, i, s, held.mean(), covered[:answer].mean() if answer else 1.0, covered[answer:].mean()))
     return tuple(np.array(x) for x in zip(*out)) if out else ()
 
 
