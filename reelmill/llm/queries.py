@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_model, pieces, secrets, suffix_dedup, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_model, pieces, secrets, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
