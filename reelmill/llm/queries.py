@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, language_model, pieces, quality, secrets, suffix_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_model, pieces, quality, secrets, shared, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -11,6 +13,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of a session that was not started where they can import it anyway."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    context = spark.sparkContext
+    if root in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) or getattr(context, "_reelmill_sent", False):
+        return
+    folder = tempfile.mkdtemp(prefix="spark-package-")
+    context.addPyFile(shutil.make_archive(f"{folder}/{os.path.basename(package)}", "zip", root, os.path.basename(package)))
+    context._reelmill_sent = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,6 +55,13 @@ def drop(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, rather than at its next
+    collection, which on a large heap may be far off."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import materialize
+from .shared import drop, materialize, release
 
 LENGTH = 400
 GRAM = 100
@@ -278,6 +278,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
     wanted = kinds.join(several, "anchor").select("anchor", "seg", "n", (F.col("m") > GROUP).alias("wide"), "one.*")
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", "n", "wide", "lo", "hi")).alias("wants"))  # as many as a text has segments
+    release(rows.sparkSession)
     contents = materialize(rows.join(asked, "row").select("wants", "text").mapInArrow(_fetch_task(length), "anchor long, seg long, n long, wide boolean, windows int, content binary"), "repeat-contents")
 
     narrow = contents.filter("not wide").select("anchor", "seg", "n", "windows", "content")
@@ -287,7 +288,13 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     by_hash = windows.filter("n = 1").join(twice, ["anchor", "mark"]).groupBy("anchor", "seg").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + length))).alias("ranges"))  # 301 windows at most
     same = kinds.filter("n > 1").select("anchor", "seg", F.array(F.lit(0), F.col("one.hi") - F.col("one.lo") + length).alias("ranges"))
     found = same.unionByName(by_tree).unionByName(by_hash)
-    return places.join(found, ["anchor", "seg"]).groupBy("row").agg(F.collect_list(F.struct("lo", "ranges")).alias("spans"))
+    spans = materialize(places.join(found, ["anchor", "seg"]).groupBy("row").agg(F.collect_list(F.struct("lo", "ranges")).alias("spans")), "repeat-spans")
+    # the texts are shuffled once more for the cut: make room
+    for done in (places, kinds, contents):
+        drop(done)
+    del several, wanted, asked, narrow, by_tree, windows, twice, by_hash, same, found, places, kinds, contents
+    release(spans.sparkSession)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
