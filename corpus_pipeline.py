@@ -14,6 +14,7 @@ from reelmill.llm import decontaminate, exact_dedup, jaccard_join, pieces, share
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

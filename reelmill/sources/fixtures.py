@@ -56,7 +56,7 @@ def post_log(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "published").when(F.col("event_type") == "error", "ignored").otherwise("metrics")
     metric = lambda e: F.when(F.col("event_type") == e, F.col("value"))
     return table(spark, d, "events").select(
-        F.col("user_id").alias("job"), (k % 5).alias("clip"), F.col("ts").cast("timestamp_ntz").alias("ts"), kind.alias("kind"), metric("view").alias("views"), metric("click").alias("likes"), metric("purchase").alias("saves"),
+        F.col("user_id").alias("job"), (k % 5).cast("int").alias("clip"), F.col("ts").cast("timestamp_ntz").alias("ts"), kind.alias("kind"), metric("view").alias("views"), metric("click").alias("likes"), metric("purchase").alias("saves"),
         F.when(F.col("event_id") % 10 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:00")).otherwise("").alias("slot_at"), F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string")).alias("source"), F.concat(F.lit("t"), (k % 7).cast("string")).alias("topic"),
     )
 

@@ -20,8 +20,10 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
 def read_entities(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """One JSON document a file -> (good records, unreadable ones). An order is the reader's affair: newest first is
     orderBy(desc("created_at"))."""
-    raw = spark.read.schema(_with_corrupt(schema)).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    raw = whole.withColumn("r", F.from_json("value", _with_corrupt(schema), options))
+    return raw.filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT), raw.filter(F.col(f"r.{CORRUPT}").isNotNull()).select("file", F.col("value").alias(CORRUPT))
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType, tail: int | None = None, ts: str = "ts") -> DataFrame:

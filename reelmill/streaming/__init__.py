@@ -1 +1 @@
-
+"""The library's operators over streams of files."""
