@@ -246,7 +246,6 @@ def _task(sent, threshold: float):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows that hold an item."""
-    docs = docs.withColumn("__row", F.monotonically_increasing_id())
-    docs = shared.materialize(docs, "leak-docs")
+    docs = shared.with_rows(docs, "__row")
     found = leaks(docs, benchmark, text, "__row").select(F.col("doc_id").alias("__row")).distinct()
     return docs.join(found, "__row", "left_anti").drop("__row")

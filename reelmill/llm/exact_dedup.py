@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, with_rows
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -182,7 +182,7 @@ def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """row, id, code points, digest and content check of every row, in narrow columns."""
     whole = F.coalesce(F.col(text), F.lit(""))
     norm = F.regexp_replace(whole, r"[\x20\x09-\x0D]+", "")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("chars"), norm.alias("norm")).select(
+    return with_rows(docs, "__row").select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("chars"), norm.alias("norm")).select(
         "row", "doc_id", "chars", F.unhex(F.sha2("norm", 256)).alias("digest"), (F.xxhash64("norm") + F.length("norm")).alias("check")
     )
 
@@ -218,7 +218,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept."""
-    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-docs")
+    docs = with_rows(docs, "__row")
     whole = F.coalesce(F.col(text), F.lit(""))
     norm = F.regexp_replace(whole, r"[\x20\x09-\x0D]+", "")
     rows = docs.select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("chars"), F.unhex(F.sha2(norm, 256)).alias("digest"), (F.xxhash64(norm) + F.length(norm)).alias("check"))

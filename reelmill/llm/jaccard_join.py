@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import words
 from .components import components
 from .decontaminate import shingle_hashes
-from .shared import drop, materialize
+from .shared import drop, materialize, with_rows
 
 FREQUENT = 100_000  #: frequent shingles that are known to all tasks, at most
 OFTEN = 64  #: nodes with a shingle from which it counts as frequent
@@ -70,7 +70,7 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """Shingles of a set of n of which one must be in common, in any one order, with whatever links to it."""
     least = -(-num * n // den)  # size of the smallest partner
     overlap = -(-num * (n + least) // (num + den))
-    return np.maximum(n - overlap + 1, 0)
+    return np.where(n > 0, n - overlap + 1, 0)
 
 
 def _spans(at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -382,7 +382,7 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """row, doc_id, n_shingles, component_id, first_row (the row that stands for the component) for every row of docs."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = (docs if "__row" in docs.columns else with_rows(docs, "__row")).select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     found = materialize(rows.mapInArrow(_sets_task(k, num, den), "row long, doc_id long, n long, one long, two long, head array<long>"), "jaccard-sets")
     rows = rows.select("row", "text")
     same = ["n", "one", "two"]
@@ -406,6 +406,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with the row of the least id of each component; documents without words all stay."""
-    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-docs")
-    kept = jaccard_components(docs.select(F.col("__row"), key, text), k, num, den, text, "__row").filter("row = first_row").select(F.col("doc_id").alias("__row"))
+    docs = with_rows(docs, "__row")
+    kept = jaccard_components(docs, k, num, den, text, key).filter("row = first_row").select(F.col("row").alias("__row"))
     return docs.join(kept, "__row", "left_semi").drop("__row")

@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, with_rows
 
 
 class Rule(NamedTuple):
@@ -164,7 +164,7 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
 
 def secret_scan(docs: DataFrame, rules=RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_<kind> of the base kinds, base_sha256, spans for every row of docs."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = with_rows(docs, "__row").select(F.col("__row").alias("row"), F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     narrow = materialize(candidates(postings(rows, rules), rules), "secret-candidates")
     full = [r for r in rules if not trigram_query(r)]
     scanned = {r.kind: spans(F.col("text"), _tight(r)) for r in full}

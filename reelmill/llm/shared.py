@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,6 +51,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a number for each row that stays the same in every plan, however partitions are cut and whichever
+    executors are lost: a hash of the file and of the place in it. What is not a plain scan of files is written first.
+    (Numbers of a partition and a place in it change when Spark cuts a small scan anew for other cores.)"""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for m in (re.match(r"[\s:+|-]*'?(\w+)", line) for line in plan.splitlines()) if m}
+    if not nodes <= {"Project", "Filter", "Relation"} or "Relation" not in nodes or not df.inputFiles():
+        df = materialize(df, "rows")
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+    except AnalysisException:  # the scan's own columns are hidden behind a projection
+        return materialize(df, "rows").select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table made by materialize() which no later plan reads."""
     path = getattr(df, "_shared_path", None)

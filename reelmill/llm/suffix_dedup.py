@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import drop, materialize, release
+from .shared import drop, materialize, release, with_rows
 
 LENGTH = 400
 GRAM = 100
@@ -299,7 +299,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, removed array<struct<start,end>>, kept binary for every row of docs."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = with_rows(docs, "__row").select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     spans = repeats(rows.select("row", "text"), length)
     return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut_task(length), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 

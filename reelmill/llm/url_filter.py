@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, with_rows
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 ORDER = 4  #: characters in a counted gram: three of context and one
@@ -78,7 +78,7 @@ def ratios(seen: DataFrame, min_context: int = MIN_CONTEXT, alpha: float = ALPHA
 
 def url_filter(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, verdict, ratio (millionths a character) for every row of pages."""
-    base = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("page_id"), F.col(url).alias("__url"))
+    base = with_rows(pages, "__row").select(F.col("__row").alias("row"), F.col(key).alias("page_id"), F.col(url).alias("__url"))
     host, path = host_and_path(F.col("__url"))
     base = base.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
