@@ -29,7 +29,7 @@ from . import shared, words
 END = np.uint64(0xE4D0000000000001)  #: the end token's hash
 BEGIN = np.uint64(0xB0500000)  #: the code of the context before a text's first token
 FOLD_BYTES = 8 << 20  #: text whose counts are folded before they leave a task
-PART_ROWS = 2_000_000  #: bigram tokens in one part, about
+PART_ROWS = 1_000_000  #: bigram tokens in one part, about
 SHIFT = np.uint64(32)
 
 
@@ -275,7 +275,7 @@ class Scorer:
         codes = kinds >> SHIFT  # sorted as kinds is; equal codes do no harm
         after = self._spread("after", codes, (words.mix(codes) % np.uint64(lm.word_parts)).astype(np.int64), np.uint32)
         d1 = np.array([0.0, *lm.d1])
-        low = (np.maximum(after - d1[np.minimum(after, 3)], 0) / lm.continuations if lm.continuations else 0.0) + lm.gamma1 / (lm.vocabulary + 1)
+        low = np.maximum(after - d1[np.minimum(after, 3)], 0) / max(lm.continuations, 1) + lm.gamma1 / (lm.vocabulary + 1)
 
         pairs, which = np.unique(bigrams(token, at), return_inverse=True)
         seen = self._spread("pair", pairs, part_of(pairs, lm.hot, lm.parts), np.uint64)
