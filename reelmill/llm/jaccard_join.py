@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import words
 from .components import components
 from .decontaminate import shingle_hashes
-from .shared import drop, materialize, with_rows
+from .shared import drop, materialize, release, with_rows
 
 FREQUENT = 100_000  #: frequent shingles that are known to all tasks, at most
 OFTEN = 64  #: nodes with a shingle from which it counts as frequent
@@ -357,6 +357,8 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
         routes = routes.unionByName(to_pivots)
     routed = materialize(components(routes, "jaccard-routes").select(F.col("node").alias("row"), F.col("component").alias("block")), "jaccard-blocks")
     drop(prefixes)
+    del posted, routes
+    release(spark)
 
     sizes = routed.groupBy("block").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("row", F.lit(s)), "row"))["row"].alias(f"p{s}") for s in range(4)])
     chunks = F.ceil(F.col("size") / BLOCK).cast("long")
@@ -365,6 +367,7 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
     shared_pivots = sizes.filter(F.col("size") > BLOCK).select("block", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("row"))
     members = own.drop("chunks").unionByName(shared_pivots.withColumn("label", F.col("row")))
     links = materialize(_links(members, rows, k, num, den), "jaccard-links")
+    release(spark)
 
     wide = own.filter("chunks > 1")
     if not wide.take(1):
@@ -383,13 +386,16 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """row, doc_id, n_shingles, component_id, first_row (the row that stands for the component) for every row of docs."""
     rows = (docs if "__row" in docs.columns else with_rows(docs, "__row")).select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    found = materialize(rows.mapInArrow(_sets_task(k, num, den), "row long, doc_id long, n long, one long, two long, head array<long>"), "jaccard-sets")
+    wide = materialize(rows.mapInArrow(_sets_task(k, num, den), "row long, doc_id long, n long, one long, two long, head array<long>"), "jaccard-sets")
     rows = rows.select("row", "text")
     same = ["n", "one", "two"]
+    found = materialize(wide.drop("head"), "jaccard-rows")
     nodes = materialize(found.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")), "jaccard-nodes")
 
-    often = found.select("row", *same, F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("row", *same)).alias("at")).filter(F.col("c") > OFTEN).orderBy(F.desc("c"), "token").limit(FREQUENT)
+    often = wide.select("row", *same, F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("row", *same)).alias("at")).filter(F.col("c") > OFTEN).orderBy(F.desc("c"), "token").limit(FREQUENT)
     often = often.select("token", "at.n", "at.one", "at.two").join(nodes.select(*same, "node"), same).select("token", "node").toPandas()  # at most FREQUENT rows
+    drop(wide)
+    release(docs.sparkSession)
     order = np.argsort(often["token"].to_numpy(np.int64).view(np.uint64), kind="stable")
     frequent, pivots = often["token"].to_numpy(np.int64).view(np.uint64)[order], often["node"].to_numpy(np.int64)[order]
 
