@@ -14,7 +14,7 @@ link when the overlap of their sets is at least ``num/den`` of the union; the re
    root: a pair of nodes is dropped when its size ranges don't allow a link, or when the bits that both have, plus the
    tokens that share a bit, are fewer than the overlap that its least sizes need. Leaves left are verified on the sets.
    Pairs that are connected already are skipped, so a group of near copies costs little more than its size.
-4. A block over ``BLOCK`` nodes is cut into chunks by hash. Chunks share a few pivots; after they are joined and their
+4. A block over ``BLOCK`` nodes (or ``BLOCK_SHINGLES``) is cut into chunks by hash. Chunks share a few pivots; after they are joined and their
    links resolved, the nodes outside the block's largest component are joined with all its chunks. So no link between
    two nodes is lost, and no task holds more than two chunks.
 
@@ -41,6 +41,7 @@ FREQUENT = 100_000  #: frequent shingles that are known to all tasks, at most
 OFTEN = 64  #: nodes with a shingle from which it counts as frequent
 PAIRED = 256  #: nodes of an ordinary shingle that are paired; beyond that they meet at a pivot
 BLOCK = 1000  #: nodes in one tree
+BLOCK_SHINGLES = 2_000_000  #: and shingles of all its nodes, about
 FANOUT = 8
 LOCAL_EDGES = 200_000
 
@@ -342,8 +343,8 @@ def _links(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 
 def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """a, b: verified links that connect all nodes which link. rows: row, text of all documents; nodes: row of each node;
-    frequent: sorted; pivots: a node with each."""
+    """a, b: verified links that connect all nodes which link. rows: row, text of all documents; nodes: row and n of each
+    node; frequent: sorted; pivots: a node with each."""
     spark = rows.sparkSession
     prefixes = materialize(rows.mapInArrow(_prefix_task(k, num, den, frequent), "row long, n long, prefix array<long>").join(nodes.select("row"), "row", "left_semi"), "jaccard-prefixes")
     posted = prefixes.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -360,11 +361,11 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
     del posted, routes
     release(spark)
 
-    sizes = routed.groupBy("block").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("row", F.lit(s)), "row"))["row"].alias(f"p{s}") for s in range(4)])
-    chunks = F.ceil(F.col("size") / BLOCK).cast("long")
+    sizes = routed.join(nodes, "row").groupBy("block").agg(F.count("*").alias("size"), F.sum("n").alias("total"), *[F.min(F.struct(F.xxhash64("row", F.lit(s)), "row"))["row"].alias(f"p{s}") for s in range(4)])
+    chunks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
     own = routed.join(sizes, "block").select("block", F.pmod(F.xxhash64("row"), chunks).alias("chunk"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), "row", F.col("row").alias("label"), chunks.alias("chunks"))
     own = materialize(own, "jaccard-chunks")
-    shared_pivots = sizes.filter(F.col("size") > BLOCK).select("block", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("row"))
+    shared_pivots = sizes.filter(chunks > 1).select("block", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("row"))
     members = own.drop("chunks").unionByName(shared_pivots.withColumn("label", F.col("row")))
     links = materialize(_links(members, rows, k, num, den), "jaccard-links")
     release(spark)
@@ -399,7 +400,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     order = np.argsort(often["token"].to_numpy(np.int64).view(np.uint64), kind="stable")
     frequent, pivots = often["token"].to_numpy(np.int64).view(np.uint64)[order], often["node"].to_numpy(np.int64)[order]
 
-    links = node_links(rows, nodes.select(F.col("node").alias("row")), frequent, pivots, k, num, den)
+    links = node_links(rows, nodes.select(F.col("node").alias("row"), "n"), frequent, pivots, k, num, den)
     linked = components(links, "jaccard-last")
     named = nodes.join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(*same, "first", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "jaccard-named")
