@@ -7,10 +7,12 @@ import os
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,9 +76,12 @@ def drop(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, rather than at its next
-    collection, which on a large heap may be far off."""
-    gc.collect()
-    spark._jvm.System.gc()
+    collection, which on a large heap may be far off. What the first collection finds lets go of more for the second."""
+    pa.default_memory_pool().release_unused()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def remove(spark: SparkSession, path: str) -> None:
