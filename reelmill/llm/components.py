@@ -13,12 +13,13 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 50
     with partial aggregates and joins on the node; a hub's rows are split by AQE's skew join. Rounds end when the edges
     no longer change, after about the logarithm of the longest path."""
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-edges")
-    mark = None
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    mark = state(now)  # stars from the start are done after one round
     for _ in range(most_rounds):
         # large star: every larger neighbour of a node meets the least of its neighbourhood
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: every smaller neighbour of a node, and the node, meet the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
@@ -26,7 +27,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 50
         after = materialize(small, f"{name}-edges")
         drop(now)
         now = after
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = state(now)
         if seen == mark:
             break
         mark = seen

@@ -4,9 +4,10 @@ A document's set holds its distinct shingles of ``k`` words (the whole sequence,
 link when the overlap of their sets is at least ``num/den`` of the union; the result is each document's component.
 
 1. Documents with one set become one node. Equal copies go no further.
-2. Routing is exact prefix filtering. Shingles are ordered: those not known as frequent first, by hash. Two sets that
-   link share a shingle within a short prefix of each, at places whose rest still allows the overlap. The list of
-   frequent shingles (at most ``FREQUENT`` of them) only steers the order. Nodes that share an ordinary prefix shingle
+2. Routing is exact prefix filtering. Shingles are ordered: first those not known as common, then the common, then the
+   frequent, each by hash. Two sets that link share a shingle within a short prefix of each, at places whose rest still
+   allows the overlap; that holds in any one order, so the list of frequent shingles (at most ``FREQUENT`` of them) and
+   the bitmap of common ones may miss some or hold others: they only save work. Nodes that share an ordinary prefix shingle
    at allowed places and sizes are routed together; a frequent one routes its nodes to one pivot each, where they are
    read, so no task gathers them.
 3. Components of the routes are blocks. A block's texts meet in one task, which builds a signature tree: leaves hold
@@ -28,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +40,15 @@ from .decontaminate import shingle_hashes
 from .shared import drop, materialize, release, with_rows
 
 FREQUENT = 100_000  #: frequent shingles that are known to all tasks, at most
-OFTEN = 64  #: nodes with a shingle from which it counts as frequent
+OFTEN = 64  #: rows with a shingle from which it counts as frequent
+COMMON = 4  #: rows with a shingle from which it counts as common
+COMMON_BITS = 24  #: common shingles are known by as many bits of their hash, in a bitmap of two megabytes
+COMMON_BUCKETS = 1 << 22  #: bits set in it at most; beyond that, COMMON is doubled
 PAIRED = 256  #: nodes of an ordinary shingle that are paired; beyond that they meet at a pivot
 BLOCK = 1000  #: nodes in one tree
 BLOCK_SHINGLES = 2_000_000  #: and shingles of all its nodes, about
 FANOUT = 8
+COMPARED = 1 << 20  #: 64-bit words of bitmaps compared at once
 LOCAL_EDGES = 200_000
 
 
@@ -100,14 +106,17 @@ def _sets_task(k: int, num: int, den: int):
     return task
 
 
-def _prefix_task(k: int, num: int, den: int, frequent: np.ndarray):
+def _prefix_task(k: int, num: int, den: int, frequent: np.ndarray, common: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch.column("text")):
                 flat, at = sets(block, k)
                 n = np.diff(at)
                 row = np.repeat(np.arange(block.rows), n)
-                often = np.isin(flat, frequent) if len(frequent) else np.zeros(len(flat), bool)
+                bucket = flat >> np.uint64(64 - COMMON_BITS)
+                often = common[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1
+                if len(frequent):
+                    often[np.isin(flat, frequent)] = 2
                 flat = flat[np.lexsort((flat, often, row))]
                 size = prefix_length(n, num, den)
                 part = batch.slice(block.first, block.rows)
@@ -138,6 +147,10 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
             self.edges.append((a, b))
 
+    def stars(self) -> list[tuple[int, int]]:
+        """Every node with the least of its tree: as many edges as there were, and no paths left to follow."""
+        return [(x, self.find(x)) for x in list(self.up) if self.find(x) != x]
+
 
 def _edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*edges) if edges else ((), ())
@@ -198,10 +211,10 @@ def _route_task(num: int, den: int):
             work(*[x[:last] for x in held])
             held = [x[last:] for x in held]
             if len(forest.edges) > LOCAL_EDGES:
-                yield _edges_batch(forest.edges)
+                yield _edges_batch(forest.stars())
                 forest = Forest()
         work(*held)
-        yield _edges_batch(forest.edges)
+        yield _edges_batch(forest.stars())
 
     return task
 
@@ -230,8 +243,9 @@ def _allowed(x, y, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarr
     """Whether nodes i of level x and j of level y may hold sets that link."""
     ok = (x[2][i] * den >= num * y[1][j]) & (y[2][j] * den >= num * x[1][i])
     at = np.flatnonzero(ok)
-    for s in range(0, len(at), 20_000):
-        p = at[s : s + 20_000]
+    step = max(1, COMPARED // x[0].shape[1])
+    for s in range(0, len(at), step):
+        p = at[s : s + step]
         both = np.bitwise_count(x[0][i[p]] & y[0][j[p]]).sum(1)
         most = np.minimum(both + np.minimum(x[3][i[p]], y[3][j[p]]), np.minimum(x[2][i[p]], y[2][j[p]]))
         ok[p] = most * (num + den) >= num * (x[1][i[p]] + y[1][j[p]])
@@ -314,7 +328,10 @@ def _tree_task(k: int, num: int, den: int):
         label = np.unique([x[2] for x in rows], return_inverse=True)[1]
         place = own + other
         edges = join_block([tokens[i] for i in own], [tokens[i] for i in other] if other else None, label[place], num, den)
-        return [(rows[place[x]][1], rows[place[y]][1]) for x, y in edges]
+        forest = Forest()
+        for x, y in edges:
+            forest.join(rows[place[x]][1], rows[place[y]][1])
+        return forest.stars()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
@@ -342,14 +359,14 @@ def _links(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return whole.select(*keys, "side", "row", "label", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_task(k, num, den), "a long, b long")
 
 
-def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots: np.ndarray, k: int, num: int, den: int) -> DataFrame:
+def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots: np.ndarray, common: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """a, b: verified links that connect all nodes which link. rows: row, text of all documents; nodes: row and n of each
-    node; frequent: sorted; pivots: a node with each."""
+    node; frequent: sorted; pivots: a node with each; common: the bitmap of common shingles."""
     spark = rows.sparkSession
-    prefixes = materialize(rows.mapInArrow(_prefix_task(k, num, den, frequent), "row long, n long, prefix array<long>").join(nodes.select("row"), "row", "left_semi"), "jaccard-prefixes")
+    prefixes = materialize(rows.mapInArrow(_prefix_task(k, num, den, frequent, common), "row long, n long, prefix array<long>").join(nodes.select("row"), "row", "left_semi"), "jaccard-prefixes")
     posted = prefixes.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
     if len(frequent):
-        known = spark.createDataFrame([(int(t), int(p)) for t, p in zip(frequent.view(np.int64), pivots)], "token long, pivot long")
+        known = spark.createDataFrame(pd.DataFrame({"token": frequent.view(np.int64), "pivot": pivots}))
         known = F.broadcast(known)  # at most FREQUENT rows
         to_pivots = posted.join(known, "token").select(F.col("row").alias("a"), F.col("pivot").alias("b")).filter("a <> b")
         posted = posted.join(known, "token", "left_anti")
@@ -384,6 +401,20 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
     return links.unionByName(materialize(_links(left.unionByName(right), rows, k, num, den), "jaccard-links"))
 
 
+def common_bitmap(counted: DataFrame) -> np.ndarray:
+    """A bitmap over the upper bits of the hashes of common shingles. counted: token, c."""
+    bucket = F.shiftrightunsigned("token", 64 - COMMON_BITS).cast("int").alias("b")
+    least = COMMON
+    while True:
+        buckets = counted.filter(F.col("c") >= least).select(bucket).distinct()
+        if least >= 1 << 40 or buckets.count() <= COMMON_BUCKETS:
+            break
+        least *= 2
+    out = np.zeros(1 << COMMON_BITS, bool)
+    out[buckets.toPandas()["b"].to_numpy(np.int64)] = True  # COMMON_BUCKETS at most
+    return np.packbits(out, bitorder="little")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """row, doc_id, n_shingles, component_id, first_row (the row that stands for the component) for every row of docs."""
     rows = (docs if "__row" in docs.columns else with_rows(docs, "__row")).select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
@@ -393,14 +424,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     found = materialize(wide.drop("head"), "jaccard-rows")
     nodes = materialize(found.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")), "jaccard-nodes")
 
-    often = wide.select("row", *same, F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("row", *same)).alias("at")).filter(F.col("c") > OFTEN).orderBy(F.desc("c"), "token").limit(FREQUENT)
+    counted = wide.select("row", *same, F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("row", *same)).alias("at"))
+    counted = materialize(counted.filter(F.col("c") >= COMMON), "jaccard-counts")
+    common = common_bitmap(counted)
+    often = counted.filter(F.col("c") > OFTEN).orderBy(F.desc("c"), "token").limit(FREQUENT)
     often = often.select("token", "at.n", "at.one", "at.two").join(nodes.select(*same, "node"), same).select("token", "node").toPandas()  # at most FREQUENT rows
     drop(wide)
+    drop(counted)
     release(docs.sparkSession)
     order = np.argsort(often["token"].to_numpy(np.int64).view(np.uint64), kind="stable")
     frequent, pivots = often["token"].to_numpy(np.int64).view(np.uint64)[order], often["node"].to_numpy(np.int64)[order]
 
-    links = node_links(rows, nodes.select(F.col("node").alias("row"), "n"), frequent, pivots, k, num, den)
+    links = node_links(rows, nodes.select(F.col("node").alias("row"), "n"), frequent, pivots, common, k, num, den)
     linked = components(links, "jaccard-last")
     named = nodes.join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(*same, "first", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "jaccard-named")
