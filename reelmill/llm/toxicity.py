@@ -1,7 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input joins an embedding of the word with the mean embedding of its character 3- and 4-grams (both hashed), so
-unseen words are read by their letters. Two recurrent networks read a window of words in either direction; attention
+unseen words are read by their letters. A word of over 40 bytes is cut into consecutive pieces, which are words of their
+own, so that windows pass over the whole of a text without spaces: between signs and letters, and what is then still over
+40 bytes between characters into pieces of word size (12 bytes at most). Two recurrent networks read a window of words in either direction; attention
 weighs their states; a linear layer gives the window's logit. Windows overlap, and all windows of every whole text are
 scored: the text's logit is that of its highest window, scaled to a probability on a part of the sample kept for it.
 
@@ -26,8 +28,10 @@ from . import learning, words
 from .shared import release, with_rows
 
 WINDOW, STEP = 64, 48
+LONGEST, PIECE = 40, 12  #: bytes of a word that is read whole, and of a piece of a longer one, at most
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 13
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
+SIGN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 ROUNDS = 5
 BATCH = 256  #: windows in a training step
 PART = 2048  #: windows scored at once
@@ -44,12 +48,51 @@ class Reader(NamedTuple):
     row: np.ndarray  #: of each window
 
 
+def signs(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is of a sign: ASCII without letters and digits, U+0080-BF, U+2000-207F, U+3000-303F."""
+    out = SIGN[data]
+    two = data == 0xC2
+    out |= two
+    out[1:] |= two[:-1]
+    lead, second = data[:-1], data[1:]
+    three = (lead == 0xE2) & ((second == 0x80) | (second == 0x81)) | (lead == 0xE3) & (second == 0x80)
+    out[:-1] |= three
+    out[1:] |= three
+    out[2:] |= three[:-1]
+    return out
+
+
+def pieces(block: words.Block, found: words.Words) -> words.Words:
+    """The words, those of over LONGEST bytes cut where signs and letters meet, and runs of over LONGEST bytes between
+    characters into pieces of at most PIECE bytes."""
+    long = found.ends - found.starts > LONGEST
+    if not long.any():
+        return found
+    sign = signs(block.data)
+    cut = np.flatnonzero(sign[1:] != sign[:-1]) + 1
+    word = np.searchsorted(found.starts, cut) - 1
+    cut = cut[(word >= 0) & long[word] & (cut < found.ends[word])]
+    starts, ends = np.sort(np.append(found.starts, cut)), np.sort(np.append(found.ends, cut))
+    step = PIECE - 3  # a cut goes back over at most 3 bytes of a character
+    size = ends - starts
+    parts = np.where(size > LONGEST, -(-size // step), 1)
+    of = np.repeat(np.arange(len(size)), parts)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts, ends = starts[of] + step * place, ends[of]
+    for _ in range(3):
+        starts -= (place > 0) & (block.data[starts] & 0xC0 == 0x80)
+    inner = np.flatnonzero(place[1:])
+    ends[inner] = starts[inner + 1]
+    row = np.searchsorted(block.offsets, starts, "right") - 1
+    return words.Words(starts, ends, row, np.bincount(row, minlength=block.rows))
+
+
 def read(block: words.Block) -> Reader:
-    found = words.split(block)
+    found = pieces(block, words.split(block))
     h = words.hashes(block, found)
     kinds, first, number = np.unique(h, return_index=True, return_inverse=True)
     starts, ends = found.starts[first], found.ends[first]
-    size = np.minimum(ends - starts, 40)
+    size = ends - starts
     # the letters of distinct words with a mark before and after, one word after another
     total = np.cumsum(size + 2)
     begin = total - size - 2

@@ -102,3 +102,36 @@ def test_windows_cover_every_word():
     for n in (0, 1, 48, 63, 64, 65, 112, 113, 500):
         reader = toxicity.read(next(W.blocks(pa.array([" ".join(f"w{i}" for i in range(n)) or "x"]))))
         assert set(reader.windows[reader.windows >= 0].tolist()) == set(range(max(n, 1)))
+
+
+def test_long_words_are_read_to_their_end():
+    texts = ["漢字" * 300, "a" * 39 + "é🎉" * 20 + " b", "x" * 40, "y" * 41, None, "", "🎉" * 11 + " " + "z" * 40, "one-two_three" * 4 + "\u00a0end。", "-" * 90]
+    block = next(W.blocks(pa.array(texts)))
+    found = toxicity.pieces(block, W.split(block))
+    raw = block.data.tobytes()
+    got = [[] for _ in texts]
+    for start, end, row in zip(found.starts, found.ends, found.row):
+        assert 0 < end - start <= 40
+        got[row].append(raw[start:end].decode())
+    assert ["".join(x) for x in got] == [(t or "").replace(" ", "") for t in texts]
+    assert found.per_row.tolist() == [len(x) for x in got] and [len(got[k]) for k in (2, 3)] == [1, 5]
+    assert got[7][:6] == ["one", "-", "two", "_", "threeone", "-"] and got[7][-3:] == ["\u00a0", "end", "。"]
+    a, b = (toxicity.read(next(W.blocks(pa.array(["漢字" * 300 + end])))) for end in ("罵", "倒"))
+    assert set(a.grams.tolist()) != set(b.grams.tolist())
+
+
+@pytest.mark.parametrize("joint, passage", [("-", 0), ("\u00a0", 0), ("", 8)])
+def test_toxic_texts_without_spaces(joint, passage):
+    """Insults after the first 50 bytes of texts without spaces; without any joint, as a passage."""
+    rows, labels = made(600, 3)
+    y, rng, texts = np.array([t for _, _, t in labels], np.float32), np.random.default_rng(1), []
+    for (_, text), toxic in zip(rows, y):
+        w = text.split(" ")
+        if passage:
+            w = [x for x in w if "z" not in x]
+            at = rng.integers(len(w) + 1)
+            w[at:at] = rng.choice(["zidiotz", "zclownz", "zscumz"], passage if toxic else 0).tolist()
+        texts.append(joint.join(["abcdefghij"] * 5 + w))
+    model = toxicity.fit(texts[:450], y[:450])
+    score = np.concatenate([model.block(block) for block in W.blocks(pa.array(texts[450:]))])
+    assert np.mean((score >= 0.3) == y[450:]) > 0.93
