@@ -6,7 +6,8 @@ that a context with a large share of all tokens ("hot", found in the first pass)
 task folds its own counts before the shuffle. Each part becomes sorted arrays in the shared folder; continuation counts
 go through a second, smaller shuffle by word. Workers map the arrays and look up sorted queries; nothing is sent whole.
 
-Words are counted by 64-bit hashes, bigrams by pairs of their upper 32 bits. The order is two: a trigram model over all
+Words are counted by 64-bit hashes. A counted word's code is its place in the saved word arrays, one after another, so
+known words never share one; bigrams are pairs of 32-bit codes, and unseen words have a code without counts. The order is two: a trigram model over all
 texts would shuffle and store more than four times the input.
 
 Defined results: a null text is an empty one and has the end token alone; repeated rows count and are scored each; with
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import shared, words
 
 END = np.uint64(0xE4D0000000000001)  #: the end token's hash
-BEGIN = np.uint64(0xB0500000)  #: the code of the context before a text's first token
+BEGIN, UNSEEN = np.uint64(0), np.uint64(0xFFFFFFFF)  #: codes of the context before a text's first token and of unseen words
 FOLD_BYTES = 8 << 20  #: text whose counts are folded before they leave a task
 PART_ROWS = 1_000_000  #: bigram tokens in one part, about
 SHIFT = np.uint64(32)
@@ -39,6 +40,7 @@ class Lm(NamedTuple):
     parts: int
     train_tokens: int
     vocabulary: int
+    word_first: np.ndarray  #: the code of each word part's first word
     hot: np.ndarray  #: sorted codes of hot contexts
     hot_stats: np.ndarray  #: their total, n1, n2, n3+
     d2: tuple  #: discounts of bigram counts
@@ -58,8 +60,7 @@ def tokens(block: words.Block) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends])
 
 
-def bigrams(token: np.ndarray, at: np.ndarray) -> np.ndarray:
-    code = token >> SHIFT
+def bigrams(code: np.ndarray, at: np.ndarray) -> np.ndarray:
     before = np.empty_like(code)
     before[1:] = code[:-1]
     before[at[:-1]] = BEGIN
@@ -79,9 +80,10 @@ def _fold(chunks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(chunks), return_counts=True)
 
 
-def _count_task(kind: str, parts: int, hot: np.ndarray | None = None):
+def _count_task(kind: str, parts: int, hot: np.ndarray | None = None, folder: str = "", word_first: np.ndarray | None = None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        known = WordCodes(folder, word_first) if kind == "pairs" else None
 
         def out() -> pa.RecordBatch:
             keys, n = _fold(held)
@@ -91,7 +93,10 @@ def _count_task(kind: str, parts: int, hot: np.ndarray | None = None):
         for batch in batches:
             for block in words.blocks(batch.column("text")):
                 token, at = tokens(block)
-                held.append(token if kind == "words" else bigrams(token, at))
+                if known:
+                    kinds, of = np.unique(token, return_inverse=True)
+                    token = bigrams(known.get(kinds)[1][of], at)
+                held.append(token)
                 size += len(block.data) + 8 * block.rows
                 if size >= FOLD_BYTES:
                     yield out()
@@ -134,13 +139,42 @@ class Counts:
 
     def get(self, wanted: np.ndarray) -> np.ndarray:
         """Counts of sorted keys, 0 for those that are not there."""
+        return self.find(wanted)[0]
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of sorted keys, 0 for those that are not there, and the places of those that are."""
         if not len(self.keys):
-            return np.zeros(len(wanted), np.int64)
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         n = np.where(self.keys[at] == wanted, self.n[at], 0).astype(np.int64)
         over = np.flatnonzero(n == 255)
         n[over] = self.big[1][np.searchsorted(self.big[0], at[over])]
-        return n
+        return n, at
+
+
+class WordCodes:
+    """In a worker: counts and codes of words from the saved word arrays, opened when a part is first asked for."""
+
+    def __init__(self, folder: str, word_first: np.ndarray):
+        self.folder, self.first, self.open = folder, word_first, {}
+
+    def get(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and codes of sorted distinct hashes; 0 and UNSEEN of words that were not counted."""
+        known, code = np.zeros(len(kinds), np.int64), np.full(len(kinds), UNSEEN, np.uint64)
+        part = (kinds % np.uint64(len(self.first))).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+            p = int(part[run[0]])
+            if p not in self.open:
+                try:
+                    self.open[p] = Counts(self.folder, f"word-{p}", np.uint64)
+                except FileNotFoundError:
+                    self.open[p] = None
+            if self.open[p] is not None:
+                n, at = self.open[p].find(kinds[run])
+                known[run] = n
+                code[run[n > 0]] = (self.first[p] + at[n > 0]).astype(np.uint64)
+        return known, code
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -163,14 +197,20 @@ def train(docs: DataFrame, text: str = "text") -> Lm:
         keys, n = _sums(_column(table, "k").view(np.uint64), _column(table, "n"))
         _save(folder, f"word-{part}", keys, n)
         top = np.argsort(-n, kind="stable")[:64]
-        return pa.table({"tokens": [int(n.sum())], "kinds": [len(n)], "top": [keys[top].view(np.int64).tolist()], "top_n": [n[top].tolist()]}, schema=pa.schema([("tokens", pa.int64()), ("kinds", pa.int64()), ("top", pa.list_(pa.int64())), ("top_n", pa.list_(pa.int64()))]))
+        return pa.table({"part": [part], "tokens": [int(n.sum())], "kinds": [len(n)], "top": [top.tolist()], "top_n": [n[top].tolist()]}, schema=pa.schema([("part", pa.int32()), ("tokens", pa.int64()), ("kinds", pa.int64()), ("top", pa.list_(pa.int64())), ("top_n", pa.list_(pa.int64()))]))
 
     counted = rows.mapInArrow(_count_task("words", word_parts), "part int, k long, n long")
-    stats = counted.groupBy("part").applyInArrow(save_words, "tokens long, kinds long, top array<long>, top_n array<long>").collect()  # a row for each part
+    stats = counted.groupBy("part").applyInArrow(save_words, "part int, tokens long, kinds long, top array<long>, top_n array<long>").collect()  # a row for each part
     total, vocabulary = sum(r.tokens for r in stats), sum(r.kinds for r in stats)
+    if vocabulary >= UNSEEN:
+        raise ValueError(f"{vocabulary} distinct words do not fit 32-bit codes")
     parts = max(16, total // PART_ROWS)
-    frequent = [k for r in stats for k, n in zip(r.top, r.top_n) if n > total / (8 * parts)]
-    hot = np.unique(np.append(np.asarray(frequent, np.int64).view(np.uint64) >> SHIFT, BEGIN))
+    kinds = np.zeros(word_parts, np.int64)
+    for r in stats:
+        kinds[r.part] = r.kinds
+    word_first = np.cumsum(kinds) - kinds + 1
+    frequent = [int(word_first[r.part]) + k for r in stats for k, n in zip(r.top, r.top_n) if n > total / (8 * parts)]
+    hot = np.unique(np.append(np.asarray(frequent, np.uint64), BEGIN))
 
     def save_bigrams(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -194,7 +234,7 @@ def train(docs: DataFrame, text: str = "text") -> Lm:
         _save(folder, f"after-{part}", keys.astype(np.uint32), n)
         return pa.table({"n": [[int(n.sum()), *_counts_of_counts(n), int((n > 2).sum())]]}, schema=pa.schema([("n", pa.list_(pa.int64()))]))
 
-    pairs = rows.mapInArrow(_count_task("pairs", parts, hot), "part int, k long, n long").groupBy("part").applyInArrow(save_bigrams, "part int, k long, n long")
+    pairs = rows.mapInArrow(_count_task("pairs", parts, hot, folder, word_first), "part int, k long, n long").groupBy("part").applyInArrow(save_bigrams, "part int, k long, n long")
     after = [r.n for r in pairs.groupBy("part").applyInArrow(save_continuations, "n array<long>").collect()]  # a row for each part
 
     # small files: four numbers, and the hot contexts' sums, of each part
@@ -206,7 +246,7 @@ def train(docs: DataFrame, text: str = "text") -> Lm:
     continuations, n1, n2, n3, n4, n3up = np.sum(after or [[0] * 6], axis=0).tolist()
     d1 = discounts(n1, n2, n3, n4)
     gamma1 = (d1[0] * n1 + d1[1] * n2 + d1[2] * n3up) / continuations if continuations else 1.0
-    return Lm(folder, word_parts, parts, total, vocabulary, hot, hot_stats, discounts(*of_pairs.tolist()), d1, gamma1, continuations)
+    return Lm(folder, word_parts, parts, total, vocabulary, word_first, hot, hot_stats, discounts(*of_pairs.tolist()), d1, gamma1, continuations)
 
 
 def _exists(spark, path: str) -> bool:
@@ -218,7 +258,7 @@ class Scorer:
     """In a worker: the mapped arrays, opened when a part is first asked for."""
 
     def __init__(self, lm: Lm):
-        self.lm, self.open = lm, {}
+        self.lm, self.open, self.words = lm, {}, WordCodes(lm.folder, lm.word_first)
 
     def _part(self, kind: str, part: int, dtype):
         if (kind, part) not in self.open:
@@ -269,15 +309,15 @@ class Scorer:
         token, at = tokens(block)
         row = np.repeat(np.arange(block.rows), np.diff(at))
         kinds, of = np.unique(token, return_inverse=True)
-        known = self._spread("word", kinds, (kinds % np.uint64(lm.word_parts)).astype(np.int64), np.uint64)
+        known, codes = self.words.get(kinds)
         base = np.log10((known + 0.1) / (lm.train_tokens + 0.1 * (lm.vocabulary + 1)))
 
-        codes = kinds >> SHIFT  # sorted as kinds is; equal codes do no harm
-        after = self._spread("after", codes, (words.mix(codes) % np.uint64(lm.word_parts)).astype(np.int64), np.uint32)
+        sorted_codes, of_code = np.unique(codes, return_inverse=True)  # unseen words share one
+        after = self._spread("after", sorted_codes, (words.mix(sorted_codes) % np.uint64(lm.word_parts)).astype(np.int64), np.uint32)[of_code]
         d1 = np.array([0.0, *lm.d1])
         low = np.maximum(after - d1[np.minimum(after, 3)], 0) / max(lm.continuations, 1) + lm.gamma1 / (lm.vocabulary + 1)
 
-        pairs, which = np.unique(bigrams(token, at), return_inverse=True)
+        pairs, which = np.unique(bigrams(codes[of], at), return_inverse=True)
         seen = self._spread("pair", pairs, part_of(pairs, lm.hot, lm.parts), np.uint64)
         contexts, of_context = np.unique(pairs >> SHIFT, return_inverse=True)
         stats = self._contexts(contexts)

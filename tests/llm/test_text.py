@@ -5,9 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reelmill.llm import decontaminate, language_model, pieces, secrets, url_filter
+from reelmill.llm import words as W
 
 from .common import frame, lower, sample, words
 
@@ -138,6 +140,22 @@ def test_language_model(spark, monkeypatch, part_rows):
         assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][2:4], rel=1e-9)
 
 
+def test_words_that_share_half_a_hash(spark):
+    """Known words, and a known and an unseen one, whose hashes agree in the upper 32 bits."""
+    some = [f"w{i}" for i in range(300_000)]
+    block = next(W.blocks(pa.array([" ".join(some)]), 1 << 30))
+    half = W.hashes(block, W.split(block)) >> np.uint64(32)
+    order = np.argsort(half, kind="stable")
+    same = np.flatnonzero(half[order][1:] == half[order][:-1])
+    (a, b), (c, d) = [(some[order[k]], some[order[k + 1]]) for k in same[:2]]
+    lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    known = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:3]
+    rows = [(known[0], f"{a} x {a} y {a} x {c} z"), (known[1], f"{b} q r {b} {c} x {c}"), (known[2], "x y z"), (lone, f"{d} x {a} q {d} {b} x")]
+    want = brute_lm(rows)
+    for r in language_model.lm_scores(frame(spark, rows)).collect():
+        assert (r.n_known, r.base_score, r.score) == pytest.approx((want[r.doc_id][1], *want[r.doc_id][2:4]), rel=1e-9)
+
+
 def test_language_model_without_rows(spark):
     assert language_model.lm_scores(frame(spark, [])).count() == 0
     lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
