@@ -1,14 +1,15 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped sorted hash arrays.
 
 Tokens are lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` and one end token a text. Counting takes two passes over the
-training texts. The first counts words; the second counts bigrams, whose parts are dealt out by context word, except
-that a context with a large share of all tokens ("hot", found in the first pass) is dealt out by both words. Every map
-task folds its own counts before the shuffle. Each part becomes sorted arrays in the shared folder; continuation counts
-go through a second, smaller shuffle by word. Workers map the arrays and look up sorted queries; nothing is sent whole.
+training texts, after one that sums their bytes, from which the number of word parts follows. The first counts words;
+the second counts bigrams, whose parts are dealt out by context word, except that a context with a large share of all
+tokens ("hot", found in the first pass) is dealt out by both words. Every map task folds its own counts before the
+shuffle. Each part becomes sorted arrays in the shared folder; continuation counts go through a second, smaller shuffle
+by word. Workers map the arrays and look up sorted queries; nothing is sent whole.
 
 Words are counted by 64-bit hashes. A counted word's code is its place in the saved word arrays, one after another, so
-known words never share one; bigrams are pairs of 32-bit codes, and unseen words have a code without counts. The order is two: a trigram model over all
-texts would shuffle and store more than four times the input.
+known words never share one; bigrams are pairs of 32-bit codes, and unseen words have a code without counts. The order
+is two: a trigram model over all texts would shuffle and store more than four times the input.
 
 Defined results: a null text is an empty one and has the end token alone; repeated rows count and are scored each; with
 no training text every probability is uniform over one unknown word; an empty table gives an empty result; a null id
@@ -30,6 +31,7 @@ from . import shared, words
 END = np.uint64(0xE4D0000000000001)  #: the end token's hash
 BEGIN, UNSEEN = np.uint64(0), np.uint64(0xFFFFFFFF)  #: codes of the context before a text's first token and of unseen words
 FOLD_BYTES = 8 << 20  #: text whose counts are folded before they leave a task
+WORD_PART_BYTES = 32 << 20  #: training text for each part of the words, about: so many folds' distinct words at most
 PART_ROWS = 1_000_000  #: bigram tokens in one part, about
 SHIFT = np.uint64(32)
 
@@ -190,7 +192,9 @@ def train(docs: DataFrame, text: str = "text") -> Lm:
     spark = docs.sparkSession
     folder = shared.new_path(spark, "lm")
     rows = docs.select(F.col(text).alias("text"))
-    word_parts = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a text's end token is counted as 8 bytes, as in the folds
+    size = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(8)), F.lit(0)).alias("n")).first().n
+    word_parts = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // WORD_PART_BYTES))
 
     def save_words(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()

@@ -156,6 +156,15 @@ def test_words_that_share_half_a_hash(spark):
         assert (r.n_known, r.base_score, r.score) == pytest.approx((want[r.doc_id][1], *want[r.doc_id][2:4]), rel=1e-9)
 
 
+def test_word_parts_grow_with_the_input(spark, monkeypatch):
+    rows = [(i, t) for i, t in sample(4, 80) if zlib.crc32(str(i).encode()) % 10]
+    size = sum(len((t or "").encode()) + 8 for _, t in rows)
+    monkeypatch.setattr(language_model, "WORD_PART_BYTES", size // 300)
+    assert 300 <= language_model.train(frame(spark, rows)).word_parts <= 302
+    want, got = brute_lm(rows), language_model.lm_scores(frame(spark, rows)).collect()
+    assert [(r.base_score, r.score) for r in got] == [pytest.approx(want[r.doc_id][2:4], rel=1e-9) for r in got]
+
+
 def test_language_model_without_rows(spark):
     assert language_model.lm_scores(frame(spark, [])).count() == 0
     lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
