@@ -2,15 +2,18 @@
 
 The model's protobuf is read and its parts are rebuilt: the normaliser (character map, extra white space, dummy prefix),
 the white-space marker, the pieces with their scores (a unigram model as such, a BPE model as merges ordered by score)
-and byte fallback. Batches are encoded by several threads. Every text is also encoded by the sentencepiece library; the
-column ``parity`` says whether both agree, and where they don't, the sentencepiece ids are the result.
+and byte fallback. Batches are encoded by several threads. The ids are the tokenizers library's; the sentencepiece
+library encodes the same, and the column ``parity`` says whether both agree on all of a text.
 
 The rebuilt model works on chunks that begin at a marker: no piece holds a marker after another character (checked when
-the model is read), so no merge and no best path crosses such a place, and words that recur come from the cache.
-
-Defined results: a null or empty text has no ids and decodes to an empty text; control pieces written out in a text are
-ordinary characters; repeated rows are encoded each; an empty table gives an empty result; columns named token_ids,
-parity or decoded are replaced, other columns are carried.
+the model is read), so no merge and no best path crosses such a place. Each distinct chunk is encoded, compared and
+decoded once and then kept by its worker.
+
+Defined results: a null or empty text has no ids and decodes to an empty text; a very long text is worked on whole, as a
+block of its own; control pieces written out in a text are ordinary characters; a marker written out in a text decodes
+to a space, so that text has no round trip; repeated rows are encoded each, and no result depends on an order, so there
+are no ties; an empty table gives an empty result; columns named token_ids, parity or decoded are replaced, other columns
+are carried.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import os
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -142,46 +146,90 @@ def runs_of(sizes: list[int], limit: int = BATCH_BYTES) -> Iterator[tuple[int, i
         yield i, len(sizes)
 
 
+def _ints(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int32)
+
+
 class Encoder:
-    """Encodes texts, each with whether both libraries agree. Distinct chunks are encoded once and kept, so that words
-    which recur cost a look-up; the chunks of one call go to the tokenizer as one batch, which its threads share."""
+    """Encodes texts, each with whether both libraries agree on it and whether decoding gives it again. Distinct chunks
+    are encoded once, by the tokenizers library as the result and by the sentencepiece library for parity, and kept in
+    arrays sorted by hash, so that words which recur cost a look-up. New chunks go to the libraries many in a string:
+    a chunk's first piece is the one that begins with a marker after a piece that is more than markers."""
 
-    KEPT = 400_000  #: chunks kept by a worker
+    KEPT = 1 << 20  #: chunks kept by a worker; beyond that it begins anew
+    JOINED = 500  #: new chunks in one string
 
     def __init__(self, raw: bytes, threads: int):
         self.tokenizer, self.reference = loaded(raw, threads)
         self.threads, model = threads, Model(raw)
         self.chunked = self.tokenizer.pre_tokenizer is not None and model.dummy_prefix and model.escape and not model.squeeze and not model.char_map
+        self.lead = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
+        self.blank = np.array([bool(p) and not p.strip(MARK) for p, _, _ in model.pieces])
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.same: list[bool] = []
+        self.marks, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each chunk's pieces in flat, by place
+        self.flat = np.zeros(0, np.int32)
+        self.same, self.again = np.zeros(0, bool), np.zeros(0, bool)
 
-    def whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+    def whole(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """ids, parity and round trip of texts by themselves."""
         got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         wanted = self.reference.encode(texts, num_threads=self.threads)
-        return wanted, [a == b for a, b in zip(got, wanted)]
-
-    def block(self, block: words.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids of all rows, rows+1 offsets, parity of each row."""
+        back = self.tokenizer.decode_batch(got, skip_special_tokens=False)
+        return got, np.array([a == b for a, b in zip(got, wanted)], bool), np.array([a == b for a, b in zip(texts, back)], bool)
+
+    def _flat(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of several strings, and where chunks begin in them."""
+        flat = _ints(ids)
+        first = self.lead[flat]
+        first[1:] &= ~self.blank[flat[:-1]]
+        first[np.cumsum([0, *[len(x) for x in ids[:-1]]])] = True
+        return flat, np.flatnonzero(first)
+
+    def together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Pieces one after another, sizes, parity and round trip of chunks that hold more than spaces and no marker;
+        nothing if the chunks cannot be told apart."""
+        strings = [" ".join(texts[i : i + self.JOINED]) for i in range(0, len(texts), self.JOINED)]
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        flat, first = self._flat(got)
+        if len(first) != len(texts):
+            return None
+        size = np.diff(np.append(first, len(flat)))
+        wanted, other = self._flat(self.reference.encode(strings, num_threads=self.threads))
+        if len(other) != len(texts):
+            return None
+        if np.array_equal(flat, wanted):
+            same = np.ones(len(texts), bool)
+        else:
+            ends = [*other[1:].tolist(), len(wanted)]
+            same = np.array([np.array_equal(flat[a : a + n], wanted[b:e]) for a, n, b, e in zip(first.tolist(), size.tolist(), other.tolist(), ends)], bool)
+        again = np.ones(len(texts), bool)
+        if self.tokenizer.decode_batch(got, skip_special_tokens=False) != strings:
+            alone = self.tokenizer.decode_batch([flat[a : a + n].tolist() for a, n in zip(first.tolist(), size.tolist())], skip_special_tokens=False)
+            again = np.array([a == b for a, b in zip(texts, alone)], bool)
+        return flat, size, same, again
+
+    def blanks(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Chunks of spaces at the end of a text, read behind a letter."""
+        ids, same, again = self.whole([f"x {x}" for x in texts])
+        return [x[len(self.whole(["x"])[0][0]) :] for x in ids], same, again
+
+    def block(self, block: words.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all rows, rows+1 offsets, parity and round trip of each row."""
         data, at = block.data, block.offsets
         rows = block.rows
-        full = at[1:] > at[:-1]
-        odd = np.zeros(rows, bool)
-        odd[full] = data[at[1:][full] - 1] == 0x20  # a text that ends in a space is encoded whole
-        if not self.chunked or odd.any():
-            texts = [bytes(data[i:j]).decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:])]
-            ids, same = self.whole(texts)
-            out = np.zeros(rows + 1, np.int64)
+        out = np.zeros(rows + 1, np.int64)
+        if not self.chunked:
+            ids, same, again = self.whole([bytes(data[i:j]).decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:])])
             np.cumsum([len(x) for x in ids], out=out[1:])
-            return np.fromiter((y for x in ids for y in x), np.int32, out[-1]), out, np.asarray(same, bool)
+            return _ints(ids), out, same, again
         # a chunk begins at the start of a text and at a space after another character; one marker before it is implied
         begin = np.zeros(len(data), bool)
         space = data == 0x20
         begin[1:] = space[1:] & ~space[:-1]
-        head = at[:-1][full]
+        head = at[:-1][at[1:] > at[:-1]]
         begin[head] = True
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(data))[: len(starts)]
@@ -189,35 +237,68 @@ class Encoder:
         skip = np.ones(len(starts), np.int64)
         skip[np.searchsorted(starts, head)] = 0
         starts = starts + skip
+        # a marker written out in a text counts as a space, so rows with one are encoded whole
+        odd = np.zeros(rows, bool)
+        odd[np.searchsorted(at, np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)), "right") - 1] = True
+        if odd.any():
+            use = ~odd[row]
+            starts, ends, row = starts[use], ends[use], row[use]
         marks, first, back = np.unique(words.span_hash(words.prefix_hash(data, False), starts, ends), return_index=True, return_inverse=True)
-        numbers = self.numbers(data, starts[first], ends[first], marks)
-        kinds = [self.ids[i] for i in numbers]
-        size = np.fromiter((len(x) for x in kinds), np.int64, len(kinds))
-        flat = np.concatenate(kinds) if kinds else np.zeros(0, np.int32)
-        from_ = np.cumsum(size) - size
-        each = size[back]
+        number = self.numbers(data, starts[first], ends[first], marks)[back]
+        each, from_ = self.size[number], self.begin[number]
         total = np.cumsum(each)
-        ids = flat[np.arange(total[-1] if len(total) else 0) + np.repeat(from_[back] - (total - each), each)]
-        out = np.zeros(rows + 1, np.int64)
+        ids = self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(from_ - (total - each), each)]
         np.cumsum(np.bincount(row, each, rows).astype(np.int64), out=out[1:])
-        wrong = ~np.fromiter((self.same[i] for i in numbers), bool, len(numbers))
-        return ids, out, np.bincount(row[wrong[back]], minlength=rows) == 0
-
-    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: np.ndarray) -> list[int]:
-        """The place of each distinct chunk among those kept; new ones are encoded by both libraries."""
-        marks = marks.tolist()
-        if len(self.number) > self.KEPT:
+        same, again = (np.bincount(row[~x[number]], minlength=rows) == 0 for x in (self.same, self.again))
+        if odd.any():
+            which = np.flatnonzero(odd)
+            alone, same[which], again[which] = self.whole([bytes(data[at[i] : at[i + 1]]).decode("utf-8", "replace") for i in which.tolist()])
+            lists = np.split(ids, out[1:-1])
+            for i, x in zip(which.tolist(), alone):
+                lists[i] = np.asarray(x, np.int32)
+            ids = np.concatenate(lists)
+            np.cumsum([len(x) for x in lists], out=out[1:])
+        return ids, out, same, again
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """The place of each distinct chunk among those kept. marks: sorted."""
+        if len(self.marks) > self.KEPT:
             self.clear()
-        new = [k for k, m in enumerate(marks) if m not in self.number]
-        if new:
+        at = np.minimum(np.searchsorted(self.marks, marks), max(len(self.marks) - 1, 0))
+        new = np.flatnonzero(self.marks[at] != marks) if len(self.marks) else np.arange(len(marks))
+        if len(new):
             raw = data.tobytes()
-            texts = [raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in new]
-            wanted, same = self.whole(texts)
-            for k, ids in zip(new, wanted):
-                self.number[marks[k]] = len(self.ids)
-                self.ids.append(np.asarray(ids, np.int32))
-            self.same += same
-        return [self.number[m] for m in marks]
+            self._keep(marks[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[new].tolist(), ends[new].tolist())])
+            at = np.searchsorted(self.marks, marks)
+        return self.place[at]
+
+    def _keep(self, marks: np.ndarray, texts: list[str]) -> None:
+        blank = np.array([not x.strip(" ") for x in texts])
+        parts = []
+        for k in (False, True):
+            here = np.flatnonzero(blank == k)
+            if not len(here):
+                continue
+            own = [texts[i] for i in here.tolist()]
+            got = None if k else self.together(own)
+            if got is None:
+                ids, same, again = self.blanks(own) if k else self.whole(own)
+                got = _ints(ids), np.array([len(x) for x in ids], np.int64), same, again
+            parts.append((here, *got))
+        here, flat, size, same, again = (np.concatenate(x) for x in zip(*parts))
+        begin = len(self.flat) + np.cumsum(size) - size
+        number = len(self.begin) + np.arange(len(here))
+        self.flat, self.begin, self.size = np.append(self.flat, flat), np.append(self.begin, begin), np.append(self.size, size)
+        self.same, self.again = np.append(self.same, same), np.append(self.again, again)
+        marks = np.append(self.marks, marks[here])
+        order = np.argsort(marks, kind="stable")
+        self.marks, self.place = marks[order], np.append(self.place, number)[order]
+
+
+@lru_cache(2)
+def encoder(raw: bytes, threads: int) -> Encoder:
+    """A worker's encoder; its chunks are kept from task to task."""
+    return Encoder(raw, threads)
 
 
 def _model_bytes(path: str) -> bytes:
@@ -233,10 +314,9 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, threads: int
     schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(raw, threads)
         for batch in batches:
             for block in words.blocks(batch.column(text)):
-                ids, at, same = encoder.block(block)
+                ids, at, same, _ = encoder(raw, threads).block(block)
                 part = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(same)], [*part.schema.names, "token_ids", "parity"])
 
@@ -263,19 +343,15 @@ def decode(encoded: DataFrame, model: str = MODEL, threads: int = 2) -> DataFram
 
 def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL, threads: int = 2) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of little-endian 32-bit ids), parity, and round_trip: whether decoding the ids
-    gives the text again. Encodes and decodes in one pass, so that neither ids nor texts leave the worker."""
+    gives the text again. Encodes and decodes in one pass, chunk by chunk, so that neither ids nor texts leave the worker."""
     raw = _model_bytes(model)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(raw, threads)
         for batch in batches:
             for block in words.blocks(batch.column("text")):
-                ids, at, same = encoder.block(block)
+                ids, at, same, again = encoder(raw, threads).block(block)
                 lists = np.split(ids, at[1:-1])
-                texts = encoder.tokenizer.decode_batch([x.tolist() for x in lists], skip_special_tokens=False)
-                data, ends = block.data.tobytes(), block.offsets
-                again = [x.encode() == data[i:j] for x, i, j in zip(texts, ends[:-1], ends[1:])]
                 digests = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in lists]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.rows), pa.array(np.diff(at)), pa.array(digests), pa.array(same), pa.array(again)], ["doc_id", "n_pieces", "ids_sha256", "parity", "round_trip"])
 

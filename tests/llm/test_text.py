@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from reelmill.llm import decontaminate, language_model, pieces, secrets, url_filter
+from reelmill.llm import words as text_words
 from reelmill.llm import words as W
 
 from .common import frame, lower, sample, words
@@ -194,6 +195,25 @@ def test_pieces_agree_with_the_library(spark):
     assert pieces.encode(frame(spark, [])).count() == 0
 
 
+def test_chunks_of_every_kind(spark):
+    """Ids of whole texts, with blocks before them that fill and empty the kept chunks, on the tokenizers' side alone."""
+    import random
+
+    raw = pieces._model_bytes(pieces.MODEL)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["a", "the", " ", "  ", "▁", "é", "\n", "日", "<0x41>", "b c"], [4, 4, 6, 2, 0.3, 1, 1, 1, 0.3, 2], k=rng.randint(0, 12))) for _ in range(600)]
+    texts += [" ", "  ", "a ", "a  ", "▁ ▁", "  ▁ "]
+    encoder = pieces.Encoder(raw, 1)
+    encoder.KEPT = 50
+    for part in (texts[:200], texts[200:400], texts):
+        for block in text_words.blocks(pa.array(part)):
+            ids, at, same, again = encoder.block(block)
+            for k, t in enumerate(part):
+                want = encoder.tokenizer.encode(t, add_special_tokens=False).ids
+                assert ids[at[k] : at[k + 1]].tolist() == want and same[k] == (want == encoder.reference.encode(t))
+                assert again[k] == (encoder.tokenizer.decode(want, skip_special_tokens=False) == t)
+
+
 def wire(number, value):
     def varint(n):
         out = b""
@@ -220,7 +240,7 @@ def test_a_unigram_model(spark):
     reference = sentencepiece.SentencePieceProcessor(model_proto=raw)
     texts = ["abc ab  a", "", "c", "  cab ", "aé b"]
     encoder = pieces.Encoder(raw, 1)
-    ids, same = encoder.whole(texts)
+    ids, same, _ = encoder.whole(texts)
     assert not encoder.chunked and ids == [reference.encode(t) for t in texts] and all(same)
 
 
