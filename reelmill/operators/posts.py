@@ -30,7 +30,8 @@ def patterns(posts: DataFrame, metric: str) -> DataFrame:
     named = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("?"))
     cuts = F.array(*[F.struct(F.lit(n).alias("dim"), v.alias("key")) for n, v in (("slot", F.when(valid, F.substring(at, 12, 5))), ("weekday", day), ("source", named("source")), ("topic", named("topic")))])
     rows = posts.filter(F.col("has_metrics") & F.col(metric).isNotNull()).select(F.explode(cuts).alias("c"), F.col(metric).alias("v")).select("c.*", "v").filter("key is not null")
-    return rows.groupBy("dim", "key").agg(F.avg("v").alias("avg"), F.count("*").alias("n")).withColumn("few", F.col("n") < 3)
+    average = F.sum(F.col("v").cast("decimal(28,6)")).cast("double") / F.count("*")  # sums of doubles depend on their order
+    return rows.groupBy("dim", "key").agg(average.alias("avg"), F.count("*").alias("n")).withColumn("few", F.col("n") < 3)
 
 
 def pattern_gate(posts: DataFrame, metric: str, least: int = 12) -> DataFrame:

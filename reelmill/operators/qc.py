@@ -17,10 +17,10 @@ def quiet_runs(frames: DataFrame, item: str, threshold_db: float, frame_ms: int,
 
 
 def level_summary(frames: DataFrame, runs: DataFrame, item: str, frame_ms: int) -> DataFrame:
-    """Silence share, peak and power-mean level of each item."""
+    """Silence share (three places), peak and power-mean level of each item."""
     levels = frames.groupBy(item).agg(F.count("*").alias("n"), F.max("level_db").alias("peak_db"), (10 * F.log10(F.avg(F.pow(F.lit(10.0), F.col("level_db") / 10)))).alias("mean_db"))
     silent = runs.groupBy(item).agg(F.sum(F.col("to_ms") - F.col("from_ms")).alias("silent_ms"))
-    share = F.least(F.lit(1.0), F.coalesce("silent_ms", F.lit(0)) / (F.col("n") * frame_ms))
+    share = F.round(F.least(F.lit(1.0), F.coalesce("silent_ms", F.lit(0)) / (F.col("n") * frame_ms)), 3)
     return levels.join(silent, item, "left").select(item, share.alias("silence_share"), "peak_db", "mean_db")
 
 
@@ -130,19 +130,22 @@ def voice_treatment(separation: Column, tilt: Column, crest: Column) -> dict[str
 
 
 def voice_measures(peak_db: Column, rms_db: Column, floor_db: Column, high_db: Column, low_db: Column) -> dict[str, Column]:
-    """Separation, crest and band-energy ratio from levels in dB."""
+    """Separation, crest and the high band's share of both bands' amplitude, from levels in dB; 0.4 where a band has none."""
     amp = lambda db: F.pow(F.lit(10.0), db / 20)
-    return {"separation": peak_db - floor_db, "crest": peak_db - rms_db, "tilt": amp(high_db) / F.greatest(amp(low_db), F.lit(1e-9))}
+    share = amp(high_db) / F.greatest(amp(low_db) + amp(high_db), F.lit(1e-9))
+    return {"separation": peak_db - floor_db, "crest": peak_db - rms_db, "tilt": F.coalesce(share, F.lit(0.4))}
 
 
-def log_measurements(log: Column) -> dict[str, Column]:
-    """From a tool's log: the sum of silences, the last peak, the last block of JSON that holds a loudness, and pairs of
-    silence starts and ends."""
+def log_measurements(log: Column, duration_s: Column) -> dict[str, Column]:
+    """From a tool's log: the sum of silences, the last peak, the last block of JSON that holds a loudness, and the
+    silences as pairs of start and end within 0..duration. A start may be negative; one without an end lasts to the end."""
     numbers = lambda pattern: F.transform(F.regexp_extract_all(log, F.lit(pattern), F.lit(1)), lambda x: x.cast("double"))
     block = F.try_element_at(F.regexp_extract_all(log, F.lit(r"(\{[^{}]*input_i[^{}]*\})"), F.lit(1)), F.lit(-1))
+    starts, ends = numbers(r"silence_start:\s*(-?[0-9.]+)"), numbers(r"silence_end:\s*([0-9.]+)")
+    pairs = F.transform(starts, lambda a, i: F.struct(F.greatest(F.lit(0.0), a).alias("a"), F.least(duration_s, F.coalesce(F.get(ends, i), duration_s)).alias("b")))
     return {
         "silent_s": F.aggregate(numbers(r"silence_duration: ([0-9.]+)"), F.lit(0.0), lambda a, x: a + x), "peak_db": F.try_element_at(numbers(r"max_volume: (-?[0-9.]+) dB"), F.lit(-1)),
-        "lufs": F.get_json_object(block, "$.input_i").try_cast("double"), "pairs": F.arrays_zip(numbers(r"silence_start: ([0-9.]+)").alias("a"), numbers(r"silence_end: ([0-9.]+)").alias("b")),
+        "lufs": F.get_json_object(block, "$.input_i").try_cast("double"), "pairs": pairs,
     }
 
 

@@ -24,7 +24,7 @@ def quiet_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def audio_flags(spark: SparkSession, d: str) -> DataFrame:
     m = qc.level_summary(fx.level_frames(spark, d), _runs(spark, d), "item", FRAME)
-    return qc.audio_flags(m.withColumn("mean_db", F.round("mean_db", 6))).select("item", F.round("silence_share", 6).alias("silence_share"), "peak_db", "mean_db", "ok", F.size("flags").cast("long").alias("n_flags"))
+    return qc.audio_flags(m.withColumn("mean_db", F.round("mean_db", 6))).select("item", "silence_share", "peak_db", "mean_db", "ok", F.size("flags").cast("long").alias("n_flags"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -75,11 +75,12 @@ def treatment_decision(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_measurements(spark: SparkSession, d: str) -> DataFrame:
-    """Tool logs are written from orders and read back."""
+    """Tool logs of ten seconds are written from orders and read back: the first silence begins before 0, the last has
+    no end."""
     o, n = table(spark, d, "orders"), F.col("o_orderkey") % 4
     spans = F.transform(F.sequence(F.lit(1), (n + 1).cast("int")), lambda k: F.concat(F.lit("silence_start: "), k.cast("string"), F.lit(".5\nsilence_end: "), (k + 1).cast("string"), F.lit(".25 | silence_duration: 0.75\n")))
-    log = F.concat(F.array_join(spans, ""), F.lit("max_volume: -9.0 dB\nmax_volume: -"), n.cast("string"), F.lit('.5 dB\n{"input_i" : "bad"}\n{ "input_i" : "-'), (n + 10).cast("string"), F.lit('.25", "x" : "1" }\n'))
-    m = qc.log_measurements(log)
+    log = F.concat(F.lit("silence_start: -0.25\nsilence_end: 0.5 | silence_duration: 0.75\n"), F.array_join(spans, ""), F.lit("silence_start: 9.5\nmax_volume: -9.0 dB\nmax_volume: -"), n.cast("string"), F.lit('.5 dB\n{"input_i" : "bad"}\n{ "input_i" : "-'), (n + 10).cast("string"), F.lit('.25", "x" : "1" }\n'))
+    m = qc.log_measurements(log, F.lit(10.0))
     return o.select(F.col("o_orderkey").alias("id"), m["silent_s"].alias("silent_s"), m["peak_db"].alias("peak_db"), m["lufs"].alias("lufs"), F.size(m["pairs"]).cast("long").alias("n_pairs"), F.aggregate(m["pairs"], F.lit(0.0), lambda a, x: a + x["b"] - x["a"]).alias("paired_s"))
 
 
@@ -97,7 +98,7 @@ QUERIES = {
         audio_flags,
         with_views("level_frames", "+" + _RUNS.format(600) + """, m as (select item, count(*) as n, max(level_db) as peak_db, round(10*log10(avg(pow(10.0, level_db/10))),6) as mean_db from level_frames group by 1),
  s as (select item, sum(to_ms-from_ms) as silent from runs group by 1),
- x as (select m.item, round(least(1.0, coalesce(silent,0)/(n*200)::double),6) as silence_share, peak_db, mean_db from m left join s using(item)),
+ x as (select m.item, round(least(1.0, coalesce(silent,0)/(n*200)::double),3) as silence_share, peak_db, mean_db from m left join s using(item)),
  f as (select *, (silence_share>0.3)::int + (peak_db>=-0.5)::int + (mean_db < -34)::int + (peak_db-mean_db<6 and mean_db < -20)::int as n_flags from x)
  select item, silence_share, peak_db, mean_db, n_flags=0 as ok, n_flags::bigint as n_flags from f"""),
     ),
@@ -137,11 +138,11 @@ QUERIES = {
     "treatment_decision": (
         treatment_decision,
         with_views("level_frames", """+l as (select item, max(level_db) as peak, quantile_cont(level_db,0.5) as rms, min(level_db) as floor, quantile_cont(level_db,0.25) as high, quantile_cont(level_db,0.4) as low from level_frames group by 1),
- m as (select item, peak-floor as separation, peak-rms as crest, pow(10.0,high/20)/greatest(pow(10.0,low/20),1e-9) as tilt from l),
+ m as (select item, peak-floor as separation, peak-rms as crest, coalesce(pow(10.0,high/20)/greatest(pow(10.0,low/20)+pow(10.0,high/20),1e-9),0.4) as tilt from l),
  t as (select *, case when 52-separation>2 then least(0.85,greatest(0.0,(52-separation)/22)) else 0 end as denoise, case when tilt<0.28 then least(4.0,greatest(0.0,(0.28-tilt)*22)) when tilt>0.52 then 0 else 1 end as presence, case when tilt<0.28 then 0 when tilt>0.52 then least(0.6,greatest(0.0,(tilt-0.52)*2)) else 0.25 end as deess, case when tilt<0.45 then -3.0 else -1.5 end as warmth, crest>14 as compress from m)
  select item, compress, array_to_string(list_filter([case when denoise>0 then 'denoise' else '' end, case when presence>0 then 'lift' else '' end, case when deess>0 then 'de-ess' else '' end, case when compress then 'compress' else '' end], lambda x: x<>''), ', ') as words, round(separation,5) as separation, round(crest,5) as crest, round(tilt,5) as tilt, round(denoise,5)::double as denoise, round(presence,5)::double as presence, round(deess,5)::double as deess, warmth::double as warmth from t"""),
     ),
-    "log_measurements": (log_measurements, "select o_orderkey as id, 0.75*(o_orderkey%4+1)::double as silent_s, -(o_orderkey%4+0.5)::double as peak_db, -(o_orderkey%4+10.25)::double as lufs, o_orderkey%4+1 as n_pairs, 0.75*(o_orderkey%4+1)::double as paired_s from orders"),
+    "log_measurements": (log_measurements, "select o_orderkey as id, 0.75*(o_orderkey%4+2)::double as silent_s, -(o_orderkey%4+0.5)::double as peak_db, -(o_orderkey%4+10.25)::double as lufs, o_orderkey%4+3 as n_pairs, 0.75*(o_orderkey%4+1)::double+1.0 as paired_s from orders"),
     "probe_summary": (
         probes,
         with_views("probe_json", "select id, json_extract_string(js,'$.format.duration')::double as duration_s, json_extract(js,'$.streams[1].width')::bigint as width, json_extract(js,'$.streams[1].height')::bigint as height, json_extract_string(js,'$.streams[1].codec_name') as vcodec, json_extract_string(js,'$.streams[0].codec_name') as acodec, true as has_audio, round(30000/1001.0,6)::double as fps from probe_json"),

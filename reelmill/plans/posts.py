@@ -23,8 +23,7 @@ def posts_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patterns(spark: SparkSession, d: str) -> DataFrame:
-    p = ps.patterns(_posts(spark, d), "views")
-    return p.withColumn("avg", F.round("avg", 4))
+    return ps.patterns(_posts(spark, d), "views")
 
 
 def pattern_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +76,7 @@ QUERIES = {
         patterns,
         with_views("post_log", "+" + _POSTS + """, h as (select * from posts where has_metrics and views is not null),
  c as (select 'slot' as dim, substr(slot_at,12,5) as key, views from h where length(slot_at)>=16 union all select 'weekday', strftime(strptime(substr(slot_at,1,16),'%Y-%m-%dT%H:%M'),'%a'), views from h where length(slot_at)>=16 union all select 'source', source, views from h union all select 'topic', topic, views from h)
- select dim, key, round(avg(views),4) as avg, count(*) as n, count(*)<3 as few from c group by 1,2"""),
+ select dim, key, sum(views::decimal(28,6))::double/count(*) as avg, count(*) as n, count(*)<3 as few from c group by 1,2"""),
     ),
     "pattern_gate": (pattern_gate, with_views("post_log", "+" + _POSTS + " select count(*) filter (has_metrics and views is not null) as posts_with_metrics, count(*) as total_published, count(*) filter (has_metrics and views is not null)>=12 as enough_data, greatest(0,12-count(*) filter (has_metrics and views is not null)) as needed from posts")),
     "best_worst_posts": (best_worst_posts, with_views("post_log", "+" + _POSTS + ", h as (select job, clip, coalesce(views,0.0) as v from posts where has_metrics) select * from ((select *, 'best' as side from h order by v desc, job, clip limit 8) union all (select *, 'worst' from h where (select count(*) from h)>8 order by v, job desc, clip desc limit 8))")),

@@ -100,6 +100,23 @@ def test_silence_guards(spark):
     assert rows == [(1, 0, 10_250), (1, 11_750, 60_000), (2, 0, 60_000), (3, 0, 60_000)]
 
 
+def test_voice_by_hand(spark):
+    """Equal bands share half each; a high band 20 dB down has 0.1/1.1 of the amplitude."""
+    levels = spark.createDataFrame([(0.0, -20.0, -60.0, -30.0, -30.0), (0.0, -10.0, -20.0, -40.0, -20.0), (0.0, -10.0, -20.0, None, -20.0)], "peak double, rms double, floor double, high double, low double")
+    m = levels.select(*[c.alias(k) for k, c in qc.voice_measures(*[F.col(c) for c in levels.columns]).items()])
+    got = m.select("tilt", *[c.alias(k) for k, c in qc.voice_treatment(F.col("separation"), F.col("tilt"), F.col("crest")).items()]).collect()
+    assert [r.tilt for r in got] == pytest.approx([0.5, 0.1 / 1.1, 0.4])
+    assert [r.presence for r in got] == pytest.approx([1.0, 4.0, 1.0]) and [r.deess for r in got] == [0.25, 0.0, 0.25]
+    assert [r.warmth for r in got] == [-1.5, -3.0, -3.0] and [r.compress for r in got] == [True, False, False]
+    assert [r.denoise for r in got] == pytest.approx([0.0, 0.85, 0.85])
+
+
+def test_silences_of_a_log(spark):
+    log = "silence_start: -0.02\nsilence_end: 1.5 | silence_duration: 1.52\nsilence_start: 3\nsilence_end: 4\nsilence_start: 8.5\n"
+    pairs = one(spark, x=qc.log_measurements(F.lit(log), F.lit(9.0))["pairs"]).x
+    assert [(p.a, p.b) for p in pairs] == [(0.0, 1.5), (3.0, 4.0), (8.5, 9.0)]
+
+
 def test_slots_respect_cap_gap_and_past(spark):
     c = spark.createDataFrame([("a", "2024-01-01 00:00", "2024-01-01 12:00"), ("b", "2020-01-01 00:00", "2024-01-01 12:00")], "channel string, start string, now string")
     c = c.withColumns({x: F.col(x).cast("timestamp_ntz") for x in ("start", "now")})
@@ -134,7 +151,7 @@ def test_reapproval_keeps_its_place(spark):
     assert {r.clip: (r.decision, r.approved_at) for r in schedule.clip_state(e, "clip").collect()} == {1: ("approved", 1), 2: ("approved", 3), 3: ("pending", None)}
 
 
-@pytest.mark.parametrize("text, found", [('Sure [{"a":1}] ok', '{"a":1}'), ('{"b":"}"} x', '{"b":"}"}'), ("[1, 2] is it", "[1, 2]"), ('{"id":1', None), ("", None)])
+@pytest.mark.parametrize("text, found", [('Sure [{"a":1}] ok', '{"a":1}'), ('{"b":"}"} x', '{"b":"}"}'), ("[1, 2] is it", "[1, 2]"), ('{"id":1', None), ("", None), ('{oops} [3] then', "[3]"), ('a {"k": [1, {"z": "}{"}]}}', '{"k": [1, {"z": "}{"}]}'), ('{"q": "\\\\"} "', '{"q": "\\\\"}')])
 def test_first_json(text, found):
     assert threads.first_json(text) == found
 
