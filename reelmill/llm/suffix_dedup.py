@@ -5,7 +5,8 @@ window of that length has an anchor: the 100-byte gram in it with the least hash
 equal places, so windows need comparing only within an anchor. The windows of one occurrence of an anchor form a segment
 of at most 700 bytes.
 
-1. Every text gives its segments as narrow rows: anchor, hash of the segment, place.
+1. Every text gives its segments as narrow rows: anchor, hash of the segment, place. Those whose anchor is met only once
+   go.
 2. Equal segments are counted. All windows of a segment that is there twice are repeated: exact and near copies, however
    many, end here as one row a task.
 3. Where an anchor has several different segments, one copy of each is fetched. A task builds the suffix array of a batch
@@ -13,9 +14,14 @@ of at most 700 bytes.
    interval of the tree is a set of suffixes with a common prefix; if the bytes to their left differ, it is a maximal
    repeat, given with all its occurrences.
 4. An anchor with more than ``GROUP`` different segments is not brought into one task. Its windows are hashed instead and
-   counted by (anchor, hash), with partial counts in every task.
+   counted by (anchor, hash), with partial counts in every task. Segments and windows are told apart by two 64-bit hashes
+   each: the anchor's and their own.
 5. Ranges go back to the places of the segments, and each text is cut once.
 
+Passages of over 50 words are often shorter than 400 bytes. They are found in the same way and nothing is cut for them:
+the windows of ``PASSAGE`` words, from a word's first byte to another's last, have anchors and segments of their own, and
+``n_shared`` counts the windows of a text that another row's text holds too.
+
 Defined results: a null or short text loses nothing; overlapping repeats count, so a run of one letter repeats itself;
 rows repeated in full repeat each other and both lose their bytes; an empty table gives an empty result; what is left
 need not be valid UTF-8 and is given as bytes; other columns are never read.
@@ -35,6 +41,9 @@ from .shared import drop, materialize, release, with_rows
 
 LENGTH = 400
 GRAM = 100
+PASSAGE = 51  #: words in a passage that is looked for in other texts
+PASSAGE_GRAM = 8  #: and words in its anchor
+SCAN_WORDS = 1 << 17  #: words scanned for anchors at once
 GROUP = 2000  #: different segments of one anchor that a task takes at most
 SCAN_BYTES = 1 << 20  #: text scanned for anchors at once
 BATCH_BYTES = 1 << 20  #: segments in one suffix array, or one group
@@ -83,16 +92,44 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def passages(block: words.Block, k: int = PASSAGE) -> tuple[np.ndarray, ...]:
+    """row, first byte, end, windows, anchor hash, segment hash of every segment of the windows of k words."""
+    found = words.split(block)
+    n = len(found.starts) - k + 1
+    parts = []
+    for at in range(0, max(n, 0), SCAN_WORDS):
+        m = min(SCAN_WORDS, n - at)
+        starts, ends, row = (x[at : at + m + k - 1] for x in (found.starts, found.ends, found.row))
+        base = starts[0]
+        sums = words.prefix_hash(block.data[base : ends[-1]], lower=False)
+        starts, ends = starts - base, ends - base
+        grams = words.span_hash(sums, starts[: len(starts) - PASSAGE_GRAM + 1], ends[PASSAGE_GRAM - 1 :])
+        best = sliding_min((grams & ~LOW) | (LOW - np.arange(len(grams), dtype=np.uint64)), k - PASSAGE_GRAM + 1)
+        anchor = (LOW - (best & LOW)).astype(np.int64)
+        valid = row[:m] == row[k - 1 :]
+        new = (anchor[1:] != anchor[:-1]) | (row[1:m] != row[: m - 1])
+        first, last = valid.copy(), valid.copy()
+        first[1:] &= ~valid[:-1] | new
+        last[:-1] &= ~valid[1:] | new
+        lo, hi = np.flatnonzero(first), np.flatnonzero(last)
+        mark = words.mix(words.span_hash(sums, starts[lo], ends[hi + k - 1]) ^ (anchor[lo] - lo).astype(np.uint64))
+        first_byte = block.offsets[row[lo]] - base
+        parts.append((row[lo], starts[lo] - first_byte, ends[hi + k - 1] - first_byte, hi - lo + 1, grams[anchor[lo]], mark))
+    if not parts:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> list[tuple[int, np.ndarray]]:
     """(common length, all places) of the maximal repeats of at least length bytes among the suffixes that begin at the
-    first windows[i] bytes of each segment starts[i]..ends[i] of data. No suffix goes beyond its segment."""
+    first windows[i] bytes of each segment starts[i]..ends[i] of data. No suffix goes beyond its segment. A byte that no
+    text holds (0xFF) follows each segment, so that suffixes which end do not sort by what stands behind them."""
     n = len(data)
     byte = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     word = np.zeros(n, np.uint64)
     for k in range(8):
         word = word << np.uint64(8) | byte[k : k + n]
-    end_of = np.repeat(ends, ends - starts)
-    left = end_of - np.arange(n)  # bytes to the segment's end
+    left = np.maximum(np.repeat(ends, np.diff(np.append(starts, n))) - np.arange(n), 0)  # bytes to the segment's end
     ranks = [np.unique(word, return_inverse=True)[1]]
     half = 8
     while 2 * half <= length:
@@ -157,153 +194,202 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+PLACES = "anchor long, seg long, row long, lo int, end int, windows int, passage boolean"
+
+
 def _places_task(length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("row").to_numpy()
             for block in words.blocks(batch.column("text")):
-                row, lo, hi, at, anchor, mark = segments(block.data, block.offsets, length)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(ids[block.first + row]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["anchor", "seg", "row", "lo", "hi"])
+                row, lo, hi, _, anchor, mark = segments(block.data, block.offsets, length)
+                for by_word, (row, lo, end, windows, anchor, mark) in ((False, (row, lo, hi + length, hi - lo + 1, anchor, mark)), (True, passages(block))):
+                    if len(row):
+                        ints = [pa.array(x.astype(np.int32)) for x in (lo, end, windows)]
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(ids[block.first + row]), *ints, pa.array(np.full(len(row), by_word))], ["anchor", "seg", "row", "lo", "end", "windows", "passage"])
 
     return task
 
 
-def _fetch_task(length: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wants = batch.column("wants").to_pylist()
-            data, at = words.buffers(batch.column("text"))
-            out, size = [], 0
-            for k, want in enumerate(wants):
-                for x in want:
-                    content = data[at[k] + x["lo"] : at[k] + x["hi"] + length].tobytes()
-                    out.append((x["anchor"], x["seg"], x["n"], x["wide"], x["hi"] - x["lo"] + 1, content))
-                    size += len(content)
-                    if size > 4 << 20:
-                        yield _contents(out)
-                        out, size = [], 0
-            if out:
-                yield _contents(out)
+CONTENTS = "anchor long, seg long, n long, first long, last long, wide boolean, passage boolean, windows int, content binary"
+CONTENT_NAMES = ["anchor", "seg", "n", "first", "last", "wide", "passage", "windows", "content"]
 
-    return task
+
+def _fetch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        wants = batch.column("wants").to_pylist()
+        data, at = words.buffers(batch.column("text"))
+        out, size = [], 0
+        for k, want in enumerate(wants):
+            for x in want:
+                content = data[at[k] + x["lo"] : at[k] + x["end"]].tobytes()
+                out.append((*[x[c] for c in CONTENT_NAMES[:-1]], content))
+                size += len(content)
+                if size > 4 << 20:
+                    yield _contents(out)
+                    out, size = [], 0
+        if out:
+            yield _contents(out)
 
 
 def _contents(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "seg", "n", "wide", "windows", "content"])
+    kinds = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], CONTENT_NAMES)
 
 
-RANGES = "anchor long, seg long, ranges array<int>"
+FOUND = "anchor long, seg long, ranges array<int>, shared int"
 
 
-def _ranges(rows: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["anchor", "seg", "ranges"])
+def _found(rows: list[tuple[int, int, list[int] | None, int | None]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "seg", "ranges", "shared"])
+
+
+def packed(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments one after another, 0xFF after each; where they start and end."""
+    size = np.array([len(x) for x in contents])
+    starts = np.cumsum(size + 1) - size - 1
+    return np.frombuffer(b"\xff".join([*contents, b""]), np.uint8), starts, starts + size
+
+
+def passage_hashes(contents: list[bytes], k: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """The segment and the hash of each window of k words."""
+    data, starts, ends = packed(contents)
+    found = words.split(words.Block(0, np.where(data == 0xFF, np.uint8(32), data), np.append(starts, len(data))))
+    i = np.flatnonzero(found.row[: max(len(found.row) - k + 1, 0)] == found.row[k - 1 :])
+    return found.row[i], words.span_hash(words.prefix_hash(data, lower=False), found.starts[i], found.ends[i + k - 1])
 
 
 def _tree_task(length: int):
     """Rows come sorted by anchor; groups are worked on in batches of about BATCH_BYTES."""
 
-    def solve(group: list) -> Iterator[pa.RecordBatch]:
-        contents = [x[3] for x in group]
-        data = np.frombuffer(b"".join(contents), np.uint8)
-        ends = np.cumsum([len(x) for x in contents])
-        starts = ends - [len(x) for x in contents]
-        hit = covered(maximal_repeats(data, starts, ends, np.array([x[4] for x in group]), length), len(data))
+    def cut(group: list) -> list:
+        data, starts, ends = packed([x[5] for x in group])
+        hit = covered(maximal_repeats(data, starts, ends, np.array([x[7] for x in group]), length), len(data))
         rows = []
         for x, s, e in zip(group, starts.tolist(), ends.tolist()):
             if x[2] == 1 and hit[s:e].any():
                 a, b = runs(hit[s:e])
-                rows.append((x[0], x[1], np.stack([a, b], 1).ravel().tolist()))
+                rows.append((x[0], x[1], np.stack([a, b], 1).ravel().tolist(), None))
+        return rows
+
+    def shared(group: list) -> list:
+        seg, mark = passage_hashes([x[5] for x in group])
+        anchor, first, last = (np.array([x[c] for x in group], np.int64)[seg] for c in (0, 3, 4))
+        order = np.lexsort((mark, anchor))
+        edge = np.flatnonzero(np.concatenate([[True], (mark[order][1:] != mark[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])]))
+        both = np.minimum.reduceat(first[order], edge) != np.maximum.reduceat(last[order], edge)
+        count = np.bincount(seg[order], np.repeat(both, np.diff(np.append(edge, len(order)))), len(group)).astype(np.int64)
+        return [(x[0], x[1], None, c) for x, c in zip(group, count.tolist()) if c and x[3] == x[4]]
+
+    def solve(group: list) -> Iterator[pa.RecordBatch]:
+        by_byte, by_word = [x for x in group if not x[6]], [x for x in group if x[6]]
+        rows = (cut(by_byte) if by_byte else []) + (shared(by_word) if by_word else [])
         if rows:
-            yield _ranges(rows)
+            yield _found(rows)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = [], 0
         for batch in batches:
-            for x in zip(*[batch.column(c).to_pylist() for c in ("anchor", "seg", "n", "content", "windows")]):
+            for x in zip(*[batch.column(c).to_pylist() for c in ("anchor", "seg", "n", "first", "last", "content", "passage", "windows")]):
                 if size >= BATCH_BYTES and x[0] != group[-1][0]:
                     yield from solve(group)
                     group, size = [], 0
                 group.append(x)
-                size += len(x[3])
+                size += len(x[5])
         if group:
             yield from solve(group)
 
     return task
 
 
+WINDOWS = "anchor long, seg long, n long, first long, last long, passage boolean, at int, mark long"
+
+
 def _window_task(length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, seg, n, windows, content in zip(*[batch.column(c).to_pylist() for c in ("anchor", "seg", "n", "windows", "content")]):
-                sums = words.prefix_hash(np.frombuffer(content, np.uint8), lower=False)
-                at = np.arange(windows)
-                mark = words.span_hash(sums, at, at + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(windows, anchor)), pa.array(np.full(windows, seg)), pa.array(np.full(windows, n)), pa.array(at.astype(np.int32)), pa.array(mark)], ["anchor", "seg", "n", "at", "mark"])
+            columns = [batch.column(c) for c in ("anchor", "seg", "n", "first", "last", "passage")]
+            content, passage, windows = (batch.column(c).to_pylist() for c in ("content", "passage", "windows"))
+            for k, (raw, by_word, n) in enumerate(zip(content, passage, windows)):
+                if by_word:
+                    mark = passage_hashes([raw])[1]
+                else:
+                    at = np.arange(n)
+                    mark = words.span_hash(words.prefix_hash(np.frombuffer(raw, np.uint8), lower=False), at, at + length)
+                one = pa.array(np.full(len(mark), k))
+                yield pa.RecordBatch.from_arrays([*[c.take(one) for c in columns], pa.array(np.arange(len(mark), dtype=np.int32)), pa.array(mark.view(np.int64))], ["anchor", "seg", "n", "first", "last", "passage", "at", "mark"])
 
     return task
 
 
-def _cut_task(length: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = words.buffers(batch.column("text"))
-            spans = batch.column("spans").to_pylist()
-            kept, cuts = [], []
-            for k, own in enumerate(spans):
-                text = data[at[k] : at[k + 1]]
-                if not own:
-                    kept.append(text.tobytes())
-                    cuts.append([])
-                    continue
-                change = np.zeros(len(text) + 1, np.int64)
-                ranges = np.concatenate([x["lo"] + np.asarray(x["ranges"]).reshape(-1, 2) for x in own])
-                np.add.at(change, ranges[:, 0], 1)
-                np.add.at(change, ranges[:, 1], -1)
-                mask = np.cumsum(change[:-1]) > 0
-                kept.append(text[~mask].tobytes())
-                cuts.append([{"start": int(a), "end": int(b)} for a, b in zip(*runs(mask))])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            names = [c for c in batch.schema.names if c not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(np.diff(at)), pa.array(cuts, kind), pa.array(kept, pa.binary())], [*names, "n_bytes", "removed", "kept"])
-
-    return task
+def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = words.buffers(batch.column("text"))
+        spans = batch.column("spans").to_pylist()
+        kept, cuts = [], []
+        for k, own in enumerate(spans):
+            text = data[at[k] : at[k + 1]]
+            if not own:
+                kept.append(text.tobytes())
+                cuts.append([])
+                continue
+            change = np.zeros(len(text) + 1, np.int64)
+            ranges = np.concatenate([x["lo"] + np.asarray(x["ranges"]).reshape(-1, 2) for x in own])
+            np.add.at(change, ranges[:, 0], 1)
+            np.add.at(change, ranges[:, 1], -1)
+            mask = np.cumsum(change[:-1]) > 0
+            kept.append(text[~mask].tobytes())
+            cuts.append([{"start": int(a), "end": int(b)} for a, b in zip(*runs(mask))])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        names = [c for c in batch.schema.names if c not in ("text", "spans")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(np.diff(at)), pa.array(cuts, kind), pa.array(kept, pa.binary())], [*names, "n_bytes", "removed", "kept"])
 
 
 def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """row, spans: for each text of rows (row, text) with repeats, segments' places and the ranges in them to remove."""
-    places = materialize(rows.mapInArrow(_places_task(length), "anchor long, seg long, row long, lo int, hi int"), "repeat-places")
-    kinds = materialize(places.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("one")), "repeat-kinds")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
-    wanted = kinds.join(several, "anchor").select("anchor", "seg", "n", (F.col("m") > GROUP).alias("wide"), "one.*")
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", "n", "wide", "lo", "hi")).alias("wants"))  # as many as a text has segments
+    """row, spans, n_shared: for each text of rows (row, text) with repeats, segments' places and the ranges in them to
+    remove, and how many of its windows of PASSAGE words another row's text holds."""
+    all_places = materialize(rows.mapInArrow(_places_task(length), PLACES), "repeat-places")
+    # most anchors are met once: they go before anything wide is grouped
+    met = all_places.groupBy("anchor", "passage").agg(F.count("*").alias("c"), F.min("row").alias("least"), F.max("row").alias("most")).filter("if(passage, least <> most, c > 1)")
+    places = materialize(all_places.join(met.select("anchor", "passage"), ["anchor", "passage"], "left_semi"), "repeat-places")
+    drop(all_places)
+    del all_places, met
+    release(rows.sparkSession)
+    kinds = materialize(places.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "end", "windows", "passage")).alias("one"), F.max("row").alias("last")), "repeat-kinds")
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.min("one.row").alias("least"), F.max("last").alias("most")).filter("m > 1")
+    wanted = kinds.join(several, "anchor").filter("not one.passage or least <> most").select("anchor", "seg", "n", F.col("one.row").alias("first"), "last", (F.col("m") > GROUP).alias("wide"), "one.*")
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", "n", "first", "last", "wide", "passage", "windows", "lo", "end")).alias("wants"))  # as many as a text has segments
     release(rows.sparkSession)
-    contents = materialize(rows.join(asked, "row").select("wants", "text").mapInArrow(_fetch_task(length), "anchor long, seg long, n long, wide boolean, windows int, content binary"), "repeat-contents")
-
-    narrow = contents.filter("not wide").select("anchor", "seg", "n", "windows", "content")
-    by_tree = narrow.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_tree_task(length), RANGES)
-    windows = contents.filter("wide").mapInArrow(_window_task(length), "anchor long, seg long, n long, at int, mark long")
-    twice = windows.groupBy("anchor", "mark").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    by_hash = windows.filter("n = 1").join(twice, ["anchor", "mark"]).groupBy("anchor", "seg").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + length))).alias("ranges"))  # 301 windows at most
-    same = kinds.filter("n > 1").select("anchor", "seg", F.array(F.lit(0), F.col("one.hi") - F.col("one.lo") + length).alias("ranges"))
+    contents = materialize(rows.join(asked, "row").select("wants", "text").mapInArrow(_fetch_task, CONTENTS), "repeat-contents")
+
+    narrow = contents.filter("not wide").drop("wide")
+    by_tree = narrow.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_tree_task(length), FOUND)
+    windows = contents.filter("wide").mapInArrow(_window_task(length), WINDOWS)
+    twice = windows.groupBy("anchor", "mark", "passage").agg(F.count("*").alias("c"), F.min("first").alias("least"), F.max("last").alias("most")).filter("if(passage, least <> most, c > 1)").select("anchor", "mark", "passage")
+    hit = windows.filter("if(passage, first = last, n = 1)").join(twice, ["anchor", "mark", "passage"]).groupBy("anchor", "seg", "passage")
+    ranges = F.flatten(F.collect_list(F.array("at", F.col("at") + length)))  # 301 windows at most
+    by_hash = hit.agg(ranges.alias("ranges"), F.count("*").cast("int").alias("shared")).select("anchor", "seg", F.when(~F.col("passage"), F.col("ranges")).alias("ranges"), F.when(F.col("passage"), F.col("shared")).alias("shared"))
+    passage = F.col("one.passage")
+    same = kinds.filter("if(one.passage, one.row <> last, n > 1)").select("anchor", "seg", F.when(~passage, F.array(F.lit(0), F.col("one.end") - F.col("one.lo"))).alias("ranges"), F.when(passage, F.col("one.windows")).alias("shared"))
     found = same.unionByName(by_tree).unionByName(by_hash)
-    spans = materialize(places.join(found, ["anchor", "seg"]).groupBy("row").agg(F.collect_list(F.struct("lo", "ranges")).alias("spans")), "repeat-spans")
+    span = F.when(F.col("ranges").isNotNull(), F.struct("lo", "ranges"))
+    spans = materialize(places.select("anchor", "seg", "row", "lo").join(found, ["anchor", "seg"]).groupBy("row").agg(F.collect_list(span).alias("spans"), F.coalesce(F.sum("shared"), F.lit(0)).alias("n_shared")), "repeat-spans")
     # the texts are shuffled once more for the cut: make room
     for done in (places, kinds, contents):
         drop(done)
-    del several, wanted, asked, narrow, by_tree, windows, twice, by_hash, same, found, places, kinds, contents
+    del several, wanted, asked, narrow, by_tree, windows, twice, hit, by_hash, same, found, places, kinds, contents
     release(spans.sparkSession)
     return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, removed array<struct<start,end>>, kept binary for every row of docs."""
+    """doc_id, n_shared, n_bytes, removed array<struct<start,end>>, kept binary for every row of docs."""
     rows = with_rows(docs, "__row").select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     spans = repeats(rows.select("row", "text"), length)
-    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut_task(length), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    return rows.join(spans, "row", "left").select("doc_id", F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"), "text", "spans").mapInArrow(_cut_task, "doc_id long, n_shared long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def digests(cut: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of remove_repeats() rows."""
-    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared of remove_repeats() rows."""
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")

@@ -154,7 +154,14 @@ def brute_cut(rows, length):
                 mask[j : j + length] = True
         kept = bytes(np.frombuffer(t, np.uint8)[~mask])
         out.append((i, len(t), int(mask.sum()), int((np.diff(np.concatenate([[0], mask.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+    held = defaultdict(set)
+    of = []
+    for k, (i, t) in enumerate(rows):
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        of.append([(t or "").encode()[at[j][0] : at[j + 50][1]] for j in range(len(at) - 50)])
+        for x in of[-1]:
+            held[x].add(k)
+    return sorted((*o, sum(len(held[x]) > 1 for x in p)) for o, p in zip(out, of))
 
 
 @pytest.mark.parametrize("length, group", [(400, 2000), (120, 2000), (120, 2), (30, 5)])
@@ -177,13 +184,32 @@ def test_repeats_of_long_texts_and_repeated_rows(spark, monkeypatch):
 
 def test_maximal_repeats_have_all_places():
     parts = [b"xxABCDEFGHIJyy", b"zABCDEFGHIJq", b"ABCDEFGHIJKLM", b"-ABCDEFGH-"]
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum([len(p) for p in parts])
-    starts = ends - [len(p) for p in parts]
+    data, starts, ends = suffix_dedup.packed(parts)
     found = suffix_dedup.maximal_repeats(data, starts, ends, np.array([len(p) - 7 for p in parts]), 8)
     assert sorted((n, len(at)) for n, at in found) == [(8, 4), (10, 3)]
 
 
+def test_what_stands_behind_a_segment_does_not_sort_it():
+    """The first segment ends within the repeat of the two others, and the next byte in the array is the one they go on
+    with."""
+    parts = [b"zABCDEFGH", b"IxABCDEFGHIJ", b"yABCDEFGHIJ"]
+    data, starts, ends = suffix_dedup.packed(parts)
+    found = suffix_dedup.maximal_repeats(data, starts, ends, np.array([len(p) - 7 for p in parts]), 8)
+    assert sorted((n, len(at)) for n, at in found) == [(8, 3), (10, 2)]
+
+
+def test_passages_of_few_bytes(spark, monkeypatch):
+    rng = random.Random(4)
+    draw = lambda n: " ".join(rng.choices("a b c d ee ff".split(), k=n))
+    one, two = draw(51), draw(60)
+    rows = [(1, draw(30) + " " + one + " " + draw(9)), (2, one), (3, draw(40) + "\n" + two + draw(30)), (4, two[: two.rindex(" ")] + " q"), (5, draw(80) + " " + draw(80)), (6, "k " * 200), (7, None), (8, draw(50))]
+    for scan in (1 << 17, 70):
+        monkeypatch.setattr(suffix_dedup, "SCAN_WORDS", scan)
+        got = sorted(tuple(r) for r in suffix_dedup.digests(suffix_dedup.remove_repeats(frame(spark, rows))).collect())
+        assert got == brute_cut(rows, 400)
+    assert {r[0] for r in got if r[-1]} == {1, 2, 3, 4} and not any(r[2] for r in got if r[0] < 5)
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 50, 200).astype(np.uint64)
     for w in (1, 3, 7, 200):
