@@ -3,7 +3,13 @@
 toxicity (what the classifier rejects goes), exact copies (one of each group stays), near copies (five-word shingles,
 similarity 0.8: one of each group stays), benchmark leaks (documents that hold an item go), SentencePiece ids (added to
 what is left). Each stage works on all rows and whole texts that its predecessor kept; all but the last return the
-columns of documents.
+columns of documents, whatever others there are and whatever they are called.
+
+Defined results: a null text is an empty one, and stays null in the rows that are kept; rows with empty texts are copies
+of each other, so one of them stays, and near copies of nothing; very long texts are read whole; of rows that tie (equal
+texts with one id, or rows repeated in full) exactly one stays; a null id comes after all others; an empty table gives an
+empty result with the columns of the last stage; without labels of both kinds nothing is toxic, without items nothing
+leaks.
 """
 
 from __future__ import annotations
@@ -49,6 +55,8 @@ ORACLE_SQL = None  # the classifier's training is not SQL; tests compare run() w
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    since = shared.tables_made()
     for name, stage in STAGES:
         docs = shared.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        shared.sweep(spark, since, docs)  # what the stage and its predecessor wrote
     return docs

@@ -11,14 +11,17 @@ the threshold are skipped; items of the blocks left are scored in part, dropped
 and then scored in full. All items at or over the threshold are retrieved, no top k. A retrieved pair counts when the
 passage holds at least 0.8 of the item's five-word shingles, and those that it holds cover half of the words of its
 question and of its answer. An item's answer is its last sentence, if another stands before it, else its last quarter of words; an item under five
-words is one shingle.
+words is one shingle. So a copy with one word changed within is no match if the item has fewer than 29 words: the five
+shingles that hold the word are more than a fifth of all.
 
-The index goes to every worker, so its size is bounded: items are cut into indexes of at most ``SHARD_CHARS`` characters,
-and the documents are read once for each.
+The index goes to every worker, so its size is bounded: beyond ``SHARD_CHARS`` characters items are dealt out over several
+indexes, and the documents are read once for each. Document frequencies, the number of items, their mean length and the
+longest are those of all items, so scores and results don't depend on how items are dealt out.
 
-Defined results: null or empty items match nothing; a null text is an empty one; repeated documents or items are matched
-each, items with one id count as the best of them; an empty table on either side gives an empty result; other columns
-are never read.
+Defined results: null or empty items match nothing; a null text is an empty one; a very long text is worked on whole, as a
+block of its own; repeated documents or items are matched each, items with one id count as the best of them (by score,
+then overlaps, which leaves no tie that shows); an empty table on either side gives an empty result; other columns are
+never read.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 SHINGLE = 5
 OVERLAP, PART_OVERLAP = 0.8, 0.5
+STOPS = np.frombuffer(b".?!:", np.uint8)  #: what ends a sentence
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,13 +74,24 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def build_index(items: list[tuple[int, str]]) -> Index | None:
-    texts = [(i, t) for i, t in items if t and t.split()]
-    hashed = []
-    for block in words.blocks(pa.array([t for _, t in texts], pa.string())):
+class Statistics(NamedTuple):
+    """Of all items with words: how many, their mean and greatest number of words, and terms with the items they are in."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray  #: sorted hashes, at least those of the index that is built
+    df: np.ndarray
+
+
+def build_index(items: list[tuple[int, str]], known: Statistics | None = None) -> Index | None:
+    """The index of some items; known: the statistics of all, if these are not all."""
+    ids, kept = [i for i, _ in items], []
+    for block in words.blocks(pa.array([t for _, t in items], pa.string())):
         found = words.split(block)
-        hashed += np.split(words.hashes(block, found), found.first[1:-1])
-    kept = [(i, t, h) for (i, t), h in zip(texts, hashed) if len(h)]
+        stops = np.isin(block.data[found.ends - 1], STOPS)
+        hashed = zip(np.split(stops, found.first[1:-1]), np.split(words.hashes(block, found), found.first[1:-1]))
+        kept += [(ids[block.first + k], s, h) for k, (s, h) in enumerate(hashed) if len(h)]
     if not kept:
         return None
     n = len(kept)
@@ -85,8 +100,10 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     pair, tf = np.unique(np.stack([np.concatenate([h for _, _, h in kept]), item.astype(np.uint64)], 1), axis=0, return_counts=True)
     items_of = pair[:, 1].astype(np.int64)
     terms, of, df = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    weight = idf[of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[items_of] / length.mean()))
+    known = known or Statistics(n, float(length.mean()), int(length.max()), terms, df)
+    of_all = known.df[np.searchsorted(known.terms, terms)]
+    idf = np.log(1 + (known.items - of_all + 0.5) / (of_all + 0.5))
+    weight = idf[of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[items_of] / known.mean))
     impact = weight / np.bincount(items_of, weight, n)[items_of]
     first = np.concatenate([[0], np.cumsum(df)])
     # blocks: runs of one term's postings with one number
@@ -96,17 +113,33 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     return Index(
         [i for i, _, _ in kept], terms, np.maximum.reduceat(impact, first[:-1]), df > n / 8, first, items_of, impact,
         np.searchsorted(starts, first), number[starts], np.maximum.reduceat(impact, starts), np.append(starts, len(impact)),
-        [shingle_hashes(h, k) for (_, _, h), k in zip(kept, size)], size, [_answer_at(t, len(h)) for _, t, h in kept], 2 * int(length.max()),
+        [shingle_hashes(h, k) for (_, _, h), k in zip(kept, size)], size, [_answer_at(s) for _, s, _ in kept], 2 * known.longest,
     )
 
 
-def _answer_at(text: str, n: int) -> int:
-    """The word at which an item's answer begins: the last sentence, or the last quarter."""
-    at, last = 0, 0
-    for k, w in enumerate(text.split()[:-1], 1):
-        if w[-1] in ".?!:":
-            last = k
-    return min(last or math.ceil(0.75 * n), n - 1)
+def _answer_at(stops: np.ndarray) -> int:
+    """The word at which an item's answer begins: the last sentence, or the last quarter. stops: words that end one."""
+    ends = np.flatnonzero(stops[:-1])
+    return min(int(ends[-1]) + 1 if len(ends) else math.ceil(0.75 * len(stops)), len(stops) - 1)
+
+
+def _terms_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's distinct terms."""
+    for batch in batches:
+        for block in words.blocks(batch.column("text")):
+            found = words.split(block)
+            part = np.repeat(batch.column("shard").slice(block.first, block.rows).to_numpy(), found.per_row)
+            h = words.hashes(block, found)
+            first = np.unique(np.stack([found.row.astype(np.uint64), h]), axis=1, return_index=True)[1] if len(h) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(h[first].view(np.int64))], ["shard", "term"])
+
+
+def _lengths_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of words of each item that has some."""
+    for batch in batches:
+        for block in words.blocks(batch.column("text")):
+            n = words.split(block).per_row
+            yield pa.RecordBatch.from_arrays([pa.array(n[n > 0])], ["words"])
 
 
 def spread(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,13 +242,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     shards = max(1, math.ceil(1.5 * chars / SHARD_CHARS)) if chars > SHARD_CHARS else 1
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    known = None
+    if shards > 1:
+        terms = shared.materialize(items.select("shard", "text").mapInArrow(_terms_task, "shard long, term long"), "decontaminate-terms")
+        once = items.select("text").mapInArrow(_lengths_task, "words long").agg(F.count("*").alias("n"), F.avg("words").alias("mean"), F.max("words").alias("longest")).first()
+        df = shared.materialize(terms.groupBy("term").agg(F.count("*").alias("df")), "decontaminate-df")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     out = None
     for shard in range(shards):
         # at most about SHARD_CHARS characters
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard) if shards > 1 else items
-        index = build_index([(r.item_id, r.text) for r in part.collect()])
+        part = items.filter(F.col("shard") == shard)
+        if shards > 1:
+            own = terms.filter(F.col("shard") == shard).select("term").distinct().join(df, "term").toPandas()  # at most a term for each two of those characters
+            order = np.argsort(own["term"].to_numpy(np.int64).view(np.uint64), kind="stable")
+            known = Statistics(once.n, once.mean or 0.0, once.longest or 0, own["term"].to_numpy(np.int64).view(np.uint64)[order], own["df"].to_numpy(np.int64)[order])
+        index = build_index([(r.item_id, r.text) for r in part.collect()], known)
         if index is None:
             continue
         sent = spark.sparkContext.broadcast(index)
@@ -246,6 +289,6 @@ def _task(sent, threshold: float):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows that hold an item."""
-    docs = shared.with_rows(docs, "__row")
-    found = leaks(docs, benchmark, text, "__row").select(F.col("doc_id").alias("__row")).distinct()
-    return docs.join(found, "__row", "left_anti").drop("__row")
+    docs, number = shared.with_rows(docs)
+    found = leaks(docs, benchmark, text, number).select(F.col("doc_id").alias(number)).distinct()
+    return docs.join(found, number, "left_anti").drop(number)

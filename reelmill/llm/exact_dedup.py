@@ -6,11 +6,12 @@ input partition, which folds local copies before anything is shuffled, and once
 group of copies, however large, reaches its shard as one row for each input partition.
 
 In an index a filter slot holds a 16-bit fingerprint; next to it the bucket holds the number of the stored key. A
-fingerprint hit counts only after the whole stored digest and content check agree. When an insertion finds no slot the
+fingerprint hit counts only after the whole stored digest (SHA-256) and content check agree. When an insertion finds no slot the
 table doubles and is filled again from the stored keys. Digests can be deleted: ``apply_changes`` keeps a written index
 up to date as documents come and go.
 
-Defined results: a null text is an empty one; empty texts are equal to each other; of equal texts the row with most code
+Defined results: a null text is an empty one; empty texts are equal to each other; a very long text is one digest like
+any other; of equal texts the row with most code
 points stays, then the smallest id (a null id comes last), then the first row read, so of rows repeated in full exactly
 one is kept; an empty table gives an empty result; other columns are carried or ignored and never read.
 """
@@ -182,7 +183,8 @@ def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """row, id, code points, digest and content check of every row, in narrow columns."""
     whole = F.coalesce(F.col(text), F.lit(""))
     norm = F.regexp_replace(whole, r"[\x20\x09-\x0D]+", "")
-    return with_rows(docs, "__row").select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("chars"), norm.alias("norm")).select(
+    docs, number = with_rows(docs)
+    return docs.select(F.col(number).alias("row"), F.col(key).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("chars"), norm.alias("norm")).select(
         "row", "doc_id", "chars", F.unhex(F.sha2("norm", 256)).alias("digest"), (F.xxhash64("norm") + F.length("norm")).alias("check")
     )
 
@@ -197,13 +199,28 @@ def build_index(rows: DataFrame) -> DataFrame:
     return local.repartition("digest").mapInArrow(_index_task, INDEX_SCHEMA)
 
 
-def apply_changes(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
-    """The index after keyed() rows leave and others come. A digest goes when its last row does; while others stay, its
-    representative stays named, and a later build_index() names a new one."""
+def apply_changes(index: DataFrame, live: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The index after keyed() rows leave and others come. live: the keyed() rows that index stands for. A digest goes when
+    its last row does. Where the row that stays is among the deleted ones, the best of those left takes its place: only
+    such digests' rows are looked up in live, by narrow rows and partial counts."""
     tag = lambda df, op: df.withColumn("op", F.lit(op))
     all_rows = tag(index, 0).unionByName(tag(_entries(deleted), 1)).unionByName(tag(_entries(inserted), 2))
-    schema = INDEX_SCHEMA
-    return all_rows.repartition("digest").sortWithinPartitions("op").mapInArrow(_change_task, schema)
+    changed = materialize(all_rows.repartition("digest").sortWithinPartitions("op").mapInArrow(_change_task, INDEX_SCHEMA), "dedup-index")
+    same = ["digest", "check", "chars", "doc_id"]
+    lost = _lost(index, deleted)
+    count = lambda df, sign: df.select(*same, "row", F.lit(sign).alias("d"))
+    left = count(live, 1).unionByName(count(deleted, -1)).unionByName(count(inserted, 1)).join(lost, ["digest", "check"], "left_semi")
+    left = left.groupBy(*same).agg(F.sum("d").alias("n"), F.min(F.when(F.col("d") > 0, F.col("row"))).alias("row")).filter("n > 0")
+    best = left.groupBy("digest", "check").agg(F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    new = lambda c, x: F.when(F.col("best").isNull(), F.col(c)).otherwise(x).alias(c)
+    return changed.join(best, ["digest", "check"], "left").select("digest", "check", "n_rows", new("keep_chars", -F.col("best.less")), new("keep_id", F.col("best.doc_id")), new("keep_row", F.col("best.row")))
+
+
+def _lost(index: DataFrame, deleted: DataFrame) -> DataFrame:
+    """digest, check of the index rows whose representative is among the deleted rows (one with its id and size is)."""
+    kept = index.select("digest", "check", F.struct("keep_chars", "keep_id").alias("kept"))
+    gone = deleted.select("digest", "check", F.struct(F.col("chars").alias("keep_chars"), F.col("doc_id").alias("keep_id")).alias("gone")).distinct()
+    return kept.join(gone, ["digest", "check"]).filter(F.col("kept").eqNullSafe(F.col("gone"))).select("digest", "check").distinct()
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -218,8 +235,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept."""
-    docs = with_rows(docs, "__row")
+    docs, number = with_rows(docs)
     whole = F.coalesce(F.col(text), F.lit(""))
     norm = F.regexp_replace(whole, r"[\x20\x09-\x0D]+", "")
-    rows = docs.select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("chars"), F.unhex(F.sha2(norm, 256)).alias("digest"), (F.xxhash64(norm) + F.length(norm)).alias("check"))
-    return docs.join(build_index(rows).select(F.col("keep_row").alias("__row")), "__row", "left_semi").drop("__row")
+    rows = docs.select(F.col(number).alias("row"), F.col(key).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("chars"), F.unhex(F.sha2(norm, 256)).alias("digest"), (F.xxhash64(norm) + F.length(norm)).alias("check"))
+    return docs.join(build_index(rows).select(F.col("keep_row").alias(number)), number, "left_semi").drop(number)

@@ -415,9 +415,12 @@ def common_bitmap(counted: DataFrame) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """row, doc_id, n_shingles, component_id, first_row (the row that stands for the component) for every row of docs."""
-    rows = (docs if "__row" in docs.columns else with_rows(docs, "__row")).select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id", number: str | None = None) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, first_row (the row that stands for the component) for every row of docs.
+    number: the column of with_rows(), if docs has it already."""
+    if number is None:
+        docs, number = with_rows(docs)
+    rows = docs.select(F.col(number).alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     wide = materialize(rows.mapInArrow(_sets_task(k, num, den), "row long, doc_id long, n long, one long, two long, head array<long>"), "jaccard-sets")
     rows = rows.select("row", "text")
     same = ["n", "one", "two"]
@@ -448,6 +451,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with the row of the least id of each component; documents without words all stay."""
-    docs = with_rows(docs, "__row")
-    kept = jaccard_components(docs, k, num, den, text, key).filter("row = first_row").select(F.col("row").alias("__row"))
-    return docs.join(kept, "__row", "left_semi").drop("__row")
+    docs, number = with_rows(docs)
+    kept = jaccard_components(docs, k, num, den, text, key, number).filter("row = first_row").select(F.col("row").alias(number))
+    return docs.join(kept, number, "left_semi").drop(number)

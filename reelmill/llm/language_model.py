@@ -11,8 +11,8 @@ Words are counted by 64-bit hashes. A counted word's code is its place in the sa
 known words never share one; bigrams are pairs of 32-bit codes, and unseen words have a code without counts. The order
 is two: a trigram model over all texts would shuffle and store more than four times the input.
 
-Defined results: a null text is an empty one and has the end token alone; repeated rows count and are scored each; with
-no training text every probability is uniform over one unknown word; an empty table gives an empty result; a null id
+Defined results: a null text is an empty one and has the end token alone; a very long text is worked on whole, as a block
+of its own; repeated rows count and are scored each; scores depend on no order, so there are no ties; with no training text every probability is uniform over one unknown word; an empty table gives an empty result; a null id
 counts as training text (its hash is null); other columns are never read.
 """
 
@@ -33,6 +33,7 @@ BEGIN, UNSEEN = np.uint64(0), np.uint64(0xFFFFFFFF)  #: codes of the context bef
 FOLD_BYTES = 8 << 20  #: text whose counts are folded before they leave a task
 WORD_PART_BYTES = 32 << 20  #: training text for each part of the words, about: so many folds' distinct words at most
 PART_ROWS = 1_000_000  #: bigram tokens in one part, about
+LEAST_PARTS = 16
 SHIFT = np.uint64(32)
 
 
@@ -200,7 +201,8 @@ def train(docs: DataFrame, text: str = "text") -> Lm:
         part = table.column("part")[0].as_py()
         keys, n = _sums(_column(table, "k").view(np.uint64), _column(table, "n"))
         _save(folder, f"word-{part}", keys, n)
-        top = np.argsort(-n, kind="stable")[:64]
+        # words that can be hot: the threshold below is at least this, whatever the other parts hold
+        top = np.flatnonzero(n > min(int(n.sum()) // (8 * LEAST_PARTS), PART_ROWS // 8)) if len(n) else n
         return pa.table({"part": [part], "tokens": [int(n.sum())], "kinds": [len(n)], "top": [top.tolist()], "top_n": [n[top].tolist()]}, schema=pa.schema([("part", pa.int32()), ("tokens", pa.int64()), ("kinds", pa.int64()), ("top", pa.list_(pa.int64())), ("top_n", pa.list_(pa.int64()))]))
 
     counted = rows.mapInArrow(_count_task("words", word_parts), "part int, k long, n long")
@@ -208,7 +210,7 @@ def train(docs: DataFrame, text: str = "text") -> Lm:
     total, vocabulary = sum(r.tokens for r in stats), sum(r.kinds for r in stats)
     if vocabulary >= UNSEEN:
         raise ValueError(f"{vocabulary} distinct words do not fit 32-bit codes")
-    parts = max(16, total // PART_ROWS)
+    parts = max(LEAST_PARTS, total // PART_ROWS)
     kinds = np.zeros(word_parts, np.int64)
     for r in stats:
         kinds[r.part] = r.kinds
@@ -227,8 +229,9 @@ def train(docs: DataFrame, text: str = "text") -> Lm:
         is_hot = np.isin(codes, hot)
         shared.write_array(folder, f"context-{part}.k", codes[~is_hot].astype(np.uint32))
         shared.write_array(folder, f"context-{part}.n", stat[~is_hot].astype(np.uint32).ravel())
-        shared.write_array(folder, f"hot-{part}", np.concatenate([codes[is_hot].astype(np.int64)[:, None], stat[is_hot]], 1).ravel())
-        shared.write_array(folder, f"counts-{part}", np.asarray(_counts_of_counts(n), np.int64))
+        # rows of a code and four sums: those of the part's hot contexts, and its counts of counts under a code of their own
+        sums = np.concatenate([codes[is_hot].astype(np.int64)[:, None], stat[is_hot]], 1)
+        shared.write_array(folder, f"sums-{part}", np.concatenate([sums, [[-1, *_counts_of_counts(n)]]]).astype(np.int64).ravel())
         word, before = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
         return pa.table({"part": (words.mix(word.view(np.uint64)) % np.uint64(word_parts)).astype(np.int32), "k": word, "n": before.astype(np.int64)})
 
@@ -241,21 +244,26 @@ def train(docs: DataFrame, text: str = "text") -> Lm:
     pairs = rows.mapInArrow(_count_task("pairs", parts, hot, folder, word_first), "part int, k long, n long").groupBy("part").applyInArrow(save_bigrams, "part int, k long, n long")
     after = [r.n for r in pairs.groupBy("part").applyInArrow(save_continuations, "n array<long>").collect()]  # a row for each part
 
-    # small files: four numbers, and the hot contexts' sums, of each part
-    here = [p for p in range(parts) if _exists(spark, f"{folder}/counts-{p}")]
-    of_pairs = np.sum([np.array(shared.map_array(folder, f"counts-{p}", np.int64)) for p in here] or [[0] * 4], axis=0)
-    hot_rows = np.concatenate([np.zeros((0, 5), np.int64), *[np.array(shared.map_array(folder, f"hot-{p}", np.int64)).reshape(-1, 5) for p in here]])
-    hot_stats = np.zeros((len(hot), 4), np.int64)
-    np.add.at(hot_stats, np.searchsorted(hot, hot_rows[:, 0].astype(np.uint64)), hot_rows[:, 1:])
+    # the parts' sums meet in Spark; a row for each hot context comes here
+    of_pairs, hot_stats = np.zeros(4, np.int64), np.zeros((len(hot), 4), np.int64)
+    if after:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "sums-*").load(folder).select("content")
+        for r in files.mapInArrow(_sums_task, "code long, a long, b long, c long, d long").groupBy("code").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect():
+            if r.code < 0:
+                of_pairs += r[1:]
+            else:
+                hot_stats[np.searchsorted(hot, np.uint64(r.code))] += r[1:]
     continuations, n1, n2, n3, n4, n3up = np.sum(after or [[0] * 6], axis=0).tolist()
     d1 = discounts(n1, n2, n3, n4)
     gamma1 = (d1[0] * n1 + d1[1] * n2 + d1[2] * n3up) / continuations if continuations else 1.0
     return Lm(folder, word_parts, parts, total, vocabulary, word_first, hot, hot_stats, discounts(*of_pairs.tolist()), d1, gamma1, continuations)
 
 
-def _exists(spark, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+def _sums_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column("content"):
+            rows = np.frombuffer(raw.as_py(), np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(5)], ["code", *"abcd"])
 
 
 class Scorer:

@@ -18,14 +18,16 @@ def held_out(key: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == fold, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int = SAMPLE, text: str = "text", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most rows documents outside the held-out fold, in the order of a hash of the id. Half the
-    rows may be of one label. Labels alone are ordered; then the texts of the chosen ids are fetched."""
+    rows may be of one label. Labels alone are ordered; then the texts of the chosen ids are fetched. Of rows with one id
+    the least text is taken, and of its labels the least."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).filter("doc_id is not null and y is not null").filter(~held_out("doc_id", folds, fold))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     half = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows // 2) for y in (0, 1)]
     chosen = F.broadcast(half[0].unionByName(half[1]))  # at most rows pairs
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).toPandas()
+    got = got.sort_values("doc_id")
     return got["text"].tolist(), got["y"].to_numpy(np.float32)
 
 

@@ -166,11 +166,11 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, seed: int = 1) ->
     return Quality(p, mean, scale, *learning.calibrated(logit, y[spare]))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = learning.SAMPLE) -> Quality:
-    return fit(*learning.labelled_sample(docs, labels, "quality", FOLDS, FOLD, rows))
+def train(docs: DataFrame, labels: DataFrame, rows: int = learning.SAMPLE, text: str = "text", key: str = "doc_id") -> Quality:
+    return fit(*learning.labelled_sample(docs, labels, "quality", FOLDS, FOLD, rows, text, key))
 
 
 def quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    model = train(docs, labels)
+    model = train(docs, labels, text=text, key=key)
     return learning.score_rows(docs, lambda: model.block, FOLDS, FOLD, text, key)

@@ -1,14 +1,17 @@
 """Secret scan through a trigram inverted index. DataFrame functions only.
 
-Each rule's regular expression gives a Boolean query over trigrams: a text that the rule matches must satisfy it.
-Postings (trigram, row) are written for the trigrams that some query names; per row the postings meet in a set, the
-queries are evaluated on it, and only a rule's candidates are verified with its expression. A rule whose expression
-forces no trigram (runs of hex digits) scans every text.
+Each rule's regular expression gives a Boolean query over trigrams: a text that the rule matches must satisfy it. The
+index holds postings (trigram, row) of the trigrams that some query names, written in order of the trigram. Each way of a
+clause is the intersection of its trigrams' postings, a clause the union of its ways, a rule the intersection of its
+clauses; rows are intersected by counting, for all rules in one pass over the postings that they name. Only a rule's
+candidates are verified with its expression. A rule whose expression forces no trigram (runs of hex digits) scans every
+text.
 
 Spans come from the same two native calls for every rule: the pieces between the matches and the matches themselves,
 whose lengths add up to code-point positions.
 
-Defined results: a null text is an empty one; an empty text has no spans and the digest of an empty string; repeated
+Defined results: a very long text is scanned whole; spans that begin at one place come in the rules' order; a null text
+is an empty one; an empty text has no spans and the digest of an empty string; repeated
 rows are scanned each; an empty table gives an empty result; other columns are never read.
 """
 
@@ -22,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, with_rows
+from .shared import drop, materialize, with_rows
 
 
 class Rule(NamedTuple):
@@ -145,27 +148,26 @@ def postings(rows: DataFrame, rules=RULES) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """row, kinds: the rules whose trigram query the row's postings satisfy."""
-    got = index.groupBy("row").agg(F.collect_set("trigram").alias("got"))
-    kinds = []
-    for rule in rules:
-        query = trigram_query(rule)
-        if not query:
-            continue
-        holds = F.lit(True)
-        for ors in query:
-            any_way = F.lit(False)
-            for ways in ors:
-                any_way |= F.size(F.array_except(F.array(*[F.lit(_name(rule, t)) for t in ways]), "got")) == 0
-            holds &= any_way
-        kinds.append(F.when(holds, F.lit(rule.kind)))
-    return got.select("row", F.array_compact(F.array(*kinds)).alias("kinds")).filter(F.size("kinds") > 0)
+    """row, kinds: the rules whose trigram query the postings satisfy."""
+    ways = [(r.kind, c, w, len(way), _name(r, t)) for r in rules for c, ors in enumerate(trigram_query(r)) for w, way in enumerate(ors) for t in way]
+    clauses = {r.kind: len(trigram_query(r)) for r in rules}
+    if not ways:
+        return index.select("row", F.array().cast("array<string>").alias("kinds")).limit(0)
+    # a few hundred rows that come from the rules alone
+    query = F.broadcast(index.sparkSession.createDataFrame(ways, "kind string, clause int, way int, size int, trigram string"))
+    held = index.join(query, "trigram").groupBy("row", "kind", "clause", "way", "size").agg(F.count("*").alias("n")).filter("n = size")
+    met = held.groupBy("row", "kind").agg(F.count_distinct("clause").alias("met"))
+    whole = F.create_map(*[x for k, n in clauses.items() for x in (F.lit(k), F.lit(n))])
+    return met.filter(F.col("met") == whole[F.col("kind")]).groupBy("row").agg(F.collect_set("kind").alias("kinds"))  # as many as there are rules
 
 
 def secret_scan(docs: DataFrame, rules=RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_<kind> of the base kinds, base_sha256, spans for every row of docs."""
-    rows = with_rows(docs, "__row").select(F.col("__row").alias("row"), F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    narrow = materialize(candidates(postings(rows, rules), rules), "secret-candidates")
+    docs, number = with_rows(docs)
+    rows = docs.select(F.col(number).alias("row"), F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    index = materialize(postings(rows, rules).sortWithinPartitions("trigram"), "secret-postings")
+    narrow = materialize(candidates(index, rules), "secret-candidates")
+    drop(index)
     full = [r for r in rules if not trigram_query(r)]
     scanned = {r.kind: spans(F.col("text"), _tight(r)) for r in full}
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")

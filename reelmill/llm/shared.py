@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 import shutil
 import tempfile
 import time
@@ -50,21 +49,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    _made.append(path)
     return out
 
 
-def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
-    """df with a number for each row that stays the same in every plan, however partitions are cut and whichever
-    executors are lost: a hash of the file and of the place in it. What is not a plain scan of files is written first.
-    (Numbers of a partition and a place in it change when Spark cuts a small scan anew for other cores.)"""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {m[1] for m in (re.match(r"[\s:+|-]*'?(\w+)", line) for line in plan.splitlines()) if m}
-    if not nodes <= {"Project", "Filter", "Relation"} or "Relation" not in nodes or not df.inputFiles():
+_made: list[str] = []  #: tables that materialize() has written and nothing has deleted
+
+
+def free_name(df: DataFrame, name: str = "__row") -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is one scan of files with projections and filters alone."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.children().isEmpty() and bool(df.inputFiles())
+
+
+def with_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a number for each row in a column of a free name, and that name. The number stays the same in every plan,
+    however partitions are cut and whichever executors are lost: a 64-bit hash of the file and of the place in it. What
+    is not a plain scan of files is written first. (Numbers of a partition and a place in it change when Spark cuts a
+    small scan anew for other cores.)"""
+    name = free_name(df)
+    if not _is_scan(df):
         df = materialize(df, "rows")
+    number = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
     try:
-        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+        return df.select("*", number), name
     except AnalysisException:  # the scan's own columns are hidden behind a projection
-        return materialize(df, "rows").select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+        return materialize(df, "rows").select("*", number), name
 
 
 def drop(df: DataFrame) -> None:
@@ -72,6 +92,20 @@ def drop(df: DataFrame) -> None:
     path = getattr(df, "_shared_path", None)
     if path:
         remove(df.sparkSession, path)
+        if path in _made:
+            _made.remove(path)
+
+
+def tables_made() -> int:
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Deletes the tables written after the first since of tables_made(), except the one that keep reads."""
+    mine = getattr(keep, "_shared_path", None)
+    for path in [p for p in _made[since:] if p != mine]:
+        remove(spark, path)
+        _made.remove(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -352,8 +352,10 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     all_places = materialize(rows.mapInArrow(_places_task(length), PLACES), "repeat-places")
     # most anchors are met once: they go before anything wide is grouped
     met = all_places.groupBy("anchor", "passage").agg(F.count("*").alias("c"), F.min("row").alias("least"), F.max("row").alias("most")).filter("if(passage, least <> most, c > 1)")
-    places = materialize(all_places.join(met.select("anchor", "passage"), ["anchor", "passage"], "left_semi"), "repeat-places")
+    met = materialize(met.select("anchor", "passage"), "repeat-anchors")  # read again, so that AQE can split a frequent anchor's rows in the join
+    places = materialize(all_places.join(met, ["anchor", "passage"], "left_semi"), "repeat-places")
     drop(all_places)
+    drop(met)
     del all_places, met
     release(rows.sparkSession)
     kinds = materialize(places.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "end", "windows", "passage")).alias("one"), F.max("row").alias("last")), "repeat-kinds")
@@ -385,7 +387,8 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shared, n_bytes, removed array<struct<start,end>>, kept binary for every row of docs."""
-    rows = with_rows(docs, "__row").select(F.col("__row").alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    docs, number = with_rows(docs)
+    rows = docs.select(F.col(number).alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     spans = repeats(rows.select("row", "text"), length)
     return rows.join(spans, "row", "left").select("doc_id", F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"), "text", "spans").mapInArrow(_cut_task, "doc_id long, n_shared long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 

@@ -304,8 +304,8 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, seed: int = 1) ->
     return Toxicity({k: np.asarray(v, np.float32) for k, v in p.items()}, slope, shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = learning.SAMPLE) -> Toxicity:
-    texts, y = learning.labelled_sample(docs, labels, "toxic", FOLDS, FOLD, rows)
+def train(docs: DataFrame, labels: DataFrame, rows: int = learning.SAMPLE, text: str = "text", key: str = "doc_id") -> Toxicity:
+    texts, y = learning.labelled_sample(docs, labels, "toxic", FOLDS, FOLD, rows, text, key)
     release(docs.sparkSession)
     model = fit(texts, y)
     release(docs.sparkSession)
@@ -314,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = learning.SAMPLE) -> To
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    return apply(docs, train(docs, labels), text, key)
+    return apply(docs, train(docs, labels, text=text, key=key), text, key)
 
 
 def apply(docs: DataFrame, model: Toxicity, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -324,6 +324,6 @@ def apply(docs: DataFrame, model: Toxicity, text: str = "text", key: str = "doc_
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that are predicted toxic."""
     model = train(docs, labels)
-    marked = with_rows(docs, "__row")
-    bad = apply(marked, model, key="__row").filter("predicted = 1").select(F.col("doc_id").alias("__row"))
-    return marked.join(bad, "__row", "left_anti").drop("__row")
+    marked, row = with_rows(docs)
+    bad = apply(marked, model, key=row).filter("predicted = 1").select(F.col("doc_id").alias(row))
+    return marked.join(bad, row, "left_anti").drop(row)

@@ -9,7 +9,8 @@ ruled pages that were kept out of the counts (a fifth, by id): the midpoint betw
 Characters fold to at most 40 symbols, so a model has at most 40**4 rows whatever the input: that is the bound of what
 is broadcast. Log ratios are kept in millionths as integers, so sums do not depend on their order.
 
-Defined results: a null URL, or one without ``://``, has empty host and path, meets no rule and is scored as its text
+Defined results: a very long URL is read whole; longest rules fit first and no two have one length and fit one URL, so
+there are no ties; a null URL, or one without ``://``, has empty host and path, meets no rule and is scored as its text
 (null as empty); without pages of both classes every ratio is 0, the threshold is 0 and the verdict is allow; repeated
 rows are judged each; an empty table gives an empty result; other columns are never read.
 """
@@ -76,9 +77,37 @@ def ratios(seen: DataFrame, min_context: int = MIN_CONTEXT, alpha: float = ALPHA
     return out.select("g", F.round(SCALE * (F.ln("pa") - F.ln("pr"))).cast("long").alias("llr"))
 
 
+def medians(rows: DataFrame, step: int = 4096) -> dict[str, float]:
+    """The exact median of v for each action. Counts of values go through two histograms, of steps and then of the values
+    in the steps that hold the middle, so no task gathers one action's rows. rows: action, v (long)."""
+    found = materialize(rows.groupBy("action", "v").agg(F.count("*").alias("n")), "url-ratios")
+    low = F.floor(F.col("v") / step).cast("long").alias("low")
+    # ratios lie within the log of the smallest probability, so there are some ten thousand steps at most
+    coarse = found.groupBy("action", low).agg(F.sum("n").alias("n")).orderBy("action", "low").collect()
+    out = {}
+    for action in {r.action for r in coarse}:
+        own, total = [r for r in coarse if r.action == action], sum(r.n for r in coarse if r.action == action)
+        middle = [(total - 1) // 2, total // 2]  # places from 0
+        values = []
+        for place in middle:
+            before = 0
+            for r in own:
+                if place < before + r.n:
+                    break
+                before += r.n
+            for x in found.filter((F.col("action") == action) & (low == r.low)).groupBy("v").agg(F.sum("n").alias("n")).orderBy("v").collect():  # at most step rows
+                before += x.n
+                if place < before:
+                    values.append(x.v)
+                    break
+        out[action] = sum(values) / 2
+    return out
+
+
 def url_filter(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, verdict, ratio (millionths a character) for every row of pages."""
-    base = with_rows(pages, "__row").select(F.col("__row").alias("row"), F.col(key).alias("page_id"), F.col(url).alias("__url"))
+    pages, number = with_rows(pages)
+    base = pages.select(F.col(number).alias("row"), F.col(key).alias("page_id"), F.col(url).alias("__url"))
     host, path = host_and_path(F.col("__url"))
     base = base.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
@@ -92,8 +121,7 @@ def url_filter(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page
     sums = grams(base, ["row"]).join(model, "g").groupBy("row").agg(F.sum("llr").alias("llr"), F.count("*").alias("n"))
     scored = materialize(base.join(sums, "row").select("page_id", "host", "path", "rule", "action", "held", (F.col("llr") / F.col("n")).alias("ratio")), "url-scores")
 
-    middle = scored.filter("held and action is not null").groupBy("action").agg(F.percentile(F.round("ratio"), F.lit(0.5)).alias("m"))
-    middles = {r.action: r.m for r in middle.collect()}  # two rows
+    middles = medians(scored.filter("held and action is not null").select("action", F.round("ratio").cast("long").alias("v")))
     threshold = (middles["allow"] + middles["block"]) / 2 if len(middles) == 2 else 0.0
     verdict = F.coalesce("action", F.when(F.col("ratio") >= threshold, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "ratio")

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from reelmill.llm import components, exact_dedup, jaccard_join, suffix_dedup, words as W
+from reelmill.llm import components, decontaminate, exact_dedup, jaccard_join, suffix_dedup, words as W
 
 from .common import frame, sample, words
 
@@ -51,9 +51,21 @@ def test_cuckoo_index_grows_deletes_and_verifies():
 
 def test_index_changes(spark):
     keyed = lambda rows: exact_dedup.keyed(frame(spark, rows))
-    index = exact_dedup.build_index(keyed([(1, "a"), (2, "a"), (3, "b")]))
-    after = exact_dedup.apply_changes(index, keyed([(4, "c"), (5, "a")]), keyed([(1, "a"), (3, "b")]))
-    assert sorted(r.n_rows for r in after.collect()) == [1, 2]
+    live = keyed([(1, "a"), (2, "a"), (3, "b"), (6, "d"), (6, "d"), (7, "d "), (8, "e"), (None, "e")])
+    index = exact_dedup.build_index(live)
+    after = exact_dedup.apply_changes(index, live, keyed([(4, "c"), (5, "a"), (9, "d")]), keyed([(1, "a"), (3, "b"), (7, "d "), (8, "e")]))
+    # a: 1 gave way to 2; b went; d: 7, the longest, gave way to 6, which is there twice; e: the row without an id is left
+    assert sorted((r.n_rows, r.keep_chars, str(r.keep_id)) for r in after.collect()) == [(1, 1, "4"), (1, 1, "None"), (2, 1, "2"), (3, 1, "6")]
+    again = exact_dedup.apply_changes(index, live, keyed([]), keyed([(6, "d"), (2, "a")]))
+    assert sorted((r.n_rows, str(r.keep_id)) for r in again.collect()) == [(1, "1"), (1, "3"), (2, "7"), (2, "8")]
+
+
+def test_columns_named_like_the_row_numbers(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 6), (1, "a b c d e f", 5, 6), (2, "x", 5, 6)], "doc_id long, text string, __row long, ___ROW long")
+    for fn in (exact_dedup.drop_exact_copies, jaccard_join.drop_near_copies):
+        assert sorted(tuple(r) for r in fn(docs).collect()) == [(1, "a b c d e f", 5, 6), (2, "x", 5, 6)]
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.drop_leaks(docs, items).collect()] == [(2, "x", 5, 6)]
 
 
 def brute_components(rows, k, num, den):

@@ -29,7 +29,52 @@ def test_leaks(spark):
     long = " ".join(f"term{i}" for i in range(70)) + ". The end is near now"
     edited = ITEMS[0][1].replace("clear", "grey")
     rows = [(1, filler), (2, filler + " " + ITEMS[0][1].upper() + " " + filler), (3, filler + "\n" + long), (4, None), (5, ""), (6, "short one"), (7, filler + " " + edited), (8, "What colour has the sky on a"), (9, "x a second text of item four that says other things than before did y"), (2, ITEMS[0][1])]
-    assert leaking(spark, rows) == [(2, 0), (2, 0), (3, 4), (6, 1), (9, 4)] or leaking(spark, rows) == [(2, 0), (2, 0), (3, 4), (6, 1), (7, 0), (9, 4)]
+    assert leaking(spark, rows) == [(2, 0), (2, 0), (3, 4), (6, 1), (9, 4)]  # 7 holds 8 of the item's 13 shingles
+
+
+def brute_leaks(rows, items, threshold=0.5):
+    """Every window of every document against every item, with plain dictionaries."""
+    kept = [(i, words(t), [w[-1] for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]) for i, t in items if words(t)]
+    n, mean, longest = len(kept), sum(len(w) for _, w, _ in kept) / len(kept), max(len(w) for _, w, _ in kept)
+    df = Counter(x for _, w, _ in kept for x in set(w))
+    out = {}
+    for doc, text in rows:
+        own = words(text)
+        for begin in range(0, max(len(own), 1), longest):
+            passage = own[begin : begin + 2 * longest]
+            for item, w, last in kept:
+                impact = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in Counter(w).items()}
+                score = sum(v for x, v in impact.items() if x in set(passage)) / sum(impact.values())
+                k = min(5, len(w))
+                have = {tuple(passage[j : j + k]) for j in range(len(passage) - k + 1)}
+                held = [tuple(w[j : j + k]) in have for j in range(len(w) - k + 1)]
+                covered = [any(held[max(j - k + 1, 0) : j + 1]) for j in range(len(w))]
+                stops = [j + 1 for j in range(len(w) - 1) if last[j] in ".?!:"]
+                answer = min(stops[-1] if stops else math.ceil(0.75 * len(w)), len(w) - 1)
+                part = lambda x: sum(x) / len(x) if x else 1.0
+                found = (score, part(held), part(covered[:answer]), part(covered[answer:]))
+                if score >= threshold - 1e-9 and found[1] >= 0.8 and min(found[2:]) >= 0.5:
+                    out[doc, item] = max(out.get((doc, item), found), found)
+    return out
+
+
+@pytest.mark.parametrize("chars", [10**7, 300])
+def test_leaks_as_by_brute_force(spark, monkeypatch, chars):
+    import random
+
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", chars)
+    rng = random.Random(11)
+    draw = lambda n: " ".join(rng.choices([f"v{i}" for i in range(60)], k=n))
+    items = [(i, draw(rng.randint(1, 40)) + rng.choice(["", ". ", "? ", "\u00a0x: "]) + draw(rng.randint(0, 9))) for i in range(30)] + [(31, None), (32, "")]
+    rows = [(i, t) for i, t in sample(9, 30)]
+    for i in range(120):
+        w = items[rng.randrange(30)][1].split(" ")
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((1000 + i, draw(rng.randint(0, 90)) + " " + " ".join(w).upper() + "\t" + draw(rng.randint(0, 90))))
+    got = decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(rows, items)
+    assert len(want) > 20 and {(r.doc_id, r.item_id): (r.score, r.overlap, r.question_overlap, r.answer_overlap) for r in got} == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
 
 
 def test_leaks_of_empty_tables(spark):
@@ -90,6 +135,14 @@ def test_trigram_queries():
     assert any("PRI" in ways for ors in by["pem"] for ways in ors)
 
 
+def test_postings_are_intersected(spark):
+    rows = spark.createDataFrame([(1, "to ok ke ken"), (2, "a token"), (3, "xAKIAx"), (4, "AKI KIA password"), (5, "")], "row long, text string")
+    index = secrets.postings(rows)
+    assert {r.row for r in index.filter("trigram = 'c:KIA'").collect()} == {3, 4}
+    got = {r.row: set(r.kinds) for r in secrets.candidates(index).collect()}
+    assert got == {2: {"assign"}, 3: {"access"}, 4: {"access", "assign"}}
+
+
 # ---- language model
 
 
@@ -166,6 +219,16 @@ def test_word_parts_grow_with_the_input(spark, monkeypatch):
     assert [(r.base_score, r.score) for r in got] == [pytest.approx(want[r.doc_id][2:4], rel=1e-9) for r in got]
 
 
+def test_every_frequent_context_is_hot(spark, monkeypatch):
+    """More frequent words in one part than any fixed number of places."""
+    monkeypatch.setattr(language_model, "LEAST_PARTS", 40)
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(180))) for i in range(60)]
+    lm = language_model.train(frame(spark, rows))
+    assert len(lm.hot) == 92 and lm.hot_stats[:, 0].sum() == lm.train_tokens
+    want = brute_lm(rows)
+    assert [(r.base_score, r.score) for r in language_model.lm_scores(frame(spark, rows)).collect()] == [pytest.approx(want[i][2:4], rel=1e-9) for i in [r.doc_id for r in language_model.lm_scores(frame(spark, rows)).collect()]]
+
+
 def test_language_model_without_rows(spark):
     assert language_model.lm_scores(frame(spark, [])).count() == 0
     lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
@@ -268,6 +331,15 @@ def test_urls(spark):
     assert got[len(urls) - 2].verdict == "block" and got[len(urls) - 1].verdict == "allow"
 
 
+def test_medians(spark):
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 2), (50, 301), (400, 7)):
+        values = {"allow": rng.integers(-30_000, 30_000, n), "block": rng.integers(-50, 50, m)}
+        rows = spark.createDataFrame([(a, int(v)) for a, x in values.items() for v in x], "action string, v long")
+        assert url_filter.medians(rows, 512) == {a: float(np.median(x)) for a, x in values.items()}
+    assert url_filter.medians(spark.createDataFrame([], "action string, v long")) == {}
+
+
 def test_urls_without_rules(spark):
     schema = "page_id long, url string"
     assert url_filter.url_filter(spark.createDataFrame([], schema)).count() == 0
