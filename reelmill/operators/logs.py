@@ -20,9 +20,10 @@ def call_reliability(calls: DataFrame, by: str = "label", wall: str | None = Non
     return calls.groupBy(by).agg(*out, *([F.sum(wall).alias("wall_s")] if wall else []))
 
 
-def missing_chunks(received: DataFrame) -> DataFrame:
-    """Chunks of each upload that have not come. received: upload_id, idx, total_chunks."""
-    wanted = received.groupBy("upload_id").agg(F.max("total_chunks").alias("n")).filter("n > 0").select("upload_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
+def missing_chunks(uploads: DataFrame, received: DataFrame) -> DataFrame:
+    """Chunks of each upload that have not come, of which there may be all. uploads: upload_id, total_chunks; received:
+    upload_id, idx."""
+    wanted = uploads.groupBy("upload_id").agg(F.max("total_chunks").alias("n")).filter("n > 0").select("upload_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
     return wanted.join(received.select("upload_id", "idx"), ["upload_id", "idx"], "left_anti")
 
 
@@ -42,10 +43,11 @@ def retention_report(files: DataFrame, approved: DataFrame, now: Column, source_
 
 
 def with_transcript(uploads: DataFrame, names: DataFrame, suffix: str) -> DataFrame:
-    """Whether a file named like the upload's stem and ending in suffix exists."""
-    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
-    have = names.filter(F.col("name").endswith(suffix)).select(stem(F.col("name")).alias("__stem")).distinct().withColumn("has_transcript", F.lit(True))
-    return uploads.withColumn("__stem", stem(F.col("name"))).join(have, "__stem", "left").drop("__stem").withColumn("has_transcript", F.coalesce("has_transcript", F.lit(False)))
+    """Whether a file whose name begins with the upload's stem and ends in suffix exists. Each such name stands for all its
+    beginnings, of which a file name has few, so that the join is on equal keys."""
+    size = F.length("name") - len(suffix)
+    have = names.filter(F.col("name").endswith(suffix) & (size > 0)).select(F.explode(F.transform(F.sequence(F.lit(1), size), lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("__stem")).distinct().withColumn("has_transcript", F.lit(True))
+    return uploads.withColumn("__stem", F.regexp_replace("name", r"\.[^.]*$", "")).join(have, "__stem", "left").drop("__stem").withColumn("has_transcript", F.coalesce("has_transcript", F.lit(False)))
 
 
 def publish_fault(size: Column, duration_s: Column, max_mb: float = 100, min_s: float = 3, max_s: float = 900) -> Column:
@@ -55,8 +57,9 @@ def publish_fault(size: Column, duration_s: Column, max_mb: float = 100, min_s:
     return F.coalesce(F.when(size.isNull(), "missing"), F.when(mb > max_mb, "too large"), F.when(has & (duration_s < min_s), "too short"), F.when(has & (duration_s > max_s), "too long"))
 
 
-def file_fault(name: Column, size: Column, width: Column, height: Column) -> Column:
-    return F.coalesce(F.when(~F.lower(name).rlike(r"\.(mp4|mov|mkv|m4v|webm|avi)$"), "suffix"), F.when(F.coalesce(size, F.lit(0)) <= 0, "empty"), F.when((F.coalesce(width, F.lit(0)) <= 0) | (F.coalesce(height, F.lit(0)) <= 0), "dimensions"))
+def file_fault(name: Column, size: Column, width: Column, height: Column, duration_s: Column, max_s: float = 90) -> Column:
+    """The first reason why a file can't be an outro, or null."""
+    return F.coalesce(F.when(~F.lower(name).rlike(r"\.(mp4|mov|mkv|m4v|webm|avi)$"), "suffix"), F.when(F.coalesce(size, F.lit(0)) <= 0, "empty"), F.when(duration_s > max_s, "too long"), F.when((F.coalesce(width, F.lit(0)) <= 0) | (F.coalesce(height, F.lit(0)) <= 0), "dimensions"))
 
 
 def scope_eta(clips: DataFrame, key: str, duration_s: Column, speed: float = 1.80) -> DataFrame:
@@ -65,6 +68,13 @@ def scope_eta(clips: DataFrame, key: str, duration_s: Column, speed: float = 1.8
     return clips.groupBy(key).agg(F.count("*").alias("all"), F.count_if(F.col("decision") != "rejected").alias("keeping"), F.count_if(F.col("decision") == "approved").alias("approved"), F.greatest(F.lit(1.0), F.bround(total / speed / 60)).cast("long").alias("eta_minutes"))
 
 
+def relook_plan(eta: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """scope_eta() rows with the recording's source file, and whether there still is one, so that nothing is encoded twice.
+    sources: key, source."""
+    one = sources.groupBy(key).agg(F.min("source").alias("source"))
+    return eta.join(one, key, "left").withColumn("lossless", F.col("source").isNotNull())
+
+
 def review_tallies(clips: DataFrame, key: str, states: list[str]) -> DataFrame:
     return clips.groupBy(key).pivot("decision", states).agg(F.count(F.lit(1))).na.fill(0)
 

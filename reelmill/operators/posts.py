@@ -63,6 +63,26 @@ def split_rejections(rows: DataFrame, verdicts: tuple[str, ...], reasons: tuple[
     return rows.withColumn("fault", F.coalesce(F.when(~F.col("verdict").isin(*verdicts) | F.col("verdict").isNull(), "verdict"), F.when((F.col("verdict") == "rejected") & ~F.coalesce(F.col("reason").isin(*reasons), F.lit(False)), "reason")))
 
 
+def newest(posts: DataFrame, tie: list[str], n: int) -> DataFrame:
+    """The last n posts, newest first."""
+    return posts.orderBy(F.desc("ts"), *tie).limit(n)
+
+
+def learning_pack(rejected: DataFrame, posts: DataFrame, order: str, keys: list[str], hooks: int = 20) -> DataFrame:
+    """What the tuner is shown, as section, key, body, n: notes of each reason, the first rejected hooks, and the best and
+    worst posts by views. rejected: reason, note, hook; posts: hook, views, saves, slot_at, has_metrics."""
+    notes = first_notes(rejected, "reason", "note", order).select(F.lit("notes").alias("section"), F.col("reason").alias("key"), F.col("notes").alias("body"), "n")
+    joined = lambda place, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place, line.alias("line")))), lambda x: x["line"]), "\n")
+    first = rejected.filter(F.trim("hook") != "").orderBy(order).limit(hooks)
+    shown = first.agg(joined([F.col(order)], F.substring(F.trim("hook"), 1, 120)).alias("body"), F.count("*").alias("n")).select(F.lit("hooks").alias("section"), F.lit(None).cast("string").alias("key"), "body", "n")
+    views = F.coalesce("views", F.lit(0.0))
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    line = F.concat(F.substring("hook", 1, 90), F.lit(" :: views="), known("views"), F.when(F.col("side") == "best", F.concat(F.lit(" saves="), known("saves"))).otherwise(""), F.lit(" slot="), F.substring(F.coalesce("slot_at", F.lit("")), 12, 5))
+    sign = F.when(F.col("side") == "best", -1.0).otherwise(1.0)
+    ends = best_and_worst(posts, views, keys).groupBy(F.col("side").alias("section")).agg(joined([(sign * views).alias("place"), *keys], line).alias("body"), F.count("*").alias("n")).select("section", F.lit(None).cast("string").alias("key"), "body", "n")
+    return notes.unionByName(shown).unionByName(ends)
+
+
 def first_notes(rows: DataFrame, reason: str, note: str, order: str, n: int = 6) -> DataFrame:
     """The first n non-blank notes of each reason, as one text."""
     good = rows.filter(F.trim(note) != "").withColumn("k", F.row_number().over(Window.partitionBy(reason).orderBy(order))).filter(F.col("k") <= n)

@@ -93,8 +93,8 @@ def within(m: dict[str, tuple[float, float]]) -> Column:
 
 
 def frame_boxes(boxes: DataFrame) -> DataFrame:
-    """Per clip and frame: span of all boxes, the tallest one's centre, boxes."""
-    return boxes.groupBy("clip", "t").agg(F.min("x").alias("left"), F.max(F.col("x") + F.col("w")).alias("right"), F.max_by(F.struct((F.col("x") + F.col("w") / 2).alias("cx"), "h"), F.struct("h", "x", "w")).alias("big"), F.count("*").alias("n")).select("clip", "t", "left", "right", (F.col("right") - F.col("left")).alias("span"), F.col("big.cx").alias("cx"), F.col("big.h").alias("big_h"), "n")
+    """Per clip and frame: span and midpoint of all boxes, the tallest one's centre, eye line and height, boxes."""
+    return boxes.groupBy("clip", "t").agg(F.min("x").alias("left"), F.max(F.col("x") + F.col("w")).alias("right"), F.max_by(F.struct((F.col("x") + F.col("w") / 2).alias("cx"), "h", (F.col("y") + F.col("h") * 0.42).alias("eye")), F.struct("h", "x", "w")).alias("big"), F.count("*").alias("n")).select("clip", "t", "left", "right", (F.col("right") - F.col("left")).alias("span"), ((F.col("left") + F.col("right")) / 2).alias("mid"), F.col("big.cx").alias("cx"), F.col("big.eye").alias("eye"), F.col("big.h").alias("big_h"), "n")
 
 
 def track_decision(frames: DataFrame, width: float, crop_share: float) -> DataFrame:
@@ -103,6 +103,12 @@ def track_decision(frames: DataFrame, width: float, crop_share: float) -> DataFr
     return frames.groupBy("clip").agg((mean < crop_share * 0.9).alias("both_fit"), F.greatest(F.lit(0.35), F.least(F.lit(1.0), F.avg("big_h") / 50)).alias("crop"))
 
 
+def centred(frames: DataFrame, width: float, crop_share: float) -> DataFrame:
+    """Frames with the place to centre on: the midpoint where all faces of the clip fit the crop, else the tallest face."""
+    fit = F.avg("span").over(Window.partitionBy("clip")) / width < crop_share * 0.9
+    return frames.withColumn("centre", F.when(fit, F.col("mid")).otherwise(F.col("cx")))
+
+
 def smoothed(points: DataFrame, key: str, order: str, value: str, alpha: float = 0.35) -> DataFrame:
     """Exponential smoothing in order, seeded with the first value, and until when each value holds (null: to the end)."""
     got = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("x"))

@@ -16,7 +16,7 @@ class Scorer(Protocol):
 
 
 def reply_scorer(replies: DataFrame, keys: list[str]) -> Scorer:
-    """Scores from a table of replies; of several for a candidate, the last batch wins."""
+    """Scores from a table of replies; of several for a candidate, the last of the last batch wins."""
     return lambda candidates: candidates.join(last_replies(replies, keys), keys)
 
 
@@ -35,9 +35,10 @@ def python_scorer(schema: str, task: Callable) -> Scorer:
     return lambda candidates: candidates.mapInPandas(task, schema)
 
 
-def last_replies(replies: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:
-    rest = [c for c in replies.columns if c not in (*keys, batch)]
-    return replies.groupBy(*keys).agg(F.max_by(F.struct(*rest), batch).alias("r")).select(*keys, "r.*")
+def last_replies(replies: DataFrame, keys: list[str], order: tuple[str, ...] = ("batch", "pos")) -> DataFrame:
+    """The last reply of each candidate by batch and place in it."""
+    rest = [c for c in replies.columns if c not in (*keys, *order)]
+    return replies.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
 def passing(replies: DataFrame, floor: int = 45) -> DataFrame:
@@ -93,11 +94,11 @@ def top_k(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
 def shortlisted(pool: DataFrame, picks: DataFrame, key: str, ids: list[str], keep: int) -> DataFrame:
     """Picked rows of the pool in the picks' order, at most keep; where a group's picks hit nothing, its best keep by
     rank. picks: key, ids, pick_order, why."""
-    hit = pool.join(picks, [key, *ids])
-    hit = hit.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("pick_order")).cast("long")).filter(F.col("place") <= keep)
-    rest = pool.join(hit.select(key).distinct(), key, "left_anti").filter(F.col("rank") <= keep).withColumn("place", F.col("rank")).withColumn("why", F.lit(None).cast("string"))
-    cols = [key, *ids, "score", "place", "why"]
-    return hit.select(*cols).unionByName(rest.select(*cols))
+    group = Window.partitionBy(key)
+    both = pool.join(picks.withColumn("__hit", F.lit(True)), [key, *ids], "left").withColumn("__any", F.max("__hit").over(group))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(F.col("__hit").asc_nulls_last(), "pick_order")).cast("long")
+    placed = both.withColumn("place", F.when(F.col("__any").isNull(), F.col("rank")).otherwise(turn))
+    return placed.filter((F.col("place") <= keep) & (F.col("__hit").isNotNull() | F.col("__any").isNull())).select(key, *ids, "score", "place", "why")
 
 
 def with_captions(clips: DataFrame, captions: DataFrame, keys: list[str]) -> DataFrame:

@@ -85,7 +85,7 @@ def deck(clips: DataFrame, key: list[str], topic: Column, start_ms: Column, seed
     """Undecided clips in an order that keeps topic and five-minute stretch apart: each pair of them takes turns, by a
     hash of the clip and the seed, so the order is the same however the rows are partitioned."""
     bucket = F.floor(start_ms / 300_000)
-    x = clips.withColumns({"topic": topic, "stretch": bucket, "h": F.xxhash64(*key, F.lit(seed))})
+    x = clips.withColumns({"topic": topic, "stretch": bucket, "h": F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))})
     turn = F.row_number().over(Window.partitionBy("channel", "topic", "stretch").orderBy("h", *key))
     x = x.withColumn("turn", turn)
     return x.withColumn("place", F.row_number().over(Window.partitionBy("channel").orderBy("turn", "topic", "stretch")).cast("long")).drop("turn", "h")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_any
+from ..functions.text import collapsed, has_any
 
 
 def enumerate_windows(segments: DataFrame, key: str, start_ok: Column, end_ok: Column, min_ms: int, max_ms: int, stride: int = 1) -> DataFrame:
@@ -24,12 +24,19 @@ def enumerate_windows(segments: DataFrame, key: str, start_ok: Column, end_ok: C
     return a.join(b, [key, "__b"]).filter((F.col("seg_to") >= F.col("seg_from")) & span.between(min_ms, max_ms)).select(key, "seg_from", "seg_to", "start_ms", "end_ms")
 
 
-def with_text(windows: DataFrame, segments: DataFrame, key: str) -> DataFrame:
-    """Windows with their joined text. A recording's texts travel once, as one array, since cues may cross a segment's
-    edge."""
-    texts = segments.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda x: x["text"]).alias("__texts"))  # one recording's segments
+def spoken(segments: DataFrame, key: str) -> DataFrame:
+    """Segments without blank ones, numbered anew."""
+    some = segments.filter(collapsed(F.col("text")) != "")
+    return some.withColumn("seg", (F.row_number().over(Window.partitionBy(key).orderBy("seg")) - 1).cast("long"))
+
+
+def with_text(windows: DataFrame, segments: DataFrame, key: str, max_ms: int) -> DataFrame:
+    """Windows of at most max_ms with their joined text, since cues may cross a segment's edge. A window's row carries the
+    texts of the segments that begin within max_ms of its first one, not those of the recording."""
+    ahead = F.collect_list("text").over(Window.partitionBy(key).orderBy("start_ms").rangeBetween(0, max_ms))
+    texts = segments.select(key, F.col("seg").alias("seg_from"), ahead.alias("__texts"))
     size = (F.col("seg_to") - F.col("seg_from") + 1).cast("int")
-    return windows.join(texts, key).withColumn("text", F.array_join(F.slice("__texts", (F.col("seg_from") + 1).cast("int"), size), " ")).drop("__texts")
+    return windows.join(texts, [key, "seg_from"]).withColumn("text", F.array_join(F.slice("__texts", F.lit(1), size), " ")).drop("__texts")
 
 
 def flagged(windows: DataFrame, aha: Sequence[str], recital: Sequence[str]) -> DataFrame:

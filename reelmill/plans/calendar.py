@@ -111,5 +111,5 @@ QUERIES = {
  select s.clip, a.decision, case when a.decision='rejected' then a.reason end as reason, case when a.decision='rejected' then substr(a.note,1,500) end as note, (select min(ts) from r where r.clip=s.clip and decision='approved' and (s.reset is null or ts>s.reset)) as approved_at, case when p.event_id%2=0 then p.event_id end as pin, coalesce(e.event_id%2=0,false) as posted
  from s left join r a on a.clip=s.clip and a.ts=s.dt left join r p on p.clip=s.clip and p.ts=s.pt left join r e on e.clip=s.clip and e.ts=s.et""",
     ),
-    "deck": (deck, None),
+    "deck": (deck, with_views("clips", "+c as (select 'ch'||(doc_id%20)||profile as channel, doc_id, seg_from, seg_to, 't'||(doc_id%7) as topic, start_ms//300000 as stretch, md5(doc_id||'-'||seg_from||'-'||seg_to||'-11') as h from clips where decision='pending'), t as (select *, row_number() over (partition by channel, topic, stretch order by h, doc_id, seg_from, seg_to) as turn from c) select channel, doc_id, seg_from, seg_to, topic, stretch, row_number() over (partition by channel order by turn, topic, stretch) as place from t")),
 }

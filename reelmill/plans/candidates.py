@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import corrected, post_text, safe_filename, stamp
+from ..functions.text import bucket, ceil_div, collapsed, corrected, post_text, safe_filename, shortened, stamp, word_count
 from ..operators.captions import caption_cards, emphasis_windows, sample_times
-from ..operators.windows import flagged, numbered, suppress_overlaps, with_text, words_in_clips
+from ..operators.windows import flagged, numbered, spoken, suppress_overlaps, with_text, words_in_clips
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views
-from ..sources.readers import cues_of, flatten_transcripts
+from ..sources.readers import cues_of, flatten_transcripts, table
 from ..sources.sinks import latest_entities, subtitle_text
 
 # The test tables hold invented text, in which these occur.
@@ -26,6 +26,17 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return fx.words(spark, d)
 
 
+def spoken_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth segment is blank."""
+    s = fx.segments(spark, d).withColumn("text", F.when(F.col("seg") % 5 == 1, " ").otherwise(F.col("text")))
+    return spoken(s, "doc_id").select("doc_id", "seg", "start_ms", F.length("text").cast("long").alias("size"))
+
+
+def text_measures(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_chars")
+    return table(spark, d, "documents").select("doc_id", word_count(F.col("text")).alias("n_words"), bucket(n, 100).alias("hundred"), ceil_div(n, F.lit(60)).alias("lines"), shortened(collapsed(F.col("text")), 40).alias("head"))
+
+
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
     """Nested transcripts are built and flattened again."""
     seg = fx.segments(spark, d).withColumn("ws", F.split("text", " "))
@@ -47,7 +58,7 @@ def candidate_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, d: str) -> DataFrame:
-    return flagged(with_text(fx.windows(spark, d), fx.segments(spark, d), "doc_id"), AHA, RECITAL).drop("text")
+    return flagged(with_text(fx.windows(spark, d), fx.segments(spark, d), "doc_id", 80_000), AHA, RECITAL).drop("text")
 
 
 def clip_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -115,6 +126,8 @@ _FIRST = ", one as (select doc_id, min(struct_pack(start_ms,end_ms,seg_from,seg_
 _FIX = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x},'\\bthe\\b','der','gi'),'\\bder\\b','DER$1','gi'),'\\bof\\b','o\\\\f','gi')"
 
 QUERIES = {
+    "spoken_segments": (spoken_segments, with_views("segments", "+s as (select doc_id, seg, start_ms, case when seg%5=1 then ' ' else text end as text from segments) select doc_id, row_number() over (partition by doc_id order by seg)-1 as seg, start_ms, length(text) as size from s where trim(text)<>''")),
+    "text_measures": (text_measures, "with c as (select doc_id, n_chars, trim(regexp_replace(coalesce(text,''),'\\s+',' ','g')) as t from documents) select doc_id, case when t='' then 0 else len(string_split(t,' ')) end::bigint as n_words, n_chars//100 as hundred, ceil(n_chars/60.0)::bigint as lines, substr(t,1,40) as head from c"),
     "segments": (segments, with_views("segments", "select doc_id, seg, text, start_ms, end_ms from segments")),
     "words": (words, with_views("words", "select doc_id, pos, w, start_ms, end_ms from words")),
     "transcripts": (transcripts, with_views("segments", "select doc_id::varchar as job_id, seg, start_ms, end_ms, text, len(string_split(text,' ')) as n_words, end_ms as last_ms from segments")),

@@ -52,7 +52,8 @@ def level_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def frame_boxes(spark: SparkSession, d: str) -> DataFrame:
     f = qc.frame_boxes(fx.detections(spark, d))
-    return f.select("clip", "t", "n", "big_h", *[F.round(c, 6).alias(c) for c in ("left", "right", "span", "cx")])
+    f = f.withColumn("face_share", F.col("big_h") / 360)
+    return f.select("clip", "t", "n", "big_h", *[F.round(c, 6).alias(c) for c in ("left", "right", "span", "mid", "cx", "eye", "face_share")])
 
 
 def track_decision(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def track_decision(spark: SparkSession, d: str) -> DataFrame:
 
 def ema_track(spark: SparkSession, d: str) -> DataFrame:
     f = qc.frame_boxes(fx.detections(spark, d))
-    s = qc.smoothed(f, "clip", "t", "cx")
+    s = qc.smoothed(qc.centred(f, 640.0, 0.07), "clip", "t", "centre")
     return s.select("clip", "t", "smooth", "until")
 
 
@@ -86,11 +87,11 @@ def log_measurements(spark: SparkSession, d: str) -> DataFrame:
 
 def probes(spark: SparkSession, d: str) -> DataFrame:
     p = probe_summary(fx.probe_json(spark, d))
-    return p.select("id", "duration_s", "width", "height", "vcodec", "acodec", "has_audio", F.round("fps", 6).alias("fps"))
+    return p.select("id", "duration_s", "width", "height", "vcodec", "acodec", "has_audio", "bitrate", F.round("fps", 6).alias("fps"))
 
 
 _RUNS = "q as (select item, frame, frame - row_number() over (partition by item order by frame) as i from level_frames where level_db < -35), runs as (select item, min(frame)*200 as from_ms, (min(frame)+count(*))*200 as to_ms, count(*) as n from q group by item, i having count(*)*200 >= {0})"
-_BOXES = "boxes as (select clip, t, min(x) as l, max(x+w) as r, arg_max(x+w/2, (h,x,w)) as cx, arg_max(h, (h,x,w)) as big_h, count(*) as n from detections group by 1,2)"
+_BOXES = "boxes as (select clip, t, min(x) as l, max(x+w) as r, arg_max(x+w/2, (h,x,w)) as cx, arg_max(h, (h,x,w)) as big_h, arg_max(y+h*0.42, (h,x,w)) as eye, count(*) as n from detections group by 1,2)"
 
 QUERIES = {
     "quiet_runs": (quiet_runs, with_views("level_frames", "+" + _RUNS.format(600) + " select item, from_ms, to_ms from runs")),
@@ -127,11 +128,11 @@ QUERIES = {
  c as (select y.item, avg(r)-avg(b) as x from y join o using(item) where y>p80 group by 1)
  select item, black between 0 and 60 and white between 190 and 255 and mean between 110 and 140 and contrast between 10 and 60 as in_target, round(black,5) as black, round(p80,5) as p80, round(white,5) as white, round(mean,5) as mean, round(contrast,5) as contrast, round(mean_r,5) as mean_r, round(mean_g,5) as mean_g, round(mean_b,5) as mean_b, round(coalesce(x,0),5) as "cast" from o left join c using(item)"""),
     ),
-    "frame_boxes": (frame_boxes, with_views("detections", "+" + _BOXES + ' select clip, t, n, big_h, round(l,6) as "left", round(r,6) as "right", round(r-l,6) as span, round(cx,6) as cx from boxes')),
+    "frame_boxes": (frame_boxes, with_views("detections", "+" + _BOXES + ' select clip, t, n, big_h, round(l,6) as "left", round(r,6) as "right", round(r-l,6) as span, round((l+r)/2,6) as mid, round(cx,6) as cx, round(eye,6) as eye, round(big_h/360,6)::double as face_share from boxes')),
     "track_decision": (track_decision, with_views("detections", "+" + _BOXES + " select clip, avg(r-l)/640 < 0.07*0.9 as both_fit, round(greatest(0.35, least(1.0, avg(big_h)/50)),6) as crop from boxes group by 1")),
     "ema_track": (
         ema_track,
-        with_views("detections", "+" + _BOXES + """, s as (select clip, list([cx] order by t) as xs, list(t order by t) as ts from boxes group by 1),
+        with_views("detections", "+" + _BOXES + """, c as (select clip, t, case when avg(r-l) over (partition by clip)/640 < 0.07*0.9 then (l+r)/2 else cx end as cx from boxes), s as (select clip, list([cx] order by t) as xs, list(t order by t) as ts from c group by 1),
  f as (select clip, ts, list_reduce(xs, lambda a, x: list_concat(a, [a[len(a)] + 0.35*(x[1]-a[len(a)])])) as ys from s)
  select clip, ts[i] as t, ys[i] as smooth, ts[i+1] as until from f, lateral unnest(range(1,len(ts)+1)) u(i)"""),
     ),
@@ -145,6 +146,6 @@ QUERIES = {
     "log_measurements": (log_measurements, "select o_orderkey as id, 0.75*(o_orderkey%4+2)::double as silent_s, -(o_orderkey%4+0.5)::double as peak_db, -(o_orderkey%4+10.25)::double as lufs, o_orderkey%4+3 as n_pairs, 0.75*(o_orderkey%4+1)::double+1.0 as paired_s from orders"),
     "probe_summary": (
         probes,
-        with_views("probe_json", "select id, json_extract_string(js,'$.format.duration')::double as duration_s, json_extract(js,'$.streams[1].width')::bigint as width, json_extract(js,'$.streams[1].height')::bigint as height, json_extract_string(js,'$.streams[1].codec_name') as vcodec, json_extract_string(js,'$.streams[0].codec_name') as acodec, true as has_audio, round(30000/1001.0,6)::double as fps from probe_json"),
+        with_views("probe_json", "select id, json_extract_string(js,'$.format.duration')::double as duration_s, json_extract(js,'$.streams[1].width')::bigint as width, json_extract(js,'$.streams[1].height')::bigint as height, json_extract_string(js,'$.streams[1].codec_name') as vcodec, json_extract_string(js,'$.streams[0].codec_name') as acodec, true as has_audio, json_extract_string(js,'$.format.bit_rate')::bigint as bitrate, round(30000/1001.0,6)::double as fps from probe_json"),
     ),
 }

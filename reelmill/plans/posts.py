@@ -36,7 +36,7 @@ def best_worst_posts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rejection_signal(spark: SparkSession, d: str) -> DataFrame:
-    return ps.rejection_signal(fx.feedback(spark, d).withColumn("structure", F.lit(None).cast("string")), ["reason", "profile", "structure"], "doc_id")
+    return ps.rejection_signal(fx.feedback(spark, d), ["reason", "profile", "structure", "topic"], "doc_id")
 
 
 def rejection_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +50,13 @@ def reject_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def learning_pack(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.feedback(spark, d).withColumn("note", F.regexp_replace("note", r"\s+", " "))
-    return ps.first_notes(rows, "reason", "note", "doc_id")
+    rows = fx.feedback(spark, d).withColumns({c: F.regexp_replace(c, r"\s+", " ") for c in ("note", "hook")})
+    posts = _posts(spark, d).withColumn("hook", F.concat(F.lit("hook "), F.col("job").cast("string"), F.lit("-"), F.col("clip").cast("string")))
+    return ps.learning_pack(rows, posts, "doc_id", KEYS)
+
+
+def newest_posts(spark: SparkSession, d: str) -> DataFrame:
+    return ps.newest(_posts(spark, d), KEYS, 50).select(*KEYS, "ts", "views")
 
 
 def amendments(spark: SparkSession, d: str) -> DataFrame:
@@ -82,11 +87,16 @@ QUERIES = {
     "best_worst_posts": (best_worst_posts, with_views("post_log", "+" + _POSTS + ", h as (select job, clip, coalesce(views,0.0) as v from posts where has_metrics) select * from ((select *, 'best' as side from h order by v desc, job, clip limit 8) union all (select *, 'worst' from h where (select count(*) from h)>8 order by v, job desc, clip desc limit 8))")),
     "rejection_signal": (
         rejection_signal,
-        with_views("feedback", "+c as (select doc_id, 'reason' as dim, coalesce(reason,'?') as value from feedback union all select doc_id, 'profile', coalesce(profile,'?') from feedback union all select doc_id, 'structure', '?' from feedback), g as (select dim, value, count(*) as n, min(doc_id) as f from c group by 1,2), r as (select dim, value, n, row_number() over (partition by dim order by n desc, f, value) as rank from g) select * from r where rank<=8"),
+        with_views("feedback", "+c as (select doc_id, 'reason' as dim, coalesce(reason,'?') as value from feedback union all select doc_id, 'profile', coalesce(profile,'?') from feedback union all select doc_id, 'structure', coalesce(structure,'?') from feedback union all select doc_id, 'topic', coalesce(topic,'?') from feedback), g as (select dim, value, count(*) as n, min(doc_id) as f from c group by 1,2), r as (select dim, value, n, row_number() over (partition by dim order by n desc, f, value) as rank from g) select * from r where rank<=8"),
     ),
     "rejection_gate": (rejection_gate, with_views("feedback", "select count(*) as rejections, greatest(0,8-count(*)) as needed, count(*)>=8 as ready from feedback")),
     "reject_validation": (reject_validation, "with r as (select ['approved','rejected','pending','maybe'][1+doc_id%4] as verdict, source as reason from documents) select verdict, case when verdict='maybe' then 'verdict' when verdict='rejected' and reason not in ('src1','src5','src9') then 'reason' end as fault, count(*) as n from r group by 1,2"),
-    "learning_pack": (learning_pack, with_views("feedback", "+n as (select doc_id, reason, trim(regexp_replace(note,'\\s+',' ','g')) as t from feedback), k as (select *, row_number() over (partition by reason order by doc_id) as k from n where t<>'') select reason, string_agg(substr(t,1,200), chr(10) order by k) as notes, count(*) as n from k where k<=6 group by 1")),
+    "newest_posts": (newest_posts, with_views("post_log", "+" + _POSTS + " select job, clip, ts, views from posts order by ts desc, job, clip limit 50")),
+    "learning_pack": (learning_pack, with_views("feedback post_log", "+" + _POSTS + """, n as (select doc_id, reason, trim(regexp_replace(note,'\\s+',' ','g')) as t from feedback), k as (select *, row_number() over (partition by reason order by doc_id) as k from n where t<>''), q as (select doc_id, trim(regexp_replace(hook,'\\s+',' ','g')) as t from feedback), q20 as (select * from q where t<>'' order by doc_id limit 20),
+ h as (select *, 'hook '||job||'-'||clip as hook, coalesce(views,0.0) as v, row_number() over (order by coalesce(views,0.0) desc, job, clip) as best, row_number() over (order by coalesce(views,0.0), job desc, clip desc) as worst, count(*) over () as every from posts where has_metrics)
+ select 'notes' as section, reason as key, string_agg(substr(t,1,200), chr(10) order by k) as body, count(*) as n from k where k<=6 group by 2 union all select 'hooks', null, string_agg(substr(t,1,120), chr(10) order by doc_id), count(*) from q20
+ union all select 'best', null, string_agg(hook||' :: views='||coalesce(views::varchar,'?')||' saves='||coalesce(saves::varchar,'?')||' slot='||substr(coalesce(slot_at,''),12,5), chr(10) order by v desc, job, clip), count(*) from h where best<=8
+ union all select 'worst', null, string_agg(hook||' :: views='||coalesce(views::varchar,'?')||' slot='||substr(coalesce(slot_at,''),12,5), chr(10) order by v, job, clip), count(*) from h where worst<=8 and every>8 having count(*)>0""")),
     "amendments": (amendments, with_views("feedback", "select doc_id, (select string_agg(i||'. rule '||i||' - seen in '||doc_id, chr(10) order by i) from unnest(range(1,doc_id%3+2)) u(i)) as report from feedback")),
     "metric_pivot": (metric_pivot, "select user_id, max(value) filter (event_type='view') as views, max(value) filter (event_type='click') as likes, max(value) filter (event_type='purchase') as saves from events group by 1"),
 }

@@ -32,7 +32,7 @@ def rank_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    return rk.diversified(_merged(spark, d), "doc_id", ["seg_from", "seg_to", "start_ms", "end_ms"], limit=20)
+    return rk.diversified(_merged(spark, d), "doc_id", ["seg_from", "seg_to", "start_ms", "end_ms"])
 
 
 def diversified_topn(spark: SparkSession, d: str) -> DataFrame:
@@ -74,19 +74,19 @@ def rule_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("doc_id", "score").agg(F.count("*").alias("n"))
 
 
-_MERGED = """latest as (select doc_id, seg_from, seg_to, arg_max(struct_pack(score, structure, complete_thought), batch) as r from replies group by 1,2,3),
+_MERGED = """latest as (select doc_id, seg_from, seg_to, arg_max(struct_pack(score, structure, complete_thought), (batch, pos)) as r from replies group by 1,2,3),
  merged as (select w.*, cast(r.score as bigint) as score, r.structure as structure from windows w join latest using(doc_id, seg_from, seg_to) where r.score>=45 and coalesce(r.complete_thought, true))"""
 _BATCH = "cast(floor((row_number() over (partition by doc_id order by start_ms, end_ms)-1) / ceil(count(*) over (partition by doc_id) / least(3, count(*) over (partition by doc_id))::double)) as bigint) as batch_no"
 _POOL = _MERGED + """, items as (select doc_id, struct_pack(neg := -score, s := start_ms, e := end_ms, b := start_ms//300000, topic := structure, f := seg_from, t := seg_to) as c from merged),
  lists as (select doc_id, list(struct_pack(chosen := [c], over := list_filter([c], lambda z: false)) order by c) as xs from items group by doc_id),
- folded as (select doc_id, list_reduce(xs, lambda a, x: case when len(a.chosen) >= 20 then a
+ folded as (select doc_id, list_reduce(xs, lambda a, x: case when len(a.chosen) >= 60 then a
   when len(list_filter(a.chosen, lambda k: k.b = x.chosen[1].b)) >= 4 or len(list_filter(a.chosen, lambda k: k.topic = x.chosen[1].topic)) >= 3 then struct_pack(chosen := a.chosen, over := list_concat(a.over, x.chosen))
   else struct_pack(chosen := list_concat(a.chosen, x.chosen), over := a.over) end) as f from lists),
  first as (select doc_id, i as rank, f.chosen[i] as c from folded, lateral unnest(range(1, len(f.chosen)+1)) u(i)),
- rest as (select doc_id, len(f.chosen) as n, i as p, f.over[i] as c from folded, lateral unnest(range(1, len(f.over)+1)) u(i) where len(f.chosen) < 20),
+ rest as (select doc_id, len(f.chosen) as n, i as p, f.over[i] as c from folded, lateral unnest(range(1, len(f.over)+1)) u(i) where len(f.chosen) < 60),
  turns as (select *, row_number() over (partition by doc_id, c.b order by p) as turn from rest),
  filled as (select doc_id, n + row_number() over (partition by doc_id order by turn, c.b) as rank, c from turns),
- pool as (select doc_id, rank, c.f as seg_from, c.t as seg_to, c.s as start_ms, c.e as end_ms, -c.neg as score, c.topic as structure from (select * from first union all select * from filled where rank <= 20))"""
+ pool as (select doc_id, rank, c.f as seg_from, c.t as seg_to, c.s as start_ms, c.e as end_ms, -c.neg as score, c.topic as structure from (select * from first union all select * from filled where rank <= 60))"""
 
 QUERIES = {
     "ranked_merge": (ranked_merge, with_views("replies", "+" + _MERGED + " select doc_id, seg_from, seg_to, start_ms, end_ms, score, structure from merged")),

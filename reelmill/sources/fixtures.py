@@ -36,9 +36,10 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 def replies(spark: SparkSession, d: str) -> DataFrame:
     w = windows(spark, d).select("doc_id", "seg_from", "seg_to")
     tags = F.array(*[F.lit(x) for x in ("teach", "story", "loop", "raw", "other")])
-    one = w.filter((F.col("doc_id") + F.col("seg_from")) % 9 != 0).select("*", F.lit(1).alias("batch"), ((F.col("doc_id") * 7 + F.col("seg_from") * 13 + F.col("seg_to")) % 101).alias("score"), F.element_at(tags, (1 + (F.col("doc_id") + F.col("seg_from")) % 5).cast("int")).alias("structure"), ((F.col("doc_id") + F.col("seg_to")) % 11 != 0).alias("complete_thought"))
-    two = w.filter(F.col("doc_id") % 10 == 0).select("*", F.lit(2).alias("batch"), ((F.col("doc_id") * 3 + F.col("seg_from")) % 101).alias("score"), F.lit("other").alias("structure"), F.lit(None).cast("boolean").alias("complete_thought"))
-    return one.unionByName(two)
+    one = w.filter((F.col("doc_id") + F.col("seg_from")) % 9 != 0).select("*", F.lit(1).alias("batch"), F.lit(1).alias("pos"), ((F.col("doc_id") * 7 + F.col("seg_from") * 13 + F.col("seg_to")) % 101).alias("score"), F.element_at(tags, (1 + (F.col("doc_id") + F.col("seg_from")) % 5).cast("int")).alias("structure"), ((F.col("doc_id") + F.col("seg_to")) % 11 != 0).alias("complete_thought"))
+    two = w.filter(F.col("doc_id") % 10 == 0).select("*", F.lit(2).alias("batch"), F.lit(1).alias("pos"), ((F.col("doc_id") * 3 + F.col("seg_from")) % 101).alias("score"), F.lit("other").alias("structure"), F.lit(None).cast("boolean").alias("complete_thought"))
+    three = w.filter(F.col("doc_id") % 15 == 0).select("*", F.lit(2).alias("batch"), F.lit(2).alias("pos"), ((F.col("doc_id") * 5 + F.col("seg_to")) % 101).alias("score"), F.lit("loop").alias("structure"), F.lit(True).alias("complete_thought"))
+    return one.unionByName(two).unionByName(three)
 
 
 def clips(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,7 @@ def post_log(spark: SparkSession, d: str) -> DataFrame:
 
 def usage_calls(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("label"), (F.col("event_type") != "error").alias("ok"), (1 + F.col("event_id") % 3).alias("attempt"), (F.col("value") / 1000).alias("cost_usd"), (F.col("event_id") % 5000).alias("tok_in"), (F.col("event_id") % 700).alias("tok_out"))
+    return e.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("label"), (F.col("event_type") != "error").alias("ok"), (1 + F.col("event_id") % 3).alias("attempt"), (F.col("value") / 1000).alias("cost_usd"), (F.col("event_id") % 900).alias("wall_ms"), (F.col("event_id") % 5000).alias("tok_in"), (F.col("event_id") % 700).alias("tok_out"))
 
 
 def level_frames(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +75,7 @@ def level_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("t"), (F.col("l_discount") * 1000).alias("x"), (20 + F.col("l_tax") * 100).alias("w"), F.col("l_quantity").alias("h"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("t"), (F.col("l_discount") * 1000).alias("x"), (F.col("l_suppkey") % 50).cast("double").alias("y"), (20 + F.col("l_tax") * 100).alias("w"), F.col("l_quantity").alias("h"))
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +89,10 @@ def upload_chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("upload_id"), (F.col("l_linenumber") - 1).cast("long").alias("idx"), F.lit(7).cast("long").alias("total_chunks")).distinct()
 
 
+def uploads(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("upload_id"), F.lit(7).cast("long").alias("total_chunks"))
+
+
 def recordings(spark: SparkSession, d: str) -> DataFrame:
     state = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"), state.alias("status"), F.col("o_orderpriority").alias("profile"))
@@ -95,7 +100,7 @@ def recordings(spark: SparkSession, d: str) -> DataFrame:
 
 def feedback(spark: SparkSession, d: str) -> DataFrame:
     bad = table(spark, d, "labels").filter("quality = 0 or toxic = 1")
-    return table(spark, d, "documents").join(bad, "doc_id").select("doc_id", F.col("source").alias("reason"), F.col("lang").alias("profile"), F.substring("text", 1, 200).alias("note"))
+    return table(spark, d, "documents").join(bad, "doc_id").select("doc_id", F.col("source").alias("reason"), F.col("lang").alias("profile"), F.substring("text", 1, 200).alias("note"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("k"), (F.col("doc_id") % 5).cast("string"))).alias("structure"), F.concat(F.lit("t"), (F.col("doc_id") % 7).cast("string")).alias("topic"), F.when(F.col("doc_id") % 4 > 0, F.substring("text", 1, 150)).alias("hook"))
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +119,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def probe_json(spark: SparkSession, d: str) -> DataFrame:
-    js = F.concat(F.lit('{"format":{"duration":"'), F.col("p_retailprice").cast("string"), F.lit('"},"streams":[{"codec_type":"audio","codec_name":"aac"},{"codec_type":"video","width":'), (F.col("p_size") * 64).cast("string"), F.lit(',"height":'), (F.col("p_size") * 36).cast("string"), F.lit(',"r_frame_rate":"30000/1001"}]}'))
+    js = F.concat(F.lit('{"format":{"duration":"'), F.col("p_retailprice").cast("string"), F.lit('","bit_rate":"'), (F.col("p_size") * 1000).cast("string"), F.lit('"},"streams":[{"codec_type":"audio","codec_name":"aac"},{"codec_type":"video","width":'), (F.col("p_size") * 64).cast("string"), F.lit(',"height":'), (F.col("p_size") * 36).cast("string"), F.lit(',"r_frame_rate":"30000/1001"}]}'))
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), js.alias("js"))
 
 
@@ -124,20 +129,20 @@ SQL = {
     "segments": f"select doc_id, k as seg, array_to_string(ws[12*k+1:12*k+12],' ') as text, k*4800 as start_ms, k*4800+400*least(12,len(ws)-12*k) as end_ms from {_WS} w, lateral unnest(range(0,cast(ceil(len(ws)/12.0) as bigint))) t(k)",
     "words": f"select doc_id, p as pos, ws[p+1] as w, 400*p as start_ms, 400*p+400 as end_ms from {_WS} w, lateral unnest(range(0,len(ws))) t(p)",
     "windows": f"select a.doc_id, a.seg seg_from, b.seg seg_to, a.start_ms, b.end_ms from segments a join segments b on a.doc_id=b.doc_id and b.seg>=a.seg and b.end_ms-a.start_ms between 30000 and 80000 where not regexp_matches(lower(a.text),'{_OPENER}') and regexp_matches(b.text,'[.!?][\"'')\\]]?\\s*$')",
-    "replies": "select doc_id, seg_from, seg_to, 1 as batch, (doc_id*7+seg_from*13+seg_to) % 101 as score, ['teach','story','loop','raw','other'][1+(doc_id+seg_from)%5] as structure, (doc_id+seg_to)%11<>0 as complete_thought from windows where (doc_id+seg_from)%9<>0 union all select doc_id, seg_from, seg_to, 2, (doc_id*3+seg_from) % 101, 'other', null from windows where doc_id%10=0",
+    "replies": "select doc_id, seg_from, seg_to, 1 as batch, 1 as pos, (doc_id*7+seg_from*13+seg_to) % 101 as score, ['teach','story','loop','raw','other'][1+(doc_id+seg_from)%5] as structure, (doc_id+seg_to)%11<>0 as complete_thought from windows where (doc_id+seg_from)%9<>0 union all select doc_id, seg_from, seg_to, 2, 1, (doc_id*3+seg_from) % 101, 'other', null from windows where doc_id%10=0 union all select doc_id, seg_from, seg_to, 2, 2, (doc_id*5+seg_to) % 101, 'loop', true from windows where doc_id%15=0",
     "clips": "select doc_id, seg_from, seg_to, start_ms, end_ms, case when doc_id%2=0 then 'A' else 'B' end as profile, ['approved','rejected','pending'][1+(doc_id+seg_to)%3] as decision, timestamp '2024-01-01' + to_minutes(cast(doc_id*37+seg_from as bigint)) as approved_at, doc_id%7=0 as posted from windows where seg_to%2=0",
     "post_log": "select user_id as job, cast(json_extract_string(props,'$.k') as int)%5 as clip, ts, case when event_type='signup' then 'published' when event_type='error' then 'ignored' else 'metrics' end as kind, case when event_type='view' then value end as views, case when event_type='click' then value end as likes, case when event_type='purchase' then value end as saves, case when event_id%10<>0 then strftime(ts,'%Y-%m-%dT%H:00') else '' end as slot_at, 's'||(user_id%20) as source, 't'||(cast(json_extract_string(props,'$.k') as int)%7) as topic from events",
-    "usage_calls": "select user_id as job, ts, event_type as label, event_type<>'error' as ok, 1+event_id%3 as attempt, value/1000 as cost_usd, event_id%5000 as tok_in, event_id%700 as tok_out from events",
+    "usage_calls": "select user_id as job, ts, event_type as label, event_type<>'error' as ok, 1+event_id%3 as attempt, value/1000 as cost_usd, event_id%900 as wall_ms, event_id%5000 as tok_in, event_id%700 as tok_out from events",
     "level_frames": "select user_id as item, row_number() over (partition by user_id order by ts, event_id)-1 as frame, -value as level_db from events",
-    "detections": "select l_orderkey as clip, l_linenumber as t, l_discount*1000 as x, 20+l_tax*100 as w, l_quantity as h from lineitem",
+    "detections": "select l_orderkey as clip, l_linenumber as t, l_discount*1000 as x, (l_suppkey%50)::double as y, 20+l_tax*100 as w, l_quantity as h from lineitem",
     "pixels": "select label as item, vec_id*21+i as i, floor((embedding[3*i+1]::double+1)*127.5) r, floor((embedding[3*i+2]::double+1)*127.5) g, floor((embedding[3*i+3]::double+1)*127.5) b from embeddings, lateral unnest(range(0,21)) t(i)",
     "upload_chunks": "select distinct l_orderkey as upload_id, l_linenumber-1 as idx, 7 as total_chunks from lineitem",
     "recordings": "select o_orderkey as id, o_orderdate as created_at, case o_orderstatus when 'O' then 'queued' when 'P' then 'running' else 'done' end as status, o_orderpriority as profile from orders",
-    "feedback": "select d.doc_id, d.source as reason, d.lang as profile, substr(d.text,1,200) as note from documents d join labels l using(doc_id) where l.quality=0 or l.toxic=1",
+    "feedback": "select d.doc_id, d.source as reason, d.lang as profile, substr(d.text,1,200) as note, case when doc_id%3>0 then 'k'||(doc_id%5) end as structure, 't'||(doc_id%7) as topic, case when doc_id%4>0 then substr(d.text,1,150) end as hook from documents d join labels l using(doc_id) where l.quality=0 or l.toxic=1",
     "files": "select source as area, 'doc_'||doc_id||'.txt' as name, n_chars as length, timestamp '2024-01-01' + to_hours(cast(doc_id as bigint)) as mtime from documents",
     "raw_replies": "select doc_id, case doc_id%4 when 0 then '{\"id\":'||doc_id||',\"n\":'||n_chars||'}' when 1 then '```json'||chr(10)||'{\"id\":'||doc_id||',\"n\":'||n_chars||'}'||chr(10)||'```' when 2 then 'Sure: {\"id\":'||doc_id||',\"n\":'||n_chars||'} done' else '{\"id\":'||doc_id end as reply from documents",
     "sections": "select conv_id, string_agg('## '||upper(role)||' '||turn||chr(10)||text, chr(10) order by turn) as doc from conversations group by conv_id",
-    "probe_json": "select p_partkey as id, '{\"format\":{\"duration\":\"'||p_retailprice||'\"},\"streams\":[{\"codec_type\":\"audio\",\"codec_name\":\"aac\"},{\"codec_type\":\"video\",\"width\":'||(p_size*64)||',\"height\":'||(p_size*36)||',\"r_frame_rate\":\"30000/1001\"}]}' as js from part",
+    "probe_json": "select p_partkey as id, '{\"format\":{\"duration\":\"'||p_retailprice||'\",\"bit_rate\":\"'||(p_size*1000)||'\"},\"streams\":[{\"codec_type\":\"audio\",\"codec_name\":\"aac\"},{\"codec_type\":\"video\",\"width\":'||(p_size*64)||',\"height\":'||(p_size*36)||',\"r_frame_rate\":\"30000/1001\"}]}' as js from part",
 }
 _NEEDS = {"windows": ["segments"], "replies": ["segments", "windows"], "clips": ["segments", "windows"]}
 

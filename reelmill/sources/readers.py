@@ -95,7 +95,7 @@ def probe_summary(probes: DataFrame, js: str = "js", keys: tuple[str, ...] = ("i
     return x.select(
         *keys, F.coalesce(F.col("f.duration").try_cast("double"), F.col("v.duration").try_cast("double"), F.lit(0.0)).alias("duration_s"),
         F.coalesce("v.width", F.lit(0)).cast("long").alias("width"), F.coalesce("v.height", F.lit(0)).cast("long").alias("height"),
-        F.col("v.codec_name").alias("vcodec"), F.col("a.codec_name").alias("acodec"), F.col("a").isNotNull().alias("has_audio"), fps.alias("fps"),
+        F.col("v.codec_name").alias("vcodec"), F.col("a.codec_name").alias("acodec"), F.col("a").isNotNull().alias("has_audio"), fps.alias("fps"), F.col("f.bit_rate").try_cast("long").alias("bitrate"),
     )
 
 

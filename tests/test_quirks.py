@@ -57,9 +57,9 @@ def test_metric_merge(spark):
 
 
 def test_floor_and_last_reply(spark):
-    rows = [(1, 1, "44", True), (2, 1, "45", True), (3, 1, "x", True), (4, 1, "90", None), (5, 1, "90", False), (6, 1, "90", True), (6, 2, "10", True)]
-    r = spark.createDataFrame(rows, "cid long, batch int, score string, complete_thought boolean")
-    assert sorted(x.cid for x in ranking.passing(ranking.last_replies(r, ["cid"])).collect()) == [2, 4]
+    rows = [(1, 1, 1, "44", True), (2, 1, 1, "45", True), (3, 1, 1, "x", True), (4, 1, 1, "90", None), (5, 1, 1, "90", False), (6, 1, 1, "90", True), (6, 2, 1, "10", True), (7, 2, 2, "90", True), (7, 2, 1, "10", True), (7, 1, 3, "10", True)]
+    r = spark.createDataFrame(rows, "cid long, batch int, pos int, score string, complete_thought boolean")
+    assert sorted(x.cid for x in ranking.passing(ranking.last_replies(r, ["cid"])).collect()) == [2, 4, 7]
 
 
 def test_batches_are_contiguous(spark):
@@ -135,6 +135,24 @@ def test_pins_keep_their_time(spark):
     assert [r.id for r in schedule.calendar(slots, done, "channel", ["id"], ["approved_at", "id"]).orderBy("at").collect()] == [3, 1]
 
 
+def test_transcripts_begin_like_their_upload(spark):
+    uploads = spark.createDataFrame([("a.mp4",), ("ab.mov",), ("b.mp4",), ("noend",)], "name string")
+    names = spark.createDataFrame([("a.transcript.json",), ("abc-2.transcript.json",), ("b.json",), (".transcript.json",)], "name string")
+    got = {r.name: r.has_transcript for r in logs.with_transcript(uploads, names, ".transcript.json").collect()}
+    assert got == {"a.mp4": True, "ab.mov": True, "b.mp4": False, "noend": False}
+
+
+def test_blank_segments_go(spark):
+    s = spark.createDataFrame([(1, 0, "a"), (1, 1, " \n"), (1, 2, None), (1, 3, "b."), (2, 0, "")], "doc_id long, seg long, text string")
+    assert sorted(tuple(r) for r in windows.spoken(s, "doc_id").select("doc_id", "seg", "text").collect()) == [(1, 0, "a"), (1, 1, "b.")]
+
+
+def test_faces_by_hand(spark):
+    boxes = spark.createDataFrame([(1, 0, 10.0, 20.0, 30.0, 40.0), (1, 0, 60.0, 10.0, 20.0, 80.0)], "clip long, t long, x double, y double, w double, h double")
+    r = qc.frame_boxes(boxes).first()
+    assert (r.left, r.right, r.span, r.mid, r.cx, r.big_h, r.n) == (10.0, 80.0, 70.0, 45.0, 70.0, 80.0, 2) and r.eye == pytest.approx(10 + 0.42 * 80)
+
+
 def test_turns_differ_by_one_at_most(spark):
     clips = spark.createDataFrame([("c", s, i) for s, n in ((1, 5), (2, 2), (3, 4)) for i in range(n)], "channel string, source int, i int")
     order = [r.source for r in schedule.interleaved(clips, "channel", ["source"], ["i"]).orderBy("place").collect()]
@@ -203,5 +221,7 @@ def test_replaced_partitions(spark, tmp_path):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "upload_id long, idx long, total_chunks long")
-    assert logs.missing_chunks(none).count() == 0
+    assert logs.missing_chunks(none, none).count() == 0
+    some = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "upload_id long, total_chunks long")
+    assert sorted(tuple(r) for r in logs.missing_chunks(some, spark.createDataFrame([(2, 0)], "upload_id long, idx long")).collect()) == [(1, 0), (1, 1)]
     assert posts.pattern_gate(spark.createDataFrame([], "has_metrics boolean, views double"), "views").first().needed == 12
