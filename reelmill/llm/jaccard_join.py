@@ -15,23 +15,26 @@ link when the overlap of their sets is at least ``num/den`` of the union; the re
    root: a pair of nodes is dropped when its size ranges don't allow a link, or when the bits that both have, plus the
    tokens that share a bit, are fewer than the overlap that its least sizes need. Leaves left are verified on the sets.
    Pairs that are connected already are skipped, so a group of near copies costs little more than its size.
-4. A block over ``BLOCK`` nodes (or ``BLOCK_SHINGLES``) is cut into chunks by hash. Chunks share a few pivots; after they are joined and their
-   links resolved, the nodes outside the block's largest component are joined with all its chunks. So no link between
-   two nodes is lost, and no task holds more than two chunks.
+4. A block over ``BLOCK`` nodes (or ``BLOCK_SHINGLES``) is cut into chunks, by bands of sizes and in a band by hash.
+   Sets that link lie in one band or neighbouring ones, whose chunks share a few pivots; after chunks are joined and their
+   links resolved, the nodes outside the block's largest component are joined with the chunks of their own and the
+   neighbouring bands. So no link between two nodes is lost, and no task holds more than two chunks.
 
-Defined results: a null text is an empty one; a document without words has no shingles and is its own component; of rows
+Defined results: a very long text is worked on whole, as a block of its own; of equal sets the least id stands for all,
+and of rows with that id the first read; a null text is an empty one; a document without words has no shingles and is its own component; of rows
 with one id (repeated rows) each is listed, and they count as documents of that id; a null id comes last; an empty table
 gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -47,6 +50,8 @@ COMMON_BUCKETS = 1 << 22  #: bits set in it at most; beyond that, COMMON is doub
 PAIRED = 256  #: nodes of an ordinary shingle that are paired; beyond that they meet at a pivot
 BLOCK = 1000  #: nodes in one tree
 BLOCK_SHINGLES = 2_000_000  #: and shingles of all its nodes, about
+BAND = 4  #: width of a band of sizes in a large block, as a power of den/num; over 1, so that links reach the next band at most
+PIVOTS = 2  #: nodes of a band that all its chunks and those of the bands beside it share
 FANOUT = 8
 COMPARED = 1 << 20  #: 64-bit words of bitmaps compared at once
 LOCAL_EDGES = 200_000
@@ -378,29 +383,53 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
     del posted, routes
     release(spark)
 
-    sizes = routed.join(nodes, "row").groupBy("block").agg(F.count("*").alias("size"), F.sum("n").alias("total"), *[F.min(F.struct(F.xxhash64("row", F.lit(s)), "row"))["row"].alias(f"p{s}") for s in range(4)])
-    chunks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
-    own = routed.join(sizes, "block").select("block", F.pmod(F.xxhash64("row"), chunks).alias("chunk"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), "row", F.col("row").alias("label"), chunks.alias("chunks"))
-    own = materialize(own, "jaccard-chunks")
-    shared_pivots = sizes.filter(chunks > 1).select("block", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("row"))
-    members = own.drop("chunks").unionByName(shared_pivots.withColumn("label", F.col("row")))
+    # two sets that link have sizes within den/num of each other, so they lie in one band of sizes or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / (BAND * math.log(den / num))).cast("long") if den > num else F.col("n")
+    placed = materialize(routed.join(nodes, "row").select("row", "block", "n", band.alias("band")), "jaccard-placed")
+    least = [F.min(F.struct(F.xxhash64("row", F.lit(s)), "row"))["row"] for s in range(PIVOTS)]
+    bands = materialize(placed.groupBy("block", "band").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.array_distinct(F.array(*least)).alias("pivots")), "jaccard-bands")
+    wide = bands.groupBy("block").agg(F.sum("size").alias("s"), F.sum("total").alias("t")).filter((F.col("s") > BLOCK) | (F.col("t") > BLOCK_SHINGLES)).select("block")
+    # small tables are written before joins on the block, so that AQE can split the rows of a large one
+    cut = materialize(bands.join(wide, "block").select("block", "band", "pivots", parts_of("size", "total").alias("chunks")), "jaccard-cuts")
+    chunk = F.when(F.col("chunks").isNull(), F.lit(0).cast("long")).otherwise(part_name("band", F.pmod(F.xxhash64("row"), "chunks")))
+    own = materialize(placed.join(cut.drop("pivots"), ["block", "band"], "left").select("block", chunk.alias("chunk"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), "row", F.col("row").alias("label"), "n", "band", F.col("chunks").isNotNull().alias("wide")), "jaccard-chunks")
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("near")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("i")
+    pivots_of = cut.select("block", F.col("band").alias("near"), F.explode("pivots").alias("row"))
+    shared_pivots = cut.select("block", "band", each).select("block", part_name("band", "i").alias("chunk"), near).join(pivots_of, ["block", "near"])
+    columns = ["block", "chunk", "other", "side", "row", "label"]
+    members = own.select(*columns).unionByName(shared_pivots.select("block", "chunk", F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), "row", F.col("row").alias("label")))
     links = materialize(_links(members, rows, k, num, den), "jaccard-links")
     release(spark)
 
-    wide = own.filter("chunks > 1")
-    if not wide.take(1):
+    own = own.filter("wide")
+    if not own.take(1):
         return links
-    # blocks of several chunks: what is not in the largest component meets every chunk
+    # blocks of several chunks: what is not in the largest component meets every chunk of sizes that it may link with
     joined = components(links, "jaccard-first")
-    labelled = materialize(wide.drop("label").join(joined.select(F.col("node").alias("row"), F.col("component").alias("label")), "row", "left").withColumn("label", F.coalesce("label", "row")), "jaccard-labels")
+    labelled = materialize(own.drop("label").join(joined.select(F.col("node").alias("row"), F.col("component").alias("label")), "row", "left").withColumn("label", F.coalesce("label", "row")), "jaccard-labels")
     largest = labelled.groupBy("block", "label").agg(F.count("*").alias("c")).groupBy("block").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    rest = labelled.join(largest.filter("all > most"), "block").filter("label <> main").withColumn("parts", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("long"))
-    left = rest.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).alias("chunk"), F.lit(0).alias("side"), "row", "label")
-    parts = rest.select("block", "parts").distinct()
-    right = labelled.join(parts, "block").select("block", F.col("chunk").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk"), F.lit(1).alias("side"), "row", "label")
+    largest = materialize(largest.filter("all > most").select("block", "main"), "jaccard-largest")
+    rest = materialize(labelled.join(largest, "block").filter("label <> main").select("block", "band", "row", "label", "n"), "jaccard-rest")
+    parts = materialize(rest.groupBy("block", "band").agg(parts_of(F.count("*"), F.sum("n")).alias("parts")), "jaccard-parts")
+    left = rest.join(parts, ["block", "band"]).select("block", part_name("band", F.pmod(F.xxhash64("row", F.lit(1)), "parts")).alias("chunk"), "row", "label", near)
+    left = left.join(cut.select("block", F.col("band").alias("near"), "chunks"), ["block", "near"]).select("block", "chunk", "row", "label", "near", each)
+    left = left.select("block", "chunk", part_name("near", "i").alias("other"), F.lit(0).alias("side"), "row", "label")
+    right = labelled.select("block", F.col("chunk").alias("other"), "row", "label", near).join(parts.select("block", F.col("band").alias("near"), F.col("parts").alias("chunks")), ["block", "near"])
+    right = right.select("block", "other", "row", "label", "near", each).select("block", part_name("near", "i").alias("chunk"), "other", F.lit(1).alias("side"), "row", "label")
     return links.unionByName(materialize(_links(left.unionByName(right), rows, k, num, den), "jaccard-links"))
 
 
+def parts_of(size: Column | str, total: Column | str) -> Column:
+    """Parts for so many nodes with so many shingles in all."""
+    one, two = (F.col(x) if isinstance(x, str) else x for x in (size, total))
+    return F.greatest(F.ceil(one / BLOCK), F.ceil(two / BLOCK_SHINGLES)).cast("long")
+
+
+def part_name(band: str, number: Column | str) -> Column:
+    return F.shiftleft(F.col(band) + 1, 32) + (F.col(number) if isinstance(number, str) else number)
+
+
 def common_bitmap(counted: DataFrame) -> np.ndarray:
     """A bitmap over the upper bits of the hashes of common shingles. counted: token, c."""
     bucket = F.shiftrightunsigned("token", 64 - COMMON_BITS).cast("int").alias("b")

@@ -117,6 +117,20 @@ def test_jaccard_blocks_in_chunks(spark, monkeypatch):
     assert got == brute_components(rows, 3, 9, 10)
 
 
+def test_jaccard_blocks_of_many_sizes(spark, monkeypatch):
+    """One frequent line holds texts of all sizes in one block; links cross the bands' edges."""
+    rng, line = random.Random(8), " ".join(f"line{i}" for i in range(12))
+    rows = []
+    for i in range(60):
+        w = [f"x{i}_{j}" for j in range(rng.randint(1, 60))]
+        rows += [line + " " + " ".join(w), line + " " + " ".join(w[:-1]), " ".join(w + [f"y{i}_{j}" for j in range(len(w) // 9)]) + " " + line]
+    monkeypatch.setattr(jaccard_join, "OFTEN", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 9)
+    for k, num, den in ((3, 9, 10), (5, 4, 5), (2, 1, 1)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, list(enumerate(rows))), k, num, den).collect()}
+        assert got == brute_components(list(enumerate(rows)), k, num, den)
+
+
 def test_jaccard_streamed_tokens(spark, monkeypatch):
     rows = chain(40, 60, 1)
     monkeypatch.setattr(jaccard_join, "OFTEN", 10**9)
