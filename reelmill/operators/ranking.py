@@ -69,12 +69,13 @@ def diversified(rows: DataFrame, key: str, ids: list[str], limit: int = 60, per_
     extra = [F.col(i).cast("long").alias(i) for i in ids if i not in ("start_ms", "end_ms")]
     one = F.struct((-F.col("score")).cast("long").alias("neg"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), F.floor(F.col("start_ms") / bucket_ms).cast("long").alias("b"), F.lower(F.coalesce(F.nullif(F.col("structure"), F.lit("")), F.lit("other"))).alias("topic"), *extra)
     empty = F.array().cast(f"array<{item}>")
-
+    # the fill-in takes at most limit of a stretch, so no more of them are held, and the fold's arrays stay short
     def step(acc: Column, c: Column) -> Column:
         full = F.size(acc["chosen"]) >= limit
         over = (F.size(F.filter(acc["chosen"], lambda x: x["b"] == c["b"])) >= per_bucket) | (F.size(F.filter(acc["chosen"], lambda x: x["topic"] == c["topic"])) >= per_topic)
+        held = F.size(F.filter(acc["over"], lambda x: x["b"] == c["b"])) < limit
         add = lambda xs: F.concat(xs, F.array(c))
-        return F.struct(F.when(full | over, acc["chosen"]).otherwise(add(acc["chosen"])).alias("chosen"), F.when(~full & over, add(acc["over"])).otherwise(acc["over"]).alias("over"))
+        return F.struct(F.when(full | over, acc["chosen"]).otherwise(add(acc["chosen"])).alias("chosen"), F.when(~full & over & held, add(acc["over"])).otherwise(acc["over"]).alias("over"))
 
     folded = rows.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(one)), F.struct(empty.alias("chosen"), empty.alias("over")), step).alias("f"))
     first = folded.select(key, F.posexplode("f.chosen").alias("p", "c")).select(key, (F.col("p") + 1).cast("long").alias("rank"), "c")

@@ -33,12 +33,13 @@ def interleaved(clips: DataFrame, channel: str, source: list[str], order: list[s
 
 def placed(clips: DataFrame, slots: DataFrame, channel: str, source: list[str], order: list[str]) -> DataFrame:
     """Pinned clips keep their time; the others take the open slots in turn. scheduled_at is null where none is left."""
-    pinned = clips.filter("pinned_at is not null").withColumn("scheduled_at", F.col("pinned_at"))
-    flowing = interleaved(clips.filter("pinned_at is null"), channel, source, order)
-    taken = pinned.select(channel, F.col("pinned_at").alias("at")).distinct()
+    x = clips.withColumn("__pinned", F.col("pinned_at").isNotNull())
+    turn = F.row_number().over(Window.partitionBy(channel, "__pinned", *source).orderBy(*order))
+    place = F.row_number().over(Window.partitionBy(channel, "__pinned").orderBy("__turn", *source)).cast("long")
+    x = x.withColumn("__turn", turn).withColumn("place", F.when(~F.col("__pinned"), place)).drop("__turn", "__pinned")
+    taken = clips.filter("pinned_at is not null").select(channel, F.col("pinned_at").alias("at")).distinct()
     open_ = slots.join(taken, [channel, "at"], "left_anti").withColumn("place", F.row_number().over(Window.partitionBy(channel).orderBy("at")).cast("long"))
-    flowing = flowing.join(open_, [channel, "place"], "left").withColumnRenamed("at", "scheduled_at").drop("place")
-    return pinned.unionByName(flowing)
+    return x.join(open_, [channel, "place"], "left").withColumn("scheduled_at", F.coalesce("pinned_at", "at")).drop("place", "at")
 
 
 def calendar(slots: DataFrame, done: DataFrame, channel: str, ids: list[str], order: list[str]) -> DataFrame:
