@@ -7,7 +7,8 @@ sum of the representations is scored by a linear layer and calibrated on a part
 
 Training takes at most ``learning.SAMPLE`` labelled rows, with all passages of each.
 
-Defined results: a null or empty text is one empty passage and gets its score; with no labelled rows, or of one label
+Defined results: a null or empty text is one empty passage and gets its score; a very long text is read whole, passage by
+passage; scores depend on no order, so there are no ties; with no labelled rows, or of one label
 only, every score is 0 or 1 as that label says (0 without any); repeated rows are scored each; an empty table gives an
 empty result; labels, lang and source are never inputs.
 """

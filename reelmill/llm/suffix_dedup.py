@@ -22,7 +22,8 @@ Passages of over 50 words are often shorter than 400 bytes. They are found in th
 the windows of ``PASSAGE`` words, from a word's first byte to another's last, have anchors and segments of their own, and
 ``n_shared`` counts the windows of a text that another row's text holds too.
 
-Defined results: a null or short text loses nothing; overlapping repeats count, so a run of one letter repeats itself;
+Defined results: a null or short text loses nothing; a very long text is scanned whole, in pieces that overlap; where two
+windows of an anchor tie, the later place counts in every copy; overlapping repeats count, so a run of one letter repeats itself;
 rows repeated in full repeat each other and both lose their bytes; an empty table gives an empty result; what is left
 need not be valid UTF-8 and is given as bytes; other columns are never read.
 """
@@ -385,6 +386,51 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans
 
 
+def _groups_task(length: int):
+    """The tree's maximal repeats as rows: a number for each repeat, its bytes, and a place in a segment for each occurrence."""
+
+    def solve(group: list) -> Iterator[pa.RecordBatch]:
+        data, starts, ends = packed([x[2] for x in group])
+        for size, at in maximal_repeats(data, starts, ends, np.array([x[3] for x in group]), length):
+            seg = np.searchsorted(starts, at, "right") - 1
+            mark = int(words.span_hash(words.prefix_hash(data[at[0] : at[0] + size], lower=False), np.zeros(1, np.int64), np.array([size])).view(np.int64)[0])
+            columns = [pa.array(np.full(len(at), mark)), pa.array(np.full(len(at), size)), pa.array([group[k][0] for k in seg], pa.int64()), pa.array([group[k][1] for k in seg], pa.int64()), pa.array((at - starts[seg]).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["repeat", "n_bytes", "anchor", "seg", "place"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, size = [], 0
+        for batch in batches:
+            for x in zip(*[batch.column(c).to_pylist() for c in ("anchor", "seg", "content", "windows")]):
+                if size >= BATCH_BYTES and x[0] != group[-1][0]:
+                    yield from solve(group)
+                    group, size = [], 0
+                group.append(x)
+                size += len(x[2])
+        if group:
+            yield from solve(group)
+
+    return task
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """repeat, n_bytes, doc_id, start: a row for each occurrence of each maximal repeat among the segments of an anchor. A
+    repeat longer than a segment shows as one for each anchor it holds; of texts that are equal around an anchor, the
+    segment itself is the repeat. Copies join their segment by key, so a repeat with many occurrences is no one row. An
+    anchor with more than GROUP different segments gives only its equal segments."""
+    docs, number = with_rows(docs)
+    rows = docs.select(F.col(number).alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    places = materialize(rows.select("row", "text").mapInArrow(_places_task(length), PLACES).filter("not passage"), "repeat-places")
+    kinds = materialize(places.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "end", "windows")).alias("one")), "repeat-kinds")
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter((F.col("m") > 1) & (F.col("m") <= GROUP))
+    wanted = kinds.join(several, "anchor").select("anchor", "seg", "one.*")
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", F.lit(1).cast("long").alias("n"), F.col("row").alias("first"), F.col("row").alias("last"), F.lit(False).alias("wide"), F.lit(False).alias("passage"), "windows", "lo", "end")).alias("wants"))
+    contents = rows.join(asked, "row").select("wants", "text").mapInArrow(_fetch_task, CONTENTS).select("anchor", "seg", "content", "windows")
+    trees = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_groups_task(length), "repeat long, n_bytes long, anchor long, seg long, place long")
+    same = kinds.filter("n > 1").select(F.xxhash64("anchor", "seg").alias("repeat"), (F.col("one.end") - F.col("one.lo")).cast("long").alias("n_bytes"), "anchor", "seg", F.lit(0).cast("long").alias("place"))
+    found = places.select("anchor", "seg", "row", "lo").join(trees.unionByName(same), ["anchor", "seg"])
+    return found.join(rows.select("row", "doc_id"), "row").select("repeat", "n_bytes", "doc_id", (F.col("lo") + F.col("place")).alias("start")).distinct()
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shared, n_bytes, removed array<struct<start,end>>, kept binary for every row of docs."""
     docs, number = with_rows(docs)

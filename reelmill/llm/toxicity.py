@@ -10,7 +10,8 @@ scored: the text's logit is that of its highest window, scaled to a probability
 Training takes at most ``learning.SAMPLE`` labelled rows. All their windows bear the text's label in the first round;
 afterwards only each text's highest window is trained on, since one toxic passage makes a text toxic.
 
-Defined results: a null or empty text has one empty window and gets its score; with no labelled rows, or of one label
+Defined results: a null or empty text has one empty window and gets its score; all windows of a very long text are scored,
+and of windows that tie for the highest any gives the same score; with no labelled rows, or of one label
 only, every score is 0; repeated rows are scored each; an empty table gives an empty result; labels, lang and source are
 never inputs.
 """

@@ -224,6 +224,22 @@ def test_what_stands_behind_a_segment_does_not_sort_it():
     assert sorted((n, len(at)) for n, at in found) == [(8, 3), (10, 2)]
 
 
+def test_repeat_groups_hold_all_occurrences(spark):
+    """Every group's occurrences hold one string, and together they cover what is removed and no more."""
+    rows = sample(5, 60)
+    texts = {i: (t or "").encode() for i, t in rows}
+    groups, cover = defaultdict(set), {i: np.zeros(len(t), bool) for i, t in texts.items()}
+    for r in suffix_dedup.repeat_groups(frame(spark, rows), 120).collect():
+        groups[r.repeat, r.n_bytes].add((r.doc_id, r.start))
+    assert len(groups) > 10
+    for (_, n), at in groups.items():
+        assert len(at) > 1 and len({texts[i][s : s + n] for i, s in at}) == 1 and n >= 120
+        for i, s in at:
+            cover[i][s : s + n] = True
+    assert {i: int(c.sum()) for i, c in cover.items()} == {r[0]: r[2] for r in brute_cut(rows, 120)}
+    assert suffix_dedup.repeat_groups(frame(spark, [])).count() == 0
+
+
 def test_passages_of_few_bytes(spark, monkeypatch):
     rng = random.Random(4)
     draw = lambda n: " ".join(rng.choices("a b c d ee ff".split(), k=n))

@@ -72,6 +72,64 @@ def numeric(loss, p, k, i, e):
     return (up - down) / (2 * e)
 
 
+def plain_toxicity(model, text):
+    """The recurrent network, one window and one step at a time."""
+    p, reader = model.params, toxicity.read(next(W.blocks(pa.array([text or ""]))))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    best = -np.inf
+    for window in reader.windows:
+        xs = []
+        for k in window[window >= 0]:
+            grams = reader.grams[reader.gram_of[k] : reader.gram_of[k + 1]]
+            xs.append(np.concatenate([p["word"][reader.word[k]], p["gram"][grams].mean(0)]))
+        states = np.zeros((len(xs), 2 * toxicity.HIDDEN))
+        for way, order, side in (("f", range(len(xs)), 0), ("b", range(len(xs) - 1, -1, -1), toxicity.HIDDEN)):
+            h, n = np.zeros(toxicity.HIDDEN), toxicity.HIDDEN
+            for t in order:
+                ahead, back = xs[t] @ p[f"x{way}"] + p[f"c{way}"], h @ p[f"h{way}"]
+                z, r = sig(ahead[:n] + back[:n]), sig(ahead[n : 2 * n] + back[n : 2 * n])
+                new = np.tanh(ahead[2 * n :] + r * back[2 * n :])
+                h = (1 - z) * new + z * h
+                states[t, side : side + n] = h
+        weight = np.exp([np.tanh(s @ p["wa"]) @ p["va"] for s in states])
+        pooled = sum((a / weight.sum() * s for a, s in zip(weight, states)), np.zeros(2 * toxicity.HIDDEN))
+        best = max(best, pooled @ p["w"] + p["b"])
+    return sig(model.slope * best + model.shift)
+
+
+def plain_quality(model, text):
+    """Gated attention over passages, one passage at a time."""
+    p, (x, _) = model.params, quality.encode(next(W.blocks(pa.array([text or ""]))))
+    hs, es = [], []
+    for features in (x - model.mean) / model.scale:
+        h = np.tanh(features @ p["e"] + p["eb"])
+        hs.append(h)
+        es.append((np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["a"])
+    weight = np.exp(np.array(es) - max(es))
+    logit = sum(a / weight.sum() * h for a, h in zip(weight, hs)) @ p["w"] + p["b"]
+    return 1 / (1 + np.exp(-(model.slope * logit + model.shift)))
+
+
+@pytest.mark.parametrize("module, fn, place, plain", [(toxicity, "toxicity", 1, plain_toxicity), (quality, "quality", 0, plain_quality)])
+def test_scores_as_by_plain_loops(world, module, fn, place, plain):
+    """The whole query against the same model run by plain loops over every text."""
+    docs, labels, truth, rows = world
+    model = module.train(docs, labels)
+    few = {i: t for i, t in rows if i is not None and (i % 25 == 0 or i > 500)}
+    got = {r.doc_id: r for r in getattr(module, fn)(docs, labels).collect() if r.doc_id in few}
+    for i, text in few.items():
+        want = plain(model, text)
+        assert got[i].score == pytest.approx(want, abs=2e-4) and (got[i].predicted == (want >= 0.3) or abs(want - 0.3) < 1e-3)
+
+
+def test_the_sample_takes_other_names_and_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, None)], "k long, body string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    keep = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts, y = learning.labelled_sample(docs, labels, "toxic", 4, 2, text="body", key="k")
+    assert list(zip(texts, y)) == [x for i, x in ((1, ("a", 0.0)), (2, ("c", 1.0)), (3, ("", 0.0))) if i in keep]
+
+
 def test_recurrent_gradients():
     p = {k: np.asarray(v, np.float64) for k, v in toxicity.new_params(3).items()}
     reader = toxicity.read(next(W.blocks(pa.array(["ab cd ef gh ij", "x yy zzz idiot a b c", "q", ""]))))

@@ -25,6 +25,24 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in found) == sorted(want) and all(r.text == text[r.doc_id] and r.parity for r in found)
 
 
+def test_run_over_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names; then an empty table."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, None), (2, "", "x"), (3, "a b c d e f g", "x"), (3, "a b c d e f g", "x"), (4, long, None), (5, long + " end", "x"), (None, "other words stand here now", "x"), (6, "what is asked here about nothing much then", "y"), (7, " \t\n", "x")]
+    schema = "doc_id long, text string, row string"
+    wide = lambda df: df.selectExpr("*", "'q' as __row", "1 as component", "2 as token")
+    for name, data in (("some", rows), ("none", [])):
+        d = str(tmp_path / name)
+        wide(spark.createDataFrame(data, schema)).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(3, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, "what is asked here about nothing much then"), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, d)
+        assert set(out.columns) == {"doc_id", "text", "row", "__row", "component", "token", "token_ids", "parity"}
+        got = sorted((str(r.doc_id), (r.text or "")[:9]) for r in out.collect())
+        # of the blank texts 7 has most code points; 4 and 5 are near copies; 6 leaks
+        assert got == ([("3", "a b c d e"), ("4", long[:9]), ("7", " \t\n"), ("None", "other wor")] if data else [])
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     for _, stage in corpus_pipeline.STAGES[1:4]:
