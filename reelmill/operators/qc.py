@@ -94,7 +94,7 @@ def within(m: dict[str, tuple[float, float]]) -> Column:
 
 def frame_boxes(boxes: DataFrame) -> DataFrame:
     """Per clip and frame: span and midpoint of all boxes, the tallest one's centre, eye line and height, boxes."""
-    return boxes.groupBy("clip", "t").agg(F.min("x").alias("left"), F.max(F.col("x") + F.col("w")).alias("right"), F.max_by(F.struct((F.col("x") + F.col("w") / 2).alias("cx"), "h", (F.col("y") + F.col("h") * 0.42).alias("eye")), F.struct("h", "x", "w")).alias("big"), F.count("*").alias("n")).select("clip", "t", "left", "right", (F.col("right") - F.col("left")).alias("span"), ((F.col("left") + F.col("right")) / 2).alias("mid"), F.col("big.cx").alias("cx"), F.col("big.eye").alias("eye"), F.col("big.h").alias("big_h"), "n")
+    return boxes.groupBy("clip", "t").agg(F.min("x").alias("left"), F.max(F.col("x") + F.col("w")).alias("right"), F.max_by(F.struct((F.col("x") + F.col("w") / 2).alias("cx"), "h", (F.col("y") + F.col("h") * 0.42).alias("eye")), F.struct("h", "x", "w", "y")).alias("big"), F.count("*").alias("n")).select("clip", "t", "left", "right", (F.col("right") - F.col("left")).alias("span"), ((F.col("left") + F.col("right")) / 2).alias("mid"), F.col("big.cx").alias("cx"), F.col("big.eye").alias("eye"), F.col("big.h").alias("big_h"), "n")
 
 
 def track_decision(frames: DataFrame, width: float, crop_share: float) -> DataFrame:

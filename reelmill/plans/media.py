@@ -91,7 +91,7 @@ def probes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RUNS = "q as (select item, frame, frame - row_number() over (partition by item order by frame) as i from level_frames where level_db < -35), runs as (select item, min(frame)*200 as from_ms, (min(frame)+count(*))*200 as to_ms, count(*) as n from q group by item, i having count(*)*200 >= {0})"
-_BOXES = "boxes as (select clip, t, min(x) as l, max(x+w) as r, arg_max(x+w/2, (h,x,w)) as cx, arg_max(h, (h,x,w)) as big_h, arg_max(y+h*0.42, (h,x,w)) as eye, count(*) as n from detections group by 1,2)"
+_BOXES = "boxes as (select clip, t, min(x) as l, max(x+w) as r, arg_max(x+w/2, (h,x,w)) as cx, arg_max(h, (h,x,w)) as big_h, arg_max(y+h*0.42, (h,x,w,y)) as eye, count(*) as n from detections group by 1,2)"
 
 QUERIES = {
     "quiet_runs": (quiet_runs, with_views("level_frames", "+" + _RUNS.format(600) + " select item, from_ms, to_ms from runs")),
