@@ -72,20 +72,20 @@ def flag_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clip_words(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.clips(spark, d).filter("decision = 'approved'").select("doc_id", "seg_from", "seg_to", "start_ms", "end_ms")
-    w = words_in_clips(fx.words(spark, d), c, "doc_id")
-    return w.groupBy("doc_id", "seg_from", "seg_to").agg(F.count("*").alias("n_words"), F.min("rel_start_ms").alias("first_ms"), F.max("rel_end_ms").alias("last_ms"), F.sum("pos").alias("pos_sum"))
+    w = words_in_clips(fx.words(spark, d), _approved(spark, d), "doc_id")
+    return w.groupBy(*CLIP).agg(F.count("*").alias("n_words"), F.min("rel_start_ms").alias("first_ms"), F.max("rel_end_ms").alias("last_ms"), F.sum("pos").alias("pos_sum"))
 
 
-def _some_clips(spark: SparkSession, d: str) -> DataFrame:
-    """One clip a recording: the first approved."""
-    c = fx.clips(spark, d).filter("decision = 'approved'")
-    return c.groupBy("doc_id").agg(F.min(F.struct("start_ms", "end_ms", "seg_from", "seg_to")).alias("c")).select("doc_id", "c.*")
+CLIP = ["doc_id", "seg_from", "seg_to"]
+
+
+def _approved(spark: SparkSession, d: str) -> DataFrame:
+    return fx.clips(spark, d).filter("decision = 'approved'").select(*CLIP, "start_ms", "end_ms")
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
-    w = words_in_clips(fx.words(spark, d), _some_clips(spark, d).select("doc_id", "start_ms", "end_ms"), "doc_id")
-    return caption_cards(w, ["doc_id"], 4, CORRECTIONS)
+    w = words_in_clips(fx.words(spark, d), _approved(spark, d), "doc_id")
+    return caption_cards(w, CLIP, 4, CORRECTIONS)
 
 
 def cues_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -95,21 +95,21 @@ def cues_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def peaks(spark: SparkSession, d: str) -> DataFrame:
-    c = _some_clips(spark, d).withColumn("dur", F.col("end_ms") - F.col("start_ms"))
+    c = _approved(spark, d).withColumn("dur", F.col("end_ms") - F.col("start_ms"))
     at = F.array(*[((F.col("doc_id") * 977 + 7919 * k) % (F.col("dur") + 5000)).cast("long") for k in range(4)])
-    return c.select("doc_id", F.posexplode(emphasis_windows(at, F.col("dur"))).alias("i", "x")).select("doc_id", F.col("i").cast("long").alias("i"), "x.from_ms", "x.to_ms")
+    return c.select(*CLIP, F.posexplode(emphasis_windows(at, F.col("dur"))).alias("i", "x")).select(*CLIP, F.col("i").cast("long").alias("i"), "x.from_ms", "x.to_ms")
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    c = _some_clips(spark, d)
-    return c.select("doc_id", F.posexplode(sample_times(F.col("end_ms") - F.col("start_ms"))).alias("i", "at_ms")).select("doc_id", F.col("i").cast("long").alias("i"), "at_ms")
+    c = _approved(spark, d)
+    return c.select(*CLIP, F.posexplode(sample_times(F.col("end_ms") - F.col("start_ms"))).alias("i", "at_ms")).select(*CLIP, F.col("i").cast("long").alias("i"), "at_ms")
 
 
 def post_texts(spark: SparkSession, d: str) -> DataFrame:
-    c = _some_clips(spark, d)
+    c = _approved(spark, d)
     caption = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.concat(F.lit("clip "), F.col("doc_id").cast("string")))
     tags = F.array(F.lit("#one"), F.concat(F.lit("t"), (F.col("doc_id") % 7).cast("string")))
-    return c.select("doc_id", post_text(caption, F.when(F.col("doc_id") % 2 == 0, "Follow"), tags).alias("post"))
+    return c.select(*CLIP, post_text(caption, F.when(F.col("doc_id") % 2 == 0, "Follow"), tags).alias("post"))
 
 
 def corrections(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ _FLAGGED = """, texts as (select doc_id, list(text order by seg) as ts from segm
  flagged as (select *, contains(lower(t),'ver') or contains(lower(t),'that the') as has_recital from joined),
  cues as (select doc_id, seg_from, seg_to, start_ms, end_ms, has_recital, contains(lower(t),'thing') or contains(lower(t),'with the') or has_recital as has_aha from flagged)"""
 _STAMP = "case when start_ms>=3600000 then format('{}:{:02d}:{:02d}',start_ms//3600000,(start_ms//60000)%60,(start_ms//1000)%60) else format('{}:{:02d}',start_ms//60000,(start_ms//1000)%60) end"
-_FIRST = ", one as (select doc_id, min(struct_pack(start_ms,end_ms,seg_from,seg_to)) as c from clips where decision='approved' group by doc_id), picked as (select doc_id, c.start_ms as start_ms, c.end_ms as end_ms from one)"
+_PICKED = "picked as (select doc_id, seg_from, seg_to, start_ms, end_ms from clips where decision='approved')"
 _FIX = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x},'\\bthe\\b','der','gi'),'\\bder\\b','DER$1','gi'),'\\bof\\b','o\\\\f','gi')"
 
 QUERIES = {
@@ -144,25 +144,25 @@ QUERIES = {
     "clip_words": (clip_words, with_views("words clips", "select c.doc_id, seg_from, seg_to, count(*) as n_words, min(greatest(0, w.start_ms-c.start_ms)) as first_ms, max(w.end_ms-c.start_ms) as last_ms, cast(sum(pos) as bigint) as pos_sum from words w join clips c on w.doc_id=c.doc_id and w.end_ms>=c.start_ms and w.start_ms<=c.end_ms where decision='approved' group by 1,2,3")),
     "caption_cards": (
         cards,
-        with_views("words clips", "+" + _FIRST.lstrip(", ") + f""", inside as (select w.doc_id, pos, w, greatest(0, w.start_ms-s.start_ms) as a, w.end_ms-s.start_ms as b from words w join picked s on w.doc_id=s.doc_id and w.end_ms>=s.start_ms and w.start_ms<=s.end_ms),
- placed as (select *, (row_number() over (partition by doc_id order by pos)-1)//4 as card from inside)
- select doc_id, card, arg_min(a,pos) as start_ms, arg_max(b,pos) as end_ms, {_FIX("trim(string_agg(w,' ' order by pos))")} as text from placed where w<>'' group by 1,2"""),
+        with_views("words clips", "+" + _PICKED + f""", inside as (select w.doc_id, seg_from, seg_to, pos, w, greatest(0, w.start_ms-s.start_ms) as a, w.end_ms-s.start_ms as b from words w join picked s on w.doc_id=s.doc_id and w.end_ms>=s.start_ms and w.start_ms<=s.end_ms),
+ placed as (select *, (row_number() over (partition by doc_id, seg_from, seg_to order by pos)-1)//4 as card from inside)
+ select doc_id, seg_from, seg_to, card, arg_min(a,pos) as start_ms, arg_max(b,pos) as end_ms, {_FIX("trim(string_agg(w,' ' order by pos))")} as text from placed where w<>'' group by 1,2,3,4"""),
     ),
     "cues_roundtrip": (cues_roundtrip, with_views("segments", "select doc_id, row_number() over (partition by doc_id order by seg)-1 as pos, start_ms, end_ms, text from segments where trim(text)<>''")),
     "emphasis_windows": (
         peaks,
-        with_views("clips", "+" + _FIRST.lstrip(", ") + """, pts as (select doc_id, end_ms-start_ms as dur, list_transform(range(0,3), lambda k: (doc_id*977+7919*k) % (end_ms-start_ms+5000)) as ps from picked),
- good as (select doc_id, dur, list_filter(ps, lambda t: t>=0 and t<=greatest(0,dur-500)) as g from pts)
- select doc_id, i-1 as i, greatest(0,g[i]-300) as from_ms, least(dur,g[i]+1800) as to_ms from good, lateral unnest(range(1,len(g)+1)) u(i)"""),
+        with_views("clips", "+" + _PICKED + """, pts as (select doc_id, seg_from, seg_to, end_ms-start_ms as dur, list_transform(range(0,3), lambda k: (doc_id*977+7919*k) % (end_ms-start_ms+5000)) as ps from picked),
+ good as (select doc_id, seg_from, seg_to, dur, list_filter(ps, lambda t: t>=0 and t<=greatest(0,dur-500)) as g from pts)
+ select doc_id, seg_from, seg_to, i-1 as i, greatest(0,g[i]-300) as from_ms, least(dur,g[i]+1800) as to_ms from good, lateral unnest(range(1,len(g)+1)) u(i)"""),
     ),
     "sample_times": (
         samples,
-        with_views("clips", "+" + _FIRST.lstrip(", ") + """, pts as (select doc_id, list_concat(list_concat([50], list_filter(list_transform(range(1,7), lambda k: k*4000), lambda t: t < greatest(200,end_ms-start_ms)-200)), [greatest(100,greatest(200,end_ms-start_ms)-200)]) as ts from picked)
- select doc_id, i-1 as i, ts[i] as at_ms from pts, lateral unnest(range(1,len(ts)+1)) u(i)"""),
+        with_views("clips", "+" + _PICKED + """, pts as (select doc_id, seg_from, seg_to, list_concat(list_concat([50], list_filter(list_transform(range(1,7), lambda k: k*4000), lambda t: t < greatest(200,end_ms-start_ms)-200)), [greatest(100,greatest(200,end_ms-start_ms)-200)]) as ts from picked)
+ select doc_id, seg_from, seg_to, i-1 as i, ts[i] as at_ms from pts, lateral unnest(range(1,len(ts)+1)) u(i)"""),
     ),
     "post_text": (
         post_texts,
-        with_views("clips", "+" + _FIRST.lstrip(", ") + """ select doc_id, array_to_string(list_filter([case when doc_id%3=0 then '' else 'clip '||doc_id end, case when doc_id%2=0 then 'Follow' else '' end, '#one #t'||(doc_id%7)], lambda x: x<>''), chr(10)||chr(10)) as post from picked"""),
+        with_views("clips", "+" + _PICKED + """ select doc_id, seg_from, seg_to, array_to_string(list_filter([case when doc_id%3=0 then '' else 'clip '||doc_id end, case when doc_id%2=0 then 'Follow' else '' end, '#one #t'||(doc_id%7)], lambda x: x<>''), chr(10)||chr(10)) as post from picked"""),
     ),
     "corrections": (
         corrections,

@@ -41,8 +41,8 @@ def _now():
 def retention_report(spark: SparkSession, d: str) -> DataFrame:
     f = fx.files(spark, d)
     number = F.regexp_extract("name", r"(\d+)", 1).cast("long")
-    f = f.withColumn("area", F.when(number % 3 == 0, F.col("area")).otherwise(F.concat("area", F.lit("-"), F.floor(number / 50).cast("string"))))
-    good = table(spark, d, "labels").filter("quality = 1 and doc_id % 4 = 0").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
+    f = f.withColumn("area", F.when(number % 3 == 0, F.col("area")).otherwise(F.concat("area", F.lit("-"), F.floor(number / 4).cast("string"))))
+    good = table(spark, d, "labels").filter("quality = 1").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
     return lg.retention_report(f, good, _now(), 48, 24 * 7, number % 3 == 0)
 
 
@@ -106,8 +106,8 @@ QUERIES = {
     "retention_report": (
         retention_report,
         with_views("files", """+n as (select *, regexp_extract(name,'(\\d+)',1)::bigint as k, (epoch(timestamp '2024-02-01')-epoch(mtime))/3600.0 as age from files),
- f as (select name, length, k, age, case when k%3=0 then area else area||'-'||(k//50) end as area from n),
- ok as (select 'doc_'||doc_id||'.txt' as name from labels where quality=1 and doc_id%4=0),
+ f as (select name, length, k, age, case when k%3=0 then area else area||'-'||(k//4) end as area from n),
+ ok as (select 'doc_'||doc_id||'.txt' as name from labels where quality=1),
  held as (select distinct area from f where k%3<>0 and name in (select name from ok))
  select 'source' as kind, name, length from f where k%3=0 and age>48 union all select 'group', area, cast(sum(length) as bigint) from f where k%3<>0 and area not in (select area from held) group by area having min(age)>168"""),
     ),
