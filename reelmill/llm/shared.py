@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import shutil
 import tempfile
 import time
@@ -13,7 +14,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -72,19 +73,42 @@ def _is_scan(df: DataFrame) -> bool:
     return node.children().isEmpty() and bool(df.inputFiles())
 
 
+NO_HOST = "^([^:/]*):///"  #: file:///a and file:/a name one file
+FILE_BITS, PLACE_BITS = 24, 39  #: of a row's number: its file's place in the sorted list of files, its own place there
+
+
+def _scattered(number: Column) -> Column:
+    """A permutation of 64-bit numbers (xor with shifts of itself), so that neighbours don't follow each other."""
+    number = number.bitwiseXOR(F.shiftleft(number, 13))
+    number = number.bitwiseXOR(F.shiftrightunsigned(number, 7))
+    return number.bitwiseXOR(F.shiftleft(number, 17))
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    path, place = free_name(df, "__path"), free_name(df, "__place")
+    placed = df.select("*", F.regexp_replace("_metadata.file_path", NO_HOST, "$1:/").alias(path), F.col("_metadata.row_index").alias(place))
+    files = sorted({re.sub(NO_HOST, r"\1:/", f) for f in df.inputFiles()})
+    if len(files) >= 1 << FILE_BITS:
+        raise ValueError(f"{len(files)} files are more than row numbers have room for")
+    at = pa.table({path: pa.array(files, pa.string()), name: pa.array(range(len(files)), pa.int64())})
+    # one short row a file, of the list that the driver's own file index holds
+    joined = placed.join(F.broadcast(df.sparkSession.createDataFrame(at)), path, "left")
+    known = F.coalesce(F.col(name), F.raise_error(F.concat(F.lit("not among the files of the scan: "), F.col(path))).cast("long"))
+    return joined.withColumn(name, _scattered(F.shiftleft(known, PLACE_BITS).bitwiseOR(F.col(place)))).drop(path, place)
+
+
 def with_rows(df: DataFrame) -> tuple[DataFrame, str]:
-    """df with a number for each row in a column of a free name, and that name. The number stays the same in every plan,
-    however partitions are cut and whichever executors are lost: a 64-bit hash of the file and of the place in it. What
-    is not a plain scan of files is written first. (Numbers of a partition and a place in it change when Spark cuts a
-    small scan anew for other cores.)"""
+    """df with a number for each row in a column of a free name, and that name. No two rows share one, and it stays the
+    same in every plan, however partitions are cut and whichever executors are lost: it is made of the file's place in
+    the list of files and the row's place in the file. What is not a plain scan of files is written first. (Numbers of a
+    partition and a place in it change when Spark cuts a small scan anew for other cores.)"""
     name = free_name(df)
     if not _is_scan(df):
         df = materialize(df, "rows")
-    number = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
     try:
-        return df.select("*", number), name
+        return _numbered(df, name), name
     except AnalysisException:  # the scan's own columns are hidden behind a projection
-        return materialize(df, "rows").select("*", number), name
+        return _numbered(materialize(df, "rows"), name), name
 
 
 def drop(df: DataFrame) -> None:

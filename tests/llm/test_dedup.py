@@ -268,3 +268,19 @@ def test_words_agree_with_the_pattern():
         raw = [bytes(block.data[a:b]).decode() for a, b in zip(found.starts, found.ends)]
         got += [[x for x, r in zip(raw, found.row) if r == k] for k in range(block.rows)]
     assert [[x.lower() if x.isascii() else x for x in g] for g in got] == [[x for x in words(t)] for t in texts]
+
+
+def test_row_numbers_are_distinct_and_steady(spark, tmp_path):
+    """Many files, odd names and partitions cut differently: each row has one number of its own."""
+    from reelmill.llm import shared
+
+    path = f"{tmp_path}/odd name%20é"
+    spark.range(3000).selectExpr("id as doc_id", "'t' as text", "id % 7 as p").repartition(9).write.partitionBy("p").parquet(path)
+    seen = []
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows, name = shared.with_rows(spark.read.parquet(path).filter("doc_id >= 10"))
+        assert rows.columns[-1] == name and set(rows.columns) == {"doc_id", "text", "p", name}
+        seen.append({r.doc_id: r[name] for r in rows.collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 2990
