@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_model, pieces, quality, secrets, shared, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_model, merkle, pieces, quality, secrets, shared, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -134,6 +138,44 @@ def _op10_sql() -> str:
  select doc_id, (length(h)//2)::bigint as n_bytes, coalesce(n_removed,0) as n_removed, coalesce(n_spans,0) as n_spans, sha256(unhex(coalesce(kept,h))) as kept_sha256, coalesce(c,0) as n_shared from d left join cut using(r) left join shared using(r)"""
 
 
+def _op13_sql(levels: int = 9, langs: int = 4) -> str:
+    """So many levels of runs over leaves and over languages; a tree that has ended stays as it is."""
+    run, entries = merkle.RUN, []
+    for c in range(256):  # the table of CRC-32
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        entries.append(str(c))
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar,''), x -> ascii(x)::bigint)), lambda a, b: xor(a >> 8, ([{','.join(entries)}]::bigint[])[(xor(a, b) & 255) + 1])), 4294967295)".replace("x -> ascii", "lambda x: ascii")
+    value = lambda v: f"coalesce(strlen({v})||':'||{v},'-')"
+    leaf = lambda text: "sha256(" + "||".join(value(text if f == "text" else f"{f}::varchar") for f in merkle.FIELDS) + ")"
+
+    def tree(name: str, start: str, depth: int) -> list[str]:
+        """name0 .. with (g, p, c, d), runs with what stands before and behind each node."""
+        out = [f"{name}0 as ({start})"]
+        for k in range(depth):
+            frame = f"partition by g, p//{run} order by p rows between"
+            out += [
+                f"{name}r{k} as (select g, p, c, coalesce(string_agg(d,'') over ({frame} unbounded preceding and 1 preceding),'') as l, coalesce(string_agg(d,'') over ({frame} 1 following and unbounded following),'') as r from {name}{k})",
+                f"{name}{k + 1} as (select g, p//{run} as p, (any_value(c)+{run - 1})//{run} as c, case when any_value(c)>1 then sha256(string_agg(d,'' order by p)) else any_value(d) end as d from {name}{k} group by g, p//{run})",
+            ]
+        return out
+
+    def climb(name: str, track: str, depth: int) -> list[str]:
+        """track0 .. with id, the place g, p, the siblings so far, and the digest that the claim leads to."""
+        return [f"{track}{k + 1} as (select t.id, t.g, t.p//{run} as p, proof||n.l||n.r as proof, case when n.c>1 then sha256(n.l||f||n.r) else f end as f from {track}{k} t join {name}r{k} n on t.g=n.g and t.p=n.p)" for k in range(depth)]
+
+    parts = [
+        f"d as (select row_number() over () as id, doc_id, coalesce('1'||lang,'0') as g, {leaf('text')} as leaf, case when {crc}%3=0 then {leaf(f'translate(text,{_AZ})')} end as changed from documents)",
+        "placed as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as p, count(*) over (partition by g) as c from d)",
+        *tree("n", "select g, p, c, leaf as d from placed", levels),
+        "t0 as (select id, g, p, '' as proof, coalesce(changed,leaf) as f from placed)", *climb("n", "t", levels),
+        f"langs as (select g as lang, d, row_number() over (order by g) - 1 as p, count(*) over () as c from n{levels})",
+        *tree("m", "select 0 as g, p, c, d from langs", langs),
+        f"u0 as (select t.id, 0 as g, langs.p, t.proof, t.f from t{levels} t join langs on t.g=langs.lang)", *climb("m", "u", langs),
+    ]
+    return f"with {', '.join(parts)} select doc_id, leaf, langs.d as subroot, m.d as root, sha256(u.proof) as proof_sha256, u.f as folded_root, u.f=m.d as verified from d join u{langs} u using(id) join langs on langs.lang=d.g, m{langs} m"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express in a time that is fit for a check; tests hold the rest against brute force."""
-    return {"op3_secret_scan": _op3_sql(), "op5_jaccard_join": _OP5, "op6_exact_dedup": _OP6, "op9_url_filter": _op9_sql(), "op10_suffix_dedup": _op10_sql()}
+    return {"op3_secret_scan": _op3_sql(), "op5_jaccard_join": _OP5, "op6_exact_dedup": _OP6, "op9_url_filter": _op9_sql(), "op10_suffix_dedup": _op10_sql(), "op13_merkle_manifest": _op13_sql()}
