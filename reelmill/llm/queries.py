@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_model, merkle, pieces, quality, secrets, shared, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_model, lexical, merkle, pieces, quality, secrets, shared, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
@@ -138,6 +142,15 @@ def _op10_sql() -> str:
  select doc_id, (length(h)//2)::bigint as n_bytes, coalesce(n_removed,0) as n_removed, coalesce(n_spans,0) as n_spans, sha256(unhex(coalesce(kept,h))) as kept_sha256, coalesce(c,0) as n_shared from d left join cut using(r) left join shared using(r)"""
 
 
+_OP12 = f"""with term as (select doc_id, r, unnest(regexp_extract_all(translate(text,{_AZ}),'{lexical.TERM}')) as t from (select *, row_number() over () as r from documents)),
+ tf as (select r, any_value(doc_id) as doc_id, t, count(*) as tf from term group by r, t), n as (select r, sum(tf)::bigint as n from tf group by r),
+ al as (select count(*) as nn, sum(n)::bigint as l from n), df as (select t, count(*) as df from tf group by t),
+ item as (select i, any_value(item_id) as item_id, t, count(*) as c from (select i, item_id, unnest(regexp_extract_all(translate(text,{_AZ}),'{lexical.TERM}')) as t from (select *, row_number() over () as i from benchmark)) group by i, t),
+ s as (select i, any_value(item_id) as item_id, tf.r, any_value(tf.doc_id) as doc_id, sum(c*floor(1000*ln((2*nn+2)::double/(2*df+1)::double))::bigint*((1000000000*tf.tf)//(1000*tf.tf+12*({lexical.FLOOR}+(({lexical.SHARE}*n*nn)//l)))))::bigint as score from item join tf using(t) join df using(t) join n on n.r=tf.r, al group by i, tf.r),
+ k as (select *, row_number() over (partition by i order by score desc, doc_id nulls last) as rank from s where score>0)
+ select item_id, rank::int as rank, doc_id, score from k where rank<={lexical.TOP}"""
+
+
 def _op13_sql(levels: int = 9, langs: int = 4) -> str:
     """So many levels of runs over leaves and over languages; a tree that has ended stays as it is."""
     run, entries = merkle.RUN, []
@@ -178,4 +191,4 @@ def _op13_sql(levels: int = 9, langs: int = 4) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express in a time that is fit for a check; tests hold the rest against brute force."""
-    return {"op3_secret_scan": _op3_sql(), "op5_jaccard_join": _OP5, "op6_exact_dedup": _OP6, "op9_url_filter": _op9_sql(), "op10_suffix_dedup": _op10_sql(), "op13_merkle_manifest": _op13_sql()}
+    return {"op3_secret_scan": _op3_sql(), "op5_jaccard_join": _OP5, "op6_exact_dedup": _OP6, "op9_url_filter": _op9_sql(), "op10_suffix_dedup": _op10_sql(), "op12_lexical_search": _OP12, "op13_merkle_manifest": _op13_sql()}

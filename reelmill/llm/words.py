@@ -106,13 +106,14 @@ class Words(NamedTuple):
         return out
 
 
-def split(block: Block) -> Words:
+def split(block: Block, between: np.ndarray = SPACE) -> Words:
+    """between: which of the 256 bytes stand between words."""
     data, at = block.data, block.offsets
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(block.rows, np.int64))
-    gap = SPACE[data]
+    gap = between[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     first, last = ~gap, ~gap
