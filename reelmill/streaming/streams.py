@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +45,144 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns) if query.lastProgress else spark.createDataFrame([], stream.schema)
 
 
+def new_base(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def growing(rows: DataFrame, part: Column, parts: int, after: Callable[[str], None]) -> None:
+    """A log that grows: the rows of part 0, 1, .. are added to a folder of files one after another, and after(folder) is
+    called each time."""
+    folder = f"{new_base(rows.sparkSession)}/log"
+    for k in range(parts):
+        rows.where(part == k).write.mode("append").parquet(folder)
+        after(folder)
+
+
+def advance(stream: DataFrame, base: str, mode: str, lose_batch: int | None = None) -> list[dict]:
+    """Runs a stream over all that has come since base's checkpoint, and gives the progress of its batches. A batch's rows
+    go to out/batch=N, whose number is what makes a replay harmless: it replaces its own rows. lose_batch: the run ends
+    after this batch is written and before it is committed, as if the driver were lost; the next run replays it."""
+    out = f"{base}/out"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number == lose_batch:
+            raise RuntimeError("lost on purpose")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if "lost on purpose" not in str(e):
+            raise
+    return [json.loads(p.json) for p in query.recentProgress]
+
+
+def put_out(stream: DataFrame, base: str, keys: list[str] | None = None) -> DataFrame:
+    """What the batches of advance() have put out: all rows, or with keys (update mode) each key's last."""
+    spark = stream.sparkSession
+    try:
+        rows = spark.read.parquet(f"{base}/out")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+            raise
+        return spark.createDataFrame([], stream.schema)
+    if keys:
+        rest = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+    return rows.select(*stream.columns)
+
+
+def late_rows(stream: DataFrame, base: str, ts: str, closes: Column, late: str) -> None:
+    """Keeps apart the rows that come when what they belong to, which closes at a time, is closed already: when that time
+    is not after the watermark, the last time of all earlier batches less late. Times seen are kept a row a batch, so the
+    watermark outlives a restart. The rows go to late/batch=N."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            batch.agg(F.max(ts).alias("seen")).write.mode("overwrite").parquet(f"{base}/marks/batch={number}")
+            seen = spark.read.parquet(f"{base}/marks").where(F.col("batch") < number).agg(F.date_trunc("millisecond", F.max("seen")).alias("seen"))
+            cut = seen.select((F.col("seen") - F.expr(f"interval {late}")).alias("__cut")).first()[0]
+            some = batch.where(closes <= F.lit(cut)) if cut is not None else batch.limit(0)
+            some.write.mode("overwrite").parquet(f"{base}/late/batch={number}")
+        finally:
+            batch.unpersist()
+
+    stream.writeStream.option("checkpointLocation", f"{base}/late-state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
+class UploadState(StatefulProcessor):
+    """One upload: when it was created, of how many chunks, and which have come when. A timer runs from its creation; when
+    it ends, the upload was given up. Complete uploads are forgotten, and so are chunks of what was never created."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.upload = handle.getValueState("upload", "created long, total long, chunks array<long>, times array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        created, total, chunks, times = self.upload.get() if self.upload.exists() else (None, None, [], [])
+        first, had = dict(zip(chunks, times)), (created, list(chunks))
+        for part in rows:
+            at = part["ts"].astype("datetime64[us]").astype("int64") // 1000
+            for kind, chunk, n, t in zip(part["kind"], part["idx"], part["total"], at):
+                if kind == "created":
+                    created, total = (int(t), int(n)) if created is None else (min(created, int(t)), max(total, int(n)))
+                elif kind == "chunk":
+                    first[int(chunk)] = min(int(t), first.get(int(chunk), int(t)))
+        if created is not None:
+            first = {c: t for c, t in first.items() if t <= created + self.wait_ms}  # what comes later is refused
+        if total is not None and len(first) >= total:
+            self.forget()
+        elif first or created is not None:
+            self.upload.update((created, total, list(first), list(first.values())))
+            if had[0] != created or not had[1]:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer((created if created is not None else max(first.values())) + self.wait_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        created, total, chunks, _ = self.upload.get() if self.upload.exists() else (None, None, [], [])
+        self.forget()
+        if created is not None:
+            at = pd.to_datetime(pd.Series([created, created + self.wait_ms]), unit="ms", utc=True).dt.tz_localize(None)
+            yield pd.DataFrame({"upload": [key[0]], "created": at[:1].values, "given_up": at[1:].values, "received": [len(chunks)], "total": [total]})
+
+    def forget(self) -> None:
+        self.upload.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def abandoned_uploads(log: DataFrame, hours: int = 48, late: str = "1 day") -> DataFrame:
+    """Uploads that were created and not complete within some hours, once the watermark has passed that time. log: upload
+    long, ts, kind (created, chunk), total (of created), idx (of chunk). State is keyed by upload with a timer each, so it
+    holds open uploads alone. Needs a state store with timers: run it under with_timers()."""
+    out = "upload long, created timestamp, given_up timestamp, received long, total long"
+    return log.withWatermark("ts", late).groupBy("upload").transformWithStateInPandas(UploadState(hours * 3_600_000), out, "append", "eventTime")
+
+
+def with_timers(spark: SparkSession, run: Callable[[], list[dict]]) -> list[dict]:
+    """Calls run() while streams that start get a state store that has timers."""
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        return run()
+    finally:
+        spark.conf.set(ROCKS[0], before) if before else spark.conf.unset(ROCKS[0])
+
+
 def latest_metrics(log: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """The last reading of each metric; event time decides, so the order of arrival doesn't matter."""
     return log.filter("kind = 'metrics'").groupBy(*keys).agg(*[F.max_by(m, F.when(F.col(m).isNotNull(), F.col("ts"))).alias(m) for m in metrics], F.max("ts").alias("measured_ts"))
@@ -59,6 +202,6 @@ def status_feed(changes: DataFrame, key: str, restarted: bool = False) -> DataFr
 
 
 def idle_sessions(chunks: DataFrame, key: str, gap: str = "48 hours", late: str = "1 day") -> DataFrame:
-    """Runs of activity that ended with no more within the gap: in append mode, an upload that was given up."""
+    """Runs of activity that ended with no more within the gap, whether what was done is complete or not."""
     out = chunks.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("chunks"))
     return out.select(key, F.col("w.start").alias("began"), F.col("w.end").alias("given_up"), "chunks")
