@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import two_ends
+
 METRICS = ["views", "likes", "saves"]
 
 
@@ -40,11 +42,8 @@ def pattern_gate(posts: DataFrame, metric: str, least: int = 12) -> DataFrame:
 
 
 def best_and_worst(posts: DataFrame, order: Column, tie: list[str], n: int = 8) -> DataFrame:
-    """The best n, and the worst n if there are more than n. Each end is a limit of its own, so nothing is ranked whole."""
-    have = posts.filter("has_metrics")
-    some = have.count()
-    best = have.orderBy(order.desc(), *tie).limit(n).withColumn("side", F.lit("best"))
-    return best if some <= n else best.unionByName(have.orderBy(order.asc(), *[F.desc(t) for t in tie]).limit(n).withColumn("side", F.lit("worst")))
+    """The best n, and the worst n if there are more than n, in one pass."""
+    return two_ends(posts.filter("has_metrics"), order, tie, n)
 
 
 def rejection_signal(rows: DataFrame, dims: list[str], order: str, most: int = 8) -> DataFrame:
@@ -69,9 +68,10 @@ def newest(posts: DataFrame, tie: list[str], n: int) -> DataFrame:
 
 
 def learning_pack(rejected: DataFrame, posts: DataFrame, order: str, keys: list[str], hooks: int = 20) -> DataFrame:
-    """What the tuner is shown, as section, key, body, n: notes of each reason, the first rejected hooks, and the best and
-    worst posts by views. rejected: reason, note, hook; posts: hook, views, saves, slot_at, has_metrics."""
-    notes = first_notes(rejected, "reason", "note", order).select(F.lit("notes").alias("section"), F.col("reason").alias("key"), F.col("notes").alias("body"), "n")
+    """What the tuner is shown, as section, key, body, n: notes of the eight commonest reasons, the first rejected hooks, and
+    the best and worst posts by views. rejected: reason, note, hook; posts: hook, views, saves, slot_at, has_metrics."""
+    common = rejection_signal(rejected, ["reason"], order).select(F.col("value").alias("reason"))  # eight at most
+    notes = first_notes(rejected.join(F.broadcast(common), "reason", "left_semi"), "reason", "note", order).select(F.lit("notes").alias("section"), F.col("reason").alias("key"), F.col("notes").alias("body"), "n")
     joined = lambda place, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place, line.alias("line")))), lambda x: x["line"]), "\n")
     first = rejected.filter(F.trim("hook") != "").orderBy(order).limit(hooks)
     shown = first.agg(joined([F.col(order)], F.substring(F.trim("hook"), 1, 120)).alias("body"), F.count("*").alias("n")).select(F.lit("hooks").alias("section"), F.lit(None).cast("string").alias("key"), "body", "n")

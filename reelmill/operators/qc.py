@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp
+from .order import exact_quantiles, in_stretches, written
 
 
 def quiet_runs(frames: DataFrame, item: str, threshold_db: float, frame_ms: int, min_ms: int) -> DataFrame:
@@ -77,11 +78,13 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 
 def level_profile(pixels: DataFrame, item: str) -> DataFrame:
     """Exact percentiles, mean and population deviation of luma, channel means, and the colour cast of what is brighter
-    than the 80th percentile (red minus blue)."""
+    than the 80th percentile (red minus blue). Percentiles are narrowed down by counts, so an item may have any number of
+    pixels."""
     y = pixels.withColumn("y", F.round(luma(F.col("r"), F.col("g"), F.col("b")), 6))
-    one = y.groupBy(item).agg(F.percentile("y", F.array(F.lit(0.01), F.lit(0.8), F.lit(0.99))).alias("p"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("contrast"), *[F.avg(c).alias(f"mean_{c}") for c in "rgb"])
-    bright = y.join(one.select(item, F.col("p")[1].alias("p80")), item).filter("y > p80").groupBy(item).agg((F.avg("r") - F.avg("b")).alias("cast"))
-    return one.join(bright, item, "left").select(item, F.col("p")[0].alias("black"), F.col("p")[1].alias("p80"), F.col("p")[2].alias("white"), "mean", "contrast", "mean_r", "mean_g", "mean_b", F.coalesce("cast", F.lit(0.0)).alias("cast"))
+    quantiles = written(exact_quantiles(y, item, "y", [0.01, 0.8, 0.99]).select(item, F.col("q")[0].alias("black"), F.col("q")[1].alias("p80"), F.col("q")[2].alias("white")))
+    bright = F.col("y") > F.col("p80")
+    one = y.join(quantiles, item).groupBy(item, "black", "p80", "white").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("contrast"), *[F.avg(c).alias(f"mean_{c}") for c in "rgb"], (F.avg(F.when(bright, F.col("r"))) - F.avg(F.when(bright, F.col("b")))).alias("cast"))
+    return one.select(item, "black", "p80", "white", "mean", "contrast", "mean_r", "mean_g", "mean_b", F.coalesce("cast", F.lit(0.0)).alias("cast"))
 
 
 def within(m: dict[str, tuple[float, float]]) -> Column:
@@ -97,10 +100,11 @@ def frame_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("clip", "t").agg(F.min("x").alias("left"), F.max(F.col("x") + F.col("w")).alias("right"), F.max_by(F.struct((F.col("x") + F.col("w") / 2).alias("cx"), "h", (F.col("y") + F.col("h") * 0.42).alias("eye")), F.struct("h", "x", "w", "y")).alias("big"), F.count("*").alias("n")).select("clip", "t", "left", "right", (F.col("right") - F.col("left")).alias("span"), ((F.col("left") + F.col("right")) / 2).alias("mid"), F.col("big.cx").alias("cx"), F.col("big.eye").alias("eye"), F.col("big.h").alias("big_h"), "n")
 
 
-def track_decision(frames: DataFrame, width: float, crop_share: float) -> DataFrame:
-    """Whether all faces fit the crop on average, and the crop's size from the mean face."""
-    mean = F.avg("span") / width
-    return frames.groupBy("clip").agg((mean < crop_share * 0.9).alias("both_fit"), F.greatest(F.lit(0.35), F.least(F.lit(1.0), F.avg("big_h") / 50)).alias("crop"))
+def track_decision(frames: DataFrame, width: float, height: float, crop_share: float) -> DataFrame:
+    """Whether all faces fit the crop on average, and the crop's share of the frame's height: 5.5 times the mean share that
+    the tallest face has of it (0.02 at least), within 0.34 and 1."""
+    mean, face = F.avg("span") / width, F.greatest(F.lit(0.02), F.avg("big_h") / height)
+    return frames.groupBy("clip").agg((mean < crop_share * 0.9).alias("both_fit"), clamp(face * 5.5, 0.34, 1.0).alias("crop"))
 
 
 def centred(frames: DataFrame, width: float, crop_share: float) -> DataFrame:
@@ -109,14 +113,33 @@ def centred(frames: DataFrame, width: float, crop_share: float) -> DataFrame:
     return frames.withColumn("centre", F.when(fit, F.col("mid")).otherwise(F.col("cx")))
 
 
-def smoothed(points: DataFrame, key: str, order: str, value: str, alpha: float = 0.35) -> DataFrame:
-    """Exponential smoothing in order, seeded with the first value, and until when each value holds (null: to the end)."""
-    got = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("x"))
-    path = F.aggregate(
-        "x", F.array().cast("array<double>"), lambda acc, p: F.concat(acc, F.array(F.when(F.size(acc) == 0, p[value]).otherwise(F.element_at(acc, -1) + alpha * (p[value] - F.element_at(acc, -1)))))
-    )
-    out = got.select(key, "x", path.alias("s")).select(key, F.explode(F.arrays_zip("x", "s")).alias("z")).select(key, F.col(f"z.x.{order}").alias(order), F.col("z.s").alias("smooth"))
-    return out.withColumn("until", F.lead(order).over(Window.partitionBy(key).orderBy(order)))
+def smoothed(points: DataFrame, key: str, order: str, value: str, alpha: float = 0.35, rows: int = 128) -> DataFrame:
+    """Exponential smoothing in order, seeded with the first value, and until when each value holds (null: to the end).
+
+    A step is a map s -> a s + b, and so is any run of steps. Tracks are dealt out by ranges and cut into stretches of at
+    most so many rows. Each stretch is composed into one map, the stretches of a range into another, and from the track's
+    first value these give the value before each range, then before each stretch, from which its rows are gone through. No
+    task holds a whole track."""
+    x = in_stretches(points.select(key, order, F.col(value).cast("double").alias("x")), key, order, rows=rows)
+    place = [key, "range_no", "stretch"]
+    each = written(x.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct(order, "x"))).alias("p")))
+    last = lambda xs: F.element_at(xs, -1)
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    none = pair(F.lit(1.0), F.lit(0.0))
+    along = lambda maps, first: F.aggregate(maps, F.array(first), lambda acc, m: F.concat(acc, F.array(m["f"]["a"] * last(acc) + m["f"]["b"])))
+    composed = lambda maps: F.aggregate(maps, none, lambda f, m: pair(m["f"]["a"] * f["a"], m["f"]["a"] * f["b"] + m["f"]["b"]))
+    own = F.aggregate("p", none, lambda f, s: pair(f["a"] * (1 - alpha), f["b"] + alpha * (s["x"] - f["b"])))
+    maps = each.select(*place, own.alias("f"), F.col("p")[0].alias("head"))
+    ranges = written(maps.groupBy(key, "range_no").agg(F.array_sort(F.collect_list(F.struct("stretch", "f", "head"))).alias("ms")))
+    # a row for each range that a track is in
+    tracks = ranges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("range_no", composed(F.col("ms")).alias("f"), F.col("ms")[0]["head"].alias("head")))).alias("rs"))
+    before = F.arrays_zip(F.col("rs"), along(F.col("rs"), F.col("rs")[0]["head"]["x"]).alias("s"), F.slice(F.col("rs"), 2, F.size("rs")).alias("after"))
+    of_range = tracks.select(key, F.explode(F.filter(before, lambda z: z["rs"].isNotNull())).alias("z")).select(key, "z.rs.range_no", F.col("z.s").alias("s"), F.col(f"z.after.head.{order}").alias("next"))
+    before = F.arrays_zip(F.col("ms"), along(F.col("ms"), F.col("s")).alias("s"), F.slice(F.col("ms"), 2, F.size("ms")).alias("after"))
+    of_stretch = ranges.join(of_range, [key, "range_no"]).select(key, "range_no", "next", F.explode(F.filter(before, lambda z: z["ms"].isNotNull())).alias("z")).select(key, "range_no", "z.ms.stretch", F.col("z.s").alias("s"), F.coalesce(F.col(f"z.after.head.{order}"), F.col("next")).alias("next"))
+    path = F.aggregate("p", F.array("s"), lambda acc, q: F.concat(acc, F.array(last(acc) + alpha * (q["x"] - last(acc)))))
+    done = each.join(of_stretch, place).select(key, "next", F.explode(F.arrays_zip(F.col("p"), F.slice(path, 2, F.size("p")).alias("s"), F.slice(F.col("p"), 2, F.size("p")).alias("after"))).alias("z"))
+    return done.select(key, F.col(f"z.p.{order}").alias(order), F.col("z.s").alias("smooth"), F.coalesce(F.col(f"z.after.{order}"), F.col("next")).alias("until"))
 
 
 # What a good voice recording measures.

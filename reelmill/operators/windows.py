@@ -32,11 +32,15 @@ def spoken(segments: DataFrame, key: str) -> DataFrame:
 
 def with_text(windows: DataFrame, segments: DataFrame, key: str, max_ms: int) -> DataFrame:
     """Windows of at most max_ms with their joined text, since cues may cross a segment's edge. A window's row carries the
-    texts of the segments that begin within max_ms of its first one, not those of the recording."""
-    ahead = F.collect_list("text").over(Window.partitionBy(key).orderBy("start_ms").rangeBetween(0, max_ms))
-    texts = segments.select(key, F.col("seg").alias("seg_from"), ahead.alias("__texts"))
-    size = (F.col("seg_to") - F.col("seg_from") + 1).cast("int")
-    return windows.join(texts, [key, "seg_from"]).withColumn("text", F.array_join(F.slice("__texts", F.lit(1), size), " ")).drop("__texts")
+    segments that begin within max_ms of its first one, not those of the recording, and takes those between its first and
+    last by number, as several may begin at once. Segments are dealt out by buckets of max_ms, each with the next one's, so
+    a long recording is many tasks'."""
+    own = F.floor(F.col("start_ms") / F.lit(max_ms).cast("long"))
+    dealt = segments.select(key, "seg", "text", "start_ms", own.alias("__own"), F.explode(F.array(own, own - 1)).alias("__b"))
+    ahead = F.collect_list(F.struct("seg", "text")).over(Window.partitionBy(key, "__b").orderBy("start_ms").rangeBetween(0, max_ms))
+    texts = dealt.withColumn("__texts", ahead).where(F.col("__b") == F.col("__own")).select(key, F.col("seg").alias("seg_from"), "__texts")
+    inside = F.array_sort(F.filter("__texts", lambda t: t["seg"].between(F.col("seg_from"), F.col("seg_to"))))
+    return windows.join(texts, [key, "seg_from"]).withColumn("text", F.array_join(F.transform(inside, lambda t: t["text"]), " ")).drop("__texts")
 
 
 def flagged(windows: DataFrame, aha: Sequence[str], recital: Sequence[str]) -> DataFrame:
@@ -44,9 +48,22 @@ def flagged(windows: DataFrame, aha: Sequence[str], recital: Sequence[str]) -> D
     return windows.withColumn("has_recital", has_any(F.col("text"), recital)).withColumn("has_aha", has_any(F.col("text"), aha) | F.col("has_recital"))
 
 
+def in_islands(windows: DataFrame, key: str, grain_ms: int = 10_000) -> DataFrame:
+    """windows with the number island: two windows of a recording that overlap have the same. A recording is cut at those
+    multiples of grain_ms that no window crosses; what is counted along a recording is a row for each grain that any
+    window touches."""
+    grain = lambda c: F.floor(c / F.lit(grain_ms).cast("long"))
+    first, last = grain(F.col("start_ms")), grain(F.greatest(F.col("start_ms"), F.col("end_ms") - 1))
+    touched = windows.select(key, first.alias("__g"), F.lit(0).alias("crossed")).unionAll(windows.where(last > first).select(key, F.explode(F.sequence(first + 1, last)), F.lit(1)))
+    grains = touched.groupBy(key, "__g").agg(F.max("crossed").alias("crossed"))
+    island = F.sum(1 - F.col("crossed")).over(Window.partitionBy(key).orderBy("__g").rowsBetween(Window.unboundedPreceding, 0))
+    return windows.withColumn("__g", first).join(grains.select(key, "__g", island.alias("island")), [key, "__g"]).drop("__g")
+
+
 def suppress_overlaps(windows: DataFrame, key: str, ratio: float = 0.85, cap: int = 320) -> DataFrame:
     """Greedy by priority (recital, aha, start, end): a window goes if it overlaps a kept one by more than ratio of the
-    shorter span; at most cap are kept a recording. A fold over one recording's windows, all in the JVM."""
+    shorter span; at most cap are kept a recording. Windows of different islands cannot clash, so each island is folded by
+    itself, in the JVM; what a recording keeps is then cut by priority, which is where one fold over it would have stopped."""
     kind = "array<struct<not_recital:boolean,not_aha:boolean,start_ms:bigint,end_ms:bigint,seg_from:bigint,seg_to:bigint>>"
     row = F.struct((~F.col("has_recital")).alias("not_recital"), (~F.col("has_aha")).alias("not_aha"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), F.col("seg_from").cast("long").alias("seg_from"), F.col("seg_to").cast("long").alias("seg_to"))
 
@@ -57,8 +74,9 @@ def suppress_overlaps(windows: DataFrame, key: str, ratio: float = 0.85, cap: in
     def step(kept: Column, c: Column) -> Column:
         return F.when((F.size(kept) >= cap) | F.exists(kept, lambda k: clash(k, c)), kept).otherwise(F.concat(kept, F.array(c)))
 
-    folded = windows.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(kind), step).alias("kept"))
+    folded = in_islands(windows, key).groupBy(key, "island").agg(F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(kind), step).alias("kept"))
     out = folded.select(key, F.explode("kept").alias("k"))
+    out = out.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("k"))).where(F.col("__n") <= cap)
     return out.select(key, "k.seg_from", "k.seg_to", "k.start_ms", "k.end_ms", (~F.col("k.not_recital")).alias("has_recital"), (~F.col("k.not_aha")).alias("has_aha"))
 
 

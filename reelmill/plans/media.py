@@ -12,6 +12,7 @@ from ..sources.readers import probe_summary, table
 
 FRAME = 200
 THRESHOLD = -35.0
+HEIGHT = 360.0  #: of the frames, in the units of the boxes
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +42,7 @@ def keep_ranges(spark: SparkSession, d: str) -> DataFrame:
 def silence_keeps(spark: SparkSession, d: str) -> DataFrame:
     frames = fx.level_frames(spark, d)
     items = frames.groupBy("item").agg((F.count("*") * FRAME).alias("duration_ms"))
-    return qc.silence_keeps(items, qc.quiet_runs(frames, "item", THRESHOLD, FRAME, 1200), "item", per_minute=8.0, least_share=0.6)
+    return qc.silence_keeps(items, qc.quiet_runs(frames, "item", THRESHOLD, FRAME, 1200), "item", per_minute=8.0, least_share=0.6)  # readings are no speech: with the defaults of 4 and 0.75 all is kept
 
 
 def level_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -52,12 +53,12 @@ def level_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def frame_boxes(spark: SparkSession, d: str) -> DataFrame:
     f = qc.frame_boxes(fx.detections(spark, d))
-    f = f.withColumn("face_share", F.col("big_h") / 360)
+    f = f.withColumn("face_share", F.col("big_h") / HEIGHT)
     return f.select("clip", "t", "n", "big_h", *[F.round(c, 6).alias(c) for c in ("left", "right", "span", "mid", "cx", "eye", "face_share")])
 
 
 def track_decision(spark: SparkSession, d: str) -> DataFrame:
-    t = qc.track_decision(qc.frame_boxes(fx.detections(spark, d)), 640.0, 0.07)
+    t = qc.track_decision(qc.frame_boxes(fx.detections(spark, d)), 640.0, HEIGHT, 0.07)
     return t.select("clip", "both_fit", F.round("crop", 6).alias("crop"))
 
 
@@ -129,7 +130,7 @@ QUERIES = {
  select item, black between 0 and 60 and white between 190 and 255 and mean between 110 and 140 and contrast between 10 and 60 as in_target, round(black,5) as black, round(p80,5) as p80, round(white,5) as white, round(mean,5) as mean, round(contrast,5) as contrast, round(mean_r,5) as mean_r, round(mean_g,5) as mean_g, round(mean_b,5) as mean_b, round(coalesce(x,0),5) as "cast" from o left join c using(item)"""),
     ),
     "frame_boxes": (frame_boxes, with_views("detections", "+" + _BOXES + ' select clip, t, n, big_h, round(l,6) as "left", round(r,6) as "right", round(r-l,6) as span, round((l+r)/2,6) as mid, round(cx,6) as cx, round(eye,6) as eye, round(big_h/360,6)::double as face_share from boxes')),
-    "track_decision": (track_decision, with_views("detections", "+" + _BOXES + " select clip, avg(r-l)/640 < 0.07*0.9 as both_fit, round(greatest(0.35, least(1.0, avg(big_h)/50)),6) as crop from boxes group by 1")),
+    "track_decision": (track_decision, with_views("detections", "+" + _BOXES + " select clip, avg(r-l)/640 < 0.07*0.9 as both_fit, round(least(1.0, greatest(0.34, 5.5*greatest(0.02, avg(big_h/360)))),6) as crop from boxes group by 1")),
     "ema_track": (
         ema_track,
         with_views("detections", "+" + _BOXES + """, c as (select clip, t, case when avg(r-l) over (partition by clip)/640 < 0.07*0.9 then (l+r)/2 else cx end as cx from boxes), s as (select clip, list([cx] order by t) as xs, list(t order by t) as ts from c group by 1),
