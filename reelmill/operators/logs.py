@@ -9,15 +9,37 @@ from ..functions.text import age_hours
 
 
 def usage_rollup(calls: DataFrame, by: str = "job") -> DataFrame:
-    """Successful calls: count, cost, tokens in and out; failed attempts beside them."""
+    """Successful calls: count, cost, tokens in (with those that a cache took or gave) and out; failed attempts beside them."""
     ok = F.col("ok")
     total = lambda c: F.sum(F.when(ok, F.coalesce(c, F.lit(0))).otherwise(0))
-    return calls.groupBy(by).agg(F.count_if(ok).alias("calls"), total(F.col("cost_usd")).alias("cost_usd"), total(F.col("tok_in")).alias("tok_in"), total(F.col("tok_out")).alias("tok_out"), F.count_if(~ok).alias("failed"))
+    return calls.groupBy(by).agg(F.count_if(ok).alias("calls"), total(F.col("cost_usd")).alias("cost_usd"), (total(F.col("tok_in")) + total(F.col("cache_create")) + total(F.col("cache_read"))).alias("tok_in"), total(F.col("tok_out")).alias("tok_out"), F.count_if(~ok).alias("failed"))
 
 
 def call_reliability(calls: DataFrame, by: str = "label", wall: str | None = None) -> DataFrame:
+    """Calls, failures, most attempts and, under its own name, the sum of the column wall."""
     out = [F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("failures"), F.max("attempt").alias("most_attempts")]
-    return calls.groupBy(by).agg(*out, *([F.sum(wall).alias("wall_s")] if wall else []))
+    return calls.groupBy(by).agg(*out, *([F.sum(wall).alias(wall)] if wall else []))
+
+
+def retry_chains(calls: DataFrame, keys: list[str], order: list[str], wall: str = "wall_ms") -> DataFrame:
+    """Attempts of one call as chains: keys, chain (from 0), attempts, ok, last_error (of the last failure), given_up, and
+    the sum of the column wall. A first attempt, or what follows a success, begins one. calls: keys, order, attempt, ok,
+    error, wall; a null ok is a failure."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    ok = F.coalesce("ok", F.lit(False))
+    begins = (F.col("attempt") == 1) | F.coalesce(F.lag(ok).over(w), F.lit(True))
+    x = calls.withColumn("chain", (F.sum(F.coalesce(begins, F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1))
+    done = F.max(ok)
+    return x.groupBy(*keys, "chain").agg(F.count("*").alias("attempts"), done.alias("ok"), F.max_by(F.when(~ok, F.col("error")), F.when(~ok, F.struct(*order))).alias("last_error"), (~done).alias("given_up"), F.sum(wall).alias(wall))
+
+
+def abandoned_uploads(uploads: DataFrame, received: DataFrame, now: Column, hours: float = 48) -> DataFrame:
+    """Uploads older than some hours that are not complete. uploads: upload_id, created_at, total_chunks; received:
+    upload_id, idx. One without a time of creation is left alone."""
+    old = uploads.filter(F.col("created_at").isNotNull() & (age_hours(now, F.col("created_at")) > hours))
+    have = received.groupBy("upload_id").agg(F.count_distinct("idx").alias("received"))
+    out = old.join(have, "upload_id", "left").withColumn("received", F.coalesce("received", F.lit(0)))
+    return out.filter(F.col("received") < F.col("total_chunks")).select("upload_id", "created_at", "received", "total_chunks")
 
 
 def missing_chunks(uploads: DataFrame, received: DataFrame) -> DataFrame:
@@ -50,11 +72,12 @@ def with_transcript(uploads: DataFrame, names: DataFrame, suffix: str) -> DataFr
     return uploads.withColumn("__stem", F.regexp_replace("name", r"\.[^.]*$", "")).join(have, "__stem", "left").drop("__stem").withColumn("has_transcript", F.coalesce("has_transcript", F.lit(False)))
 
 
-def publish_fault(size: Column, duration_s: Column, max_mb: float = 100, min_s: float = 3, max_s: float = 900) -> Column:
-    """The first reason why a file can't be published, or null."""
+def publish_fault(path: Column, size: Column, duration_s: Column, max_mb: float = 100, min_s: float = 3, max_s: float = 900) -> Column:
+    """The first reason why a clip can't be published, or null: none rendered, its file gone, too large, a source upload
+    rather than a clip, too short or long."""
     mb = size / 1_048_576
     has = duration_s.isNotNull() & (duration_s != 0)
-    return F.coalesce(F.when(size.isNull(), "missing"), F.when(mb > max_mb, "too large"), F.when(has & (duration_s < min_s), "too short"), F.when(has & (duration_s > max_s), "too long"))
+    return F.coalesce(F.when(F.coalesce(path, F.lit("")) == "", "no file"), F.when(size.isNull(), "missing"), F.when(mb > max_mb, "too large"), F.when(path.rlike(r"(^|[/\\\\])uploads[/\\\\]"), "source upload"), F.when(has & (duration_s < min_s), "too short"), F.when(has & (duration_s > max_s), "too long"))
 
 
 def file_fault(name: Column, size: Column, width: Column, height: Column, duration_s: Column, max_s: float = 90) -> Column:

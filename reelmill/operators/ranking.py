@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 class Scorer(Protocol):
@@ -35,6 +38,46 @@ def python_scorer(schema: str, task: Callable) -> Scorer:
     return lambda candidates: candidates.mapInPandas(task, schema)
 
 
+def arrow_scorer(score: Callable[[pa.RecordBatch], pa.Array], kind: str = "double", name: str = "score") -> Scorer:
+    """A caller's scorer over Arrow batches: candidates with its column and an error column. What it returns must have a
+    value a row and be of the declared kind, else the job fails, as the scorer is wrong. If it raises, the rows of the batch
+    are scored one by one, and those that raise get no score but the error's text."""
+
+    def scorer(candidates: DataFrame) -> DataFrame:
+        schema = T.StructType([*candidates.drop(name, "error").schema.fields, T.StructField(name, T._parse_datatype_string(kind)), T.StructField("error", T.StringType())])
+        wanted = to_arrow_type(schema[name].dataType)
+
+        def checked(part: pa.RecordBatch) -> pa.Array:
+            out = score(part)
+            if not isinstance(out, pa.Array) or len(out) != part.num_rows or out.type != wanted:
+                raise TypeError(f"the scorer must return {part.num_rows} values of {wanted}, not {type(out).__name__} of {getattr(out, 'type', None)}, {len(out)} long")
+            return out
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                try:
+                    out, errors = checked(batch), pa.nulls(batch.num_rows, pa.string())
+                except TypeError:
+                    raise
+                except Exception:  # noqa: BLE001 - any failure of the caller's code is a row's
+                    values, texts = [], []
+                    for i in range(batch.num_rows):
+                        try:
+                            values.append(checked(batch.slice(i, 1))[0].as_py())
+                            texts.append(None)
+                        except TypeError:
+                            raise
+                        except Exception as e:  # noqa: BLE001
+                            values.append(None)
+                            texts.append(f"{type(e).__name__}: {e}"[:300])
+                    out, errors = pa.array(values, wanted), pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, out, errors], [*batch.schema.names, name, "error"])
+
+        return candidates.drop(name, "error").mapInArrow(task, schema)
+
+    return scorer
+
+
 def last_replies(replies: DataFrame, keys: list[str], order: tuple[str, ...] = ("batch", "pos")) -> DataFrame:
     """The last reply of each candidate by batch and place in it."""
     rest = [c for c in replies.columns if c not in (*keys, *order)]

@@ -5,9 +5,9 @@ from __future__ import annotations
 
 def all_queries() -> dict:
     """name -> (function of spark and sf_dir, SQL or None)."""
-    from . import calendar, candidates, logs, media, posts, selection, streams, threads
+    from . import calendar, candidates, files, logs, media, posts, selection, streams, threads
 
     out: dict = {}
-    for module in (candidates, selection, media, calendar, posts, logs, threads, streams):
+    for module in (candidates, selection, media, calendar, posts, logs, threads, streams, files):
         out |= module.QUERIES
     return out

@@ -21,6 +21,16 @@ def call_reliability(spark: SparkSession, d: str) -> DataFrame:
     return lg.call_reliability(fx.usage_calls(spark, d), wall="wall_ms")
 
 
+def retry_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts run from 1 to 3, over and over, in each job's calls of one kind."""
+    return lg.retry_chains(fx.usage_calls(spark, d).withColumn("kind", F.col("tok_in") % 2), ["job", "kind"], ["ts"])
+
+
+def abandoned_uploads(spark: SparkSession, d: str) -> DataFrame:
+    made = fx.uploads(spark, d).join(fx.recordings(spark, d).select(F.col("id").alias("upload_id"), "created_at"), "upload_id")
+    return lg.abandoned_uploads(made, fx.upload_chunks(spark, d), F.lit("1997-06-01 00:00:00").cast("timestamp_ntz"))
+
+
 def missing_chunks(spark: SparkSession, d: str) -> DataFrame:
     return lg.missing_chunks(fx.uploads(spark, d), fx.upload_chunks(spark, d))
 
@@ -61,7 +71,8 @@ def publish_eligibility(spark: SparkSession, d: str) -> DataFrame:
     p = probe_summary(fx.probe_json(spark, d))
     size = F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") * 1_000_000).cast("long")
     name = F.concat(F.lit("p"), F.col("id").cast("string"), F.when(F.col("id") % 4 == 0, ".txt").otherwise(".MP4"))
-    return p.select("id", lg.publish_fault(size, F.col("duration_s")).alias("fault"), lg.file_fault(name, size, F.col("width"), F.col("height"), F.col("duration_s") / 20).alias("file_fault"))
+    path = F.when(F.col("id") % 11 == 0, "").when(F.col("id") % 11 == 1, F.concat(F.lit("/srv/uploads/"), name)).otherwise(F.concat(F.lit("/srv/my uploads/"), name))
+    return p.select("id", lg.publish_fault(path, size, F.col("duration_s")).alias("fault"), lg.file_fault(name, size, F.col("width"), F.col("height"), F.col("duration_s") / 20).alias("file_fault"))
 
 
 def scope_eta(spark: SparkSession, d: str) -> DataFrame:
@@ -98,8 +109,14 @@ def log_tail(spark: SparkSession, d: str) -> DataFrame:
 _SAFE = lambda x: f"substr(regexp_replace(regexp_replace({x},'[^A-Za-z0-9._-]+','_','g'),'^[._]+|[._]+$','','g'),1,120)"
 
 QUERIES = {
-    "usage_rollup": (usage_rollup, with_views("usage_calls", "select job, count(*) filter (ok) as calls, round(coalesce(sum(cost_usd) filter (ok),0),5) as cost_usd, cast(coalesce(sum(tok_in) filter (ok),0) as bigint) as tok_in, cast(coalesce(sum(tok_out) filter (ok),0) as bigint) as tok_out, count(*) filter (not ok) as failed from usage_calls group by 1")),
-    "call_reliability": (call_reliability, with_views("usage_calls", "select label, count(*) as calls, count(*) filter (not ok) as failures, max(attempt) as most_attempts, sum(wall_ms)::bigint as wall_s from usage_calls group by 1")),
+    "retry_chains": (
+        retry_chains,
+        with_views("usage_calls", """+c as (select *, tok_in%2 as kind from usage_calls), b as (select *, attempt=1 or coalesce(lag(ok) over (partition by job, kind order by ts), true) as begins from c), n as (select *, sum(begins::int) over (partition by job, kind order by ts rows unbounded preceding)-1 as chain from b)
+ select job, kind, chain::bigint as chain, count(*) as attempts, bool_or(ok) as ok, arg_max(error,ts) filter (not ok) as last_error, not bool_or(ok) as given_up, sum(wall_ms)::bigint as wall_ms from n group by 1,2,3"""),
+    ),
+    "abandoned_uploads": (abandoned_uploads, with_views("upload_chunks", "+h as (select upload_id, count(distinct idx) as n from upload_chunks group by 1) select o_orderkey as upload_id, o_orderdate as created_at, coalesce(n,0) as received, 7::bigint as total_chunks from orders left join h on upload_id=o_orderkey where o_orderdate < timestamp '1997-06-01' - interval 48 hour and coalesce(n,0)<7")),
+    "usage_rollup": (usage_rollup, with_views("usage_calls", "select job, count(*) filter (ok) as calls, round(coalesce(sum(cost_usd) filter (ok),0),5) as cost_usd, cast(coalesce(sum(tok_in + coalesce(cache_create,0) + cache_read) filter (ok),0) as bigint) as tok_in, cast(coalesce(sum(tok_out) filter (ok),0) as bigint) as tok_out, count(*) filter (not ok) as failed from usage_calls group by 1")),
+    "call_reliability": (call_reliability, with_views("usage_calls", "select label, count(*) as calls, count(*) filter (not ok) as failures, max(attempt) as most_attempts, sum(wall_ms)::bigint as wall_ms from usage_calls group by 1")),
     "missing_chunks": (missing_chunks, with_views("upload_chunks", "select upload_id, i as idx from (select o_orderkey as upload_id from orders) u, lateral unnest(range(0,7)) t(i) where not exists (select 1 from upload_chunks c where c.upload_id=u.upload_id and c.idx=i)")),
     "upload_progress": (upload_progress, with_views("upload_chunks", "select upload_id, count(*) as received, max(total_chunks)::bigint as total, count(*)=max(total_chunks) as complete from upload_chunks group by 1")),
     "storage_usage": (storage_usage, with_views("files", "select area, count(*) as files, cast(sum(length) as bigint) as bytes from files group by 1")),
@@ -115,7 +132,7 @@ QUERIES = {
     "transcript_exists": (transcript_exists, with_views("files", "+t as (select regexp_replace(name,'\\.txt$','') as s from files where length(name)%2=0) select name, exists (select 1 from t where starts_with(t.s, regexp_replace(name,'\\.[^.]*$',''))) as has_transcript from files")),
     "publish_eligibility": (
         publish_eligibility,
-        with_views("probe_json", "+p as (select id, json_extract_string(js,'$.format.duration')::double as s, json_extract(js,'$.streams[1].width')::bigint as w, case when id%10<>0 then id*1000000 end as z from probe_json) select id, case when z is null then 'missing' when z/1048576>100 then 'too large' when s<>0 and s<3 then 'too short' when s<>0 and s>900 then 'too long' end as fault, case when id%4=0 then 'suffix' when coalesce(z,0)<=0 then 'empty' when s/20>90 then 'too long' when coalesce(w,0)<=0 then 'dimensions' end as file_fault from p"),
+        with_views("probe_json", "+p as (select id, json_extract_string(js,'$.format.duration')::double as s, json_extract(js,'$.streams[1].width')::bigint as w, case when id%10<>0 then id*1000000 end as z from probe_json) select id, case when id%11=0 then 'no file' when z is null then 'missing' when z/1048576>100 then 'too large' when id%11=1 then 'source upload' when s<>0 and s<3 then 'too short' when s<>0 and s>900 then 'too long' end as fault, case when id%4=0 then 'suffix' when coalesce(z,0)<=0 then 'empty' when s/20>90 then 'too long' when coalesce(w,0)<=0 then 'dimensions' end as file_fault from p"),
     ),
     "scope_eta": (scope_eta, with_views("clips files", "+e as (select doc_id, count(*) as \"all\", count(*) filter (decision<>'rejected') as keeping, count(*) filter (decision='approved') as approved, greatest(1,round_even(sum(case when seg_from%5=0 then 60 else (end_ms-start_ms)/1000 end)/1.8/60,0))::bigint as eta_minutes from clips group by 1), s as (select name as source from files where length%3>0) select e.*, source, source is not null as lossless from e left join s on source='doc_'||doc_id||'.txt'")),
     "upload_keys": (upload_keys, with_views("files", f"select name, substr(sha256(name||'|'||length||'|'||epoch(mtime)::bigint),1,20) as key, {_SAFE(chr(39) + '.. my ' + chr(39) + '||name')} as safe from files")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,18 @@ def payloads(spark: SparkSession, d: str) -> DataFrame:
     return rk.batch_payload(rows, "doc_id", "batch_no", ["start_ms", "end_ms"], line)
 
 
+def _own_score(part: pa.RecordBatch) -> pa.Array:
+    """Stands for a caller's model; it cannot take windows that end at every 13th segment."""
+    a, b = part.column("seg_from"), part.column("seg_to")
+    if pc.any(pc.equal(pc.subtract(b, pc.multiply(pc.divide(b, 13), 13)), 0)).as_py():
+        raise ValueError("cannot be scored")
+    return pc.cast(pc.add(pc.multiply(a, 7), b), pa.float64())
+
+
+def own_scores(spark: SparkSession, d: str) -> DataFrame:
+    return rk.arrow_scorer(_own_score)(fx.windows(spark, d).select(*KEYS))
+
+
 def rule_scores(spark: SparkSession, d: str) -> DataFrame:
     from .candidates import _flagged
 
@@ -89,6 +103,7 @@ _POOL = _MERGED + """, items as (select doc_id, struct_pack(neg := -score, s :=
  pool as (select doc_id, rank, c.f as seg_from, c.t as seg_to, c.s as start_ms, c.e as end_ms, -c.neg as score, c.topic as structure from (select * from first union all select * from filled where rank <= 60))"""
 
 QUERIES = {
+    "own_scores": (own_scores, with_views("windows", "select doc_id, seg_from, seg_to, case when seg_to%13<>0 then (seg_from*7+seg_to)::double end as score, case when seg_to%13=0 then 'ValueError: cannot be scored' end as error from windows")),
     "ranked_merge": (ranked_merge, with_views("replies", "+" + _MERGED + " select doc_id, seg_from, seg_to, start_ms, end_ms, score, structure from merged")),
     "profile_fanout": (profile_fanout, with_views("recordings", "select id, unnest(case id%4 when 0 then ['A'] when 1 then ['A','B'] when 2 then ['B'] else ['A'] end) as profile from recordings")),
     "rank_batches": (rank_batches, with_views("windows", f"select doc_id, batch_no, count(*) as n, min(start_ms) as first_ms, max(start_ms) as last_ms from (select *, {_BATCH} from windows) group by 1,2")),

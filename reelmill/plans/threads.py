@@ -29,6 +29,12 @@ def compaction(spark: SparkSession, d: str) -> DataFrame:
     return th.compaction(table(spark, d, "conversations"), after=5, keep=2, chars=60)
 
 
+def compaction_long(spark: SparkSession, d: str) -> DataFrame:
+    """Eight conversations as one thread, so that there are more turns than compaction's own 15."""
+    c = table(spark, d, "conversations").select(F.floor(F.col("conv_id") / 8).alias("conv_id"), (F.col("conv_id") % 8 * 100 + F.col("turn")).alias("turn"), "role", "text")
+    return th.compaction(c)
+
+
 def section_split(spark: SparkSession, d: str) -> DataFrame:
     """Headed documents split again: their sections are the turns."""
     return sections_of(fx.sections(spark, d)).select("conv_id", "name", F.regexp_replace("body", r"^\s+|\s+$", "").alias("body"))
@@ -58,6 +64,7 @@ QUERIES = {
         f"with c as (select conv_id, turn, ['why did it','my HOOK style','the last run','hooked','keeps picking','a punch-in'][1+turn%6]||' '||text as t from conversations) select conv_id, turn, {_ANY(th.RULES_WORDS)} as wants_rules, {_ANY(th.JOB_WORDS)} as wants_job, {_ANY(th.TUNE_WORDS)} as wants_tune from c",
     ),
     "compaction": (compaction, "with r as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn desc) as back from conversations) select conv_id, string_agg(role||': '||substr(text,1,60), chr(10) order by turn) as digest_input, count(*) as old_turns from r where n>5 and back>2 group by 1"),
+    "compaction_long": (compaction_long, "with c as (select conv_id//8 as conv_id, conv_id%8*100+turn as turn, role, text from conversations), r as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn desc) as back from c) select conv_id, string_agg(role||': '||substr(text,1,600), chr(10) order by turn) as digest_input, count(*) as old_turns from r where n>15 and back>6 group by 1"),
     "section_split": (section_split, f"select conv_id, upper(role)||' '||turn as name, {_TRIM.format('text')} as body from conversations"),
     "context_packs": (
         context_packs,

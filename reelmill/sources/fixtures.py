@@ -64,7 +64,7 @@ def post_log(spark: SparkSession, d: str) -> DataFrame:
 
 def usage_calls(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("label"), (F.col("event_type") != "error").alias("ok"), (1 + F.col("event_id") % 3).alias("attempt"), (F.col("value") / 1000).alias("cost_usd"), (F.col("event_id") % 900).alias("wall_ms"), (F.col("event_id") % 5000).alias("tok_in"), (F.col("event_id") % 700).alias("tok_out"))
+    return e.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("label"), (F.col("event_type") != "error").alias("ok"), (1 + F.col("event_id") % 3).alias("attempt"), (F.col("value") / 1000).alias("cost_usd"), (F.col("event_id") % 900).alias("wall_ms"), (F.col("event_id") % 5000).alias("tok_in"), (F.col("event_id") % 700).alias("tok_out"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 90).alias("cache_create"), (F.col("event_id") % 40).alias("cache_read"), F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"))
 
 
 def level_frames(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +132,7 @@ SQL = {
     "replies": "select doc_id, seg_from, seg_to, 1 as batch, 1 as pos, (doc_id*7+seg_from*13+seg_to) % 101 as score, ['teach','story','loop','raw','other'][1+(doc_id+seg_from)%5] as structure, (doc_id+seg_to)%11<>0 as complete_thought from windows where (doc_id+seg_from)%9<>0 union all select doc_id, seg_from, seg_to, 2, 1, (doc_id*3+seg_from) % 101, 'other', null from windows where doc_id%10=0 union all select doc_id, seg_from, seg_to, 2, 2, (doc_id*5+seg_to) % 101, 'loop', true from windows where doc_id%15=0",
     "clips": "select doc_id, seg_from, seg_to, start_ms, end_ms, case when doc_id%2=0 then 'A' else 'B' end as profile, ['approved','rejected','pending'][1+(doc_id+seg_to)%3] as decision, timestamp '2024-01-01' + to_minutes(cast(doc_id*37+seg_from as bigint)) as approved_at, doc_id%7=0 as posted from windows where seg_to%2=0",
     "post_log": "select user_id as job, cast(json_extract_string(props,'$.k') as int)%5 as clip, ts, case when event_type='signup' then 'published' when event_type='error' then 'ignored' else 'metrics' end as kind, case when event_type='view' then value end as views, case when event_type='click' then value end as likes, case when event_type='purchase' then value end as saves, case when event_id%10<>0 then strftime(ts,'%Y-%m-%dT%H:00') else '' end as slot_at, 's'||(user_id%20) as source, 't'||(cast(json_extract_string(props,'$.k') as int)%7) as topic from events",
-    "usage_calls": "select user_id as job, ts, event_type as label, event_type<>'error' as ok, 1+event_id%3 as attempt, value/1000 as cost_usd, event_id%900 as wall_ms, event_id%5000 as tok_in, event_id%700 as tok_out from events",
+    "usage_calls": "select user_id as job, ts, event_type as label, event_type<>'error' as ok, 1+event_id%3 as attempt, value/1000 as cost_usd, event_id%900 as wall_ms, event_id%5000 as tok_in, event_id%700 as tok_out, case when event_id%3>0 then event_id%90 end as cache_create, event_id%40 as cache_read, case when event_type='error' then 'e'||event_id end as error from events",
     "level_frames": "select user_id as item, row_number() over (partition by user_id order by ts, event_id)-1 as frame, -value as level_db from events",
     "detections": "select l_orderkey as clip, l_linenumber as t, l_discount*1000 as x, (l_suppkey%50)::double as y, 20+l_tax*100 as w, l_quantity as h from lineitem",
     "pixels": "select label as item, vec_id*21+i as i, floor((embedding[3*i+1]::double+1)*127.5) r, floor((embedding[3*i+2]::double+1)*127.5) g, floor((embedding[3*i+3]::double+1)*127.5) b from embeddings, lateral unnest(range(0,21)) t(i)",

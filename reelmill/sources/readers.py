@@ -28,11 +28,16 @@ def read_entities(spark: SparkSession, path: str, schema: T.StructType) -> tuple
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType, tail: int | None = None, ts: str = "ts") -> DataFrame:
     """An append-only line log without its unreadable lines; tail: the last rows by ts."""
-    raw = spark.read.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    good, _ = split_log(spark, path, schema)
     return good if tail is None else good.orderBy(F.desc(ts)).limit(tail)
 
 
+def split_log(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """An append-only line log -> (good rows, unreadable lines with their file)."""
+    raw = spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("file"), "value", F.from_json("value", _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    return raw.filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT), raw.filter(F.col(f"r.{CORRUPT}").isNotNull()).select("file", F.col("value").alias(CORRUPT))
+
+
 TRANSCRIPT = "job_id string, segments array<struct<start:double,end:double,text:string,words:array<struct<w:string,start:double,end:double>>>>"
 
 
@@ -86,14 +91,16 @@ PROBE = "struct<format:struct<duration:string,bit_rate:string>,streams:array<str
 
 
 def probe_summary(probes: DataFrame, js: str = "js", keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """First video and audio stream of media-probe JSON, frame rate as a number, duration with its fallback."""
+    """First video and audio stream of media-probe JSON, frame rate as a number, and the duration: the container's, or where
+    that is absent or blank the video stream's; 0 if what there is is no number (such as N/A). A text "0" is a duration."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
     x = probes.select(*keys, F.from_json(js, PROBE).alias("p"))
     first = lambda kind: F.try_element_at(F.filter("p.streams", lambda s: s["codec_type"] == kind), F.lit(1))
     x = x.select(*keys, F.col("p.format").alias("f"), first("video").alias("v"), first("audio").alias("a"))
     rate = F.split("v.r_frame_rate", "/")
     fps = F.when(F.size(rate) == 2, F.try_divide(rate[0].try_cast("double"), rate[1].try_cast("double"))).otherwise(F.col("v.r_frame_rate").try_cast("double"))
     return x.select(
-        *keys, F.coalesce(F.col("f.duration").try_cast("double"), F.col("v.duration").try_cast("double"), F.lit(0.0)).alias("duration_s"),
+        *keys, F.round(F.coalesce(F.coalesce(blank("f.duration"), blank("v.duration")).try_cast("double"), F.lit(0.0)), 2).alias("duration_s"),
         F.coalesce("v.width", F.lit(0)).cast("long").alias("width"), F.coalesce("v.height", F.lit(0)).cast("long").alias("height"),
         F.col("v.codec_name").alias("vcodec"), F.col("a.codec_name").alias("acodec"), F.col("a").isNotNull().alias("has_audio"), fps.alias("fps"), F.col("f.bit_rate").try_cast("long").alias("bitrate"),
     )

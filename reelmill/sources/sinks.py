@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import cue_time
 
 
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def append_events(rows: DataFrame, path: str, fmt: str = "json") -> None:
-    """Adds event rows to a log; nothing written before changes."""
-    rows.write.mode("append").format(fmt).save(path)
+    """Adds event rows to a log; nothing written before changes. Times keep their microseconds."""
+    rows.write.mode("append").format(fmt).options(**(MICROS if fmt == "json" else {})).save(path)
 
 
 def latest_entities(versions: DataFrame, key: str, version: str) -> DataFrame:
@@ -19,6 +22,36 @@ def latest_entities(versions: DataFrame, key: str, version: str) -> DataFrame:
     return versions.groupBy(key).agg(F.max(F.struct(version, *rest)).alias("r")).select(key, "r.*")
 
 
+def append_stream(stream: DataFrame, path: str, checkpoint: str, fmt: str = "json") -> None:
+    """Adds what a stream has since its checkpoint to a log, each row once: the sink's own log of finished batches makes a
+    batch that is run again count once."""
+    stream.writeStream.format(fmt).options(**(MICROS if fmt == "json" else {})).outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def folded_entities(events: DataFrame, key: str, order: list[str], fields: list[str], lists: list[str]) -> DataFrame:
+    """Current records from their events, in the order of version and place: key, the last value set of each field, and
+    each list: its last setting and what was appended after that. events: key, order, op (create, set, append), field,
+    value, items (of a set list). A record is there from its first creation on; what comes before is ignored, as it is for
+    keys that were never created. Events that tie in order go by their values."""
+    at = F.struct(*order)
+    of = lambda op, name: (F.col("op") == op) & (F.col("field") == name)
+    sums = [F.min(F.when(F.col("op") == "create", at)).alias("__made")]
+    sums += [F.max(F.when(of("set", f), F.struct(at.alias("at"), "value"))).alias(f"__f_{f}") for f in fields]
+    sums += [F.max(F.when(of("set", f), F.struct(at.alias("at"), "items"))).alias(f"__s_{f}") for f in lists]
+    sums += [F.array_sort(F.collect_list(F.when(of("append", f), F.struct(at.alias("at"), "value")))).alias(f"__a_{f}") for f in lists]
+    x = events.groupBy(key).agg(*sums).where("__made is not null")
+    made = F.col("__made")
+    scalar = [F.when(F.col(f"__f_{f}.at") >= made, F.col(f"__f_{f}.value")).alias(f) for f in fields]
+    none = F.array().cast("array<string>")
+
+    def whole(f: str):
+        set_at = F.when(F.col(f"__s_{f}.at") >= made, F.col(f"__s_{f}.at"))
+        later = F.filter(f"__a_{f}", lambda e: (e["at"] >= made) & (set_at.isNull() | (e["at"] > set_at)))
+        return F.concat(F.when(set_at.isNotNull(), F.coalesce(F.col(f"__s_{f}.items"), none)).otherwise(none), F.transform(later, lambda e: e["value"])).alias(f)
+
+    return x.select(key, *scalar, *[whole(f) for f in lists])
+
+
 def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     """Replaces only the partitions that rows touch."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
