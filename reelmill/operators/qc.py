@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp
-from .order import exact_quantiles, in_stretches, written
+from .order import exact_quantiles, smoothed, written  # noqa: F401 (smoothing is found here too)
 
 
 def quiet_runs(frames: DataFrame, item: str, threshold_db: float, frame_ms: int, min_ms: int) -> DataFrame:
@@ -113,35 +113,6 @@ def centred(frames: DataFrame, width: float, crop_share: float) -> DataFrame:
     return frames.withColumn("centre", F.when(fit, F.col("mid")).otherwise(F.col("cx")))
 
 
-def smoothed(points: DataFrame, key: str, order: str, value: str, alpha: float = 0.35, rows: int = 128) -> DataFrame:
-    """Exponential smoothing in order, seeded with the first value, and until when each value holds (null: to the end).
-
-    A step is a map s -> a s + b, and so is any run of steps. Tracks are dealt out by ranges and cut into stretches of at
-    most so many rows. Each stretch is composed into one map, the stretches of a range into another, and from the track's
-    first value these give the value before each range, then before each stretch, from which its rows are gone through. No
-    task holds a whole track."""
-    x = in_stretches(points.select(key, order, F.col(value).cast("double").alias("x")), key, order, rows=rows)
-    place = [key, "range_no", "stretch"]
-    each = written(x.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct(order, "x"))).alias("p")))
-    last = lambda xs: F.element_at(xs, -1)
-    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    none = pair(F.lit(1.0), F.lit(0.0))
-    along = lambda maps, first: F.aggregate(maps, F.array(first), lambda acc, m: F.concat(acc, F.array(m["f"]["a"] * last(acc) + m["f"]["b"])))
-    composed = lambda maps: F.aggregate(maps, none, lambda f, m: pair(m["f"]["a"] * f["a"], m["f"]["a"] * f["b"] + m["f"]["b"]))
-    own = F.aggregate("p", none, lambda f, s: pair(f["a"] * (1 - alpha), f["b"] + alpha * (s["x"] - f["b"])))
-    maps = each.select(*place, own.alias("f"), F.col("p")[0].alias("head"))
-    ranges = written(maps.groupBy(key, "range_no").agg(F.array_sort(F.collect_list(F.struct("stretch", "f", "head"))).alias("ms")))
-    # a row for each range that a track is in
-    tracks = ranges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("range_no", composed(F.col("ms")).alias("f"), F.col("ms")[0]["head"].alias("head")))).alias("rs"))
-    before = F.arrays_zip(F.col("rs"), along(F.col("rs"), F.col("rs")[0]["head"]["x"]).alias("s"), F.slice(F.col("rs"), 2, F.size("rs")).alias("after"))
-    of_range = tracks.select(key, F.explode(F.filter(before, lambda z: z["rs"].isNotNull())).alias("z")).select(key, "z.rs.range_no", F.col("z.s").alias("s"), F.col(f"z.after.head.{order}").alias("next"))
-    before = F.arrays_zip(F.col("ms"), along(F.col("ms"), F.col("s")).alias("s"), F.slice(F.col("ms"), 2, F.size("ms")).alias("after"))
-    of_stretch = ranges.join(of_range, [key, "range_no"]).select(key, "range_no", "next", F.explode(F.filter(before, lambda z: z["ms"].isNotNull())).alias("z")).select(key, "range_no", "z.ms.stretch", F.col("z.s").alias("s"), F.coalesce(F.col(f"z.after.head.{order}"), F.col("next")).alias("next"))
-    path = F.aggregate("p", F.array("s"), lambda acc, q: F.concat(acc, F.array(last(acc) + alpha * (q["x"] - last(acc)))))
-    done = each.join(of_stretch, place).select(key, "next", F.explode(F.arrays_zip(F.col("p"), F.slice(path, 2, F.size("p")).alias("s"), F.slice(F.col("p"), 2, F.size("p")).alias("after"))).alias("z"))
-    return done.select(key, F.col(f"z.p.{order}").alias(order), F.col("z.s").alias("smooth"), F.coalesce(F.col(f"z.after.{order}"), F.col("next")).alias("until"))
-
-
 # What a good voice recording measures.
 SEPARATION, TILT, CREST = 52.0, (0.28, 0.52), 14.0
 

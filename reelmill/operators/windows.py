@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, has_any
+from .order import written
 
 
 def enumerate_windows(segments: DataFrame, key: str, start_ok: Column, end_ok: Column, min_ms: int, max_ms: int, stride: int = 1) -> DataFrame:
@@ -30,17 +31,24 @@ def spoken(segments: DataFrame, key: str) -> DataFrame:
     return some.withColumn("seg", (F.row_number().over(Window.partitionBy(key).orderBy("seg")) - 1).cast("long"))
 
 
+SEGS = 1 << 24  #: segments that a recording may have
+
+
 def with_text(windows: DataFrame, segments: DataFrame, key: str, max_ms: int) -> DataFrame:
-    """Windows of at most max_ms with their joined text, since cues may cross a segment's edge. A window's row carries the
-    segments that begin within max_ms of its first one, not those of the recording, and takes those between its first and
-    last by number, as several may begin at once. Segments are dealt out by buckets of max_ms, each with the next one's, so
-    a long recording is many tasks'."""
-    own = F.floor(F.col("start_ms") / F.lit(max_ms).cast("long"))
-    dealt = segments.select(key, "seg", "text", "start_ms", own.alias("__own"), F.explode(F.array(own, own - 1)).alias("__b"))
-    ahead = F.collect_list(F.struct("seg", "text")).over(Window.partitionBy(key, "__b").orderBy("start_ms").rangeBetween(0, max_ms))
+    """Windows of at most max_ms with their joined text, since cues may cross a segment's edge. Segments are numbered one
+    after another by their start, as spoken() does; several may begin at once, and then their numbers order them. A window's
+    row carries the texts of the segments from its first one on that begin within max_ms, not those of the recording.
+    Segments are dealt out by buckets of 20 max_ms, each with the beginning of the next, so a long recording is many
+    tasks'."""
+    wide = 20 * max_ms
+    own = F.floor(F.col("start_ms") / F.lit(wide).cast("long"))
+    both = F.when(F.col("start_ms") - own * wide <= max_ms, F.array(own, own - 1)).otherwise(F.array(own))
+    place = F.col("start_ms") * SEGS + F.col("seg")
+    dealt = segments.select(key, "seg", "text", place.alias("__place"), own.alias("__own"), F.explode(both).alias("__b"))
+    ahead = F.collect_list("text").over(Window.partitionBy(key, "__b").orderBy("__place").rangeBetween(0, max_ms * SEGS + SEGS - 1))
     texts = dealt.withColumn("__texts", ahead).where(F.col("__b") == F.col("__own")).select(key, F.col("seg").alias("seg_from"), "__texts")
-    inside = F.array_sort(F.filter("__texts", lambda t: t["seg"].between(F.col("seg_from"), F.col("seg_to"))))
-    return windows.join(texts, [key, "seg_from"]).withColumn("text", F.array_join(F.transform(inside, lambda t: t["text"]), " ")).drop("__texts")
+    size = (F.col("seg_to") - F.col("seg_from") + 1).cast("int")
+    return windows.join(texts, [key, "seg_from"]).withColumn("text", F.array_join(F.slice("__texts", F.lit(1), size), " ")).drop("__texts")
 
 
 def flagged(windows: DataFrame, aha: Sequence[str], recital: Sequence[str]) -> DataFrame:
@@ -54,8 +62,8 @@ def in_islands(windows: DataFrame, key: str, grain_ms: int = 10_000) -> DataFram
     window touches."""
     grain = lambda c: F.floor(c / F.lit(grain_ms).cast("long"))
     first, last = grain(F.col("start_ms")), grain(F.greatest(F.col("start_ms"), F.col("end_ms") - 1))
-    touched = windows.select(key, first.alias("__g"), F.lit(0).alias("crossed")).unionAll(windows.where(last > first).select(key, F.explode(F.sequence(first + 1, last)), F.lit(1)))
-    grains = touched.groupBy(key, "__g").agg(F.max("crossed").alias("crossed"))
+    touched = windows.select(key, first.alias("__f"), F.explode(F.sequence(first, last)).alias("__g"))
+    grains = touched.groupBy(key, "__g").agg(F.max((F.col("__g") > F.col("__f")).cast("int")).alias("crossed"))
     island = F.sum(1 - F.col("crossed")).over(Window.partitionBy(key).orderBy("__g").rowsBetween(Window.unboundedPreceding, 0))
     return windows.withColumn("__g", first).join(grains.select(key, "__g", island.alias("island")), [key, "__g"]).drop("__g")
 
@@ -74,7 +82,9 @@ def suppress_overlaps(windows: DataFrame, key: str, ratio: float = 0.85, cap: in
     def step(kept: Column, c: Column) -> Column:
         return F.when((F.size(kept) >= cap) | F.exists(kept, lambda k: clash(k, c)), kept).otherwise(F.concat(kept, F.array(c)))
 
-    folded = in_islands(windows, key).groupBy(key, "island").agg(F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(kind), step).alias("kept"))
+    # narrow rows, written as they are read twice
+    narrow = written(windows.select(key, "seg_from", "seg_to", "start_ms", "end_ms", "has_recital", "has_aha"))
+    folded = in_islands(narrow, key).groupBy(key, "island").agg(F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(kind), step).alias("kept"))
     out = folded.select(key, F.explode("kept").alias("k"))
     out = out.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("k"))).where(F.col("__n") <= cap)
     return out.select(key, "k.seg_from", "k.seg_to", "k.start_ms", "k.end_ms", (~F.col("k.not_recital")).alias("has_recital"), (~F.col("k.not_aha")).alias("has_aha"))

@@ -125,11 +125,11 @@ class UploadState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.upload = handle.getValueState("upload", "created long, total long, chunks array<long>, times array<long>")
+        self.upload = handle.getValueState("upload", "created long, total long, chunks array<long>, times array<long>, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        created, total, chunks, times = self.upload.get() if self.upload.exists() else (None, None, [], [])
-        first, had = dict(zip(chunks, times)), (created, list(chunks))
+        created, total, chunks, times, timer = self.upload.get() or (None, None, [], [], None)
+        first = dict(zip(chunks, times))
         for part in rows:
             at = part["ts"].astype("datetime64[us]").astype("int64") // 1000
             for kind, chunk, n, t in zip(part["kind"], part["idx"], part["total"], at):
@@ -140,25 +140,26 @@ class UploadState(StatefulProcessor):
         if created is not None:
             first = {c: t for c, t in first.items() if t <= created + self.wait_ms}  # what comes later is refused
         if total is not None and len(first) >= total:
-            self.forget()
+            self.forget(timer)
         elif first or created is not None:
-            self.upload.update((created, total, list(first), list(first.values())))
-            if had[0] != created or not had[1]:
-                for timer in list(self.handle.listTimers()):
+            ends = (created if created is not None else max(first.values())) + self.wait_ms
+            if ends != timer:
+                if timer is not None:
                     self.handle.deleteTimer(timer)
-                self.handle.registerTimer((created if created is not None else max(first.values())) + self.wait_ms)
+                self.handle.registerTimer(ends)
+            self.upload.update((created, total, list(first), list(first.values()), ends))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        created, total, chunks, _ = self.upload.get() if self.upload.exists() else (None, None, [], [])
-        self.forget()
+        created, total, chunks, _, _ = self.upload.get() or (None, None, [], [], None)
+        self.forget(None)  # the timer that has ended is gone by itself
         if created is not None:
             at = pd.to_datetime(pd.Series([created, created + self.wait_ms]), unit="ms", utc=True).dt.tz_localize(None)
             yield pd.DataFrame({"upload": [key[0]], "created": at[:1].values, "given_up": at[1:].values, "received": [len(chunks)], "total": [total]})
 
-    def forget(self) -> None:
+    def forget(self, timer: int | None) -> None:
         self.upload.clear()
-        for timer in list(self.handle.listTimers()):
+        if timer is not None:
             self.handle.deleteTimer(timer)
 
     def close(self) -> None:

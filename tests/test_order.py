@@ -35,18 +35,16 @@ def smooth(track, alpha=0.35):
     return [(t, s, out[i + 1][0] if i + 1 < len(out) else None) for i, (t, s) in enumerate(out)]
 
 
-@pytest.mark.parametrize("rows,alpha", [(1, 0.35), (3, 0.01), (128, 0.35)])
-def test_smoothing_over_ranges_and_stretches(spark, rows, alpha):
-    rng = random.Random(rows)
+@pytest.mark.parametrize("alpha,short", [(0.01, 0), (0.35, 3), (0.35, 1000), (1.0, 256)])
+def test_smoothing_over_ranges(spark, alpha, short):
+    rng = random.Random(int(alpha * 100))
     tracks = {0: [(t * 3, rng.uniform(-50, 50)) for t in range(400)], **{k: [(t, rng.uniform(0, 9)) for t in range(rng.randint(1, 5))] for k in range(1, 12)}}
     points = [(k, t, x) for k, track in tracks.items() for t, x in track]
     rng.shuffle(points)
     with many_ranges(spark):
         df = spark.createDataFrame(points, "clip long, t long, x double").repartition(5)
-        stretches = order.in_stretches(df, "clip", "t", rows=rows)
-        assert stretches.where("clip = 0").select("range_no").distinct().count() > 2
-        assert stretches.groupBy("clip", "range_no", "stretch").count().agg(F.max("count")).first()[0] <= rows
-        got = qc.smoothed(df, "clip", "t", "x", alpha, rows).collect()
+        assert df.repartitionByRange("clip", "t").where("clip = 0").select(F.spark_partition_id()).distinct().count() > 2
+        got = qc.smoothed(df, "clip", "t", "x", alpha, short).collect()
     for k, track in tracks.items():
         mine = sorted((r.t, r.smooth, r.until) for r in got if r.clip == k)
         wanted = smooth(track, alpha)
