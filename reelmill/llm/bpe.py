@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .shared import ship
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -266,6 +267,7 @@ def _file(path: str) -> bytes:
 
 def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """docs with token_ids array<int>. The file of ranks is read by the driver and sent with the tasks (under a megabyte)."""
+    ship(docs.sparkSession)
     raw, docs = _file(ranks), docs.drop("token_ids")
     schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
@@ -281,6 +283,7 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str
 
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """The rows with the bytes that token_ids stand for as decoded; an id without a token is an error."""
+    ship(encoded.sparkSession)
     raw, encoded = _file(ranks), encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
@@ -303,6 +306,7 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 (of the bytes that the ids
     stand for). Encodes and decodes in one pass, so that neither ids nor texts leave the worker."""
+    ship(docs.sparkSession)
     raw = _file(ranks)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 

@@ -239,6 +239,7 @@ def _match_block(index: Index, block: words.Block, threshold: float) -> tuple[np
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap: one row for each document and item it holds."""
     spark = docs.sparkSession
+    shared.ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     shards = max(1, math.ceil(1.5 * chars / SHARD_CHARS)) if chars > SHARD_CHARS else 1

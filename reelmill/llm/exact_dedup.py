@@ -5,7 +5,8 @@ SHA-256 digest plus a second content check (xxhash64 and length). Rows go throug
 input partition, which folds local copies before anything is shuffled, and once in the shard that owns the digest. So a
 group of copies, however large, reaches its shard as one row for each input partition.
 
-In an index a filter slot holds a 16-bit fingerprint; next to it the bucket holds the number of the stored key. A
+Local indexes are put out and begun anew at SHARD_ROWS digests, and there are as many shards as rows divided by that, so what
+a task holds does not grow with the corpus. In an index a filter slot holds a 16-bit fingerprint; next to it the bucket holds the number of the stored key. A
 fingerprint hit counts only after the whole stored digest (SHA-256) and content check agree. When an insertion finds no slot the
 table doubles and is filled again from the stored keys. Digests can be deleted: ``apply_changes`` keeps a written index
 up to date as documents come and go.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize, with_rows
@@ -161,10 +162,17 @@ def _rows(index: CuckooIndex, size: int = 20_000) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def _index_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _index_task(batches, False)
+
+
+def _index_task(batches: Iterator[pa.RecordBatch], final: bool = True) -> Iterator[pa.RecordBatch]:
     index = CuckooIndex()
     for batch in batches:
         _fold(index, batch)
+        if not final and len(index) >= SHARD_ROWS:  # copies that meet no more here meet in their shard
+            yield from _rows(index)
+            index = CuckooIndex()
     yield from _rows(index)
 
 
@@ -193,10 +201,20 @@ def _entries(rows: DataFrame) -> DataFrame:
     return rows.select("digest", "check", F.lit(1).cast("long").alias("n_rows"), F.col("chars").alias("keep_chars"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"))
 
 
-def build_index(rows: DataFrame) -> DataFrame:
-    """One row for each live digest of keyed() rows: how many rows have it, and which of them stays."""
-    local = _entries(rows).mapInArrow(_index_task, INDEX_SCHEMA)
-    return local.repartition("digest").mapInArrow(_index_task, INDEX_SCHEMA)
+SHARD_ROWS = 1_000_000  #: rows for each index, about, so that is the most digests that a task holds
+
+
+def shards_for(spark: SparkSession, rows: int) -> int:
+    """Indexes for so many rows; Spark's own number of shuffle partitions where that is enough."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SHARD_ROWS))
+
+
+def build_index(rows: DataFrame, count: int | None = None) -> DataFrame:
+    """One row for each live digest of keyed() rows: how many rows have it, and which of them stays. count: of the rows, if
+    it is known without reading them."""
+    local = _entries(rows).mapInArrow(_local_task, INDEX_SCHEMA)
+    shards = shards_for(rows.sparkSession, rows.count() if count is None else count)
+    return local.repartition(shards, "digest").mapInArrow(_index_task, INDEX_SCHEMA)
 
 
 def apply_changes(index: DataFrame, live: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -205,7 +223,8 @@ def apply_changes(index: DataFrame, live: DataFrame, inserted: DataFrame, delete
     such digests' rows are looked up in live, by narrow rows and partial counts."""
     tag = lambda df, op: df.withColumn("op", F.lit(op))
     all_rows = tag(index, 0).unionByName(tag(_entries(deleted), 1)).unionByName(tag(_entries(inserted), 2))
-    changed = materialize(all_rows.repartition("digest").sortWithinPartitions("op").mapInArrow(_change_task, INDEX_SCHEMA), "dedup-index")
+    shards = shards_for(index.sparkSession, index.count() + inserted.count())
+    changed = materialize(all_rows.repartition(shards, "digest").sortWithinPartitions("op").mapInArrow(_change_task, INDEX_SCHEMA), "dedup-index")
     same = ["digest", "check", "chars", "doc_id"]
     lost = _lost(index, deleted)
     count = lambda df, sign: df.select(*same, "row", F.lit(sign).alias("d"))
@@ -239,4 +258,4 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id")
     whole = F.coalesce(F.col(text), F.lit(""))
     norm = F.regexp_replace(whole, r"[\x20\x09-\x0D]+", "")
     rows = docs.select(F.col(number).alias("row"), F.col(key).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("chars"), F.unhex(F.sha2(norm, 256)).alias("digest"), (F.xxhash64(norm) + F.length(norm)).alias("check"))
-    return docs.join(build_index(rows).select(F.col("keep_row").alias(number)), number, "left_semi").drop(number)
+    return docs.join(build_index(rows, docs.count()).select(F.col("keep_row").alias(number)), number, "left_semi").drop(number)

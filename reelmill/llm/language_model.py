@@ -18,6 +18,7 @@ counts as training text (its hash is null); other columns are never read.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -155,11 +156,29 @@ class Counts:
         return n, at
 
 
+class Open(OrderedDict):
+    """What a worker has mapped; beyond MOST parts the one that was used longest ago is let go."""
+
+    MOST = 4000  #: of three files each, while a process may have some 65,000
+
+    def part(self, key, make):
+        """The mapped part of key, None where there is no such file."""
+        if key not in self:
+            try:
+                self[key] = make()
+            except FileNotFoundError:
+                self[key] = None
+            if len(self) > self.MOST:
+                self.popitem(last=False)
+        self.move_to_end(key)
+        return self[key]
+
+
 class WordCodes:
     """In a worker: counts and codes of words from the saved word arrays, opened when a part is first asked for."""
 
     def __init__(self, folder: str, word_first: np.ndarray):
-        self.folder, self.first, self.open = folder, word_first, {}
+        self.folder, self.first, self.open = folder, word_first, Open()
 
     def get(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and codes of sorted distinct hashes; 0 and UNSEEN of words that were not counted."""
@@ -168,13 +187,8 @@ class WordCodes:
         order = np.argsort(part, kind="stable")
         for run in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
             p = int(part[run[0]])
-            if p not in self.open:
-                try:
-                    self.open[p] = Counts(self.folder, f"word-{p}", np.uint64)
-                except FileNotFoundError:
-                    self.open[p] = None
-            if self.open[p] is not None:
-                n, at = self.open[p].find(kinds[run])
+            if (saved := self.open.part(p, lambda: Counts(self.folder, f"word-{p}", np.uint64))) is not None:  # noqa: B023
+                n, at = saved.find(kinds[run])
                 known[run] = n
                 code[run[n > 0]] = (self.first[p] + at[n > 0]).astype(np.uint64)
         return known, code
@@ -191,6 +205,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 def train(docs: DataFrame, text: str = "text") -> Lm:
     """Counts all rows of docs."""
     spark = docs.sparkSession
+    shared.ship(spark)
     folder = shared.new_path(spark, "lm")
     rows = docs.select(F.col(text).alias("text"))
     # a text's end token is counted as 8 bytes, as in the folds
@@ -270,15 +285,10 @@ class Scorer:
     """In a worker: the mapped arrays, opened when a part is first asked for."""
 
     def __init__(self, lm: Lm):
-        self.lm, self.open, self.words = lm, {}, WordCodes(lm.folder, lm.word_first)
+        self.lm, self.open, self.words = lm, Open(), WordCodes(lm.folder, lm.word_first)
 
     def _part(self, kind: str, part: int, dtype):
-        if (kind, part) not in self.open:
-            try:
-                self.open[kind, part] = Counts(self.lm.folder, f"{kind}-{part}", dtype)
-            except FileNotFoundError:
-                self.open[kind, part] = None
-        return self.open[kind, part]
+        return self.open.part((kind, part), lambda: Counts(self.lm.folder, f"{kind}-{part}", dtype))
 
     def _spread(self, kind: str, keys: np.ndarray, part: np.ndarray, dtype) -> np.ndarray:
         """Counts of sorted distinct keys from the parts that hold them."""
@@ -303,12 +313,8 @@ class Scorer:
         order = np.argsort(part, kind="stable")
         for run in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
             p = int(part[run[0]])
-            if ("context", p) not in self.open:
-                try:
-                    self.open["context", p] = shared.map_array(lm.folder, f"context-{p}.k", np.uint32), shared.map_array(lm.folder, f"context-{p}.n", np.uint32).reshape(-1, 4)
-                except FileNotFoundError:
-                    self.open["context", p] = None
-            if (found := self.open["context", p]) is not None and len(found[0]):
+            mapped = lambda: (shared.map_array(lm.folder, f"context-{p}.k", np.uint32), shared.map_array(lm.folder, f"context-{p}.n", np.uint32).reshape(-1, 4))  # noqa: B023, E731
+            if (found := self.open.part(("context", p), mapped)) is not None and len(found[0]):
                 keys, stats = found
                 wanted = codes[rest[run]].astype(np.uint32)
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -374,7 +380,9 @@ def held_out(key: str, folds: int, fold: int) -> Column:
 
 
 def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 10) -> DataFrame:
-    """Trains on the rows outside fold 0 and scores every row."""
+    """Trains on the rows outside fold 0 and scores every row. The scores are written, and the model's folder deleted."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key, folds, 0).alias("held_out"), F.col(text).alias("text"))
     lm = train(rows.filter("not held_out"))
-    return score(rows, lm).withColumn("train_tokens", F.lit(lm.train_tokens).cast("long"))
+    out = shared.materialize(score(rows, lm).withColumn("train_tokens", F.lit(lm.train_tokens).cast("long")), "lm-scores")
+    shared.remove(docs.sparkSession, lm.folder)
+    return out

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .shared import ship
 
 SAMPLE = 4000  #: labelled rows that a classifier is fitted on at most, half of them of each label
 
@@ -65,6 +66,7 @@ def calibrated(logits: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[flo
 
 def score_rows(docs: DataFrame, make: Callable[[], Callable[[words.Block], np.ndarray]], folds: int, fold: int, text: str = "text", key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; make() gives a worker its function from a block to scores."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key, folds, fold).alias("held_out"), F.col(text).alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .shared import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -309,6 +310,7 @@ def _model_bytes(path: str) -> bytes:
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, threads: int = 2) -> DataFrame:
     """docs with token_ids array<int> and parity boolean. The model file is read by the driver and sent with the tasks
     (half a megabyte)."""
+    ship(docs.sparkSession)
     raw = _model_bytes(model)
     docs = docs.drop("token_ids", "parity")
     schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType())])
@@ -325,6 +327,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, threads: int
 
 def decode(encoded: DataFrame, model: str = MODEL, threads: int = 2) -> DataFrame:
     """The rows with the text that token_ids stand for as decoded."""
+    ship(encoded.sparkSession)
     raw = _model_bytes(model)
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
@@ -344,6 +347,7 @@ def decode(encoded: DataFrame, model: str = MODEL, threads: int = 2) -> DataFram
 def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL, threads: int = 2) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of little-endian 32-bit ids), parity, and round_trip: whether decoding the ids
     gives the text again. Encodes and decodes in one pass, chunk by chunk, so that neither ids nor texts leave the worker."""
+    ship(docs.sparkSession)
     raw = _model_bytes(model)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 

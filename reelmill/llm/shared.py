@@ -31,9 +31,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; only in local mode, where that is unset (tests), a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,6 +48,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -65,15 +68,21 @@ def free_name(df: DataFrame, name: str = "__row") -> str:
     return name
 
 
+NO_HOST = "^([^:/]*):///"  #: file:///a and file:/a name one file
+
+
 def _is_scan(df: DataFrame) -> bool:
-    """Whether df is one scan of files with projections and filters alone."""
+    """Whether df is one scan of files, each read once, with projections and filters alone."""
     node = df._jdf.queryExecution().optimizedPlan()
     while node.nodeName() in ("Project", "Filter"):
         node = node.children().head()
-    return node.children().isEmpty() and bool(df.inputFiles())
+    if not node.children().isEmpty() or not df.inputFiles() or node.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    paths = node.relation().location().rootPaths()
+    roots = sorted(re.sub(NO_HOST, r"\1:/", paths.apply(i).toString()).rstrip("/") + "/" for i in range(paths.size()))
+    return not any(b.startswith(a) for a, b in zip(roots, roots[1:]))  # a path that is listed twice, or within another
 
 
-NO_HOST = "^([^:/]*):///"  #: file:///a and file:/a name one file
 FILE_BITS, PLACE_BITS = 24, 39  #: of a row's number: its file's place in the sorted list of files, its own place there
 
 
@@ -102,6 +111,7 @@ def with_rows(df: DataFrame) -> tuple[DataFrame, str]:
     same in every plan, however partitions are cut and whichever executors are lost: it is made of the file's place in
     the list of files and the row's place in the file. What is not a plain scan of files is written first. (Numbers of a
     partition and a place in it change when Spark cuts a small scan anew for other cores.)"""
+    ship(df.sparkSession)
     name = free_name(df)
     if not _is_scan(df):
         df = materialize(df, "rows")

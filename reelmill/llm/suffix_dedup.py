@@ -5,8 +5,8 @@ window of that length has an anchor: the 100-byte gram in it with the least hash
 equal places, so windows need comparing only within an anchor. The windows of one occurrence of an anchor form a segment
 of at most 700 bytes.
 
-1. Every text gives its segments as narrow rows: anchor, hash of the segment, place. Those whose anchor is met only once
-   go.
+1. Every text gives its segments as narrow rows: anchor, hash of the segment, place. Periodic text (a run of one letter, a
+   ruler) is a run of equal segments one after another, which is one row. Those whose anchor is met only once go.
 2. Equal segments are counted. All windows of a segment that is there twice are repeated: exact and near copies, however
    many, end here as one row a task.
 3. Where an anchor has several different segments, one copy of each is fetched. A task builds the suffix array of a batch
@@ -195,7 +195,17 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-PLACES = "anchor long, seg long, row long, lo int, end int, windows int, passage boolean"
+PLACES = "anchor long, seg long, row long, lo int, end int, windows int, passage boolean, times int"
+
+
+def folded(row: np.ndarray, lo: np.ndarray, windows: np.ndarray, anchor: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of equal segments of which each begins where the windows of the one before end, as in periodic text: the first
+    of each run, and how many there are. A run's segments are as far apart as each has windows."""
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    goes_on = (row[1:] == row[:-1]) & (anchor[1:] == anchor[:-1]) & (mark[1:] == mark[:-1]) & (lo[1:] - lo[:-1] == windows[:-1]) & (windows[1:] == windows[:-1])
+    first = np.flatnonzero(np.append(True, ~goes_on))
+    return first, np.diff(np.append(first, len(row)))
 
 
 def _places_task(length: int):
@@ -204,10 +214,12 @@ def _places_task(length: int):
             ids = batch.column("row").to_numpy()
             for block in words.blocks(batch.column("text")):
                 row, lo, hi, _, anchor, mark = segments(block.data, block.offsets, length)
-                for by_word, (row, lo, end, windows, anchor, mark) in ((False, (row, lo, hi + length, hi - lo + 1, anchor, mark)), (True, passages(block))):
-                    if len(row):
-                        ints = [pa.array(x.astype(np.int32)) for x in (lo, end, windows)]
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(ids[block.first + row]), *ints, pa.array(np.full(len(row), by_word))], ["anchor", "seg", "row", "lo", "end", "windows", "passage"])
+                for by_word, found in ((False, (row, lo, hi + length, hi - lo + 1, anchor, mark)), (True, passages(block))):
+                    first, times = (np.arange(len(found[0])), np.ones(len(found[0]))) if by_word else folded(row, lo, hi - lo + 1, anchor, mark)
+                    if len(first):
+                        own, begins, ends, windows, anchors, marks = (x[first] for x in found)
+                        ints = [pa.array(x.astype(np.int32)) for x in (begins, ends, windows)]
+                        yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(marks.view(np.int64)), pa.array(ids[block.first + own]), *ints, pa.array(np.full(len(own), by_word)), pa.array(times.astype(np.int32))], ["anchor", "seg", "row", "lo", "end", "windows", "passage", "times"])
 
     return task
 
@@ -352,14 +364,14 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     remove, and how many of its windows of PASSAGE words another row's text holds."""
     all_places = materialize(rows.mapInArrow(_places_task(length), PLACES), "repeat-places")
     # most anchors are met once: they go before anything wide is grouped
-    met = all_places.groupBy("anchor", "passage").agg(F.count("*").alias("c"), F.min("row").alias("least"), F.max("row").alias("most")).filter("if(passage, least <> most, c > 1)")
+    met = all_places.groupBy("anchor", "passage").agg(F.sum("times").alias("c"), F.min("row").alias("least"), F.max("row").alias("most")).filter("if(passage, least <> most, c > 1)")
     met = materialize(met.select("anchor", "passage"), "repeat-anchors")  # read again, so that AQE can split a frequent anchor's rows in the join
     places = materialize(all_places.join(met, ["anchor", "passage"], "left_semi"), "repeat-places")
     drop(all_places)
     drop(met)
     del all_places, met
     release(rows.sparkSession)
-    kinds = materialize(places.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "end", "windows", "passage")).alias("one"), F.max("row").alias("last")), "repeat-kinds")
+    kinds = materialize(places.groupBy("anchor", "seg").agg(F.sum("times").alias("n"), F.min(F.struct("row", "lo", "end", "windows", "passage")).alias("one"), F.max("row").alias("last")), "repeat-kinds")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.min("one.row").alias("least"), F.max("last").alias("most")).filter("m > 1")
     wanted = kinds.join(several, "anchor").filter("not one.passage or least <> most").select("anchor", "seg", "n", F.col("one.row").alias("first"), "last", (F.col("m") > GROUP).alias("wide"), "one.*")
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", "n", "first", "last", "wide", "passage", "windows", "lo", "end")).alias("wants"))  # as many as a text has segments
@@ -376,8 +388,10 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     passage = F.col("one.passage")
     same = kinds.filter("if(one.passage, one.row <> last, n > 1)").select("anchor", "seg", F.when(~passage, F.array(F.lit(0), F.col("one.end") - F.col("one.lo"))).alias("ranges"), F.when(passage, F.col("one.windows")).alias("shared"))
     found = same.unionByName(by_tree).unionByName(by_hash)
-    span = F.when(F.col("ranges").isNotNull(), F.struct("lo", "ranges"))
-    spans = materialize(places.select("anchor", "seg", "row", "lo").join(found, ["anchor", "seg"]).groupBy("row").agg(F.collect_list(span).alias("spans"), F.coalesce(F.sum("shared"), F.lit(0)).alias("n_shared")), "repeat-spans")
+    # a run of equal segments goes as a whole
+    run = F.array(F.lit(0), F.col("end") - F.col("lo") + (F.col("times") - 1) * F.col("windows"))
+    span = F.when(F.col("ranges").isNotNull(), F.struct("lo", F.when(F.col("times") > 1, run).otherwise(F.col("ranges")).alias("ranges")))
+    spans = materialize(places.select("anchor", "seg", "row", "lo", "end", "windows", "times").join(found, ["anchor", "seg"]).groupBy("row").agg(F.collect_list(span).alias("spans"), F.coalesce(F.sum("shared"), F.lit(0)).alias("n_shared")), "repeat-spans")
     # the texts are shuffled once more for the cut: make room
     for done in (places, kinds, contents):
         drop(done)
@@ -419,7 +433,9 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", key
     anchor with more than GROUP different segments gives only its equal segments."""
     docs, number = with_rows(docs)
     rows = docs.select(F.col(number).alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    places = materialize(rows.select("row", "text").mapInArrow(_places_task(length), PLACES).filter("not passage"), "repeat-places")
+    places = rows.select("row", "text").mapInArrow(_places_task(length), PLACES).filter("not passage")
+    places = places.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).withColumns({c: F.col(c) + F.col("k") * F.col("windows") for c in ("lo", "end")}).drop("k", "times")
+    places = materialize(places, "repeat-places")
     kinds = materialize(places.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "end", "windows")).alias("one")), "repeat-kinds")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter((F.col("m") > 1) & (F.col("m") <= GROUP))
     wanted = kinds.join(several, "anchor").select("anchor", "seg", "one.*")

@@ -49,6 +49,20 @@ def test_cuckoo_index_grows_deletes_and_verifies():
     assert len(index) == 5000 and index.get(keys[4]) == -1
 
 
+def test_shards_follow_the_rows(spark, monkeypatch):
+    """Small indexes: local ones are begun anew, and there are more of them than Spark's own partitions."""
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(exact_dedup, "SHARD_ROWS", 10)
+    cloudpickle.register_pickle_by_value(exact_dedup)
+    try:
+        rows = exact_dedup.keyed(frame(spark, [(i, f"t{i % 100}") for i in range(300)]))
+        index = exact_dedup.build_index(rows)
+        assert index.rdd.getNumPartitions() == 30 and sorted(r.n_rows for r in index.collect()) == [3] * 100
+    finally:
+        cloudpickle.unregister_pickle_by_value(exact_dedup)
+
+
 def test_index_changes(spark):
     keyed = lambda rows: exact_dedup.keyed(frame(spark, rows))
     live = keyed([(1, "a"), (2, "a"), (3, "b"), (6, "d"), (6, "d"), (7, "d "), (8, "e"), (None, "e")])
@@ -208,6 +222,34 @@ def test_repeats_of_long_texts_and_repeated_rows(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_periodic_texts(spark, monkeypatch):
+    """Rulers, runs of one letter and longer periods, alone, cut off, twice, and next to each other."""
+    rng = random.Random(9)
+    unit = "".join(rng.choices("abcdefgh", k=37))
+    rows = [(1, "-" * 1000), (2, "x" + "-" * 399), (3, "y" + "-" * 400 + "z"), (4, "ab" * 450), (5, unit * 30), (6, "q" + unit * 14 + "r"), (7, "0" * 700 + "1" * 700), (8, "a " * 300), (9, "ab" * 210 + unit * 12), (10, unit * 30), (11, "*" * 401), (12, "+" * 400), (13, rng.choice("ab") * 5 + "".join(rng.choices("abcdefgh", k=290)) * 4)]
+    for scan in (1 << 20, 500):
+        monkeypatch.setattr(suffix_dedup, "SCAN_BYTES", scan)
+        got = sorted(tuple(r) for r in suffix_dedup.digests(suffix_dedup.remove_repeats(frame(spark, rows))).collect())
+        assert got == brute_cut(rows, 400)
+    groups = defaultdict(set)
+    for r in suffix_dedup.repeat_groups(frame(spark, rows[:3])).collect():
+        groups[r.repeat].add((r.doc_id, r.start))
+    assert {(1, 0), (1, 300), (1, 600), (3, 1)} <= set().union(*groups.values())
+
+
+def test_a_run_of_three_megabytes_is_a_row(spark):
+    import time
+
+    data = np.frombuffer(b"-" * 3_000_000, np.uint8)
+    row, lo, hi, _, anchor, mark = suffix_dedup.segments(data, np.array([0, len(data)]))
+    first, times = suffix_dedup.folded(row, lo, hi - lo + 1, anchor, mark)
+    assert len(first) < 10 and times.sum() == len(row)
+    rows = [(1, "-" * 3_000_000), (2, "+-" * 100_000 + "end"), (3, "plain")]
+    began = time.time()
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.digests(suffix_dedup.remove_repeats(frame(spark, rows))).collect()}
+    assert got == {1: (3_000_000, 1), 2: (200_000, 1), 3: (0, 0)} and time.time() - began < 60
+
+
 def test_maximal_repeats_have_all_places():
     parts = [b"xxABCDEFGHIJyy", b"zABCDEFGHIJq", b"ABCDEFGHIJKLM", b"-ABCDEFGH-"]
     data, starts, ends = suffix_dedup.packed(parts)
@@ -270,6 +312,17 @@ def test_words_agree_with_the_pattern():
     assert [[x.lower() if x.isascii() else x for x in g] for g in got] == [[x for x in words(t)] for t in texts]
 
 
+def test_row_numbers_of_paths_listed_twice(spark, tmp_path):
+    from reelmill.llm import shared
+
+    path = f"{tmp_path}/t"
+    spark.range(17).selectExpr("id as doc_id", "'t' as text").repartition(2).write.parquet(path)
+    for paths in ([path, path], [path, f"file:{path}/"]):
+        rows, name = shared.with_rows(spark.read.parquet(*paths))
+        assert rows.count() == 34 and rows.select(name).distinct().count() == 34
+    assert shared._is_scan(spark.read.parquet(path)) and not shared._is_scan(spark.read.parquet(path, path))
+
+
 def test_row_numbers_are_distinct_and_steady(spark, tmp_path):
     """Many files, odd names and partitions cut differently: each row has one number of its own."""
     from reelmill.llm import shared

@@ -193,3 +193,21 @@ def test_toxic_texts_without_spaces(joint, passage):
     model = toxicity.fit(texts[:450], y[:450])
     score = np.concatenate([model.block(block) for block in W.blocks(pa.array(texts[450:]))])
     assert np.mean((score >= 0.3) == y[450:]) > 0.93
+
+
+def test_mapped_parts_are_let_go():
+    from reelmill.llm import language_model as lm
+
+    held = lm.Open()
+    held.MOST = 3
+    made = []
+
+    def make(k):
+        if k == 5:
+            raise FileNotFoundError
+        made.append(k)
+        return k
+
+    for k in (1, 2, 3, 1, 4, 5, 1):
+        assert held.part(k, lambda: make(k)) == (None if k == 5 else k)
+    assert list(held) == [4, 5, 1] and made == [1, 2, 3, 4]
