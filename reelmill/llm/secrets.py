@@ -161,6 +161,23 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return met.filter(F.col("met") == whole[F.col("kind")]).groupBy("row").agg(F.collect_set("kind").alias("kinds"))  # as many as there are rules
 
 
+BITS_EACH, MOST_BITS = 8, 1 << 28  #: of the candidates' bitmap: for each candidate, and at most (32 MB)
+BUCKET = 1 << 15  #: bits in one row of the bitmap, as Spark's bitmap functions have it
+
+
+def likely(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """The rows of narrow and few others (an eighth of the rest at most, unless the bitmap's bound is met): each candidate
+    sets a bit of a bitmap that goes to every task, and other rows go before anything of them is dealt out."""
+    count = narrow.count()
+    bits = min(MOST_BITS, max(BUCKET, 1 << (BITS_EACH * count - 1).bit_length()))
+    place = F.pmod(F.xxhash64("row"), F.lit(bits))
+    bucket, bit = F.floor(place / BUCKET), place % BUCKET
+    bitmap = narrow.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = rows.withColumns({"__bucket": bucket, "__bit": bit}).join(F.broadcast(bitmap), "__bucket")  # MOST_BITS / 8 bytes at most
+    return marked.where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).drop("__bucket", "__bit", "__bits")
+
+
 def secret_scan(docs: DataFrame, rules=RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_<kind> of the base kinds, base_sha256, spans for every row of docs."""
     docs, number = with_rows(docs)
@@ -172,9 +189,9 @@ def secret_scan(docs: DataFrame, rules=RULES, text: str = "text", key: str = "do
     scanned = {r.kind: spans(F.col("text"), _tight(r)) for r in full}
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
 
-    # the texts of candidates alone travel to their postings; the rest are scanned where they are read
+    # the texts of candidates travel to their postings, with few others; the rest are scanned where they are read
     everyone = rows.select("row", "doc_id", *[c.alias(f"at_{k}") for k, c in scanned.items()])
-    chosen = rows.join(narrow, "row").select("row", *[F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), _tight(r))).otherwise(none).alias(f"at_{r.kind}") for r in rules if r not in full])
+    chosen = likely(rows.select("row", "text"), narrow).join(narrow, "row").select("row", *[F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), _tight(r))).otherwise(none).alias(f"at_{r.kind}") for r in rules if r not in full])
     both = everyone.join(chosen, "row", "left")
     for r in rules:
         both = both.withColumn(f"at_{r.kind}", F.coalesce(f"at_{r.kind}", none))

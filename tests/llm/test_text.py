@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from reelmill.llm import decontaminate, language_model, pieces, secrets, url_filter
 from reelmill.llm import words as text_words
@@ -135,6 +136,18 @@ def test_trigram_queries():
     assert any("PRI" in ways for ors in by["pem"] for ways in ors)
 
 
+def test_bitmap_keeps_all_candidates_and_few_others(spark, monkeypatch):
+    rows = spark.range(20_000).select((F.col("id") * 977).alias("row"), F.lit("t").alias("text"))
+    narrow = rows.where("row % 1000 = 7").select("row")
+    wanted = {r.row for r in narrow.collect()}
+    got = {r.row for r in secrets.likely(rows, narrow).collect()}
+    assert wanted and wanted <= got and len(got) < 20_000 / 7 and secrets.likely(rows, narrow).columns == ["row", "text"]
+    assert secrets.likely(rows, narrow.limit(0)).count() == 0
+    monkeypatch.setattr(secrets, "MOST_BITS", secrets.BUCKET)  # the bound is met: fewer go, none is lost
+    half = rows.where("row % 2 = 0").select("row")
+    assert {r.row for r in half.collect()} <= {r.row for r in secrets.likely(rows, half).collect()}
+
+
 def test_postings_are_intersected(spark):
     rows = spark.createDataFrame([(1, "to ok ke ken"), (2, "a token"), (3, "xAKIAx"), (4, "AKI KIA password"), (5, "")], "row long, text string")
     index = secrets.postings(rows)
