@@ -159,47 +159,53 @@ def test_postings_are_intersected(spark):
 # ---- language model
 
 
-def brute_lm(rows):
+def brute_lm(rows, order=2):
     tokens = lambda t: [*words(t), None]
     train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
-    uni, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<s>", *t], t))
+    uni = Counter(w for t in train for w in t)
+    grams = lambda ts: zip(*[["<s>"] * k + ts for k in range(order - 1, -1, -1)])
+    counts = {order: Counter(g for t in train for g in grams(t))}
     n, v = sum(uni.values()), len(uni)
-    after, context = Counter(w for _, w in pairs), defaultdict(list)
-    for (u, _), c in pairs.items():
-        context[u].append(c)
+    for size in range(order - 1, 0, -1):
+        counts[size] = Counter()
+        for g, c in counts[size + 1].items():
+            counts[size][g[1:]] += c if g[1] == "<s>" else 1
+    contexts = {size: defaultdict(list) for size in counts}
+    for size in counts:
+        for g, c in counts[size].items():
+            contexts[size][g[:-1]].append(c)
 
     def discounts(counts):
         n1, n2, n3, n4 = (sum(c == k for c in counts) for k in (1, 2, 3, 4))
         if not (n1 and n2 and n3):
             return [0, 0.5, 1.0, 1.5]
         y = n1 / (n1 + 2 * n2)
-        return [0] + [min(max(k - (k + 1) * y * b / a, 0), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        found = [k - (k + 1) * y * b / a for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        return [0, *(found if min(found) > 0 else (0.5, 1.0, 1.5))]
 
-    d2, d1 = discounts(pairs.values()), discounts(after.values())
-    total = sum(after.values())
-    gamma = sum(d1[min(c, 3)] for c in after.values()) / total
+    d = {size: discounts(counts[size].values()) for size in counts}
 
-    def p(u, w):
-        low = max(after[w] - d1[min(after[w], 3)], 0) / total + gamma / (v + 1)
-        if u not in context:
+    def p(g):
+        low = p(g[1:]) if len(g) > 1 else 1 / (v + 1)
+        own, c, d_own = contexts[len(g)].get(g[:-1]), counts[len(g)][g], d[len(g)]
+        if not own:
             return low
-        c = pairs[u, w]
-        return (max(c - d2[min(c, 3)], 0) + sum(d2[min(x, 3)] for x in context[u]) * low) / sum(context[u])
+        return (max(c - d_own[min(c, 3)], 0) + sum(d_own[min(x, 3)] for x in own) * low) / sum(own)
 
     out = {}
     for i, t in rows:
         ts = tokens(t)
-        out[i] = (len(ts), sum(uni[w] > 0 for w in ts), sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts), sum(math.log10(p(u, w)) for u, w in zip(["<s>", *ts], ts)), n)
+        out[i] = (len(ts), sum(uni[w] > 0 for w in ts), sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts), sum(math.log10(p(g)) for g in grams(ts)), n)
     return out
 
 
-@pytest.mark.parametrize("part_rows", [10**9, 100])
-def test_language_model(spark, monkeypatch, part_rows):
+@pytest.mark.parametrize("part_rows, order", [(10**9, 2), (100, 2), (10**9, 3), (100, 3), (100, 5)])
+def test_language_model(spark, monkeypatch, part_rows, order):
     monkeypatch.setattr(language_model, "PART_ROWS", part_rows)
     monkeypatch.setattr(language_model, "FOLD_BYTES", 2000)
     rows = sample(4, 80)
-    want = brute_lm(rows)
-    got = language_model.lm_scores(frame(spark, rows)).collect()
+    want = brute_lm(rows, order)
+    got = language_model.lm_scores(frame(spark, rows), order=order).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_tokens, r.n_known, r.train_tokens) == (want[r.doc_id][0], want[r.doc_id][1], want[r.doc_id][4])
@@ -244,6 +250,10 @@ def test_every_frequent_context_is_hot(spark, monkeypatch):
 
 def test_language_model_without_rows(spark):
     assert language_model.lm_scores(frame(spark, [])).count() == 0
+    assert language_model.lm_scores(frame(spark, []), order=3).count() == 0
+    assert language_model.discounts(4, 1, 9, 1) == language_model.discounts(0, 1, 9, 1) == (0.5, 1.0, 1.5)
+    with pytest.raises(ValueError):
+        language_model.train(frame(spark, []), order=1)
     lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = language_model.lm_scores(frame(spark, [(lone, "a b")])).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.score == pytest.approx(0.0)
