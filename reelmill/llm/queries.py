@@ -26,7 +26,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.lm_scores(table(spark, sf_dir, "documents"))
+    return language_model.lm_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
