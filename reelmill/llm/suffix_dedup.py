@@ -426,24 +426,82 @@ def _groups_task(length: int):
     return task
 
 
+OPENINGS = "anchor long, seg long, at int, mark long, before int"
+PREFIXES = "anchor long, seg long, place int, before int, n_bytes int, repeat long, after int"
+EDGE = -1  #: stands for the byte before or after a segment, which differs from every other
+
+
+def _openings_task(length: int):
+    """A row for each window of a segment: the hash of its bytes and the byte before it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, seg, content, n in zip(*[batch.column(c).to_pylist() for c in ("anchor", "seg", "content", "windows")]):
+                data, at = np.frombuffer(content, np.uint8), np.arange(n, dtype=np.int32)
+                mark = words.span_hash(words.prefix_hash(data, lower=False), at, at + length)
+                before = np.append(np.int32(EDGE), data[: n - 1].astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"anchor": np.full(n, anchor), "seg": np.full(n, seg), "at": at, "mark": mark.view(np.int64), "before": before})
+
+    return task
+
+
+def _prefixes_task(length: int):
+    """A row for each prefix, from length bytes to the segment's end, of the suffixes at the places asked for: its hash and
+    the bytes before and after it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, seg, content, places in zip(*[batch.column(c).to_pylist() for c in ("anchor", "seg", "content", "places")]):
+                data = np.frombuffer(content, np.uint8)
+                sums, follow = words.prefix_hash(data, lower=False), np.append(data.astype(np.int32), np.int32(EDGE))
+                for at in places:
+                    ends = np.arange(at + length, len(data) + 1)
+                    n = len(ends)
+                    mark = words.span_hash(sums, np.full(n, at), ends)
+                    before = data[at - 1] if at else EDGE
+                    yield pa.RecordBatch.from_pydict({"anchor": np.full(n, anchor), "seg": np.full(n, seg), "place": np.full(n, at, np.int32), "before": np.full(n, before, np.int32), "n_bytes": (ends - at).astype(np.int32), "repeat": mark.view(np.int64), "after": follow[ends]})
+
+    return task
+
+
+def wide_repeats(contents: DataFrame, length: int) -> DataFrame:
+    """repeat, n_bytes, anchor, seg, place: the maximal repeats among the segments (anchor, seg, content, windows) of each
+    anchor, as the tree gives them, without an anchor's segments in one task. An interval of the tree is a set of equal
+    prefixes; it is one whose bytes behind differ, and is given if those before differ too. Both are told by counts, with
+    partial counts in every task: first of windows, since prefixes of those that one byte stands before have it as well,
+    then of all prefixes of the windows left."""
+    differ = "({0}_least < 0 or {0}_least <> {0}_most)"
+    ends = lambda c: (F.min(c).alias(f"{c}_least"), F.max(c).alias(f"{c}_most"))
+    openings = materialize(contents.mapInArrow(_openings_task(length), OPENINGS), "repeat-openings")
+    roots = openings.groupBy("anchor", "mark").agg(F.count("*").alias("c"), *ends("before")).filter("c > 1 and " + differ.format("before"))
+    asked = openings.join(roots, ["anchor", "mark"], "left_semi").groupBy("anchor", "seg").agg(F.collect_list("at").alias("places"))  # as many as a segment has windows
+    prefixes = contents.join(asked, ["anchor", "seg"]).select("anchor", "seg", "content", "places").mapInArrow(_prefixes_task(length), PREFIXES)
+    prefixes = materialize(prefixes, "repeat-prefixes")
+    drop(openings)
+    of = ["anchor", "n_bytes", "repeat"]
+    maximal = prefixes.groupBy(of).agg(F.count("*").alias("c"), *ends("before"), *ends("after")).filter(f"c > 1 and {differ.format('before')} and {differ.format('after')}")
+    return prefixes.join(maximal, of, "left_semi").select("repeat", F.col("n_bytes").cast("long").alias("n_bytes"), "anchor", "seg", F.col("place").cast("long").alias("place"))
+
+
 def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """repeat, n_bytes, doc_id, start: a row for each occurrence of each maximal repeat among the segments of an anchor. A
     repeat longer than a segment shows as one for each anchor it holds; of texts that are equal around an anchor, the
-    segment itself is the repeat. Copies join their segment by key, so a repeat with many occurrences is no one row. An
-    anchor with more than GROUP different segments gives only its equal segments."""
+    segment itself is the repeat. Copies join their segment by key, so a repeat with many occurrences is no one row. Where
+    an anchor has more than GROUP different segments, the same repeats are found by counts, not in one task's tree."""
     docs, number = with_rows(docs)
     rows = docs.select(F.col(number).alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     places = rows.select("row", "text").mapInArrow(_places_task(length), PLACES).filter("not passage")
     places = places.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).withColumns({c: F.col(c) + F.col("k") * F.col("windows") for c in ("lo", "end")}).drop("k", "times")
     places = materialize(places, "repeat-places")
     kinds = materialize(places.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "end", "windows")).alias("one")), "repeat-kinds")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter((F.col("m") > 1) & (F.col("m") <= GROUP))
-    wanted = kinds.join(several, "anchor").select("anchor", "seg", "one.*")
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", F.lit(1).cast("long").alias("n"), F.col("row").alias("first"), F.col("row").alias("last"), F.lit(False).alias("wide"), F.lit(False).alias("passage"), "windows", "lo", "end")).alias("wants"))
-    contents = rows.join(asked, "row").select("wants", "text").mapInArrow(_fetch_task, CONTENTS).select("anchor", "seg", "content", "windows")
-    trees = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_groups_task(length), "repeat long, n_bytes long, anchor long, seg long, place long")
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
+    wanted = kinds.join(several, "anchor").select("anchor", "seg", (F.col("m") > GROUP).alias("wide"), "one.*")
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", F.lit(1).cast("long").alias("n"), F.col("row").alias("first"), F.col("row").alias("last"), "wide", F.lit(False).alias("passage"), "windows", "lo", "end")).alias("wants"))
+    contents = materialize(rows.join(asked, "row").select("wants", "text").mapInArrow(_fetch_task, CONTENTS).select("anchor", "seg", "wide", "content", "windows"), "repeat-contents")
+    by_count = wide_repeats(contents.filter("wide"), length)
+    trees = contents.filter("not wide").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_groups_task(length), "repeat long, n_bytes long, anchor long, seg long, place long")
     same = kinds.filter("n > 1").select(F.xxhash64("anchor", "seg").alias("repeat"), (F.col("one.end") - F.col("one.lo")).cast("long").alias("n_bytes"), "anchor", "seg", F.lit(0).cast("long").alias("place"))
-    found = places.select("anchor", "seg", "row", "lo").join(trees.unionByName(same), ["anchor", "seg"])
+    found = places.select("anchor", "seg", "row", "lo").join(trees.unionByName(by_count).unionByName(same), ["anchor", "seg"])
     return found.join(rows.select("row", "doc_id"), "row").select("repeat", "n_bytes", "doc_id", (F.col("lo") + F.col("place")).alias("start")).distinct()
 
 

@@ -282,6 +282,21 @@ def test_repeat_groups_hold_all_occurrences(spark):
     assert suffix_dedup.repeat_groups(frame(spark, [])).count() == 0
 
 
+def test_repeat_groups_of_frequent_anchors(spark, monkeypatch):
+    """Counts find the repeats that the tree finds, with all their places, however many segments an anchor has."""
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choices("abcd ", k=n))
+    passage, other = draw(150), draw(140)
+    rows = sample(5, 60) + [(1000 + k, draw(rng.randint(0, 40)) + passage[: rng.choice((130, 140, 150))] + draw(rng.randint(0, 40))) for k in range(30)]
+    rows += [(2000 + k, draw(20) + other + "xyz"[k % 3]) for k in range(6)] + [(3000, "-" * 400), (3001, passage + passage), (3002, passage)]
+    found = []
+    for most in (2000, 1, 4):
+        monkeypatch.setattr(suffix_dedup, "GROUP", most)
+        found.append({tuple(r) for r in suffix_dedup.repeat_groups(frame(spark, rows), 120).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    assert len({(i, at) for _, n, i, at in found[1] if 1000 <= i < 1030 and n >= 120}) >= 30
+
+
 def test_passages_of_few_bytes(spark, monkeypatch):
     rng = random.Random(4)
     draw = lambda n: " ".join(rng.choices("a b c d ee ff".split(), k=n))
