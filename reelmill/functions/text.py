@@ -97,8 +97,8 @@ def mentions(text: Column, words: str) -> Column:
 def unfenced(text: Column) -> Column:
     """A reply without the code fence around it."""
     t = F.trim(text)
-    inner = F.regexp_replace(F.regexp_replace(t, r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
-    return F.trim(F.when(t.startswith("```"), inner).otherwise(t))
+    body = F.regexp_extract(t, r"(?s)\A`{3}[a-zA-Z]*\s*(.*?)\s*(?:`{3})?\Z", 1)
+    return F.when(t.startswith("```"), body).otherwise(t)
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

@@ -225,3 +225,9 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "upload_id long, total_chunks long")
     assert sorted(tuple(r) for r in logs.missing_chunks(some, spark.createDataFrame([(2, 0)], "upload_id long, idx long")).collect()) == [(1, 0), (1, 1)]
     assert posts.pattern_gate(spark.createDataFrame([], "has_metrics boolean, views double"), "views").first().needed == 12
+
+
+def test_fences_go_and_what_they_hold_stays(spark):
+    cases = {"```json\n{\"a\": 1}\n```": '{"a": 1}', " ```\nx\n\ny``` ": "x\n\ny", "```py\nno end": "no end", "``````": "", "a ``` b": "a ``` b", "```x\n1\n``` after": "1\n``` after", "": ""}
+    got = spark.createDataFrame(list(cases.items()), "reply string, want string").select(tx.unfenced(F.col("reply")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
