@@ -154,10 +154,12 @@ def _ints(lists: list[list[int]]) -> np.ndarray:
 class Encoder:
     """Encodes texts, each with whether both libraries agree on it and whether decoding gives it again. Distinct chunks
     are encoded once, by the tokenizers library as the result and by the sentencepiece library for parity, and kept in
-    arrays sorted by hash, so that words which recur cost a look-up. New chunks go to the libraries many in a string:
+    arrays sorted by hash, so that words which recur cost a look-up. What a hash finds is compared byte by byte; a row with
+    a chunk that is another than the one found is encoded whole. New chunks go to the libraries many in a string:
     a chunk's first piece is the one that begins with a marker after a piece that is more than markers."""
 
     KEPT = 1 << 20  #: chunks kept by a worker; beyond that it begins anew
+    KEPT_BYTES = 1 << 25  #: and bytes of them
     JOINED = 500  #: new chunks in one string
 
     def __init__(self, raw: bytes, threads: int):
@@ -172,6 +174,8 @@ class Encoder:
         self.marks, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each chunk's pieces in flat, by place
         self.flat = np.zeros(0, np.int32)
+        self.raw = np.zeros(0, np.uint8)  # bytes of the chunks
+        self.raw_begin, self.raw_size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each chunk in raw, by place
         self.same, self.again = np.zeros(0, bool), np.zeros(0, bool)
 
     def whole(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
@@ -246,6 +250,7 @@ class Encoder:
             starts, ends, row = starts[use], ends[use], row[use]
         marks, first, back = np.unique(words.span_hash(words.prefix_hash(data, False), starts, ends), return_index=True, return_inverse=True)
         number = self.numbers(data, starts[first], ends[first], marks)[back]
+        odd[row[self.differ(data, starts, ends, number)]] = True
         each, from_ = self.size[number], self.begin[number]
         total = np.cumsum(each)
         ids = self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(from_ - (total - each), each)]
@@ -263,17 +268,31 @@ class Encoder:
 
     def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """The place of each distinct chunk among those kept. marks: sorted."""
-        if len(self.marks) > self.KEPT:
+        if len(self.marks) > self.KEPT or len(self.raw) > self.KEPT_BYTES:
             self.clear()
         at = np.minimum(np.searchsorted(self.marks, marks), max(len(self.marks) - 1, 0))
         new = np.flatnonzero(self.marks[at] != marks) if len(self.marks) else np.arange(len(marks))
         if len(new):
             raw = data.tobytes()
-            self._keep(marks[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[new].tolist(), ends[new].tolist())])
+            self._keep(marks[new], [raw[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist())])
             at = np.searchsorted(self.marks, marks)
         return self.place[at]
 
-    def _keep(self, marks: np.ndarray, texts: list[str]) -> None:
+    def differ(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which of the chunks are not the kept ones of these numbers: others with their hash."""
+        size = ends - starts
+        out = self.raw_size[number] != size
+        like = np.flatnonzero(~out & (size > 0))
+        if len(like):
+            size = size[like]
+            before = np.cumsum(size) - size
+            inner = np.arange(before[-1] + size[-1])
+            here, there = np.repeat(starts[like] - before, size), np.repeat(self.raw_begin[number[like]] - before, size)
+            out[like] = np.add.reduceat(data[inner + here] != self.raw[inner + there], before, dtype=np.int64) > 0
+        return np.flatnonzero(out)
+
+    def _keep(self, marks: np.ndarray, chunks: list[bytes]) -> None:
+        texts = [x.decode("utf-8", "replace") for x in chunks]
         blank = np.array([not x.strip(" ") for x in texts])
         parts = []
         for k in (False, True):
@@ -289,6 +308,9 @@ class Encoder:
         here, flat, size, same, again = (np.concatenate(x) for x in zip(*parts))
         begin = len(self.flat) + np.cumsum(size) - size
         number = len(self.begin) + np.arange(len(here))
+        sizes = np.array([len(chunks[i]) for i in here.tolist()], np.int64)
+        self.raw_begin, self.raw_size = np.append(self.raw_begin, len(self.raw) + np.cumsum(sizes) - sizes), np.append(self.raw_size, sizes)
+        self.raw = np.append(self.raw, np.frombuffer(b"".join([chunks[i] for i in here.tolist()]), np.uint8))
         self.flat, self.begin, self.size = np.append(self.flat, flat), np.append(self.begin, begin), np.append(self.size, size)
         self.same, self.again = np.append(self.same, same), np.append(self.again, again)
         marks = np.append(self.marks, marks[here])

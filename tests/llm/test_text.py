@@ -300,6 +300,23 @@ def test_chunks_of_every_kind(spark):
                 assert again[k] == (encoder.tokenizer.decode(want, skip_special_tokens=False) == t)
 
 
+def test_chunks_that_share_a_hash(monkeypatch):
+    """With 3 bits of a hash nearly every chunk is found under another's: ids stay those of whole texts."""
+    raw = pieces._model_bytes(pieces.MODEL)
+    whole = text_words.span_hash
+    monkeypatch.setattr(text_words, "span_hash", lambda *x: whole(*x) & np.uint64(7))
+    encoder = pieces.Encoder(raw, 1)
+    texts = [t or "" for _, t in sample(8, 60)] + [t or "" for t in ODD] + ["ab", "ba", "", " ab", "ab  "]
+    for part in (texts[:20], texts):
+        for block in text_words.blocks(pa.array(part)):
+            ids, at, same, again = encoder.block(block)
+            for k, t in enumerate(part):
+                want = encoder.tokenizer.encode(t, add_special_tokens=False).ids
+                assert ids[at[k] : at[k + 1]].tolist() == want and same[k] == (want == encoder.reference.encode(t))
+                assert again[k] == (encoder.tokenizer.decode(want, skip_special_tokens=False) == t)
+    assert len(encoder.marks) <= 8
+
+
 def wire(number, value):
     def varint(n):
         out = b""
