@@ -15,8 +15,9 @@ words is one shingle. So a copy with one word changed within is no match if the
 shingles that hold the word are more than a fifth of all.
 
 The index goes to every worker, so its size is bounded: beyond ``SHARD_CHARS`` characters items are dealt out over several
-indexes, and the documents are read once for each. Document frequencies, the number of items, their mean length and the
-longest are those of all items, so scores and results don't depend on how items are dealt out.
+indexes, each built by a task and written as one file into the shared folder. The documents are still read once: a worker
+maps the files and holds each block of texts against one index after another. Document frequencies, the number of items,
+their mean length and the longest are those of all items, so scores and results don't depend on how items are dealt out.
 
 Defined results: null or empty items match nothing; a null text is an empty one; a very long text is worked on whole, as a
 block of its own; repeated documents or items are matched each, items with one id count as the best of them (by score,
@@ -27,7 +28,8 @@ never read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, partial
 from typing import NamedTuple
 
 import numpy as np
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from . import shared, words
 
 SHARD_CHARS = 8_000_000  #: text of one index at most; a longer item has an index of its own
+OPEN = 256  #: indexes that a worker keeps mapped
 BLOCK_ITEMS = 16  #: items in a block of a posting list
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -123,6 +126,56 @@ def _answer_at(stops: np.ndarray) -> int:
     return min(int(ends[-1]) + 1 if len(ends) else math.ceil(0.75 * len(stops)), len(stops) - 1)
 
 
+class Lists(NamedTuple):
+    """Arrays one after another."""
+
+    flat: np.ndarray
+    at: np.ndarray  #: their offsets
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.at[i] : self.at[i + 1]]
+
+
+class Ids:
+    """Numbers of which some are null."""
+
+    def __init__(self, values: np.ndarray, null: np.ndarray):
+        self.values, self.null = values, null
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def __getitem__(self, i: int) -> int | None:
+        return None if self.null[i] else int(self.values[i])
+
+
+PACKED = ("terms", np.uint64), ("top", np.float64), ("wide", np.int64), ("first", np.int64), ("items", np.int64), ("impact", np.float64), ("block_first", np.int64), ("block", np.int64), ("block_top", np.float64), ("block_at", np.int64), ("shingle_words", np.int64), ("answer_at", np.int64)
+
+
+def packed(index: Index) -> np.ndarray:
+    """An index as one array: the window, the lengths of its parts, the parts."""
+    sizes = [len(x) for x in index.shingles]
+    parts = [np.asarray(getattr(index, name), dtype) for name, dtype in PACKED]
+    parts += [np.array([i or 0 for i in index.item_ids], np.int64), np.array([i is None for i in index.item_ids], np.int64)]
+    parts += [np.concatenate(index.shingles), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+    return np.concatenate([np.array([index.window, *[len(x) for x in parts]], np.uint64), *[x.view(np.uint64) for x in parts]])
+
+
+def unpacked(raw: np.ndarray) -> Index:
+    n = len(PACKED) + 4
+    ends = 1 + n + np.cumsum(raw[1 : 1 + n].astype(np.int64))
+    kinds = [dtype for _, dtype in PACKED] + [np.int64, np.int64, np.uint64, np.int64]
+    parts = [raw[i:j].view(dtype) for i, j, dtype in zip([1 + n, *ends[:-1].tolist()], ends.tolist(), kinds)]
+    named = dict(zip([name for name, _ in PACKED], parts))
+    ids, null, flat, at = parts[-4:]
+    return Index(item_ids=Ids(ids, null), shingles=Lists(flat, at), window=int(raw[0]), **named | {"wide": named["wide"].astype(bool)})
+
+
+@lru_cache(OPEN)
+def opened(folder: str, shard: int) -> Index:
+    return unpacked(shared.map_array(folder, str(shard), np.uint64))
+
+
 def _terms_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each item's distinct terms."""
     for batch in batches:
@@ -205,10 +258,8 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, n_passages: in
     return pair[some] // n_items, pair[some] % n_items, part[some]
 
 
-def _match_block(index: Index, block: words.Block, threshold: float) -> tuple[np.ndarray, ...]:
-    """row, item, score, overlap, question overlap, answer overlap."""
-    found = words.split(block)
-    h = words.hashes(block, found)
+def _match_block(index: Index, found: words.Words, h: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """row, item, score, overlap, question overlap, answer overlap. found, h: a block's words and their hashes."""
     first, step = found.first, index.window // 2
     # window j of a row has its words j*step .. j*step+window; each word lies in two windows, or one at the start
     local = np.arange(len(h)) - first[found.row]
@@ -242,44 +293,60 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     shared.ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    shards = max(1, math.ceil(1.5 * chars / SHARD_CHARS)) if chars > SHARD_CHARS else 1
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-    known = None
-    if shards > 1:
-        terms = shared.materialize(items.select("shard", "text").mapInArrow(_terms_task, "shard long, term long"), "decontaminate-terms")
-        once = items.select("text").mapInArrow(_lengths_task, "words long").agg(F.count("*").alias("n"), F.avg("words").alias("mean"), F.max("words").alias("longest")).first()
-        df = shared.materialize(terms.groupBy("term").agg(F.count("*").alias("df")), "decontaminate-df")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
-    out = None
-    for shard in range(shards):
-        # at most about SHARD_CHARS characters
-        part = items.filter(F.col("shard") == shard)
-        if shards > 1:
-            own = terms.filter(F.col("shard") == shard).select("term").distinct().join(df, "term").toPandas()  # at most a term for each two of those characters
-            order = np.argsort(own["term"].to_numpy(np.int64).view(np.uint64), kind="stable")
-            known = Statistics(once.n, once.mean or 0.0, once.longest or 0, own["term"].to_numpy(np.int64).view(np.uint64)[order], own["df"].to_numpy(np.int64)[order])
-        index = build_index([(r.item_id, r.text) for r in part.collect()], known)
-        if index is None:
-            continue
-        sent = spark.sparkContext.broadcast(index)
-        found = rows.mapInArrow(_task(sent, threshold), schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def _task(sent, threshold: float):
+    if chars > SHARD_CHARS:
+        folder = shared.new_folder(spark, "decontaminate-index")
+        shards = write_indexes(items, math.ceil(1.5 * chars / SHARD_CHARS), folder)
+        return rows.mapInArrow(_task(partial(_mapped, folder, shards), threshold), schema)
+    index = build_index([(r.item_id, r.text) for r in items.collect()])  # SHARD_CHARS characters at most
+    if index is None:
+        return spark.createDataFrame([], schema)
+    return rows.mapInArrow(_task(partial(_sent, spark.sparkContext.broadcast(index)), threshold), schema)
+
+
+def write_indexes(items: DataFrame, shards: int, folder: str) -> list[int]:
+    """Deals items (item_id, text) out over indexes, writes each as a file of the folder, and says which there are. An
+    index is one task's, about two thirds of SHARD_CHARS characters or one longer item; what is collected is its number."""
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    terms = shared.materialize(items.select("shard", "text").mapInArrow(_terms_task, "shard long, term long"), "decontaminate-terms")
+    once = items.select("text").mapInArrow(_lengths_task, "words long").agg(F.count("*").alias("n"), F.avg("words").alias("mean"), F.max("words").alias("longest")).first()
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    own = terms.distinct().join(df, "term").select("shard", "term", "df")
+
+    def build(texts: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(texts) or not len(known):
+            return pa.table({"shard": pa.array([], pa.int64())})
+        term = known.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(term, kind="stable")
+        of_all = Statistics(once.n, once.mean, once.longest, term[order], known.column("df").to_numpy()[order])
+        index = build_index(list(zip(texts.column("item_id").to_pylist(), texts.column("text").to_pylist())), of_all)
+        shard = texts.column("shard")[0].as_py()
+        shared.write_array(folder, str(shard), packed(index))
+        return pa.table({"shard": [shard]})
+
+    made = items.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(build, "shard long").collect()
+    shared.drop(terms)
+    return sorted(r.shard for r in made)
+
+
+def _mapped(folder: str, shards: list[int]) -> Iterator[Index]:
+    return (opened(folder, shard) for shard in shards)
+
+
+def _sent(index) -> list[Index]:
+    return [index.value]
+
+
+def _task(indexes, threshold: float):
+    """indexes: gives them one after another."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
         for batch in batches:
             ids = batch.column("doc_id")
             for block in words.blocks(batch.column("text")):
-                best: dict = {}
-                got = _match_block(index, block, threshold)
-                for r, i, s, total, q, a in zip(*[x.tolist() for x in got]):
-                    if total >= OVERLAP and q >= PART_OVERLAP and a >= PART_OVERLAP:
-                        k = (int(r), index.item_ids[int(i)])
-                        best[k] = max(best.get(k, (0.0,)), (s, total, q, a))
+                found = words.split(block)
+                best = _best(indexes(), found, words.hashes(block, found), threshold)
                 if best:
                     row = pa.array([block.first + r for r, _ in best])
                     values = list(zip(*best.values()))
@@ -288,6 +355,17 @@ def _task(sent, threshold: float):
     return task
 
 
+def _best(indexes: Iterable[Index], found: words.Words, h: np.ndarray, threshold: float) -> dict:
+    """(row, item_id): the best score and overlaps of the items with that id, in whichever index they are."""
+    best: dict = {}
+    for index in indexes:
+        for r, i, s, total, q, a in zip(*[x.tolist() for x in _match_block(index, found, h, threshold)]):
+            if total >= OVERLAP and q >= PART_OVERLAP and a >= PART_OVERLAP:
+                k = (int(r), index.item_ids[int(i)])
+                best[k] = max(best.get(k, (0.0,)), (s, total, q, a))
+    return best
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows that hold an item."""
     docs, number = shared.with_rows(docs)

@@ -57,7 +57,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-_made: list[str] = []  #: tables that materialize() has written and nothing has deleted
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for files that tasks write; sweep() deletes it like a table."""
+    path = new_path(spark, name)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []  #: tables and folders that are in use, and that nothing has deleted
 
 
 def free_name(df: DataFrame, name: str = "__row") -> str:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reelmill.llm import decontaminate, language_model, pieces, secrets, url_filter
+from reelmill.llm import decontaminate, language_model, pieces, secrets, shared, url_filter
 from reelmill.llm import words as text_words
 from reelmill.llm import words as W
 
@@ -87,6 +88,33 @@ def test_leaks_over_several_indexes(spark, monkeypatch):
     assert leaking(spark, [(1, "say " + ITEMS[0][1]), (2, "short one"), (3, "nothing here")]) == [(1, 0), (2, 1)]
 
 
+def test_items_of_one_id_in_several_indexes(spark, monkeypatch):
+    """A document that holds two texts of one item has one row; null ids are an id; what was written is swept."""
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 20)
+    one, two, none = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight", "red green blue white black brown grey")
+    since = shared.tables_made()
+    for _ in range(2):
+        assert leaking(spark, [(1, f"{one} and {two}"), (2, two)], [(7, one), (7, two), (8, "eta zeta epsilon delta gamma"), (9, " "), (9, None)]) == [(1, 7), (2, 7)]
+    got = decontaminate.leaks(frame(spark, [(1, none), (2, one)]), spark.createDataFrame([(None, none), (1, one)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, None), (2, 1)]
+    assert leaking(spark, [(1, "x")], [(1, " " * 50)]) == []
+    folders = [x.removeprefix("file://") for x in shared._made[since:]]
+    assert len(folders) == 4 and sum(len(os.listdir(x)) for x in folders if os.path.exists(x)) >= 6
+    shared.sweep(spark, since, spark.range(1))
+    assert not any(os.path.exists(x) for x in folders)
+
+
+def test_packed_indexes_are_the_same():
+    index = decontaminate.build_index([(i, t) for i, t in ITEMS])
+    again = decontaminate.unpacked(decontaminate.packed(index))
+    for name in decontaminate.Index._fields:
+        one, two = getattr(index, name), getattr(again, name)
+        if name in ("item_ids", "shingles"):
+            assert [np.asarray(two[i]).tolist() for i in range(len(index.item_ids))] == [np.asarray(x).tolist() for x in one]
+        else:
+            assert np.asarray(one).tolist() == np.asarray(two).tolist()
+
+
 def test_wand_finds_all_over_the_threshold():
     rng = np.random.default_rng(0)
     vocabulary = [f"t{i}" for i in range(300)]
