@@ -159,7 +159,8 @@ class Encoder:
     a chunk's first piece is the one that begins with a marker after a piece that is more than markers."""
 
     KEPT = 1 << 20  #: chunks kept by a worker; beyond that it begins anew
-    KEPT_BYTES = 1 << 25  #: and bytes of them
+    KEPT_BYTES = 1 << 24  #: and bytes of them
+    COMPARED = 1 << 16  #: bytes compared at once
     JOINED = 500  #: new chunks in one string
 
     def __init__(self, raw: bytes, threads: int):
@@ -283,12 +284,18 @@ class Encoder:
         size = ends - starts
         out = self.raw_size[number] != size
         like = np.flatnonzero(~out & (size > 0))
-        if len(like):
-            size = size[like]
-            before = np.cumsum(size) - size
-            inner = np.arange(before[-1] + size[-1])
-            here, there = np.repeat(starts[like] - before, size), np.repeat(self.raw_begin[number[like]] - before, size)
-            out[like] = np.add.reduceat(data[inner + here] != self.raw[inner + there], before, dtype=np.int64) > 0
+        long = like[size[like] > self.COMPARED]
+        for i, a, n, b in zip(long.tolist(), starts[long].tolist(), size[long].tolist(), self.raw_begin[number[long]].tolist()):
+            out[i] = not np.array_equal(data[a : a + n], self.raw[b : b + n])
+        like = like[size[like] <= self.COMPARED]
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[like]) // self.COMPARED)) + 1
+        for some in np.split(like, cuts):  # at most twice COMPARED bytes, each of which has a place of 64 bits
+            each = size[some]
+            before = np.cumsum(each) - each
+            inner = np.arange(each.sum())
+            here, there = np.repeat(starts[some] - before, each), np.repeat(self.raw_begin[number[some]] - before, each)
+            if len(inner):
+                out[some] = np.add.reduceat(data[inner + here] != self.raw[inner + there], before, dtype=np.int64) > 0
         return np.flatnonzero(out)
 
     def _keep(self, marks: np.ndarray, chunks: list[bytes]) -> None:

@@ -334,6 +334,7 @@ def test_chunks_that_share_a_hash(monkeypatch):
     whole = text_words.span_hash
     monkeypatch.setattr(text_words, "span_hash", lambda *x: whole(*x) & np.uint64(7))
     encoder = pieces.Encoder(raw, 1)
+    encoder.COMPARED = 40
     texts = [t or "" for _, t in sample(8, 60)] + [t or "" for t in ODD] + ["ab", "ba", "", " ab", "ab  "]
     for part in (texts[:20], texts):
         for block in text_words.blocks(pa.array(part)):
