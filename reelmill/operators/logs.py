@@ -86,8 +86,9 @@ def file_fault(name: Column, size: Column, width: Column, height: Column, durati
 
 
 def scope_eta(clips: DataFrame, key: str, duration_s: Column, speed: float = 1.80) -> DataFrame:
-    """Clips in each scope and minutes to render all; a missing or zero duration counts as 60 s."""
-    total = F.sum(F.coalesce(F.nullif(duration_s, F.lit(0)), F.lit(60)))
+    """Clips in each scope and minutes to render all; a missing or zero duration counts as 60 s. Durations are summed as
+    decimals, since sums of doubles depend on their order and minutes that end in a half are rounded to even ones."""
+    total = F.sum(F.coalesce(F.nullif(duration_s, F.lit(0)), F.lit(60)).cast("decimal(28,6)")).cast("double")
     return clips.groupBy(key).agg(F.count("*").alias("all"), F.count_if(F.col("decision") != "rejected").alias("keeping"), F.count_if(F.col("decision") == "approved").alias("approved"), F.greatest(F.lit(1.0), F.bround(total / speed / 60)).cast("long").alias("eta_minutes"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelmill.operators import order, posts, qc, windows
+from reelmill.operators import logs, order, posts, qc, windows
 from reelmill.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
@@ -179,3 +179,10 @@ def test_notes_of_the_commonest_reasons_alone(spark):
     none = spark.createDataFrame([], "job long, clip int, hook string, views double, saves double, slot_at string, has_metrics boolean")
     got = posts.learning_pack(rejected, none, "doc_id", ["job", "clip"]).where("section = 'notes'").collect()
     assert sorted(r.key for r in got) == [f"r{i}" for i in range(8)] and {r.n for r in got} <= {5, 6}
+
+
+def test_minutes_that_end_in_a_half_are_exact(spark):
+    seconds = [45.6, 66.0, 73.2, 61.2, 60.0, 59.6, 50.0, 62.8, 38.4, 38.4, 55.6, 41.6, 30.4, 69.2, 40.0, 57.6, 68.4]  # 918, or a little more as doubles
+    clips = spark.createDataFrame([(1, "approved", x) for x in seconds], "doc_id long, decision string, s double").coalesce(1)
+    for rows in (clips, clips.orderBy("s"), clips.repartition(4)):
+        assert logs.scope_eta(rows, "doc_id", F.col("s")).first().eta_minutes == 8
