@@ -67,11 +67,14 @@ def newest(posts: DataFrame, tie: list[str], n: int) -> DataFrame:
     return posts.orderBy(F.desc("ts"), *tie).limit(n)
 
 
-def learning_pack(rejected: DataFrame, posts: DataFrame, order: str, keys: list[str], hooks: int = 20) -> DataFrame:
-    """What the tuner is shown, as section, key, body, n: notes of the eight commonest reasons, the first rejected hooks, and
-    the best and worst posts by views. rejected: reason, note, hook; posts: hook, views, saves, slot_at, has_metrics."""
-    common = rejection_signal(rejected, ["reason"], order).select(F.col("value").alias("reason"))  # eight at most
-    notes = first_notes(rejected.join(F.broadcast(common), "reason", "left_semi"), "reason", "note", order).select(F.lit("notes").alias("section"), F.col("reason").alias("key"), F.col("notes").alias("body"), "n")
+def learning_pack(rejected: DataFrame, posts: DataFrame, order: str, keys: list[str], hooks: int = 20, reasons: int | None = 8) -> DataFrame:
+    """What the tuner is shown, as section, key, body, n: notes of the commonest reasons (None: of all, a missing one too),
+    the first rejected hooks, and the best and worst posts by views. rejected: reason, note, hook; posts: hook, views, saves, slot_at, has_metrics."""
+    told = rejected
+    if reasons is not None:
+        common = rejection_signal(rejected, ["reason"], order, reasons).select(F.col("value").alias("reason"))
+        told = rejected.join(F.broadcast(common), "reason", "left_semi")
+    notes = first_notes(told, "reason", "note", order).select(F.lit("notes").alias("section"), F.col("reason").alias("key"), F.col("notes").alias("body"), "n")
     joined = lambda place, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place, line.alias("line")))), lambda x: x["line"]), "\n")
     first = rejected.filter(F.trim("hook") != "").orderBy(order).limit(hooks)
     shown = first.agg(joined([F.col(order)], F.substring(F.trim("hook"), 1, 120)).alias("body"), F.count("*").alias("n")).select(F.lit("hooks").alias("section"), F.lit(None).cast("string").alias("key"), "body", "n")

@@ -52,7 +52,7 @@ def reject_validation(spark: SparkSession, d: str) -> DataFrame:
 def learning_pack(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.feedback(spark, d).withColumns({c: F.regexp_replace(c, r"\s+", " ") for c in ("note", "hook")})
     posts = _posts(spark, d).withColumn("hook", F.concat(F.lit("hook "), F.col("job").cast("string"), F.lit("-"), F.col("clip").cast("string")))
-    return ps.learning_pack(rows, posts, "doc_id", KEYS)
+    return ps.learning_pack(rows, posts, "doc_id", KEYS, reasons=None)
 
 
 def newest_posts(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ QUERIES = {
     "rejection_gate": (rejection_gate, with_views("feedback", "select count(*) as rejections, greatest(0,8-count(*)) as needed, count(*)>=8 as ready from feedback")),
     "reject_validation": (reject_validation, "with r as (select ['approved','rejected','pending','maybe'][1+doc_id%4] as verdict, source as reason from documents) select verdict, case when verdict='maybe' then 'verdict' when verdict='rejected' and reason not in ('src1','src5','src9') then 'reason' end as fault, count(*) as n from r group by 1,2"),
     "newest_posts": (newest_posts, with_views("post_log", "+" + _POSTS + " select job, clip, ts, views from posts order by ts desc, job, clip limit 50")),
-    "learning_pack": (learning_pack, with_views("feedback post_log", "+" + _POSTS + """, n as (select doc_id, reason, trim(regexp_replace(note,'\\s+',' ','g')) as t from feedback), top8 as (select coalesce(nullif(reason,''),'?') as reason from feedback group by 1 order by count(*) desc, min(doc_id), 1 limit 8), k as (select *, row_number() over (partition by reason order by doc_id) as k from n where t<>'' and reason in (select reason from top8)), q as (select doc_id, trim(regexp_replace(hook,'\\s+',' ','g')) as t from feedback), q20 as (select * from q where t<>'' order by doc_id limit 20),
+    "learning_pack": (learning_pack, with_views("feedback post_log", "+" + _POSTS + """, n as (select doc_id, reason, trim(regexp_replace(note,'\\s+',' ','g')) as t from feedback), k as (select *, row_number() over (partition by reason order by doc_id) as k from n where t<>''), q as (select doc_id, trim(regexp_replace(hook,'\\s+',' ','g')) as t from feedback), q20 as (select * from q where t<>'' order by doc_id limit 20),
  h as (select *, 'hook '||job||'-'||clip as hook, coalesce(views,0.0) as v, row_number() over (order by coalesce(views,0.0) desc, job, clip) as best, row_number() over (order by coalesce(views,0.0), job desc, clip desc) as worst, count(*) over () as every from posts where has_metrics)
  select 'notes' as section, reason as key, string_agg(substr(t,1,200), chr(10) order by k) as body, count(*) as n from k where k<=6 group by 2 union all select 'hooks', null, string_agg(substr(t,1,120), chr(10) order by doc_id), count(*) from q20
  union all select 'best', null, string_agg(hook||' :: views='||coalesce(views::varchar,'?')||' saves='||coalesce(saves::varchar,'?')||' slot='||substr(coalesce(slot_at,''),12,5), chr(10) order by v desc, job, clip), count(*) from h where best<=8

@@ -186,3 +186,20 @@ def test_minutes_that_end_in_a_half_are_exact(spark):
     clips = spark.createDataFrame([(1, "approved", x) for x in seconds], "doc_id long, decision string, s double").coalesce(1)
     for rows in (clips, clips.orderBy("s"), clips.repartition(4)):
         assert logs.scope_eta(rows, "doc_id", F.col("s")).first().eta_minutes == 8
+
+
+def test_notes_of_all_reasons(spark):
+    rows = [(i * 20 + k, f"r{i}" if i else None, f"note {i} {k}", "h") for i in range(10) for k in range(12 - i)]
+    rejected = spark.createDataFrame(rows, "doc_id long, reason string, note string, hook string")
+    none = spark.createDataFrame([], "job long, clip int, hook string, views double, saves double, slot_at string, has_metrics boolean")
+    got = posts.learning_pack(rejected, none, "doc_id", ["job", "clip"], reasons=None).where("section = 'notes'").collect()
+    assert {r.key for r in got} == {None, *(f"r{i}" for i in range(1, 10))} and {r.n for r in got} <= {3, 4, 5, 6}
+
+
+def test_learning_pack_has_every_reason(spark):
+    from reelmill.sources import fixtures
+
+    d = "/root/testdata/sf0.01"
+    keys = {r.key for r in all_queries()["learning_pack"][0](spark, d).where("section = 'notes'").collect()}
+    wanted = {r.reason for r in fixtures.feedback(spark, d).where("trim(note) <> ''").select("reason").distinct().collect()}
+    assert len(wanted) > 8 and keys == wanted
