@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LISTERS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """Folders that are listed within are dealt out over some tasks a core; by itself Spark takes a task for each of the
+    first 10,000."""
+    before = spark.conf.get(LISTERS)
+    spark.conf.set(LISTERS, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTERS, before)
+
+
 def _with_corrupt(schema: T.StructType) -> T.StructType:
     return schema if CORRUPT in schema.names else T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
@@ -21,7 +39,8 @@ def read_entities(spark: SparkSession, path: str, schema: T.StructType) -> tuple
     """One JSON document a file -> (good records, unreadable ones). An order is the reader's affair: newest first is
     orderBy(desc("created_at"))."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    with listing(spark):
+        whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     raw = whole.withColumn("r", F.from_json("value", _with_corrupt(schema), options))
     return raw.filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT), raw.filter(F.col(f"r.{CORRUPT}").isNotNull()).select("file", F.col("value").alias(CORRUPT))
 
@@ -75,16 +94,21 @@ def suffix_kind(name: Column, kinds: dict[str, str] = KINDS) -> Column:
     return F.coalesce(*[F.when(suffix.rlike(f"^({v})$"), k) for k, v in kinds.items()], F.lit("other"))
 
 
+def _below(spark: SparkSession, path: str) -> DataFrame:
+    with listing(spark):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+
 def scan_folder(spark: SparkSession, path: str, chars: int = 8000) -> DataFrame:
     """All files below a folder with their kind and, of texts, the first characters."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = _below(spark, path)
     kind = suffix_kind(F.col("path"))
     return files.select("path", F.col("length").alias("size"), "modificationTime", kind.alias("kind"), F.when(kind == "text", F.substring(F.decode("content", "UTF-8"), 1, chars)).alias("head"))
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and time of all files below a folder; their contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return _below(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
 PROBE = "struct<format:struct<duration:string,bit_rate:string>,streams:array<struct<codec_type:string,codec_name:string,width:int,height:int,duration:string,r_frame_rate:string>>>"

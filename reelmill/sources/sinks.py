@@ -16,6 +16,13 @@ def append_events(rows: DataFrame, path: str, fmt: str = "json") -> None:
     rows.write.mode("append").format(fmt).options(**(MICROS if fmt == "json" else {})).save(path)
 
 
+def by_tasks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by key over some tasks a core, for writers that make a file a row or so: Spark itself sizes tasks by
+    bytes, and would write any number of small files in one."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def latest_entities(versions: DataFrame, key: str, version: str) -> DataFrame:
     """Current records of an entity log: the row of the highest version of each key."""
     rest = [c for c in versions.columns if c not in (key, version)]

@@ -105,3 +105,15 @@ def test_broken_lines_are_told_with_their_file(spark, tmp_path):
 def test_streamed_log_holds_each_event_once(spark):
     n = spark.read.parquet(f"{SF}/events.parquet").count()
     assert files.event_sink(spark, SF).count() == n
+
+
+def test_folders_are_written_by_many_tasks(spark):
+    import re
+
+    from reelmill.plans import files
+
+    d = "/root/testdata/sf0.001"
+    before = spark.conf.get(readers.LISTERS)
+    paths = [r.path for r in readers.scan_folder(spark, files._folder(spark, d)).select("path").collect()]
+    writers = {kind: {re.search(r"part-(\d+)", p).group(1) for p in paths if f"/{kind}/" in p and "/part-" in p} for kind in ("notes", "data")}
+    assert len(paths) > 10 and all(len(w) > 1 for w in writers.values()) and spark.conf.get(readers.LISTERS) == before
