@@ -78,7 +78,8 @@ def _own_score(part: pa.RecordBatch) -> pa.Array:
 
 
 def own_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rk.arrow_scorer(_own_score)(fx.windows(spark, d).select(*KEYS))
+    """Windows go to the model by their ends, so that those it cannot take lie together."""
+    return rk.arrow_scorer(_own_score)(fx.windows(spark, d).select(*KEYS).sortWithinPartitions("seg_to"))
 
 
 def rule_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -117,3 +117,16 @@ def test_folders_are_written_by_many_tasks(spark):
     paths = [r.path for r in readers.scan_folder(spark, files._folder(spark, d)).select("path").collect()]
     writers = {kind: {re.search(r"part-(\d+)", p).group(1) for p in paths if f"/{kind}/" in p and "/part-" in p} for kind in ("notes", "data")}
     assert len(paths) > 10 and all(len(w) > 1 for w in writers.values()) and spark.conf.get(readers.LISTERS) == before
+
+
+def test_few_calls_for_rows_that_raise(spark):
+    def score(part):
+        calls.add(1)
+        if pc.any(pc.less(part.column("x"), 40)).as_py():
+            raise ValueError("no")
+        return pc.cast(part.column("x"), pa.float64())
+
+    calls = spark.sparkContext.accumulator(0)
+    df = spark.range(2000).select(F.col("id").alias("x")).coalesce(1)
+    got = ranking.arrow_scorer(score)(df).orderBy("x").collect()
+    assert [(r.score, r.error) for r in got] == [(None, "ValueError: no") if x < 40 else (float(x), None) for x in range(2000)] and calls.value < 120
