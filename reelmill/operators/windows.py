@@ -36,19 +36,25 @@ SEGS = 1 << 24  #: segments that a recording may have
 
 def with_text(windows: DataFrame, segments: DataFrame, key: str, max_ms: int) -> DataFrame:
     """Windows of at most max_ms with their joined text, since cues may cross a segment's edge. Segments are numbered one
-    after another by their start, as spoken() does; several may begin at once, and then their numbers order them. A window's
-    row carries the texts of the segments from its first one on that begin within max_ms, not those of the recording.
+    after another by their start, as spoken() does; several may begin at once, and then their numbers order them. A window
+    collects the texts of the segments from its first one on that begin within max_ms, not those of the recording.
     Segments are dealt out by buckets of 20 max_ms, each with the beginning of the next, so a long recording is many
-    tasks'."""
-    wide = 20 * max_ms
-    own = F.floor(F.col("start_ms") / F.lit(wide).cast("long"))
+    tasks'. Windows are dealt out with them as rows in the same order, so each text is shuffled once, not once for every
+    segment that it follows; a window and its first segment begin at the same time
+    (windows without start_ms get it from there)."""
+    wide = F.lit(20 * max_ms).cast("long")
+    own = F.floor(F.col("start_ms") / wide)
     both = F.when(F.col("start_ms") - own * wide <= max_ms, F.array(own, own - 1)).otherwise(F.array(own))
-    place = F.col("start_ms") * SEGS + F.col("seg")
-    dealt = segments.select(key, "seg", "text", place.alias("__place"), own.alias("__own"), F.explode(both).alias("__b"))
-    ahead = F.collect_list("text").over(Window.partitionBy(key, "__b").orderBy("__place").rangeBetween(0, max_ms * SEGS + SEGS - 1))
-    texts = dealt.withColumn("__texts", ahead).where(F.col("__b") == F.col("__own")).select(key, F.col("seg").alias("seg_from"), "__texts")
-    size = (F.col("seg_to") - F.col("seg_from") + 1).cast("int")
-    return windows.join(texts, [key, "seg_from"]).withColumn("text", F.array_join(F.slice("__texts", F.lit(1), size), " ")).drop("__texts")
+    place = lambda seg: F.col("start_ms") * SEGS + F.col(seg)
+    text = F.struct("seg", "text")
+    dealt = segments.select(key, place("seg").alias("__place"), F.explode(both).alias("__b"), text.alias("__text"))
+    placed = windows if "start_ms" in windows.columns else windows.join(segments.select(key, F.col("seg").alias("seg_from"), "start_ms"), [key, "seg_from"])
+    asked = placed.select(key, place("seg_from").alias("__place"), own.alias("__b"), F.struct(*[c for c in windows.columns if c != key]).alias("__w"))
+    ahead = F.collect_list("__text").over(Window.partitionBy(key, "__b").orderBy("__place").rangeBetween(0, max_ms * SEGS + SEGS - 1))
+    told = asked.unionByName(dealt, allowMissingColumns=True).withColumn("__texts", ahead).where(F.col("__w").isNotNull())
+    size = (F.col("__w.seg_to") - F.col("__w.seg_from") + 1).cast("int")
+    mine = told.where(F.try_element_at("__texts", F.lit(1))["seg"] == F.col("__w.seg_from"))
+    return mine.select(key, "__w.*", F.array_join(F.slice("__texts.text", F.lit(1), size), " ").alias("text"))
 
 
 def flagged(windows: DataFrame, aha: Sequence[str], recital: Sequence[str]) -> DataFrame:

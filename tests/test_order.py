@@ -203,3 +203,13 @@ def test_learning_pack_has_every_reason(spark):
     keys = {r.key for r in all_queries()["learning_pack"][0](spark, d).where("section = 'notes'").collect()}
     wanted = {r.reason for r in fixtures.feedback(spark, d).where("trim(note) <> ''").select("reason").distinct().collect()}
     assert len(wanted) > 8 and keys == wanted
+
+
+def test_texts_ahead_are_not_shuffled(spark):
+    """Each text is dealt out once: what a segment's followers say is put together behind the one exchange."""
+    seg = spark.createDataFrame([(1, i, f"t{i}", i * 4800) for i in range(60)], "doc_id long, seg long, text string, start_ms long")
+    win = spark.createDataFrame([(1, a, b, a * 4800, (b + 1) * 4800) for a in range(0, 50, 3) for b in (a, a + 7)] + [(1, 99, 99, 0, 1)], "doc_id long, seg_from long, seg_to long, start_ms long, end_ms long")
+    got = windows.with_text(win, seg, "doc_id", 80_000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert {(r.seg_from, r.seg_to): r.text for r in got.collect()} == {(a, b): " ".join(f"t{i}" for i in range(a, b + 1)) for a in range(0, 50, 3) for b in (a, a + 7)}
