@@ -117,74 +117,108 @@ def late_rows(stream: DataFrame, base: str, ts: str, closes: Column, late: str)
 
 
 class UploadState(StatefulProcessor):
-    """One upload: when it was created, of how many chunks, and which have come when. A timer runs from its creation; when
-    it ends, the upload was given up. Complete uploads are forgotten, and so are chunks of what was never created."""
+    """A bucket of uploads: of each open one when it was created, of how many chunks, and which have come when. An upload's
+    time runs from its creation; when it ends, the upload was given up. The bucket's timer is set to the first that ends.
+    Complete uploads are forgotten, and so are chunks of what was never created."""
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.upload = handle.getValueState("upload", "created long, total long, chunks array<long>, times array<long>, timer long")
+        # made uploads with creation and total, then all chunks with their upload and time
+        self.open = handle.getValueState("open", "made array<long>, created array<long>, total array<long>, upload array<long>, chunk array<long>, time array<long>, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        created, total, chunks, times, timer = self.upload.get() or (None, None, [], [], None)
-        first = dict(zip(chunks, times))
+        made, first, timer = self.load()
         for part in rows:
             at = part["ts"].astype("datetime64[us]").astype("int64") // 1000
-            for kind, chunk, n, t in zip(part["kind"], part["idx"], part["total"], at):
+            uploads = [None] * len(part) if key[0] == NO_UPLOAD else part["upload"]
+            for upload, kind, chunk, n, t in zip(uploads, part["kind"], part["idx"], part["total"], at):
                 if kind == "created":
-                    created, total = (int(t), int(n)) if created is None else (min(created, int(t)), max(total, int(n)))
+                    created, total = made.get(upload, (int(t), int(n)))
+                    made[upload] = (min(created, int(t)), max(total, int(n)))
                 elif kind == "chunk":
-                    first[int(chunk)] = min(int(t), first.get(int(chunk), int(t)))
-        if created is not None:
-            first = {c: t for c, t in first.items() if t <= created + self.wait_ms}  # what comes later is refused
-        if total is not None and len(first) >= total:
-            self.forget(timer)
-        elif first or created is not None:
-            ends = (created if created is not None else max(first.values())) + self.wait_ms
-            if ends != timer:
-                if timer is not None:
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer(ends)
-            self.upload.update((created, total, list(first), list(first.values()), ends))
+                    mine = first.setdefault(upload, {})
+                    mine[int(chunk)] = min(int(t), mine.get(int(chunk), int(t)))
+        for upload, (created, total) in list(made.items()):
+            # what comes later is refused
+            first[upload] = {c: t for c, t in first.get(upload, {}).items() if t <= created + self.wait_ms}
+            if len(first[upload]) >= total:
+                del made[upload], first[upload]
+        self.keep(made, first, timer)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        created, total, chunks, _, _ = self.upload.get() or (None, None, [], [], None)
-        self.forget(None)  # the timer that has ended is gone by itself
-        if created is not None:
-            at = pd.to_datetime(pd.Series([created, created + self.wait_ms]), unit="ms", utc=True).dt.tz_localize(None)
-            yield pd.DataFrame({"upload": [key[0]], "created": at[:1].values, "given_up": at[1:].values, "received": [len(chunks)], "total": [total]})
-
-    def forget(self, timer: int | None) -> None:
-        self.upload.clear()
-        if timer is not None:
+        made, first, timer = self.load()
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        for upload, ends in self.ends(made, first).items():
+            if ends <= now:
+                chunks = first.pop(upload, {})
+                if upload in made:
+                    created, total = made.pop(upload)
+                    out.append((upload, created, ends, len(chunks), total))
+        self.keep(made, first, None)  # the timer that has ended is gone by itself
+        if out:
+            done = pd.DataFrame(out, columns=["upload", "created", "given_up", "received", "total"])
+            for c in ("created", "given_up"):
+                done[c] = pd.to_datetime(done[c], unit="ms", utc=True).dt.tz_localize(None)
+            yield done
+
+    def ends(self, made: dict, first: dict) -> dict:
+        return {u: created + self.wait_ms for u, (created, _) in made.items()} | {u: max(c.values()) + self.wait_ms for u, c in first.items() if u not in made}
+
+    def load(self) -> tuple[dict, dict, int | None]:
+        made, created, total, upload, chunk, time, timer = self.open.get() or ([], [], [], [], [], [], None)
+        first: dict = {}
+        for u, c, t in zip(upload, chunk, time):
+            first.setdefault(u, {})[c] = t
+        return dict(zip(made, zip(created, total))), first, timer
+
+    def keep(self, made: dict, first: dict, timer: int | None) -> None:
+        soonest = min(self.ends(made, first).values(), default=None)
+        if timer is not None and timer != soonest:
             self.handle.deleteTimer(timer)
+        if soonest is None:
+            self.open.clear()
+            return
+        if timer != soonest:
+            self.handle.registerTimer(soonest)
+        flat = [(u, c, t) for u, chunks in first.items() for c, t in chunks.items()]
+        self.open.update((list(made), [c for c, _ in made.values()], [n for _, n in made.values()], *[[x[i] for x in flat] for i in range(3)], soonest))
 
     def close(self) -> None:
         pass
 
 
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+PARTS = "spark.sql.shuffle.partitions"
+BUCKETS, NO_UPLOAD = 4096, -1  #: of uploads; rows without one have a bucket of their own. A checkpoint is bound to them.
 
 
 def abandoned_uploads(log: DataFrame, hours: int = 48, late: str = "1 day") -> DataFrame:
     """Uploads that were created and not complete within some hours, once the watermark has passed that time. log: upload
-    long, ts, kind (created, chunk), total (of created), idx (of chunk). State is keyed by upload with a timer each, so it
-    holds open uploads alone. Needs a state store with timers: run it under with_timers()."""
+    long, ts, kind (created, chunk), total (of created), idx (of chunk). State holds open uploads alone; it is keyed by
+    buckets of uploads with a timer each, as each key costs some calls between Python and the store a batch. Needs a state
+    store with timers: run it under with_timers()."""
     out = "upload long, created timestamp, given_up timestamp, received long, total long"
-    return log.withWatermark("ts", late).groupBy("upload").transformWithStateInPandas(UploadState(hours * 3_600_000), out, "append", "eventTime")
+    # no nulls among the numbers, which pandas would make floats
+    bucket = F.when(F.col("upload").isNull(), NO_UPLOAD).otherwise(F.pmod(F.xxhash64("upload"), F.lit(BUCKETS))).cast("int")
+    return log.withWatermark("ts", late).withColumns({"__bucket": bucket, "upload": F.coalesce("upload", F.lit(0))}).groupBy("__bucket").transformWithStateInPandas(UploadState(hours * 3_600_000), out, "append", "eventTime")
 
 
 def with_timers(spark: SparkSession, run: Callable[[], list[dict]]) -> list[dict]:
-    """Calls run() while streams that start get a state store that has timers."""
-    before = spark.conf.get(ROCKS[0], None)
+    """Calls run() while streams that start get a state store that has timers, in some parts a core: each part costs a
+    Python worker and a store a batch, whatever it holds."""
+    parts = str(min(int(spark.conf.get(PARTS)), max(32, 4 * spark.sparkContext.defaultParallelism)))
+    before = {k: spark.conf.get(k, None) for k in (ROCKS[0], PARTS)}
     spark.conf.set(*ROCKS)
+    spark.conf.set(PARTS, parts)
     try:
         return run()
     finally:
-        spark.conf.set(ROCKS[0], before) if before else spark.conf.unset(ROCKS[0])
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def latest_metrics(log: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

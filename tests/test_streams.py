@@ -124,3 +124,15 @@ def test_timers_do_not_outlive_the_setting(spark):
     with pytest.raises(ValueError):
         st.with_timers(spark, lambda: (_ for _ in ()).throw(ValueError()))
     assert spark.conf.get(st.ROCKS[0], None) == before
+
+
+def test_uploads_share_state_by_buckets(spark, monkeypatch):
+    """Each key of the state costs calls between Python and the store, so there are few keys for many uploads."""
+    monkeypatch.setattr(st, "BUCKETS", 8, raising=False)
+    rows = [(u, at(u % 40), "created", 2, None, 0) for u in range(300)] + [(u, at(3), "created", 1, None, 0) for u in (None, 2**60 + 1)]
+    rows += [(u, at(u % 40 + 1 + k), "chunk", None, k, 0) for u in range(300) for k in range(u % 3)]
+    got, n, progress = abandoned(spark, [*rows, (1000, at(106), "created", 1, None, 1)], 2)
+    wanted = {u: (at(u % 40), at(u % 40 + 48), u % 3, 2) for u in range(300) if u % 3 < 2 and u % 40 <= 34}  # the last watermark is at 34 + 48 hours
+    wanted |= {u: (at(3), at(51), 0, 1) for u in (None, 2**60 + 1)}
+    assert got == wanted and n == len(wanted)
+    assert max(op["numRowsTotal"] for p in progress for op in p["stateOperators"]) <= 9
