@@ -38,14 +38,14 @@ def text_measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """Nested transcripts are built and flattened again."""
-    seg = fx.segments(spark, d).withColumn("ws", F.split("text", " "))
-    ws = F.transform("ws", lambda w, i: F.struct(w.alias("w"), ((F.col("start_ms") + i * 400) / 1000.0).alias("start"), ((F.col("start_ms") + i * 400 + 400) / 1000.0).alias("end")))
-    one = F.struct("seg", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "text", ws.alias("words"))
-    nested = seg.groupBy(F.col("doc_id").cast("string").alias("job_id")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s.dropFields("seg")).alias("segments"))
-    flat, each = flatten_transcripts(nested)
-    n = each.groupBy("job_id", "seg").agg(F.count("*").alias("n_words"), F.max("end_ms").alias("last_ms"))
-    return flat.join(n, ["job_id", "seg"])
+    """Nested transcripts are built and flattened again. Their words are cut from the texts after these were gathered, so
+    each text is shuffled once."""
+    one = F.struct("seg", "start_ms", "end_ms", "text")
+    gathered = fx.segments(spark, d).groupBy(F.col("doc_id").cast("string").alias("job_id")).agg(F.array_sort(F.collect_list(one)).alias("segments"))
+    word = lambda s: lambda w, i: F.struct(w.alias("w"), ((s["start_ms"] + i * 400) / 1000.0).alias("start"), ((s["start_ms"] + i * 400 + 400) / 1000.0).alias("end"))
+    whole = lambda s: F.struct((s["start_ms"] / 1000.0).alias("start"), (s["end_ms"] / 1000.0).alias("end"), s["text"].alias("text"), F.transform(F.split(s["text"], " "), word(s)).alias("words"))
+    flat, _ = flatten_transcripts(gathered.select("job_id", F.transform("segments", whole).alias("segments")))
+    return flat.where("n_words > 0")
 
 
 def latest_entity(spark: SparkSession, d: str) -> DataFrame:

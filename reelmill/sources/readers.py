@@ -61,11 +61,13 @@ TRANSCRIPT = "job_id string, segments array<struct<start:double,end:double,text:
 
 
 def flatten_transcripts(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nested transcripts -> (segments, words), times in milliseconds."""
-    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    """Nested transcripts -> (segments, words), times in milliseconds. Segments tell how many words they have and when the
+    last of them ends, so that needs no grouping of words."""
+    ms = lambda c: F.round(c * 1000).cast("long")
     seg = nested.select("job_id", F.posexplode("segments").alias("seg", "s")).select("job_id", F.col("seg").cast("long").alias("seg"), "s.*")
-    segments = seg.select("job_id", "seg", ms("start").alias("start_ms"), ms("end").alias("end_ms"), "text")
-    words = seg.select("job_id", "seg", F.posexplode("words").alias("pos", "x")).select("job_id", "seg", F.col("pos").cast("long").alias("pos"), F.col("x.w").alias("w"), ms("x.start").alias("start_ms"), ms("x.end").alias("end_ms"))
+    last = F.array_max(F.transform("words", lambda x: ms(x["end"])))
+    segments = seg.select("job_id", "seg", ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"), "text", F.coalesce(F.array_size("words"), F.lit(0)).cast("long").alias("n_words"), last.alias("last_ms"))
+    words = seg.select("job_id", "seg", F.posexplode("words").alias("pos", "x")).select("job_id", "seg", F.col("pos").cast("long").alias("pos"), F.col("x.w").alias("w"), ms(F.col("x.start")).alias("start_ms"), ms(F.col("x.end")).alias("end_ms"))
     return segments, words
 
 

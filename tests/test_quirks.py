@@ -231,3 +231,21 @@ def test_fences_go_and_what_they_hold_stays(spark):
     cases = {"```json\n{\"a\": 1}\n```": '{"a": 1}', " ```\nx\n\ny``` ": "x\n\ny", "```py\nno end": "no end", "``````": "", "a ``` b": "a ``` b", "```x\n1\n``` after": "1\n``` after", "": ""}
     got = spark.createDataFrame(list(cases.items()), "reply string, want string").select(tx.unfenced(F.col("reply")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_transcripts_shuffle_texts_once(spark):
+    from reelmill.plans import candidates
+
+    plan, n = shuffles(candidates.transcripts(spark, "/root/testdata/sf0.001"))
+    assert n == 1 and "Join" not in plan
+
+
+def test_flattened_segments_tell_their_words(spark):
+    nested = spark.createDataFrame([("a", [(0.0, 1.5, "x y", [("x", 0.0, 0.5), ("y", 0.5, 1.2)]), (2.0, 3.0, "", []), (3.0, 4.0, "z", None)])], readers.TRANSCRIPT)
+    segments, words = readers.flatten_transcripts(nested)
+    assert [(r.seg, r.n_words, r.last_ms) for r in segments.orderBy("seg").collect()] == [(0, 2, 1200), (1, 0, None), (2, 0, None)]
+    assert [(r.seg, r.pos, r.w, r.end_ms) for r in words.orderBy("pos").collect()] == [(0, 0, "x", 500), (0, 1, "y", 1200)]
