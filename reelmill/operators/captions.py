@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import corrected
@@ -13,11 +13,18 @@ from ..functions.text import corrected
 def caption_cards(words: DataFrame, keys: list[str], group: int = 4, corrections: Sequence[tuple[str, str]] = (), upper: bool = False) -> DataFrame:
     """Words in groups by position, blanks dropped after grouping: card, first start, last end, text. Corrections come
     before upper case."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1
-    placed = words.withColumn("card", F.floor(rn / group).cast("long")).filter(F.coalesce("w", F.lit("")) != "")
-    got = placed.groupBy(*keys, "card").agg(F.min_by("rel_start_ms", "pos").alias("start_ms"), F.max_by("rel_end_ms", "pos").alias("end_ms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("text"))
-    text = corrected(F.trim("text"), corrections)
-    return got.withColumn("text", F.upper(text) if upper else text)
+    word = F.struct("pos", "w", "rel_start_ms", "rel_end_ms")
+    return cards_of(words.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("words")), keys, group, corrections, upper)
+
+
+def cards_of(clips: DataFrame, keys: list[str], group: int = 4, corrections: Sequence[tuple[str, str]] = (), upper: bool = False) -> DataFrame:
+    """caption_cards() of clips that hold their words in order."""
+    said = lambda i: F.filter(F.slice("words", (i * group + 1).cast("int"), group), lambda x: F.coalesce(x["w"], F.lit("")) != "")
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.ceil(F.size("words") / group).cast("int") - 1))
+    cards = F.transform(places, lambda i: F.struct(i.cast("long").alias("card"), said(i).alias("said")))
+    each = clips.select(*keys, F.explode(cards).alias("c")).select(*keys, "c.*").where(F.size("said") > 0)
+    text = corrected(F.trim(F.array_join("said.w", " ")), corrections)
+    return each.select(*keys, "card", F.col("said")[0]["rel_start_ms"].alias("start_ms"), F.element_at("said", -1)["rel_end_ms"].alias("end_ms"), (F.upper(text) if upper else text).alias("text"))
 
 
 def emphasis_windows(peaks_ms: Column, duration_ms: Column) -> Column:

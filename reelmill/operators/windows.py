@@ -113,3 +113,37 @@ def words_in_clips(words: DataFrame, clips: DataFrame, key: str) -> DataFrame:
     first = F.greatest(F.floor(F.col("w_start") / minute), F.floor(F.col("start_ms") / minute))
     keep = [c for c in clips.columns if c != key]
     return hit.filter(F.col("__m") == first).select(key, *keep, "pos", "w", F.greatest(F.lit(0).cast("long"), F.col("w_start") - F.col("start_ms")).alias("rel_start_ms"), (F.col("w_end") - F.col("start_ms")).alias("rel_end_ms"))
+
+
+def words_by_clip(words: DataFrame, clips: DataFrame, key: str, max_ms: int) -> DataFrame:
+    """words_in_clips() as one row a clip, for clips of at most max_ms (a longer one fails the job): words holds pos, w,
+    rel_start_ms, rel_end_ms in order of pos. Clips that no word touches are left out.
+
+    Words and clips are dealt out by buckets of 20 max_ms of a recording, with the beginning of the next one's words, so a
+    word is shuffled once, not once for every clip that it lies in. Within, they are gathered by blocks of max_ms; a clip
+    takes words of its own block, and of the next those that begin there."""
+    wide = F.lit(max_ms).cast("long")
+    block = lambda c: F.floor(c / wide)
+    b = F.col("__b")
+    touched = F.sequence(block(F.col("start_ms")), block(F.col("end_ms")))
+    # times as a word's length and what its place does not tell: next to nothing once compressed, if words are alike
+    size = F.col("end_ms") - F.col("start_ms")
+    dealt = words.select(key, size.alias("__size"), (F.col("start_ms") - F.coalesce("pos", F.lit(0)) * size).alias("__skew"), "pos", "w", F.explode(touched).alias("__b"))
+    buckets = F.when(F.pmod(b, F.lit(20)) == 0, F.array(F.floor(b / 20), F.floor(b / 20) - 1)).otherwise(F.array(F.floor(b / 20)))
+    dealt = dealt.select(key, F.explode(buckets).alias("__bucket"), "__b", "__size", "__skew", "pos", "w")
+    fits = F.when(F.col("end_ms") - F.col("start_ms") > max_ms, F.raise_error(F.lit(f"a clip is longer than {max_ms} ms")).cast("long")).otherwise(block(F.col("start_ms")))
+    asked = clips.select(key, fits.alias("__b"), F.struct(*[c for c in clips.columns if c != key]).alias("__c")).withColumn("__bucket", F.floor(b / 20))
+    both = dealt.unionByName(asked, allowMissingColumns=True).repartition(key, "__bucket")
+    start = F.col("__skew") + F.coalesce("pos", F.lit(0)) * F.col("__size")
+    word = F.when(F.col("__c").isNull(), F.struct("pos", "w", start.alias("start_ms"), (start + F.col("__size")).alias("end_ms")))
+    blocks = both.groupBy(key, "__bucket", "__b").agg(F.collect_list(word).alias("__words"), F.collect_list("__c").alias("__clips"))
+    following = Window.partitionBy(key, "__bucket").orderBy("__b")
+    after = F.when(F.lead("__b").over(following) == b + 1, F.lead("__words").over(following))
+    blocks = blocks.withColumn("__after", after).where(F.size("__clips") > 0)
+    blocks = blocks.withColumn("__words", F.concat("__words", F.filter(F.coalesce("__after", F.array()), lambda x: block(x["start_ms"]) == b + 1)))
+    start, end = F.col("__c.start_ms"), F.col("__c.end_ms")
+    inside = lambda x: (x["end_ms"] >= start) & (x["start_ms"] <= end)
+    each = blocks.select(key, "__words", F.explode("__clips").alias("__c")).where(F.exists("__words", inside))
+    mine = F.sort_array(F.filter("__words", inside))
+    rebased = F.transform(mine, lambda x: F.struct(x["pos"].alias("pos"), x["w"].alias("w"), F.greatest(F.lit(0).cast("long"), x["start_ms"] - start).alias("rel_start_ms"), (x["end_ms"] - start).alias("rel_end_ms")))
+    return each.select(key, "__c.*", rebased.alias("words"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bucket, ceil_div, collapsed, corrected, post_text, safe_filename, shortened, stamp, word_count
-from ..operators.captions import caption_cards, emphasis_windows, sample_times
-from ..operators.windows import flagged, numbered, spoken, suppress_overlaps, with_text, words_in_clips
+from ..operators.captions import cards_of, emphasis_windows, sample_times
+from ..operators.windows import flagged, numbered, spoken, suppress_overlaps, with_text, words_by_clip, words_in_clips
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views
 from ..sources.readers import cues_of, flatten_transcripts, table
@@ -84,8 +84,8 @@ def _approved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
-    w = words_in_clips(fx.words(spark, d), _approved(spark, d), "doc_id")
-    return caption_cards(w, CLIP, 4, CORRECTIONS)
+    w = words_by_clip(fx.words(spark, d), _approved(spark, d), "doc_id", 80_000)
+    return cards_of(w, CLIP, 4, CORRECTIONS)
 
 
 def cues_roundtrip(spark: SparkSession, d: str) -> DataFrame:

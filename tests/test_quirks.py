@@ -249,3 +249,23 @@ def test_flattened_segments_tell_their_words(spark):
     segments, words = readers.flatten_transcripts(nested)
     assert [(r.seg, r.n_words, r.last_ms) for r in segments.orderBy("seg").collect()] == [(0, 2, 1200), (1, 0, None), (2, 0, None)]
     assert [(r.seg, r.pos, r.w, r.end_ms) for r in words.orderBy("pos").collect()] == [(0, 0, "x", 500), (0, 1, "y", 1200)]
+
+
+def test_words_by_clip_shuffle_a_word_once(spark):
+    """Twenty clips hold each word; its row is dealt out once, or twice at the beginning of a bucket."""
+    rows = [(k, i, f"w{i % 7}" if i % 5 else "", 370 * i + 7 * (i % 3), 370 * i + 400 + 90_000 * (i == 200)) for k in range(3) for i in range(9000)]
+    w = spark.createDataFrame(rows, "doc_id long, pos long, w string, start_ms long, end_ms long")
+    spans = [(k, s, s + n) for k in range(3) for s in range(0, 3_400_000, 13_000) for n in (0, 30_000, 80_000)]
+    c = spark.createDataFrame(spans, "doc_id long, start_ms long, end_ms long")
+    got = windows.words_by_clip(w, c, "doc_id", 80_000)
+    wanted = windows.words_in_clips(w, c, "doc_id")
+    flat = got.select("doc_id", "start_ms", "end_ms", F.explode("words").alias("x")).select("doc_id", "start_ms", "end_ms", "x.*")
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, wanted.select(flat.columns).collect()))
+    assert all([x.pos for x in r.words] == sorted(x.pos for x in r.words) for r in got.collect())
+    cards = captions.cards_of(got.withColumnsRenamed({"start_ms": "a", "end_ms": "b"}), ["doc_id", "a", "b"])
+    rowwise = captions.caption_cards(wanted.withColumnsRenamed({"start_ms": "a", "end_ms": "b"}), ["doc_id", "a", "b"])
+    assert sorted(map(tuple, cards.collect())) == sorted(map(tuple, rowwise.collect()))
+    plan, n = shuffles(captions.cards_of(windows.words_by_clip(w, c.withColumns({"a": F.col("start_ms"), "b": F.col("end_ms")}), "doc_id", 80_000).drop("start_ms", "end_ms"), ["doc_id", "a", "b"]))
+    assert n == 1 and "Join" not in plan
+    with pytest.raises(Exception, match="longer than 79999"):
+        windows.words_by_clip(w, c, "doc_id", 79_999).collect()
