@@ -107,23 +107,21 @@ def diversified(rows: DataFrame, key: str, ids: list[str], limit: int = 60, per_
     item = "struct<neg:bigint,start_ms:bigint,end_ms:bigint,b:bigint,topic:string," + ",".join(f"{i}:bigint" for i in ids if i not in ("start_ms", "end_ms")) + ">"
     extra = [F.col(i).cast("long").alias(i) for i in ids if i not in ("start_ms", "end_ms")]
     one = F.struct((-F.col("score")).cast("long").alias("neg"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), F.floor(F.col("start_ms") / bucket_ms).cast("long").alias("b"), F.lower(F.coalesce(F.nullif(F.col("structure"), F.lit("")), F.lit("other"))).alias("topic"), *extra)
-    empty = F.array().cast(f"array<{item}>")
-    # the fill-in takes at most limit of a stretch, so no more of them are held, and the fold's arrays stay short
-    def step(acc: Column, c: Column) -> Column:
-        full = F.size(acc["chosen"]) >= limit
-        over = (F.size(F.filter(acc["chosen"], lambda x: x["b"] == c["b"])) >= per_bucket) | (F.size(F.filter(acc["chosen"], lambda x: x["topic"] == c["topic"])) >= per_topic)
-        held = F.size(F.filter(acc["over"], lambda x: x["b"] == c["b"])) < limit
-        add = lambda xs: F.concat(xs, F.array(c))
-        return F.struct(F.when(full | over, acc["chosen"]).otherwise(add(acc["chosen"])).alias("chosen"), F.when(~full & over & held, add(acc["over"])).otherwise(acc["over"]).alias("over"))
-
-    folded = rows.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(one)), F.struct(empty.alias("chosen"), empty.alias("over")), step).alias("f"))
-    first = folded.select(key, F.posexplode("f.chosen").alias("p", "c")).select(key, (F.col("p") + 1).cast("long").alias("rank"), "c")
-    rest = folded.filter(F.size("f.chosen") < limit).select(key, F.size("f.chosen").alias("n"), F.posexplode("f.over").alias("p", "c"))
-    turn = F.row_number().over(Window.partitionBy(key, "c.b").orderBy("p"))
-    rest = rest.withColumn("turn", turn)
-    place = F.row_number().over(Window.partitionBy(key).orderBy("turn", "c.b"))
-    rest = rest.withColumn("rank", (F.col("n") + place).cast("long")).filter(F.col("rank") <= limit).select(key, "rank", "c")
-    out = first.unionByName(rest)
+    empty = F.array().cast(f"array<struct<i:int,c:{item}>>")
+    # the fold holds what is chosen alone, so its arrays stay short; the rest is told by its places
+    def step(chosen: Column, x: Column) -> Column:
+        of = lambda name: F.size(F.filter(chosen, lambda k: k["c"][name] == x["c"][name]))
+        refused = (F.size(chosen) >= limit) | (of("b") >= per_bucket) | (of("topic") >= per_topic)
+        return F.when(refused, chosen).otherwise(F.concat(chosen, F.array(x)))
+
+    items = F.transform(F.sort_array(F.collect_list(one)), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    folded = rows.groupBy(key).agg(items.alias("items"), F.transform(F.aggregate(items, empty, step), lambda x: x["i"]).alias("chosen"))
+    n = F.size("chosen")
+    each = folded.select(key, "chosen", F.explode("items").alias("x")).select(key, n.alias("n"), F.array_position("chosen", F.col("x.i")).alias("at"), "x.i", "x.c")
+    each = each.where((F.col("at") > 0) | (F.col("n") < limit)).withColumn("picked", F.col("at") > 0)
+    each = each.withColumn("turn", F.row_number().over(Window.partitionBy(key, "picked", "c.b").orderBy("i")))
+    place = F.row_number().over(Window.partitionBy(key, "picked").orderBy("turn", "c.b"))
+    out = each.withColumn("rank", F.when(F.col("picked"), F.col("at")).otherwise(F.col("n") + place).cast("long")).where(F.col("rank") <= limit)
     return out.select(key, "rank", *[F.col(f"c.{i}").alias(i) for i in ids], (-F.col("c.neg")).alias("score"), F.col("c.topic").alias("structure"))
 
 

@@ -36,10 +36,12 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 def replies(spark: SparkSession, d: str) -> DataFrame:
     w = windows(spark, d).select("doc_id", "seg_from", "seg_to")
     tags = F.array(*[F.lit(x) for x in ("teach", "story", "loop", "raw", "other")])
-    one = w.filter((F.col("doc_id") + F.col("seg_from")) % 9 != 0).select("*", F.lit(1).alias("batch"), F.lit(1).alias("pos"), ((F.col("doc_id") * 7 + F.col("seg_from") * 13 + F.col("seg_to")) % 101).alias("score"), F.element_at(tags, (1 + (F.col("doc_id") + F.col("seg_from")) % 5).cast("int")).alias("structure"), ((F.col("doc_id") + F.col("seg_to")) % 11 != 0).alias("complete_thought"))
-    two = w.filter(F.col("doc_id") % 10 == 0).select("*", F.lit(2).alias("batch"), F.lit(1).alias("pos"), ((F.col("doc_id") * 3 + F.col("seg_from")) % 101).alias("score"), F.lit("other").alias("structure"), F.lit(None).cast("boolean").alias("complete_thought"))
-    three = w.filter(F.col("doc_id") % 15 == 0).select("*", F.lit(2).alias("batch"), F.lit(2).alias("pos"), ((F.col("doc_id") * 5 + F.col("seg_to")) % 101).alias("score"), F.lit("loop").alias("structure"), F.lit(True).alias("complete_thought"))
-    return one.unionByName(two).unionByName(three)
+    d_, a, b = F.col("doc_id"), F.col("seg_from"), F.col("seg_to")
+    reply = lambda batch, pos, score, structure, thought: F.struct(F.lit(batch).alias("batch"), F.lit(pos).alias("pos"), (score % 101).alias("score"), structure.alias("structure"), thought.alias("complete_thought"))
+    one = F.when((d_ + a) % 9 != 0, reply(1, 1, d_ * 7 + a * 13 + b, F.element_at(tags, (1 + (d_ + a) % 5).cast("int")), (d_ + b) % 11 != 0))
+    two = F.when(d_ % 10 == 0, reply(2, 1, d_ * 3 + a, F.lit("other"), F.lit(None).cast("boolean")))
+    three = F.when(d_ % 15 == 0, reply(2, 2, d_ * 5 + b, F.lit("loop"), F.lit(True)))
+    return w.select("*", F.explode(F.array_compact(F.array(one, two, three))).alias("r")).select("doc_id", "seg_from", "seg_to", "r.*")
 
 
 def clips(spark: SparkSession, d: str) -> DataFrame:

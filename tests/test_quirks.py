@@ -269,3 +269,14 @@ def test_words_by_clip_shuffle_a_word_once(spark):
     assert n == 1 and "Join" not in plan
     with pytest.raises(Exception, match="longer than 79999"):
         windows.words_by_clip(w, c, "doc_id", 79_999).collect()
+
+
+def test_the_diversified_fold_holds_what_is_chosen_alone(spark):
+    """Equal rows are told apart, and what is refused is not carried from step to step."""
+    rows = [(1, 90 - i // 2, 200_000 * (i % 3), 1000, "t" if i % 4 else "u", i // 2) for i in range(12)]
+    r = spark.createDataFrame([*rows, (1, 90, 0, 1000, "u", 0)], "doc_id long, score long, start_ms long, end_ms long, structure string, seg long")
+    df = ranking.diversified(r, "doc_id", ["seg", "start_ms", "end_ms"])
+    plan, n = shuffles(df)
+    assert n == 1 and "Union" not in plan
+    got = df.orderBy("rank").collect()
+    assert [x["rank"] for x in got] == list(range(1, 14)) and [x.seg for x in got[:2]] == [0, 0] and len([x for x in got[:6] if x.structure == "u"]) == 3
