@@ -298,11 +298,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     if chars > SHARD_CHARS:
         folder = shared.new_folder(spark, "decontaminate-index")
         shards = write_indexes(items, math.ceil(1.5 * chars / SHARD_CHARS), folder)
-        return rows.mapInArrow(_task(partial(_mapped, folder, shards), threshold), schema)
+        return rows.mapInArrow(shared.lean(_task(partial(_mapped, folder, shards), threshold)), schema)
     index = build_index([(r.item_id, r.text) for r in items.collect()])  # SHARD_CHARS characters at most
     if index is None:
         return spark.createDataFrame([], schema)
-    return rows.mapInArrow(_task(partial(_sent, spark.sparkContext.broadcast(index)), threshold), schema)
+    return rows.mapInArrow(shared.lean(_task(partial(_sent, spark.sparkContext.broadcast(index)), threshold)), schema)
 
 
 def write_indexes(items: DataFrame, shards: int, folder: str) -> list[int]:

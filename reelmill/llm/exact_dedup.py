@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, with_rows
+from .shared import lean, materialize, with_rows
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -212,9 +212,9 @@ def shards_for(spark: SparkSession, rows: int) -> int:
 def build_index(rows: DataFrame, count: int | None = None) -> DataFrame:
     """One row for each live digest of keyed() rows: how many rows have it, and which of them stays. count: of the rows, if
     it is known without reading them."""
-    local = _entries(rows).mapInArrow(_local_task, INDEX_SCHEMA)
+    local = _entries(rows).mapInArrow(lean(_local_task), INDEX_SCHEMA)
     shards = shards_for(rows.sparkSession, rows.count() if count is None else count)
-    return local.repartition(shards, "digest").mapInArrow(_index_task, INDEX_SCHEMA)
+    return local.repartition(shards, "digest").mapInArrow(lean(_index_task), INDEX_SCHEMA)
 
 
 def apply_changes(index: DataFrame, live: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import words
 from .components import components
 from .decontaminate import shingle_hashes
-from .shared import drop, materialize, release, with_rows
+from .shared import drop, lean, materialize, release, with_rows
 
 FREQUENT = 100_000  #: frequent shingles that are known to all tasks, at most
 OFTEN = 64  #: rows with a shingle from which it counts as frequent
@@ -361,21 +361,21 @@ def _links(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     """members: block, chunk, other, side, row, label."""
     whole = members.join(texts, "row")
     keys = ["block", "chunk", "other"]
-    return whole.select(*keys, "side", "row", "label", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_task(k, num, den), "a long, b long")
+    return whole.select(*keys, "side", "row", "label", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(_tree_task(k, num, den)), "a long, b long")
 
 
 def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots: np.ndarray, common: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """a, b: verified links that connect all nodes which link. rows: row, text of all documents; nodes: row and n of each
     node; frequent: sorted; pivots: a node with each; common: the bitmap of common shingles."""
     spark = rows.sparkSession
-    prefixes = materialize(rows.mapInArrow(_prefix_task(k, num, den, frequent, common), "row long, n long, prefix array<long>").join(nodes.select("row"), "row", "left_semi"), "jaccard-prefixes")
+    prefixes = materialize(rows.mapInArrow(lean(_prefix_task(k, num, den, frequent, common)), "row long, n long, prefix array<long>").join(nodes.select("row"), "row", "left_semi"), "jaccard-prefixes")
     posted = prefixes.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
     if len(frequent):
         known = spark.createDataFrame(pd.DataFrame({"token": frequent.view(np.int64), "pivot": pivots}))
         known = F.broadcast(known)  # at most FREQUENT rows
         to_pivots = posted.join(known, "token").select(F.col("row").alias("a"), F.col("pivot").alias("b")).filter("a <> b")
         posted = posted.join(known, "token", "left_anti")
-    routes = posted.select("token", "row", "n", F.col("pos").cast("long").alias("pos")).repartition("token").sortWithinPartitions("token").mapInArrow(_route_task(num, den), "a long, b long")
+    routes = posted.select("token", "row", "n", F.col("pos").cast("long").alias("pos")).repartition("token").sortWithinPartitions("token").mapInArrow(lean(_route_task(num, den)), "a long, b long")
     if len(frequent):
         routes = routes.unionByName(to_pivots)
     routed = materialize(components(routes, "jaccard-routes").select(F.col("node").alias("row"), F.col("component").alias("block")), "jaccard-blocks")
@@ -430,6 +430,12 @@ def part_name(band: str, number: Column | str) -> Column:
     return F.shiftleft(F.col(band) + 1, 32) + (F.col(number) if isinstance(number, str) else number)
 
 
+def counted_tokens(wide: DataFrame) -> DataFrame:
+    """token, c (rows that have it in their head), row (the least of them). Numbers alone, which are summed up by hash: a
+    struct would be sorted, with several times the memory and shuffle."""
+    return wide.select("row", F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("row").alias("row"))
+
+
 def common_bitmap(counted: DataFrame) -> np.ndarray:
     """A bitmap over the upper bits of the hashes of common shingles. counted: token, c."""
     bucket = F.shiftrightunsigned("token", 64 - COMMON_BITS).cast("int").alias("b")
@@ -450,17 +456,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     if number is None:
         docs, number = with_rows(docs)
     rows = docs.select(F.col(number).alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    wide = materialize(rows.mapInArrow(_sets_task(k, num, den), "row long, doc_id long, n long, one long, two long, head array<long>"), "jaccard-sets")
+    wide = materialize(rows.mapInArrow(lean(_sets_task(k, num, den)), "row long, doc_id long, n long, one long, two long, head array<long>"), "jaccard-sets")
     rows = rows.select("row", "text")
     same = ["n", "one", "two"]
     found = materialize(wide.drop("head"), "jaccard-rows")
     nodes = materialize(found.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")), "jaccard-nodes")
 
-    counted = wide.select("row", *same, F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("row", *same)).alias("at"))
-    counted = materialize(counted.filter(F.col("c") >= COMMON), "jaccard-counts")
+    counted = materialize(counted_tokens(wide).filter(F.col("c") >= COMMON), "jaccard-counts")
     common = common_bitmap(counted)
     often = counted.filter(F.col("c") > OFTEN).orderBy(F.desc("c"), "token").limit(FREQUENT)
-    often = often.select("token", "at.n", "at.one", "at.two").join(nodes.select(*same, "node"), same).select("token", "node").toPandas()  # at most FREQUENT rows
+    often = often.join(found, "row").join(nodes.select(*same, "node"), same).select("token", "node").toPandas()  # at most FREQUENT rows
     drop(wide)
     drop(counted)
     release(docs.sparkSession)

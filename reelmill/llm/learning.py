@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import ship
+from .shared import lean, ship
 
 SAMPLE = 4000  #: labelled rows that a classifier is fitted on at most, half of them of each label
 
@@ -76,5 +76,5 @@ def score_rows(docs: DataFrame, make: Callable[[], Callable[[words.Block], np.nd
                 part = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score(block).astype(np.float64))], ["doc_id", "held_out", "score"])
 
-    out = rows.mapInArrow(task, "doc_id long, held_out boolean, score double")
+    out = rows.mapInArrow(lean(task), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

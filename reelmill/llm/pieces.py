@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .shared import ship
+from .shared import lean, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -351,7 +351,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, threads: int
                 part = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(same)], [*part.schema.names, "token_ids", "parity"])
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(lean(task), schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, threads: int = 2) -> DataFrame:
@@ -388,4 +388,4 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", model:
                 digests = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in lists]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.rows), pa.array(np.diff(at)), pa.array(digests), pa.array(same), pa.array(again)], ["doc_id", "n_pieces", "ids_sha256", "parity", "round_trip"])
 
-    return rows.mapInArrow(task, "doc_id long, n_pieces long, ids_sha256 string, parity boolean, round_trip boolean")
+    return rows.mapInArrow(lean(task), "doc_id long, n_pieces long, ids_sha256 string, parity boolean, round_trip boolean")

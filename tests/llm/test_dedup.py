@@ -153,6 +153,15 @@ def test_jaccard_streamed_tokens(spark, monkeypatch):
     assert got == brute_components(rows, 3, 9, 10)
 
 
+def test_jaccard_tokens_are_counted_by_hash(spark):
+    """Not sorted: a struct beside the count would be, and the rows of every shingle with it."""
+    heads = {1: [5, 6], 2: [5], 9: [6, 5, 7], 4: []}
+    wide = spark.createDataFrame([(r, 3, 1, 2, h) for r, h in heads.items()], "row long, n long, one long, two long, head array<long>")
+    got = jaccard_join.counted_tokens(wide)
+    assert sorted(map(tuple, got.collect())) == [(5, 3, 1), (6, 2, 1), (7, 1, 9)]
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_jaccard_edges_of_tables(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
     got = jaccard_join.jaccard_components(frame(spark, [(5, "a b"), (5, "a b"), (None, "a b"), (None, None), (7, "")])).collect()

@@ -1,4 +1,7 @@
+import os
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -211,3 +214,20 @@ def test_mapped_parts_are_let_go():
     for k in (1, 2, 3, 1, 4, 5, 1):
         assert held.part(k, lambda: make(k)) == (None if k == 5 else k)
     assert list(held) == [4, 5, 1] and made == [1, 2, 3, 4]
+
+
+def test_workers_give_back_what_a_task_took(spark):
+    """A worker is used again by the next stages, beside whose memory the most of an earlier task would stay."""
+
+    def make():
+        def score(block):
+            took = [np.ones(12_000) for _ in range(4000)]  # 384 MB in small pieces
+            os.above = np.ones(12_000)  # and one that stays, above them
+            return np.full(block.rows, os.getpid() + 0 * len(took))
+
+        return score
+
+    pids = {int(r.score) for r in learning.score_rows(frame(spark, [(1, "a")]), make, 4, 2).collect()}
+    assert len(pids) == 1
+    held = int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pids.pop()}/status").read_text()).group(1)) / 1024
+    assert held < 350, held
