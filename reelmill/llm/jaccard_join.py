@@ -15,8 +15,10 @@ link when the overlap of their sets is at least ``num/den`` of the union; the re
    root: a pair of nodes is dropped when its size ranges don't allow a link, or when the bits that both have, plus the
    tokens that share a bit, are fewer than the overlap that its least sizes need. Leaves left are verified on the sets.
    Pairs that are connected already are skipped, so a group of near copies costs little more than its size.
-4. A block over ``BLOCK`` nodes (or ``BLOCK_SHINGLES``) is cut into chunks, by bands of sizes and in a band by hash.
-   Sets that link lie in one band or neighbouring ones, whose chunks share a few pivots; after chunks are joined and their
+4. A block over ``BLOCK`` nodes (or ``BLOCK_SHINGLES``) is first cut by sketches: a set's shingles counted in ``SKETCH``
+   buckets, whose least counts bound the overlap. Routes through a pivot are untested, so most of such a block may not link;
+   sketches are held against each other where sizes allow a link, and the components of the pairs that they leave are the
+   blocks. One that is still as large is cut into chunks, by bands of sizes and in a band by hash. Sets that link lie in one band or neighbouring ones, whose chunks share a few pivots; after chunks are joined and their
    links resolved, the nodes outside the block's largest component are joined with the chunks of their own and the
    neighbouring bands. So no link between two nodes is lost, and no task holds more than two chunks.
 
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from . import words
 from .components import components
 from .decontaminate import shingle_hashes
+from .secrets import likely
 from .shared import drop, lean, materialize, release, with_rows
 
 FREQUENT = 100_000  #: frequent shingles that are known to all tasks, at most
@@ -52,6 +55,8 @@ BLOCK = 1000  #: nodes in one tree
 BLOCK_SHINGLES = 2_000_000  #: and shingles of all its nodes, about
 BAND = 4  #: width of a band of sizes in a large block, as a power of den/num; over 1, so that links reach the next band at most
 PIVOTS = 2  #: nodes of a band that all its chunks and those of the bands beside it share
+SKETCH = 256  #: buckets of a sketch, a byte each
+SKETCHED = 8192  #: sketches in one chunk
 FANOUT = 8
 COMPARED = 1 << 20  #: 64-bit words of bitmaps compared at once
 LOCAL_EDGES = 200_000
@@ -357,9 +362,104 @@ def _tree_task(k: int, num: int, den: int):
     return task
 
 
-def _links(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """members: block, chunk, other, side, row, label."""
-    whole = members.join(texts, "row")
+def sketches_of(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each set's shingles counted in SKETCH buckets by hash, up to 255 each."""
+    rows = len(at) - 1
+    bucket = np.repeat(np.arange(rows), np.diff(at)) * SKETCH + (flat % np.uint64(SKETCH)).astype(np.int64)
+    return np.minimum(np.bincount(bucket, minlength=rows * SKETCH), 255).astype(np.uint8).reshape(rows, SKETCH)
+
+
+def _sketch_task(k: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in words.blocks(batch.column("text")):
+                counts = sketches_of(*sets(block, k))
+                yield pa.RecordBatch.from_arrays([batch.slice(block.first, block.rows).column("row"), pa.array([x.tobytes() for x in counts], pa.binary())], ["row", "sketch"])
+
+    return task
+
+
+def close_sketches(n: np.ndarray, counts: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that connect all pairs of places whose sketches allow a link: of side 0 with side 1, or if there is none, with
+    each other. What is over 255 in buckets is bounded by its sum."""
+    order = np.lexsort((n, side))
+    n, counts, own = n[order], counts[order], int((side == 0).sum())
+    excess = n - counts.sum(1, dtype=np.int64)
+    first = own if own < len(n) else 0
+    low = first + np.searchsorted(n[first:], -(-n[:own] * num // den)) if first else np.arange(own) + 1
+    high = first + np.searchsorted(n[first:], n[:own] * den // num, "right")
+    label, edges = np.arange(len(n)), []
+    for i in range(own):
+        j = low[i] + np.flatnonzero(label[low[i] : high[i]] != label[i])
+        most = np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64) + np.minimum(excess[i], excess[j])
+        j = j[most * (num + den) >= num * (n[i] + n[j])]
+        if len(j):
+            met, at = np.unique(label[j], return_index=True)
+            edges += [(int(order[i]), x) for x in order[j[at]].tolist()]
+            label[np.isin(label, met)] = label[i]
+    return edges
+
+
+def _sketch_pairs_task(num: int, den: int):
+    """Rows (block, chunk, other, side, row, n, sketch) sorted by the first three: what the sketches of each leave."""
+
+    def solve(key: list, rows: list) -> list[tuple[int, int]]:
+        side, row, n, sketch = zip(*rows)
+        side = np.array(side)
+        if not (side == 0).any() or key[1] != key[2] and side.all() == side.any():
+            return []
+        counts = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rows), SKETCH)
+        return [(row[x], row[y]) for x, y in close_sketches(np.array(n, np.int64), counts, side, num, den)]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+        for batch in batches:
+            for *at, side, row, n, sketch in zip(*[batch.column(c).to_pylist() for c in ("block", "chunk", "other", "side", "row", "n", "sketch")]):
+                if at != key:
+                    if held:
+                        out += solve(key, held)
+                    key, held = at, []
+                held.append((side, row, n, sketch))
+            if len(out) > 10_000:
+                yield _edges_batch(out)
+                out = []
+        if held:
+            out += solve(key, held)
+        yield _edges_batch(out)
+
+    return task
+
+
+def wide_blocks(bands: DataFrame) -> DataFrame:
+    """The blocks of more than one chunk. bands: block, size, total."""
+    return bands.groupBy("block").agg(F.sum("size").alias("s"), F.sum("total").alias("t")).filter((F.col("s") > BLOCK) | (F.col("t") > BLOCK_SHINGLES)).select("block")
+
+
+def cut_by_sketches(placed: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """placed (row, block, n, band) with wide blocks cut into components of the pairs whose sketches allow a link; what is
+    in none links with nothing and goes."""
+    bands = materialize(placed.groupBy("block", "band").agg(F.count("*").alias("size"), F.sum("n").alias("total")), "jaccard-bands")
+    parts = materialize(bands.join(wide_blocks(bands), "block").select("block", F.col("band").alias("near"), F.ceil(F.col("size") / SKETCHED).cast("long").alias("parts")), "jaccard-parts")
+    if not parts.take(1):
+        return placed
+    many = materialize(placed.join(parts.withColumnRenamed("near", "band"), ["block", "band"]), "jaccard-wide")
+    sketches = likely(rows, many.select("row")).mapInArrow(lean(_sketch_task(k)), "row long, sketch binary")
+    own = part_name("band", F.pmod(F.xxhash64("row"), "parts")).alias("own")
+    held = materialize(many.join(sketches, "row").select("block", own, "row", "n", "sketch", F.col("band")), "jaccard-sketches")
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("near")
+    pairs = held.select("*", near).join(parts, ["block", "near"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i")).withColumn("name", part_name("near", "i"))
+    keys = ["block", "chunk", "other"]
+    pairs = pairs.select("block", F.least("own", "name").alias("chunk"), F.greatest("own", "name").alias("other"), (F.col("name") < F.col("own")).cast("int").alias("side"), "row", "n", "sketch")
+    edges = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(_sketch_pairs_task(num, den)), "a long, b long")
+    close = components(edges, "jaccard-close").select(F.col("node").alias("row"), F.col("component").alias("block"))
+    cut = materialize(many.select("row", "n", "band").join(close, "row").select("row", "block", "n", "band"), "jaccard-placed")
+    drop(held)
+    return placed.join(parts.select("block").distinct(), "block", "left_anti").unionByName(cut)
+
+
+def _links(members: DataFrame, texts: DataFrame, narrow: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """members: block, chunk, other, side, row, label. narrow: the rows among them; few other texts are dealt out."""
+    whole = members.join(likely(texts, narrow), "row")
     keys = ["block", "chunk", "other"]
     return whole.select(*keys, "side", "row", "label", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(_tree_task(k, num, den)), "a long, b long")
 
@@ -369,6 +469,7 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
     node; frequent: sorted; pivots: a node with each; common: the bitmap of common shingles."""
     spark = rows.sparkSession
     prefixes = materialize(rows.mapInArrow(lean(_prefix_task(k, num, den, frequent, common)), "row long, n long, prefix array<long>").join(nodes.select("row"), "row", "left_semi"), "jaccard-prefixes")
+    release(spark)
     posted = prefixes.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
     if len(frequent):
         known = spark.createDataFrame(pd.DataFrame({"token": frequent.view(np.int64), "pivot": pivots}))
@@ -386,11 +487,12 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
     # two sets that link have sizes within den/num of each other, so they lie in one band of sizes or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / (BAND * math.log(den / num))).cast("long") if den > num else F.col("n")
     placed = materialize(routed.join(nodes, "row").select("row", "block", "n", band.alias("band")), "jaccard-placed")
+    placed = cut_by_sketches(placed, rows, k, num, den)
+    release(spark)
     least = [F.min(F.struct(F.xxhash64("row", F.lit(s)), "row"))["row"] for s in range(PIVOTS)]
     bands = materialize(placed.groupBy("block", "band").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.array_distinct(F.array(*least)).alias("pivots")), "jaccard-bands")
-    wide = bands.groupBy("block").agg(F.sum("size").alias("s"), F.sum("total").alias("t")).filter((F.col("s") > BLOCK) | (F.col("t") > BLOCK_SHINGLES)).select("block")
     # small tables are written before joins on the block, so that AQE can split the rows of a large one
-    cut = materialize(bands.join(wide, "block").select("block", "band", "pivots", parts_of("size", "total").alias("chunks")), "jaccard-cuts")
+    cut = materialize(bands.join(wide_blocks(bands), "block").select("block", "band", "pivots", parts_of("size", "total").alias("chunks")), "jaccard-cuts")
     chunk = F.when(F.col("chunks").isNull(), F.lit(0).cast("long")).otherwise(part_name("band", F.pmod(F.xxhash64("row"), "chunks")))
     own = materialize(placed.join(cut.drop("pivots"), ["block", "band"], "left").select("block", chunk.alias("chunk"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), "row", F.col("row").alias("label"), "n", "band", F.col("chunks").isNotNull().alias("wide")), "jaccard-chunks")
     near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("near")
@@ -399,7 +501,7 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
     shared_pivots = cut.select("block", "band", each).select("block", part_name("band", "i").alias("chunk"), near).join(pivots_of, ["block", "near"])
     columns = ["block", "chunk", "other", "side", "row", "label"]
     members = own.select(*columns).unionByName(shared_pivots.select("block", "chunk", F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), "row", F.col("row").alias("label")))
-    links = materialize(_links(members, rows, k, num, den), "jaccard-links")
+    links = materialize(_links(members, rows, own.select("row"), k, num, den), "jaccard-links")
     release(spark)
 
     own = own.filter("wide")
@@ -417,7 +519,7 @@ def node_links(rows: DataFrame, nodes: DataFrame, frequent: np.ndarray, pivots:
     left = left.select("block", "chunk", part_name("near", "i").alias("other"), F.lit(0).alias("side"), "row", "label")
     right = labelled.select("block", F.col("chunk").alias("other"), "row", "label", near).join(parts.select("block", F.col("band").alias("near"), F.col("parts").alias("chunks")), ["block", "near"])
     right = right.select("block", "other", "row", "label", "near", each).select("block", part_name("near", "i").alias("chunk"), "other", F.lit(1).alias("side"), "row", "label")
-    return links.unionByName(materialize(_links(left.unionByName(right), rows, k, num, den), "jaccard-links"))
+    return links.unionByName(materialize(_links(left.unionByName(right), rows, labelled.select("row"), k, num, den), "jaccard-links"))
 
 
 def parts_of(size: Column | str, total: Column | str) -> Column:

@@ -145,6 +145,49 @@ def test_jaccard_blocks_of_many_sizes(spark, monkeypatch):
         assert got == brute_components(list(enumerate(rows)), k, num, den)
 
 
+@pytest.mark.parametrize("sketched", [16, 8192])
+def test_jaccard_texts_that_only_share_a_line_meet_by_sketches(spark, monkeypatch, sketched):
+    """A frequent line routes all texts to one block; only those that may link are dealt out as texts."""
+    line, rows = " ".join(f"line{i}" for i in range(60)), []
+    for i in range(120):
+        w = [f"x{i}_{j}" for j in range(6)]
+        rows += [line + " " + " ".join(w)] + [line + " " + " ".join(w[:-1])] * (i % 10 == 0)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 9)
+    monkeypatch.setattr(jaccard_join, "SKETCHED", sketched, raising=False)
+    links, dealt = jaccard_join._links, []
+    monkeypatch.setattr(jaccard_join, "_links", lambda members, *rest: dealt.append(members.count()) or links(members, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, list(enumerate(rows))), 3, 9, 10).collect()}
+    assert got == brute_components(list(enumerate(rows)), 3, 9, 10)
+    assert sum(dealt) < len(rows)
+
+
+def test_sketches_never_hide_a_link():
+    rng = np.random.default_rng(4)
+    items = [np.unique(rng.integers(0, 1 << 62, int(s), dtype=np.uint64)) for s in rng.integers(20, 400, 60)]
+    items += [np.unique(np.concatenate([x[len(x) // 20 :], rng.integers(0, 1 << 62, len(x) // 40, dtype=np.uint64)])) for x in items]
+    items += [np.arange(99_000, dtype=np.uint64), np.arange(1_000, 99_000, dtype=np.uint64), np.arange(0, 40_000 * 256, 256, dtype=np.uint64)]  # over 255 in all buckets, or all in one
+    n, counts = np.array([len(x) for x in items]), jaccard_join.sketches_of(np.concatenate(items), np.concatenate([[0], np.cumsum([len(x) for x in items])]))
+    linked = {(a, b) for a in range(len(items)) for b in range(a) if jaccard_join.overlap(items[a], items[b]) * 19 >= 9 * (n[a] + n[b])}
+    assert len(linked) > 20
+    for side in (np.zeros(len(items), int), np.arange(len(items)) % 2):
+        forest = jaccard_join.Forest()
+        edges = jaccard_join.close_sketches(n, counts, side, 9, 10)
+        for a, b in edges:
+            forest.join(a, b)
+        assert all(forest.find(a) == forest.find(b) for a, b in linked if not side.any() or side[a] != side[b])
+        assert len(edges) < len(linked) + 10 and (not side.any() or all(side[a] != side[b] for a, b in edges))
+
+
+def test_texts_without_a_partner_are_not_dealt_out(spark):
+    rows = frame(spark, [(i, f"t{i}") for i in range(400)]).selectExpr("doc_id as row", "text")
+    members = spark.createDataFrame([(5, 0, 0, 0, 7, 7), (5, 0, 0, 0, 9, 9)], "block long, chunk long, other long, side int, row long, label long")
+    passed = jaccard_join.likely(rows, members.select("row"))
+    assert {7, 9} <= {r.row for r in passed.collect()} and passed.count() < 100
+    plan = jaccard_join._links(members, rows, members.select("row"), 3, 9, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan
+
+
 def test_jaccard_streamed_tokens(spark, monkeypatch):
     rows = chain(40, 60, 1)
     monkeypatch.setattr(jaccard_join, "OFTEN", 10**9)
