@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views
 from ..sources.readers import inventory, read_entities, read_log, scan_folder, split_log, suffix_kind, table
-from ..sources.sinks import append_events, append_stream, by_tasks, folded_entities
+from ..sources.sinks import append_events, append_stream, folded_entities, write_files
 from ..streaming import streams as st
 
 
@@ -22,7 +22,7 @@ def entity_files(spark: SparkSession, d: str) -> DataFrame:
     path = f"{st.new_base(spark)}/jobs"
     t = _threads(spark, d)
     js = F.to_json(F.struct("conv_id", "turns", "last"))
-    by_tasks(t.select("conv_id", F.when(F.col("conv_id") % 7 == 3, F.substring(js, 1, 20)).otherwise(js).alias("value")), "conv_id").write.partitionBy("conv_id").text(path)
+    write_files(t.select("conv_id", F.when(F.col("conv_id") % 7 == 3, F.substring(js, 1, 20)).otherwise(js).alias("value")), "conv_id", path)
     good, bad = read_entities(spark, path, T.StructType.fromDDL("conv_id long, turns long, last string"))
     told = bad.select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turns"), F.lit(None).cast("string").alias("last"), F.lit(True).alias("broken"))
     return good.withColumn("broken", F.lit(False)).unionByName(told)
@@ -55,8 +55,8 @@ def log_file_tail(spark: SparkSession, d: str) -> DataFrame:
 
 def _folder(spark: SparkSession, d: str) -> str:
     path, t = f"{st.new_base(spark)}/folder", _threads(spark, d)
-    by_tasks(t.select("conv_id", F.col("last").alias("value")), "conv_id").write.partitionBy("conv_id").text(f"{path}/notes")
-    by_tasks(t.select("conv_id", "turns"), "conv_id").write.partitionBy("conv_id").json(f"{path}/data")
+    write_files(t.select("conv_id", F.col("last").alias("value")), "conv_id", f"{path}/notes")
+    write_files(t.select("conv_id", "turns"), "conv_id", f"{path}/data", "json")
     return path
 
 

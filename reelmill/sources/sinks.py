@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +25,46 @@ def append_events(rows: DataFrame, path: str, fmt: str = "json") -> None:
 
 def by_tasks(rows: DataFrame, key: str) -> DataFrame:
     """Rows dealt out by key over some tasks a core, for writers that make a file a row or so: Spark itself sizes tasks by
-    bytes, and would write any number of small files in one."""
+    bytes, and would write any number of small files in one. They are dealt out by a hash of the key: where rows lie by the key
+    in as many parts already, as after grouping, Spark would drop this step and put its parts together by bytes."""
     spark = rows.sparkSession
-    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(key))
+
+
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"  #: in the name of a null key's folder, as Spark's writers have it
+
+
+def write_files(rows: DataFrame, key: str, path: str, fmt: str = "text") -> None:
+    """A file a row, below path/key=value. rows: key, distinct and of plain characters (a number), and a text's one column,
+    or a JSON object's fields. In a store of local files Spark's writers start a process for each file, its checksum and its
+    folder to set their modes, which takes nearly all of the time; there tasks write the files themselves, each put in place
+    by a rename under a name that a repeated task gives it again."""
+    rest = [c for c in rows.columns if c != key]
+    store = urlparse(path)
+    if store.scheme not in ("", "file"):
+        by_tasks(rows, key).write.partitionBy(key).format(fmt).save(path)
+        return
+    top, suffix = unquote(store.path) if store.scheme else path, {"text": "txt", "json": "json"}[fmt]
+    line = F.col(rest[0]) if fmt == "text" else F.to_json(F.struct(*rest))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, seen = f"part-{TaskContext.get().partitionId():05d}.{suffix}", set()
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k in seen:
+                    raise ValueError(f"two rows of {key}={k}")
+                seen.add(k)
+                folder = f"{top}/{key}={k}"
+                os.makedirs(folder, exist_ok=True)
+                temp = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                with open(temp, "wb") as out:
+                    out.write(v.encode() + b"\n")
+                os.replace(temp, f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([len(seen)], pa.int64())], ["files"])
+
+    os.makedirs(top, exist_ok=True)  # without rows the folder is there too
+    named = by_tasks(rows, key).select(F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("key"), F.coalesce(line, F.lit("")).alias("line"))
+    named.mapInArrow(task, "files long").write.format("noop").mode("overwrite").save()
 
 
 def latest_entities(versions: DataFrame, key: str, version: str) -> DataFrame:

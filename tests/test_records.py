@@ -119,6 +119,38 @@ def test_folders_are_written_by_many_tasks(spark):
     assert len(paths) > 10 and all(len(w) > 1 for w in writers.values()) and spark.conf.get(readers.LISTERS) == before
 
 
+def test_folders_after_grouping_are_written_by_many_tasks(spark):
+    """Grouped rows lie by the key in as many parts as the writer asks for."""
+    import re
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        paths = [r.path for r in readers.scan_folder(spark, files._folder(spark, SF)).select("path").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(len({re.search(r"part-(\d+)", p).group(1) for p in paths if f"/{kind}/" in p}) > 4 for kind in ("notes", "data"))
+
+
+def test_files_of_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\nb"), (2, ""), (3, None), (None, "é"), (-7, "x" * 5000)], "id long, value string")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.rowfiles.link./t", f"file://{tmp_path}/far")
+    (tmp_path / "far").mkdir()
+    got = []
+    for path in (f"file://{tmp_path}/a b", f"{tmp_path}/plain", "viewfs://rowfiles/t/x"):  # the last is written by Spark
+        sinks.write_files(rows, "id", path.replace("a b", "a%20b"))
+        got.append(sorted(spark.read.text(path, wholetext=True).select("value", F.col("id").cast("string")).collect(), key=str))
+    assert len(got[0]) == 5 and got[0] == got[1] == got[2]
+    assert not [p for p in (tmp_path / "plain").rglob("*") if p.is_file() and not p.name.startswith("part-")]
+    sinks.write_files(rows.select("id", F.length("value").alias("n")), "id", f"{tmp_path}/js", "json")
+    assert sorted(spark.read.text(f"{tmp_path}/js", recursiveFileLookup=True).collect(), key=str) == sorted([('{"n":3}',), ('{"n":0}',), ("{}",), ('{"n":1}',), ('{"n":5000}',)], key=str)
+    assert all(p.suffix == ".json" for p in (tmp_path / "js").rglob("part-*"))
+    sinks.write_files(rows.where("id = 99"), "id", f"{tmp_path}/none")
+    assert readers.scan_folder(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="two rows of id="):
+        sinks.write_files(rows.unionByName(rows), "id", f"{tmp_path}/twice")
+
+
 def test_few_calls_for_rows_that_raise(spark):
     def score(part):
         calls.add(1)
